@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -39,7 +40,7 @@ def powers(n: int, base: int = _BASE) -> np.ndarray:
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose texts have at most max_bytes together; a longer text comes alone and whole."""
     i = batch.schema.get_field_index(column)
-    size = pa.compute.binary_length(batch.column(i)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    size = pc.binary_length(batch.column(i)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends, start = np.cumsum(size), 0
     while start < batch.num_rows:
         base = ends[start] - size[start]
