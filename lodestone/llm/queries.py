@@ -5,19 +5,64 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm import byte_bpe, pii
+from lodestone.llm import byte_bpe, html_extract, pii, rans
+from lodestone.llm._spark import scratch_dir
 from lodestone.llm.decontaminate import find_leaks, leak_digest
 from lodestone.llm.embedding_dedup import embedding_near_dedup
 from lodestone.llm.langid import language_id
 from lodestone.llm.ngram_join import ngram_join
 from lodestone.llm.toxicity import toxicity
+from lodestone.llm.token_rollup import RollupStore, counted, lettered_word_count, quarter_count, word_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are put in; those in German are then recounted by the later word counter; documents whose text
+    is also that of a smaller doc_id are taken out, by the counts that they have by then. The second batch is sent
+    again, as after a broken job, and changes nothing."""
+    docs = _table(spark, sf_dir, "documents")
+    store = RollupStore(spark, scratch_dir(spark))
+    later = F.when(F.col("lang") == "de", lettered_word_count()).otherwise(word_count())
+    store.commit("1-insert", counted(docs, {"words-1": word_count(), "quarters-1": quarter_count()}))
+    german = docs.filter("lang = 'de'")
+    revised = counted(german, {"words-1": word_count()}, -1).union(counted(german, {"words-1": lettered_word_count()}))
+    store.commit("2-revise", revised)
+    skinny = docs.select("doc_id", "source", "lang", F.sha2("text", 256).alias("same"), later.alias("words"), quarter_count().alias("quarters")).filter("same IS NOT NULL")
+    first = skinny.groupBy("same").agg(F.min("doc_id").alias("first"))
+    again = skinny.join(first, "same").filter("doc_id > first")
+    store.commit("3-delete", counted(again, {"words-1": F.col("words"), "quarters-1": F.col("quarters")}, -1))
+    store.commit("2-revise", revised)
+    store.compact()
+    return store.totals()
+
+
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, lang, text,
+    coalesce(len(regexp_extract_all(text, '[^ 	
+]+')), 0) AS w1,
+    coalesce(len(regexp_extract_all(text, '[^ 	
+A-Za-z]*[A-Za-z][^ 	
+]*')), 0) AS w2,
+    coalesce(CAST(ceil(length(text) / 4.0) AS BIGINT), 0) AS q
+  FROM documents
+), f AS (SELECT text, min(doc_id) AS f FROM d WHERE text IS NOT NULL GROUP BY text),
+kept AS (SELECT d.* FROM d LEFT JOIN f ON d.text = f.text WHERE f.f IS NULL OR d.doc_id IS NULL OR d.doc_id <= f.f)
+SELECT source, lang, 'words-1' AS tokenizer, count(*) AS n_docs, CAST(sum(CASE WHEN lang = 'de' THEN w2 ELSE w1 END) AS BIGINT) AS n_tokens FROM kept GROUP BY source, lang
+UNION ALL
+SELECT source, lang, 'quarters-1', count(*), CAST(sum(q) AS BIGINT) FROM kept GROUP BY source, lang
+"""
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return pii.digest(pii.find_pii(docs, pii.train(docs)))
@@ -39,6 +84,10 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_dedup(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_rans_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans.digest(_table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -48,13 +97,16 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
+    "op2_token_counts": op2_token_counts,
     "op3_pii": op3_pii,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_language_id": op6_language_id,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
+    "op8_rans_token_ids": op8_rans_token_ids,
     "op9_toxicity": op9_toxicity,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_token_counts": OP2_SQL}
