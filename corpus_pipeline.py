@@ -1,30 +1,64 @@
-"""Corpus pipeline. Each stage takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""Corpus pipeline: language ID, n-gram Jaccard join, benchmark decontamination, PII, byte-level BPE.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes what each returns to the shared folder and
+reads it again as the next one's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm import byte_bpe, langid, pii
 from lodestone.llm._spark import materialise
+from lodestone.llm.decontaminate import without_leaks
 from lodestone.llm.ngram_join import ngram_join
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents whose language is undetermined: a null text, or one without any letter. A missing lang is
+    filled with the predicted one."""
+    model = langid.train(docs.filter(langid.remainder("doc_id", 4) != 2))
+    known = langid.predict(docs.select(*COLUMNS, F.col("text").alias("read")), model, text="read", keep=COLUMNS)
+    return known.filter("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest doc_id."""
-    gone = materialise(ngram_join(docs).filter("NOT kept").select("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group stays: that with the smallest doc_id, once where rows repeat it."""
+    joined = materialise(ngram_join(docs).select("doc_id", "kept"))
+    gone = joined.filter("NOT kept").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    twice = materialise(joined.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    if twice.isEmpty():
+        return kept
+    once = kept.join(twice, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
+    return kept.join(twice, "doc_id", "left_anti").select(*COLUMNS).unionByName(once)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with words of a benchmark window go."""
+    return without_leaks(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data become marks such as [EMAIL], and n_chars follows the text."""
+    return pii.redact(docs.select(*COLUMNS), pii.train(docs)).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids, their number and digests of the ids and of the bytes that they decode to."""
+    return byte_bpe.digest(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("personal_data", personal_data), ("tokens", tokens)]
+#: No stage but the third can be put as SQL: models, MinHash, connected components and a tokenizer.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialise(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

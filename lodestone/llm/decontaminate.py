@@ -204,6 +204,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     return joined.withColumn("r", united).select("doc_id", "n_words", F.transform("r", lambda x: x["s"]).alias("starts"), F.transform("r", lambda x: x["e"]).alias("ends"), "items")
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, k: int = 5, block_words: int = 8_000_000) -> DataFrame:
+    """The rows, with all their columns, that have no word of an item's window. With several blocks of items each
+    pass takes what the one before has kept."""
+    items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).filter("text IS NOT NULL")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text).alias("text"))
+    for i, block in enumerate(_blocks(items, block_words)):
+        rows = materialise(rows) if i else rows
+        rows = _pass(rows, *block, window, k, ["row"]).filter("size(starts) = 0").select("row", F.col("row")[text].alias("text"))
+    return rows.select("row.*")
+
+
 def leak_digest(found: DataFrame) -> DataFrame:
     """The contract's columns of find_leaks()."""
     n_hit = F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("bigint"), lambda a, x: a + x)
