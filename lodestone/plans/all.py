@@ -1,6 +1,6 @@
 """All registered queries of the reference's operators."""
 
-from lodestone.plans import functions, relational  # noqa: F401
+from lodestone.plans import functions, graph, relational, search  # noqa: F401
 from lodestone.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
