@@ -21,7 +21,6 @@ order of their texts. Empty tables give no shards and an empty result; other col
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -34,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm._spark import scratch_dir
-from lodestone.llm._text import slices
+from lodestone.llm._text import mix, powers, slices, utf8
 
 SCALE_BITS = 20
 _LOW = np.uint64(1 << 31)
@@ -110,8 +109,12 @@ def _encode_blocks(sym: np.ndarray, freq: np.ndarray, lanes: int, steps: int, ch
 
 def encode_shard(doc_ids: list, counts: np.ndarray, ids: np.ndarray, lanes: int = 1024, steps: int = 256, checkpoint: int = 64) -> bytes:
     """counts: ids of each document; ids: all of them in order."""
-    symbols, sym, n = np.unique(ids, return_inverse=True, return_counts=True)
-    freq = scaled(n) if len(symbols) else np.zeros(0, np.int64)
+    n = np.bincount(ids)
+    symbols = np.flatnonzero(n)
+    freq = scaled(n[symbols]) if len(symbols) else np.zeros(0, np.int64)
+    number = np.zeros(len(n), dtype=np.int64)
+    number[symbols] = np.arange(len(symbols))
+    sym = number[ids]
     known = np.array([d is not None for d in doc_ids], dtype=np.uint8)
     index = zlib.compress(np.array([d or 0 for d in doc_ids], dtype="<i8").tobytes() + known.tobytes() + counts.astype("<i8").tobytes(), 1)
     table = zlib.compress(symbols.astype("<u4").tobytes() + freq.astype("<u4").tobytes(), 1)
@@ -201,59 +204,135 @@ class Shard:
 
 # -- tokenising -----------------------------------------------------------------------------------------------------
 
-_SPACE = re.compile("[\t\n\x0b\x0c\r \x85\xa0  -     　]+")
-_SEPARATORS = re.compile("[\x1c-\x1f]")
-_TAIL = ".,;:!?*$#%&"
+# Kinds of bytes: 0 white space, 1 ASCII letters and digits, 2 signs, 3 all others.
+_KIND = np.full(256, 3, dtype=np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = 0
+_KIND[48:58] = _KIND[65:91] = _KIND[97:123] = 1
+_KIND[[ord(c) for c in ".,;:!?*$#%&"]] = 2
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 class Words:
-    """Ids of words. White space always parts the tokenizer's words, and so do a letter or digit and signs after it,
-    so that each distinct word goes through the library once; up to `cache` words are kept."""
+    """Ids of words, each distinct word by the library once.
 
-    def __init__(self, path: str, cache: int = 600_000):
+    White space always parts what the tokenizer sees as words, and so does the step from an ASCII letter or digit to
+    one of some signs, or back. So texts are cut there, as arrays of bytes, and words are told apart by 96-bit hashes;
+    ASCII is lower-cased first, as the tokenizer does, but for words with "<", which may name special tokens. Known
+    words are kept as sorted hashes, offsets and ids, up to `cache` of them, some 30 bytes each."""
+
+    def __init__(self, path: str, cache: int = 3_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
+        vocab = self.library.get_vocab()
+        self.kind = np.dtype("<u2" if max(vocab.values()) < 1 << 16 else "<u4")
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.cache = cache
-
-    def _learn(self, fresh: list[str]) -> None:
-        parts, wanted = [], {}
-        for w in fresh:
-            head = w.rstrip(_TAIL)
-            if not head or not head[-1].isalnum():
-                head = w
-            tail = w[len(head) :]
-            if head.isascii() and "<" not in head:
-                head = head.lower()
-            parts.append((head, tail))
-            wanted[head] = wanted[tail] = None
-        wanted.pop("", None)
-        heads = self.heads
-        heads[""] = b""
-        new = [k for k in wanted if k not in heads]
-        for k, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            heads[k] = np.array(e.ids, dtype=self.kind).tobytes()
-        for w, (head, tail) in zip(fresh, parts):
-            self.known[w] = heads[head] + heads[tail]
-
-    def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """The number of ids of each text, with the end id, and all ids."""
-        if len(self.known) > self.cache:
-            self.known.clear()
-            self.heads.clear()
-        split = [t.split() if not _SEPARATORS.search(t) else [w for w in _SPACE.split(t) if w] for t in texts]
-        fresh = list(set().union(*split) - self.known.keys()) if split else []
-        if fresh:
-            self._learn(fresh)
-        last = np.array([end], dtype=self.kind).tobytes()
-        get, out = self.known.__getitem__, []
-        for ws in split:
-            out.append(b"".join(map(get, ws)) + last)
-        return np.array([len(b) // self.kind.itemsize for b in out], dtype=np.int64), np.frombuffer(b"".join(out), dtype=self.kind)
+        self._clear()
+
+    def _clear(self) -> None:
+        none = lambda kind: np.zeros(0, kind)
+        self.tiers = [(none(np.uint64), none(np.uint32), none(np.int64), none(np.int32)) for _ in range(2)]
+        self.flat, self.used = np.zeros(1 << 16, self.kind), 0
+
+    def _library_ids(self, words: list[str]) -> list[np.ndarray]:
+        """Words of letters only have one word end, and go through the library as lines of many."""
+        out: list[np.ndarray | None] = [None] * len(words)
+        plain = [i for i, w in enumerate(words) if w.isascii() and w.isalpha()]
+        for a in range(0, len(plain), 256):
+            own = plain[a : a + 256]
+            ids = np.array(self.library.encode(" ".join([words[i] for i in own]), add_special_tokens=False).ids, dtype=self.kind)
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            if len(stop) == len(own):
+                for i, x in zip(own, np.split(ids, stop[:-1])):
+                    out[i] = x
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(rest, self.library.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)):
+            out[i] = np.array(e.ids, dtype=self.kind)
+        return out
+
+    def _learn(self, h: np.ndarray, check: np.ndarray, words: list[str]) -> None:
+        """h is sorted; joins the small tier, which joins the large one when it has grown."""
+        ids = self._library_ids(words)
+        n = np.array([len(x) for x in ids], dtype=np.int32)
+        total = int(n.sum())
+        if self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(total, self.used), self.kind)])
+        self.flat[self.used : self.used + total] = np.concatenate(ids)
+        at = self.used + np.cumsum(n, dtype=np.int64) - n
+        self.used += total
+        self.tiers[1] = _merged(self.tiers[1], (h, check, at, n))
+        if len(self.tiers[1][0]) > 200_000:
+            self.tiers[0] = _merged(self.tiers[0], self.tiers[1])
+            self.tiers[1] = tuple(x[:0] for x in self.tiers[1])
+
+    def _find(self, h: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each word is known, where its ids are, and how many."""
+        known, at, n = np.zeros(len(h), bool), np.zeros(len(h), np.int64), np.zeros(len(h), np.int32)
+        for th, tc, ta, tn in self.tiers:
+            if len(th):
+                i = np.minimum(np.searchsorted(th, h), len(th) - 1)
+                hit = (th[i] == h) & (tc[i] == check)
+                known |= hit
+                at[hit], n[hit] = ta[i[hit]], tn[i[hit]]
+        return known, at, n
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """data, offsets: UTF-8 of texts. The number of ids of each text, with the end id, and all ids."""
+        docs = len(offsets) - 1
+        kind = _KIND[data]
+        first = kind > 0
+        first[1:] &= (kind[:-1] == 0) | ((kind[1:] == 1) & (kind[:-1] == 2)) | ((kind[1:] == 2) & (kind[:-1] == 1))
+        begin = offsets[:-1][offsets[:-1] < len(data)]
+        first[begin] = kind[begin] > 0
+        starts = np.flatnonzero(first)
+        if not len(starts):
+            return np.ones(docs, np.int64), np.full(docs, end, self.kind)
+        inside = kind > 0
+        kept = np.flatnonzero(inside)
+        low = _LOWER[data]
+        angle = np.flatnonzero(data == 60)
+        if len(angle):  # words with "<" stay as they are
+            for w in np.unique(np.searchsorted(starts, angle, side="right") - 1).tolist():
+                a, b = starts[w], starts[w + 1] if w + 1 < len(starts) else len(data)
+                low[a:b] = data[a:b]
+        body = low[kept]
+        cut = np.searchsorted(kept, starts)
+        length = np.diff(np.append(cut, len(kept)))
+        at = np.arange(len(kept), dtype=np.int32) - np.repeat(cut.astype(np.int32), length)
+        longest = int(length.max())
+        value = body.astype(np.uint64) + np.uint64(1)
+        h = mix(np.add.reduceat(value * powers(longest)[at], cut) + length.astype(np.uint64))
+        check = np.add.reduceat(body.astype(np.uint32) * (powers(longest, 0xC2B2AE3D27D4EB4F) >> np.uint64(32)).astype(np.uint32)[at], cut)
+        distinct, where, back = np.unique(h, return_index=True, return_inverse=True)
+        same = check[where]
+        if (same[back] != check).any():  # two words of a slice with one 64-bit hash: tell them apart by both
+            h = mix(h ^ check.astype(np.uint64))
+            distinct, where, back = np.unique(h, return_index=True, return_inverse=True)
+            same = check[where]
+        if len(self.tiers[0][0]) + len(self.tiers[1][0]) > self.cache:
+            self._clear()
+        known, place, n = self._find(distinct, same)
+        if not known.all():
+            fresh = np.flatnonzero(~known)
+            raw = body.tobytes()
+            a = cut[where[fresh]]
+            b = a + length[where[fresh]]
+            self._learn(distinct[fresh], same[fresh], [raw[x:y].decode() for x, y in zip(a.tolist(), b.tolist())])
+            known, place, n = self._find(distinct, same)
+        size = n[back].astype(np.int64)
+        stop = np.cumsum(size)
+        ids = self.flat[np.repeat(place[back] - (stop - size), size) + np.arange(stop[-1])]
+        of = np.append(0, stop)[np.searchsorted(starts, offsets)]
+        return np.diff(of) + 1, np.insert(ids, of[1:], self.kind.type(end))
+
+
+def _merged(a: tuple, b: tuple) -> tuple:
+    order = np.argsort(h := np.concatenate([a[0], b[0]]), kind="stable")
+    return (h[order], *(np.concatenate([x, y])[order] for x, y in zip(a[1:], b[1:])))
 
 
 _WORDS: dict[str, Words] = {}
@@ -282,7 +361,7 @@ def write_shards(docs: DataFrame, out: str, doc_id: str = "doc_id", text: str =
 
         for batch in batches:
             for piece in slices(batch, "text", 4 << 20):
-                n, x = own.encode([t or "" for t in piece.column(1).to_pylist()], end)
+                n, x = own.encode(*utf8(piece.column(1)), end)
                 docs_ += piece.column(0).to_pylist()
                 counts.append(n)
                 ids.append(x)
