@@ -1,11 +1,12 @@
 """Byte-level BPE by corpus-level merge replay, and decoding.
 
-A corpus, here a chunk of about `chunk_chars` characters of whole texts in one task, is reduced to its distinct
-words (the matches of the pattern). Their bytes lie in one array of tokens with links to the next and previous one.
+A corpus, here a chunk of about `chunk_bytes` bytes of whole texts in one task, is cut at white space in a way that the
+pattern cannot see, and reduced to its distinct pieces by hashes of their bytes, and those to their distinct words (the
+matches of the pattern). Their bytes lie in one array of tokens with links to the next and previous one.
 An inverted index maps each pair's rank to the positions at which the pair stands. Ranks are taken in order; a rank's
 merges are applied to all its positions at once, and only the pairs with the touched neighbours are entered anew, as
-lists under their own ranks. Texts are then encoded by looking words up. Words seen before in the same Python worker
-are kept, up to `cache_words` of them, so later chunks replay only what is new.
+lists under their own ranks. Texts are then encoded by looking pieces up, all at once. Pieces seen before in the same
+Python worker are kept, up to `cache` of them, so later chunks replay only what is new.
 
 Merging all positions of a rank at once equals merging the lowest-ranked, leftmost pair of a word again and again
 unless a merge makes a pair of a lower or equal rank. Words in which that happens are encoded one by one in the plain
@@ -29,7 +30,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._text import slices
+from lodestone.llm._text import slices, utf8
+from lodestone.llm._words import WordTable, expand
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -153,36 +155,100 @@ class MergeReplay:
         return out
 
 
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
+def segments(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where texts may be cut so that the pattern matches the pieces as it matches the texts: a word has the one blank
+    before it; other white space before a word is matched as all but its last character and that; white space at the
+    end is one match. Texts with other white space than ASCII, and control characters that some call so, are only cut
+    at single blanks between ASCII characters."""
+    blank = _BLANK[data]
+    start = np.zeros(len(data), dtype=bool)
+    head = np.zeros(len(data), dtype=bool)
+    head[offsets[:-1][offsets[:-1] < len(data)]] = True
+    before = np.append(True, blank[:-1]) | head  # before the character is white space, or nothing
+    word = ~blank & before
+    at = np.flatnonzero(word & ~head)
+    tied = data[at - 1] == 32
+    start[at[tied] - 1] = True
+    start[at[~tied]] = True
+    start[at[~tied] - 1] = True  # the last of other white space
+    start |= head
+    run = blank & ~np.append(False, blank[:-1])
+    start |= run
+    wide = _wide_blanks(data)
+    if len(wide):
+        plain = (data > 0x20) & (data < 0x7F)
+        safe = head.copy()
+        safe[1:-1] |= (data[1:-1] == 32) & plain[:-2] & plain[2:] & ~head[2:]
+        rows = np.unique(np.searchsorted(offsets, wide, side="right") - 1)
+        for a, b in zip(offsets[rows].tolist(), offsets[rows + 1].tolist()):
+            start[a:b] = safe[a:b]
+    return np.flatnonzero(start)
+
+
+def _wide_blanks(data: np.ndarray) -> np.ndarray:
+    """The places of the first bytes of white space that is not ASCII, and of the separators 0x1C to 0x1F."""
+    lead = np.flatnonzero((data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3)) | (data >= 0x1C) & (data <= 0x1F))
+    if not len(lead):
+        return lead
+    follow = np.append(data, np.zeros(2, np.uint8))
+    a, b, c = follow[lead], follow[lead + 1], follow[lead + 2]
+    wide = (a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE2) & (b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (a == 0xE2) & (b == 0x81) & (c == 0x9F) | (a == 0xE3) & (b == 0x80) & (c == 0x80) | (a < 0x20)
+    return lead[wide]
+
+
 class Codec:
-    """Texts to ids and back, with a table of the words met so far."""
+    """Texts to ids and back. What is kept between texts is the table of pieces, and small tables of all tokens."""
 
-    def __init__(self, path: str, pattern: str, cache_words: int = 300_000):
+    def __init__(self, path: str, pattern: str, cache: int = 2_000_000):
         self.replay, self.split = MergeReplay(load_ranks(path)), regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.cache_words = cache_words
+        self.standard = pattern == public_tokenizers.PATTERN
+        self.table = WordTable(self._learn, np.dtype("<i4"), cache)
+        top = self.replay.top
+        raw = [self.replay.bytes_of.get(i, b"") for i in range(top)]
+        self.raw_size = np.array([len(b) for b in raw], dtype=np.int64)
+        self.raw_at = np.cumsum(self.raw_size) - self.raw_size
+        self.raw = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        text = [b"%d " % i for i in range(top)]
+        self.text_size = np.array([len(b) for b in text], dtype=np.int64)
+        self.text_at = np.cumsum(self.text_size) - self.text_size
+        self.text = np.frombuffer(b"".join(text), dtype=np.uint8)
+
+    def _learn(self, segments_: list[bytes]) -> list[np.ndarray]:
+        """All words of the new segments go through one merge replay."""
+        split = [[w.encode() for w in self.split(s.decode())] for s in segments_]
+        words = list(dict.fromkeys(w for ws in split for w in ws))
+        ranks = self.replay.ranks
+        todo = [w for w in words if w not in ranks]
+        ids: dict[bytes, tuple[int, ...]] = {w: (ranks[w],) for w in words if w in ranks}
+        ids.update(zip(todo, self.replay.encode(todo)))
+        return [np.array([i for w in ws for i in ids[w]], dtype=np.int32) for ws in split]
+
+    def encode_batch(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """data, offsets: UTF-8 of texts. The number of ids of each text, and all ids."""
+        docs = len(offsets) - 1
+        if not len(data):
+            return np.zeros(docs, np.int64), np.zeros(0, np.int32)
+        cut = segments(data, offsets) if self.standard else np.unique(offsets[:-1][np.diff(offsets) > 0])
+        size, ids = self.table.ids(data, cut)
+        of = np.append(0, np.cumsum(size))[np.searchsorted(cut, offsets)]
+        return np.diff(of), ids
 
     def encode(self, texts: Iterable[str]) -> Iterator[list[int]]:
-        split = [self.split(t) for t in texts]
-        if len(self.known) > self.cache_words:
-            self.known.clear()
-        known, ranks = self.known, self.replay.ranks
-        fresh = list(set().union(*split) - known.keys()) if split else []
-        raw = [w.encode() for w in fresh]
-        whole = [ranks.get(b) for b in raw]
-        todo = [i for i, w in enumerate(whole) if w is None]
-        for w, i in zip(fresh, whole):
-            if i is not None:
-                known[w] = (i,)
-        for i, ids in zip(todo, self.replay.encode([raw[i] for i in todo])):
-            known[fresh[i]] = ids
-        for ws in split:
-            out: list[int] = []
-            for ids in map(known.__getitem__, ws):
-                out += ids
-            yield out
+        n, ids = self.encode_batch(*utf8(pa.array(list(texts), pa.string())))
+        stop = np.cumsum(n).tolist()
+        return (ids[a:b].tolist() for a, b in zip([0, *stop[:-1]], stop))
 
     def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.replay.bytes_of.__getitem__, ids))
+        x = np.asarray(ids if isinstance(ids, np.ndarray) else list(ids), dtype=np.int64)
+        return self.raw[expand(self.raw_at[x], self.raw_size[x])].tobytes()
+
+    def decimal(self, ids: np.ndarray) -> bytes:
+        """The ids as decimals joined by one blank."""
+        return self.text[expand(self.text_at[ids], self.text_size[ids])][:-1].tobytes()
 
 
 #: One codec for each worker process and file.
@@ -202,13 +268,15 @@ def _mapped(docs: DataFrame, doc_id: str, text: str, path: str, pattern: str, ch
         own = codec(path, pattern)
         for batch in batches:
             for part in slices(batch, "text", chunk_bytes):
-                cols = list(zip(*(row(own, ids) for ids in own.encode(part.column(1).fill_null("").to_pylist()))))
+                n, ids = own.encode_batch(*utf8(part.column(1)))
+                stop = np.cumsum(n).tolist()
+                cols = list(zip(*(row(own, ids[a:b]) for a, b in zip([0, *stop[:-1]], stop))))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, (_, _, t) in zip(cols, fields))], names=["doc_id", *(n for n, _, _ in fields)])
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} {s}" for n, s, _ in fields))
 
 
-def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, chunk_bytes: int = 4 << 20) -> DataFrame:
+def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, chunk_bytes: int = 2 << 20) -> DataFrame:
     """doc_id, ids (array<int>)."""
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     return _mapped(docs, doc_id, text, path, pattern, chunk_bytes, [("ids", "array<int>", pa.list_(pa.int32()))], lambda own, ids: (ids,))
@@ -228,11 +296,11 @@ def decode(encoded: DataFrame, doc_id: str = "doc_id", ids: str = "ids", path: s
     return encoded.select(F.col(doc_id).alias("doc_id"), F.col(ids).alias("ids")).mapInArrow(run, f"doc_id {kind}, data binary")
 
 
-def _digest_row(own: Codec, ids: list[int]) -> tuple[int, str, str]:
-    return len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()
+def _digest_row(own: Codec, ids: np.ndarray) -> tuple[int, str, str]:
+    return len(ids), hashlib.sha256(own.decimal(ids)).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()
 
 
-def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, chunk_bytes: int = 4 << 20) -> DataFrame:
+def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, chunk_bytes: int = 2 << 20) -> DataFrame:
     """Encodes, decodes, and returns doc_id, n_tokens, ids_sha256 and decoded_sha256 from the same ids."""
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     return _mapped(docs, doc_id, text, path, pattern, chunk_bytes, [("n_tokens", "bigint", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())], _digest_row)

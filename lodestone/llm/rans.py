@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm._spark import scratch_dir
-from lodestone.llm._text import mix, powers, slices, utf8
+from lodestone.llm._text import slices, utf8
+from lodestone.llm._words import WordTable
 
 SCALE_BITS = 20
 _LOW = np.uint64(1 << 31)
@@ -217,11 +218,10 @@ class Words:
     """Ids of words, each distinct word by the library once.
 
     White space always parts what the tokenizer sees as words, and so does the step from an ASCII letter or digit to
-    one of some signs, or back. So texts are cut there, as arrays of bytes, and words are told apart by 96-bit hashes;
-    ASCII is lower-cased first, as the tokenizer does, but for words with "<", which may name special tokens. Known
-    words are kept as sorted hashes, offsets and ids, up to `cache` of them, some 30 bytes each."""
+    one of some signs, or back. So texts are cut there, as arrays of bytes, and looked up in a WordTable; ASCII is
+    lower-cased first, as the tokenizer does, but for words with "<", which may name special tokens."""
 
-    def __init__(self, path: str, cache: int = 3_000_000):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -230,16 +230,11 @@ class Words:
         self.kind = np.dtype("<u2" if max(vocab.values()) < 1 << 16 else "<u4")
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.cache = cache
-        self._clear()
+        self.table = WordTable(self._learn, self.kind)
 
-    def _clear(self) -> None:
-        none = lambda kind: np.zeros(0, kind)
-        self.tiers = [(none(np.uint64), none(np.uint32), none(np.int64), none(np.int32)) for _ in range(2)]
-        self.flat, self.used = np.zeros(1 << 16, self.kind), 0
-
-    def _library_ids(self, words: list[str]) -> list[np.ndarray]:
+    def _learn(self, raw: list[bytes]) -> list[np.ndarray]:
         """Words of letters only have one word end, and go through the library as lines of many."""
+        words = [w.decode() for w in raw]
         out: list[np.ndarray | None] = [None] * len(words)
         plain = [i for i, w in enumerate(words) if w.isascii() and w.isalpha()]
         for a in range(0, len(plain), 256):
@@ -254,32 +249,6 @@ class Words:
             out[i] = np.array(e.ids, dtype=self.kind)
         return out
 
-    def _learn(self, h: np.ndarray, check: np.ndarray, words: list[str]) -> None:
-        """h is sorted; joins the small tier, which joins the large one when it has grown."""
-        ids = self._library_ids(words)
-        n = np.array([len(x) for x in ids], dtype=np.int32)
-        total = int(n.sum())
-        if self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(total, self.used), self.kind)])
-        self.flat[self.used : self.used + total] = np.concatenate(ids)
-        at = self.used + np.cumsum(n, dtype=np.int64) - n
-        self.used += total
-        self.tiers[1] = _merged(self.tiers[1], (h, check, at, n))
-        if len(self.tiers[1][0]) > 200_000:
-            self.tiers[0] = _merged(self.tiers[0], self.tiers[1])
-            self.tiers[1] = tuple(x[:0] for x in self.tiers[1])
-
-    def _find(self, h: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Whether each word is known, where its ids are, and how many."""
-        known, at, n = np.zeros(len(h), bool), np.zeros(len(h), np.int64), np.zeros(len(h), np.int32)
-        for th, tc, ta, tn in self.tiers:
-            if len(th):
-                i = np.minimum(np.searchsorted(th, h), len(th) - 1)
-                hit = (th[i] == h) & (tc[i] == check)
-                known |= hit
-                at[hit], n[hit] = ta[i[hit]], tn[i[hit]]
-        return known, at, n
-
     def encode(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """data, offsets: UTF-8 of texts. The number of ids of each text, with the end id, and all ids."""
         docs = len(offsets) - 1
@@ -291,50 +260,18 @@ class Words:
         starts = np.flatnonzero(first)
         if not len(starts):
             return np.ones(docs, np.int64), np.full(docs, end, self.kind)
-        inside = kind > 0
-        kept = np.flatnonzero(inside)
         low = _LOWER[data]
         angle = np.flatnonzero(data == 60)
         if len(angle):  # words with "<" stay as they are
             for w in np.unique(np.searchsorted(starts, angle, side="right") - 1).tolist():
                 a, b = starts[w], starts[w + 1] if w + 1 < len(starts) else len(data)
                 low[a:b] = data[a:b]
-        body = low[kept]
-        cut = np.searchsorted(kept, starts)
-        length = np.diff(np.append(cut, len(kept)))
-        at = np.arange(len(kept), dtype=np.int32) - np.repeat(cut.astype(np.int32), length)
-        longest = int(length.max())
-        value = body.astype(np.uint64) + np.uint64(1)
-        h = mix(np.add.reduceat(value * powers(longest)[at], cut) + length.astype(np.uint64))
-        check = np.add.reduceat(body.astype(np.uint32) * (powers(longest, 0xC2B2AE3D27D4EB4F) >> np.uint64(32)).astype(np.uint32)[at], cut)
-        distinct, where, back = np.unique(h, return_index=True, return_inverse=True)
-        same = check[where]
-        if (same[back] != check).any():  # two words of a slice with one 64-bit hash: tell them apart by both
-            h = mix(h ^ check.astype(np.uint64))
-            distinct, where, back = np.unique(h, return_index=True, return_inverse=True)
-            same = check[where]
-        if len(self.tiers[0][0]) + len(self.tiers[1][0]) > self.cache:
-            self._clear()
-        known, place, n = self._find(distinct, same)
-        if not known.all():
-            fresh = np.flatnonzero(~known)
-            raw = body.tobytes()
-            a = cut[where[fresh]]
-            b = a + length[where[fresh]]
-            self._learn(distinct[fresh], same[fresh], [raw[x:y].decode() for x, y in zip(a.tolist(), b.tolist())])
-            known, place, n = self._find(distinct, same)
-        size = n[back].astype(np.int64)
-        stop = np.cumsum(size)
-        ids = self.flat[np.repeat(place[back] - (stop - size), size) + np.arange(stop[-1])]
-        of = np.append(0, stop)[np.searchsorted(starts, offsets)]
+        inside = kind > 0
+        size, ids = self.table.ids(low[inside], np.flatnonzero(first[inside]))
+        of = np.append(0, np.cumsum(size))[np.searchsorted(starts, offsets)]
         return np.diff(of) + 1, np.insert(ids, of[1:], self.kind.type(end))
 
 
-def _merged(a: tuple, b: tuple) -> tuple:
-    order = np.argsort(h := np.concatenate([a[0], b[0]]), kind="stable")
-    return (h[order], *(np.concatenate([x, y])[order] for x, y in zip(a[1:], b[1:])))
-
-
 _WORDS: dict[str, Words] = {}
 
 

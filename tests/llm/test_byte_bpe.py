@@ -18,8 +18,8 @@ def test_against_library():
     assert list(OWN.encode(TEXTS)) == [LIB.encode_ordinary(t) for t in TEXTS]
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(alphabet=st.characters(exclude_categories=["Cs"]), max_size=60), max_size=5))
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("ab c  \n\n\t.'s1\u00a0\u3000\u2028\x1c\x0b"), st.characters(exclude_categories=["Cs"])), max_size=60), max_size=5))
 def test_any_text(texts):
     got = list(OWN.encode(texts))
     assert got == [LIB.encode_ordinary(t) for t in texts]
