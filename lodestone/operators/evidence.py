@@ -5,11 +5,11 @@ from __future__ import annotations
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.chunking import sentences
-from lodestone.operators.relational import distinct_on
+from lodestone.operators.relational import distinct_on, ranked
 
 
 class NliScorer(Protocol):
@@ -69,8 +69,7 @@ def new_spans(stored: DataFrame, found: DataFrame, keys: list[str], number: str)
     """Spans that are not stored yet, numbered after the largest stored number, in the order of their keys."""
     fresh = found.join(stored.select(*keys), keys, "left_anti")
     last = stored.agg(F.coalesce(F.max(number), F.lit(0)).alias("__last"))
-    w = Window.orderBy(*keys)
-    return fresh.join(F.broadcast(last)).withColumn(number, F.col("__last") + F.row_number().over(w)).drop("__last")
+    return ranked(fresh, [F.asc(k) for k in keys], "__r").join(F.broadcast(last)).withColumn(number, F.col("__last") + F.col("__r")).drop("__last", "__r")
 
 
 def answer_status(claims: DataFrame, links: DataFrame, key: str = "claim_id") -> DataFrame:

@@ -159,9 +159,9 @@ def _(t: Tables):
     return S.volume_velocity(d, "source", "day").select("source", "total", "last3", F.round("ratio", 6).alias("ratio"))
 
 
-@query("mkt_04_compare_entities", ", g AS (SELECT user_id, count(*) AS n, round(avg(value), 4) AS tone FROM feed WHERE user_id < 20 GROUP BY user_id) SELECT user_id, n, row_number() OVER (ORDER BY n DESC, user_id) AS rank FROM g")
+@query("mkt_04_compare_entities", ", g AS (SELECT user_id, count(*) AS n FROM feed GROUP BY user_id) SELECT user_id, n, row_number() OVER (ORDER BY n DESC, user_id) AS rank FROM g")
 def _(t: Tables):
-    g = t.feed.filter("user_id < 20").groupBy("user_id").agg(F.count("*").alias("n"))
+    g = t.feed.groupBy("user_id").agg(F.count("*").alias("n"))
     return R.ranked(g, [F.desc("n"), F.asc("user_id")]).select("user_id", "n", "rank")
 
 
@@ -246,12 +246,11 @@ def _(t: Tables):
     return E.gated(j).select("passage_id", "seq", "part_id")
 
 
-@query("evd_05_new_spans", """, k AS (SELECT DISTINCT passage_id, seq FROM passage_concepts), n AS (SELECT passage_id, seq FROM k WHERE passage_id % 4 = 0), m AS (SELECT count(*) AS m FROM k WHERE passage_id % 4 <> 0) SELECT passage_id, seq, m + row_number() OVER (ORDER BY passage_id, seq) AS span_id FROM n, m WHERE passage_id < 200""")
+@query("evd_05_new_spans", """, k AS (SELECT passage_id, seq, max(confidence) AS c FROM passage_concepts GROUP BY 1, 2), m AS (SELECT count(*) AS m FROM k WHERE c >= 0.7) SELECT passage_id, seq, m + row_number() OVER (ORDER BY passage_id, seq) AS span_id FROM k, m WHERE c < 0.7""")
 def _(t: Tables):
-    k = t.passage_concepts.select("passage_id", "seq").distinct()
-    stored = R.ranked(k.filter("passage_id % 4 <> 0"), [F.asc("passage_id"), F.asc("seq")], "span_id")
-    found = k.filter("passage_id < 200 OR passage_id % 4 <> 0")
-    return E.new_spans(stored, found, ["passage_id", "seq"], "span_id").select("passage_id", "seq", F.col("span_id").cast("bigint").alias("span_id"))
+    k = t.passage_concepts.groupBy("passage_id", "seq").agg(F.max("confidence").alias("c"))
+    stored = R.ranked(k.filter("c >= 0.7").drop("c"), [F.asc("passage_id"), F.asc("seq")], "span_id")
+    return E.new_spans(stored, k.drop("c"), ["passage_id", "seq"], "span_id").select("passage_id", "seq", "span_id")
 
 
 @query("evd_06_citations_of_claims", "SELECT concept AS claim, count(DISTINCT doc_id) AS documents, string_agg(DISTINCT title, '; ' ORDER BY title) AS titles FROM passage_concepts JOIN passages USING (passage_id) JOIN documents_kb USING (doc_id) WHERE confidence = 1.0 AND field = 'Brand#1' GROUP BY concept")

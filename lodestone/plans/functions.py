@@ -53,7 +53,7 @@ def _(t: Tables):
     return p.select("page_id", identity.year_in(seen).alias("year"), identity.doi_in(F.concat(F.lit("doi 10.1234/ab"), n, F.lit(")."))).alias("doi"), identity.pmid_in(F.concat(F.lit("PMID: "), (1000 + F.col("page_id")).cast("string"))).alias("pmid"))
 
 
-@query("id_08_repositories_in_text", "SELECT file_id, 'own' || file_id || '/lib,other/x', 2 FROM code_files")
+@query("id_08_repositories_in_text", "SELECT file_id, 'own' || file_id || '/lib,other/x' AS repos, CAST(2 AS INTEGER) AS n FROM code_files")
 def _(t: Tables):
     note = F.concat(F.lit("see https://github.com/own"), F.col("file_id").cast("string"), F.lit("/lib.git, github.com/other/x. And github.com/other/x"))
     repos = identity.repos_in(note)

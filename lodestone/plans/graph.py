@@ -12,6 +12,16 @@ from lodestone.plans.registry import Tables, query
 _REL = ", uses AS (SELECT DISTINCT passage_id AS paper, field AS method FROM passage_concepts), mentions AS (SELECT DISTINCT passage_id AS paper, concept FROM passage_concepts)"
 
 
+#: The same with concepts told apart by the size of the part, of which many pairs never meet.
+_FINE = ", uses AS (SELECT DISTINCT l_orderkey AS paper, p_brand AS method FROM lineitem JOIN part ON l_partkey = p_partkey), mentions AS (SELECT DISTINCT l_orderkey AS paper, p_name || ' ' || p_size AS concept FROM lineitem JOIN part ON l_partkey = p_partkey)"
+
+
+def fine(t: Tables):
+    part = t("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("method"), F.concat_ws(" ", "p_name", F.col("p_size").cast("string")).alias("concept"))
+    rows = t("lineitem").select(F.col("l_orderkey").alias("paper"), "l_partkey").join(part, "l_partkey")
+    return rows.select("paper", "method").distinct(), rows.select("paper", "concept").distinct()
+
+
 def uses(t: Tables):
     return t.passage_concepts.select(F.col("passage_id").alias("paper"), F.col("field").alias("method")).distinct()
 
@@ -36,25 +46,25 @@ def _(t: Tables):
     return uses(t).groupBy("method").agg(F.count("*").alias("papers")).orderBy(F.desc("papers"), "method").limit(10)
 
 
-@query("gr_04_combined_once", _REL + " SELECT method, concept FROM uses JOIN mentions USING (paper) GROUP BY 1, 2 HAVING count(*) = 1")
+@query("gr_04_combined_once", _FINE + " SELECT method, concept FROM uses JOIN mentions USING (paper) GROUP BY 1, 2 HAVING count(*) = 1")
 def _(t: Tables):
-    return G.combinations(uses(t), mentions(t), "paper", "method", "concept").filter("n = 1").select("method", "concept")
+    u, m = fine(t)
+    return G.combinations(u, m, "paper", "method", "concept").filter("n = 1").select("method", "concept")
 
 
-@query("gr_05_never_combined", _REL + " SELECT m.method, c.concept FROM (SELECT DISTINCT method FROM uses) m, (SELECT DISTINCT concept FROM mentions) c EXCEPT SELECT method, concept FROM uses JOIN mentions USING (paper) WHERE paper % 11 <> 0")
+@query("gr_05_never_combined", _FINE + " SELECT m.method, c.concept FROM (SELECT DISTINCT method FROM uses) m, (SELECT DISTINCT concept FROM mentions) c EXCEPT SELECT method, concept FROM uses JOIN mentions USING (paper)")
 def _(t: Tables):
-    left, right = uses(t), mentions(t)
-    seen = left.filter("paper % 11 <> 0").join(right, "paper").select("method", "concept").distinct()
-    return left.select("method").distinct().crossJoin(F.broadcast(right.select("concept").distinct())).join(seen, ["method", "concept"], "left_anti")
+    u, m = fine(t)
+    return G.never_combined(u, m, "paper", "method", "concept")
 
 
-@query("gr_06_analogies", _REL + """, mc AS (SELECT method, concept, count(*) AS n FROM uses JOIN mentions USING (paper) WHERE paper % 7 = 0 GROUP BY 1, 2), r AS (SELECT a.concept AS c1, b.concept AS c2 FROM mentions a JOIN mentions b ON a.paper = b.paper AND a.concept <> b.concept WHERE a.paper % 7 = 0 GROUP BY 1, 2 HAVING count(*) >= 3)
-SELECT x.method, c1, c2 FROM mc x JOIN r ON x.concept = c1 WHERE x.n >= 3 AND NOT EXISTS (SELECT 1 FROM mc y WHERE y.method = x.method AND y.concept = c2)""")
+@query("gr_06_analogies", _FINE + """, mc AS (SELECT method, concept, count(*) AS n FROM uses JOIN mentions USING (paper) GROUP BY 1, 2), r AS (SELECT a.concept AS c1, b.concept AS c2 FROM mentions a JOIN mentions b ON a.paper = b.paper AND a.concept <> b.concept GROUP BY 1, 2 HAVING count(*) >= 2)
+SELECT x.method, c1, c2 FROM mc x JOIN r ON x.concept = c1 WHERE x.n >= 2 AND NOT EXISTS (SELECT 1 FROM mc y WHERE y.method = x.method AND y.concept = c2)""")
 def _(t: Tables):
-    u, m = uses(t).filter("paper % 7 = 0"), mentions(t).filter("paper % 7 = 0")
+    u, m = fine(t)
     mc = G.combinations(u, m, "paper", "method", "concept")
-    r = G.both_ways(G.co_occurrence(m, "paper", "concept", 3)).select(F.col("src").alias("concept"), F.col("dst").alias("c2"))
-    j = mc.filter("n >= 3").join(r, "concept").select("method", F.col("concept").alias("c1"), "c2")
+    r = G.both_ways(G.co_occurrence(m, "paper", "concept", 2)).select(F.col("src").alias("concept"), F.col("dst").alias("c2"))
+    j = mc.filter("n >= 2").join(r, "concept").select("method", F.col("concept").alias("c1"), "c2")
     return j.join(mc.select("method", F.col("concept").alias("c2")), ["method", "c2"], "left_anti").select("method", "c1", "c2")
 
 
@@ -64,12 +74,11 @@ def _(t: Tables):
     return u.join(m, "paper").filter("methods >= 3 AND concepts >= 3")
 
 
-@query("gr_08_hub_gaps", _REL + """, h AS (SELECT method FROM uses GROUP BY method HAVING count(*) >= 5), s AS (SELECT DISTINCT method, concept FROM uses JOIN mentions USING (paper) WHERE paper % 5 = 0) SELECT h.method, c.concept FROM h, (SELECT DISTINCT concept FROM mentions) c WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.method = h.method AND s.concept = c.concept)""")
+@query("gr_08_hub_gaps", _FINE + """, h AS (SELECT method FROM uses GROUP BY method HAVING count(*) >= 5), s AS (SELECT DISTINCT method, concept FROM uses JOIN mentions USING (paper)) SELECT h.method, c.concept FROM h, (SELECT DISTINCT concept FROM mentions) c WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.method = h.method AND s.concept = c.concept)""")
 def _(t: Tables):
-    u, m = uses(t), mentions(t)
+    u, m = fine(t)
     hubs = u.groupBy("method").agg(F.count("*").alias("n")).filter("n >= 5").select("method")
-    seen = u.filter("paper % 5 = 0").join(m, "paper").select("method", "concept").distinct()
-    return hubs.crossJoin(F.broadcast(m.select("concept").distinct())).join(seen, ["method", "concept"], "left_anti")
+    return G.never_combined(u.join(F.broadcast(hubs), "method", "left_semi"), m, "paper", "method", "concept")
 
 
 @query("gr_09_top_trajectories", _REL + " SELECT a.concept AS a, b.concept AS b, count(*) AS weight FROM mentions a JOIN mentions b ON a.paper = b.paper AND a.concept < b.concept GROUP BY 1, 2 ORDER BY weight DESC, a, b LIMIT 10")
@@ -119,10 +128,10 @@ def _(t: Tables):
     return e.filter(F.col("src").startswith("red_") & F.col("dst").startswith("blue_")).select("src", "dst").orderBy("src", "dst").limit(5)
 
 
-@query("gr_15_random_gaps", _REL + """, s AS (SELECT DISTINCT method, concept FROM uses JOIN mentions USING (paper) WHERE paper % 5 = 0) SELECT m.method, c.concept FROM (SELECT DISTINCT method FROM uses) m, (SELECT DISTINCT concept FROM mentions) c WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.method = m.method AND s.concept = c.concept) ORDER BY md5(m.method || c.concept) LIMIT 5""")
+@query("gr_15_random_gaps", _FINE + """, s AS (SELECT DISTINCT method, concept FROM uses JOIN mentions USING (paper)) SELECT m.method, c.concept FROM (SELECT DISTINCT method FROM uses) m, (SELECT DISTINCT concept FROM mentions) c WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.method = m.method AND s.concept = c.concept) ORDER BY md5(m.method || c.concept) LIMIT 5""")
 def _(t: Tables):
-    u, m = uses(t), mentions(t)
-    return G.never_combined(u, m.filter("paper % 5 = 0"), "paper", "method", "concept").join(m.select("concept").distinct(), "concept", "left_semi").orderBy(F.md5(F.concat("method", "concept"))).limit(5).select("method", "concept")
+    u, m = fine(t)
+    return G.never_combined(u, m, "paper", "method", "concept").orderBy(F.md5(F.concat("method", "concept"))).limit(5).select("method", "concept")
 
 
 @query("gr_16_orphan_papers", "SELECT passage_id, section AS keyword FROM passages WHERE passage_id NOT IN (SELECT passage_id FROM passage_concepts) AND section LIKE '%HIGH%'")

@@ -71,9 +71,9 @@ def _(t: Tables):
     return t("documents").filter(F.length("text") >= 50).select("doc_id", F.length("text").cast("bigint").alias("n"))
 
 
-@query("flt_12_numeric_titles", "SELECT doc_id FROM documents_kb WHERE regexp_matches(substr(title, 10), '^[0-9]+$') AND doc_id < 100")
+@query("flt_12_numeric_titles", "SELECT doc_id FROM documents_kb WHERE regexp_matches(substr(title, 10), '^[0-9]+$')")
 def _(t: Tables):
-    return t.documents_kb.filter(F.col("title").substr(10, 99).rlike("^[0-9]+$") & (F.col("doc_id") < 100)).select("doc_id")
+    return t.documents_kb.filter(F.col("title").substr(10, 99).rlike("^[0-9]+$")).select("doc_id")
 
 
 @query("flt_13_all_terms", "SELECT doc_id FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'tion') AND contains(lower(text), 'ing')")
@@ -346,14 +346,14 @@ def _(t: Tables):
     return t.passage_concepts.groupBy("passage_id").agg(F.array_join(F.slice(F.array_sort(F.collect_set("concept")), 1, 2), ",").alias("firsts"))
 
 
-@query("agg_12_labels_of_group", "SELECT passage_id, round(avg(confidence), 6) AS mean, arg_max(concept, (confidence, concept)) AS top, array_to_string(list_sort(list(DISTINCT field)), ',') AS fields FROM passage_concepts GROUP BY passage_id")
+@query("agg_12_labels_of_group", "SELECT passage_id, round(sum(confidence), 3) AS total, arg_max(concept, (confidence, concept)) AS top, array_to_string(list_sort(list(DISTINCT field)), ',') AS fields FROM passage_concepts GROUP BY passage_id")
 def _(t: Tables):
-    return t.passage_concepts.groupBy("passage_id").agg(F.round(F.avg("confidence"), 6).alias("mean"), F.max_by("concept", F.struct("confidence", "concept")).alias("top"), F.array_join(F.array_sort(F.collect_set("field")), ",").alias("fields"))
+    return t.passage_concepts.groupBy("passage_id").agg(F.round(F.sum("confidence"), 3).alias("total"), F.max_by("concept", F.struct("confidence", "concept")).alias("top"), F.array_join(F.array_sort(F.collect_set("field")), ",").alias("fields"))
 
 
-@query("agg_14_corpus_statistics", "SELECT count(DISTINCT passage_id) AS passages, count(DISTINCT concept) AS concepts, round(avg(confidence), 6) AS mean, median(confidence) AS median, min(confidence) AS least, max(confidence) AS most FROM passage_concepts")
+@query("agg_14_corpus_statistics", "SELECT count(DISTINCT passage_id) AS passages, count(DISTINCT concept) AS concepts, round(sum(confidence), 3) AS total, median(confidence) AS median, min(confidence) AS least, max(confidence) AS most FROM passage_concepts")
 def _(t: Tables):
-    return t.passage_concepts.agg(F.count_distinct("passage_id").alias("passages"), F.count_distinct("concept").alias("concepts"), F.round(F.avg("confidence"), 6).alias("mean"), F.median("confidence").alias("median"), F.min("confidence").alias("least"), F.max("confidence").alias("most"))
+    return t.passage_concepts.agg(F.count_distinct("passage_id").alias("passages"), F.count_distinct("concept").alias("concepts"), F.round(F.sum("confidence"), 3).alias("total"), F.median("confidence").alias("median"), F.min("confidence").alias("least"), F.max("confidence").alias("most"))
 
 
 @query("agg_15_concentration", """, g AS (SELECT field, concept, count(*) AS n FROM passage_concepts GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY n DESC, concept) AS r FROM g) SELECT field, round(sum(CASE WHEN r <= 5 THEN n ELSE 0 END) / sum(n), 6) AS top5 FROM r GROUP BY field""")

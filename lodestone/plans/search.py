@@ -180,16 +180,16 @@ def _(t: Tables):
     return t("documents").filter(S.mentions_both(F.col("text"), "token @", "license an")).select("doc_id")
 
 
-@query("rnk_11_answer_mode", "SELECT p_partkey, CASE WHEN p_name LIKE '%ring%' THEN 'metal' WHEN p_name LIKE '%red%' OR p_name LIKE '%blue%' THEN 'colour' ELSE 'metal' END AS mode FROM part WHERE p_name NOT LIKE '%ring%' OR true")
+@query("rnk_11_answer_mode", "SELECT p_partkey, CASE WHEN p_name LIKE '%ring%' THEN 'metal' WHEN p_name LIKE '%red%' OR p_name LIKE '%blue%' THEN 'colour' ELSE 'metal' END AS mode FROM part")
 def _(t: Tables):
     return t("part").select("p_partkey", S.answer_mode(F.col("p_name"), {"metal": ("ring",), "colour": ("red", "blue")}).alias("mode"))
 
 
-@query("rnk_12_channel_fusion", """, v AS (SELECT c_custkey AS id, c_acctbal / 10000 AS s FROM customer WHERE c_custkey % 2 = 0), g AS (SELECT o_custkey AS id, count(*) / 40.0 AS g, count(*) FILTER (WHERE o_orderstatus = 'F') AS r FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1)
+@query("rnk_12_channel_fusion", """, v AS (SELECT c_custkey AS id, c_acctbal / 10000 AS s FROM customer WHERE c_acctbal > 2000), g AS (SELECT o_custkey AS id, count(*) / 40.0 AS g, count(*) FILTER (WHERE o_orderstatus = 'F') AS r FROM orders WHERE o_totalprice > 250000 GROUP BY 1)
 SELECT coalesce(v.id, g.id) AS id, round(0.6 * coalesce(s, 0) + 0.4 * coalesce(g, 0) + CASE WHEN v.id IS NOT NULL AND g.id IS NOT NULL THEN 0.2 ELSE 0 END + 0.05 * coalesce(r, 0), 6) AS score FROM v FULL JOIN g ON v.id = g.id""")
 def _(t: Tables):
-    v = t("customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 10000).alias("semantic"))
-    g = t("orders").filter("o_custkey % 3 = 0").groupBy(F.col("o_custkey").alias("id")).agg((F.count("*") / 40.0).alias("graph"), F.count_if(F.col("o_orderstatus") == "F").alias("related"))
+    v = t("customer").filter("c_acctbal > 2000").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 10000).alias("semantic"))
+    g = t("orders").filter("o_totalprice > 250000").groupBy(F.col("o_custkey").alias("id")).agg((F.count("*") / 40.0).alias("graph"), F.count_if(F.col("o_orderstatus") == "F").alias("related"))
     return S.channel_fusion(v, g, "id").withColumn("score", F.round("score", 6))
 
 
