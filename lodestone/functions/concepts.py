@@ -6,6 +6,10 @@ a join; `tag_by_join` does that.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Protocol
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,3 +92,43 @@ def valid_concepts(records: Column, kinds: tuple[str, ...] = ("method", "problem
 
     fixed = F.transform(records, lambda r: F.struct(snake_case(r["name"]).alias("name"), F.when(F.lower(r["type"]).isin(*kinds), F.lower(r["type"])).otherwise("entity").alias("type"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(r["confidence"], F.lit(0.5)))).alias("confidence")))
     return F.filter(fixed, lambda r: F.length(r["name"]) >= 2)
+
+
+class ConceptExtractor(Protocol):
+    """A model that reads a text and names (concept, type, confidence) triples."""
+
+    def extract(self, texts: list[str]) -> list[list[tuple[str, str, float]]]: ...
+
+
+class KeywordExtractor:
+    """The default: keywords by type; confidence grows with the number of mentions, up to 0.95."""
+
+    def __init__(self, vocabulary: dict[str, str]):
+        self.vocabulary = vocabulary
+
+    def extract(self, texts: list[str]) -> list[list[tuple[str, str, float]]]:
+        out = []
+        for t in texts:
+            low = (t or "").lower()
+            found = [(w, kind, low.count(w.replace("_", " "))) for w, kind in self.vocabulary.items()]
+            out.append([(w, kind, round(min(0.95, 0.6 + 0.1 * n), 2)) for w, kind, n in found if n])
+        return out
+
+
+def extract_concepts(df: DataFrame, key: str, text: str, cascade: list[ConceptExtractor]) -> DataFrame:
+    """key, concept, concept_type, confidence, model: a text goes to the next model only if those before found nothing.
+    model is its place in the cascade."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            left, rows = list(zip(pdf[key], pdf[text])), []
+            for i, model in enumerate(cascade):
+                got = model.extract([t for _, t in left])
+                rows += [(k, *c, i) for (k, _), cs in zip(left, got) for c in cs]
+                left = [x for x, cs in zip(left, got) if not cs]
+                if not left:
+                    break
+            yield pd.DataFrame(rows, columns=["key", "concept", "concept_type", "confidence", "model"])
+
+    kind = dict(df.dtypes)[key]
+    return df.select(key, text).mapInPandas(run, f"key {kind}, concept string, concept_type string, confidence double, model int").withColumnRenamed("key", key)

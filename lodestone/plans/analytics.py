@@ -136,6 +136,13 @@ def _(t: Tables):
     return p.join(t.passages.select("passage_id", "doc_id"), "passage_id").groupBy("concept").agg(F.count_distinct("doc_id").alias("documents")).filter("documents < 20")
 
 
+@query("trd_07_deep_hunt", """, n AS (SELECT doc_id AS id, length(text) AS s, row_number() OVER (ORDER BY length(text) DESC, doc_id) AS r FROM documents), v AS (SELECT page_id AS id, length(html) AS s, row_number() OVER (ORDER BY length(html) DESC, page_id) AS r FROM pages) SELECT 'paper' AS kind, id, s AS score FROM n WHERE r <= 5 UNION ALL SELECT 'page', id, s FROM v WHERE r <= 5""")
+def _(t: Tables):
+    """The best of two collections, each by its own score."""
+    best = lambda d, kind, key, text: d.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), F.length(text).cast("bigint").alias("score")).orderBy(F.desc("score"), "id").limit(5)
+    return best(t("documents"), "paper", "doc_id", "text").unionByName(best(t("pages"), "page", "page_id", "html"))
+
+
 # -- market ---------------------------------------------------------------------------------------------------------
 
 
@@ -215,6 +222,20 @@ def _(t: Tables):
     return g.select("source", F.round(v["confidence"], 6).alias("confidence"), v["verdict"].alias("verdict"))
 
 
+@query("hyp_03_analogies_by_domain", "SELECT field, arg_max(concept, (confidence, concept)) AS concept, max(confidence) AS confidence FROM passage_concepts WHERE field <> 'Brand#1' GROUP BY field ORDER BY confidence DESC, field LIMIT 8")
+def _(t: Tables):
+    """The surest concept of each other domain, one a domain."""
+    p = t.passage_concepts.filter("field <> 'Brand#1'").select("field", "concept", "confidence")
+    return R.keep_max(p, ["field"], F.struct("confidence", "concept")).orderBy(F.desc("confidence"), "field").limit(8)
+
+
+@query("hyp_04_serendipity", "SELECT concept, count(DISTINCT field) AS fields FROM passage_concepts WHERE confidence >= 0.95 GROUP BY concept HAVING count(DISTINCT field) >= 2 ORDER BY fields DESC, md5(concept) LIMIT 5")
+def _(t: Tables):
+    """Concepts of several domains, in an order that has nothing to do with their names."""
+    g = t.passage_concepts.filter("confidence >= 0.95").groupBy("concept").agg(F.count_distinct("field").alias("fields")).filter("fields >= 2")
+    return g.orderBy(F.desc("fields"), F.md5("concept")).limit(5)
+
+
 # -- evidence -------------------------------------------------------------------------------------------------------
 
 _PASS = ", ps AS (SELECT doc_id AS passage_id, doc_id % 6 - 1 AS page_num, round((doc_id % 100) / 100.0, 2) AS quality, text FROM documents)"

@@ -205,6 +205,12 @@ def _(t: Tables):
     return concepts.tag_by_join(t("part"), "p_partkey", "p_name", terms)
 
 
+@query("con_04_extracted_concepts", "SELECT p_partkey, concept, concept_type, round(0.7, 2)::DOUBLE AS confidence, CAST(CASE WHEN p_name LIKE '%ring%' OR p_name LIKE '%bolt%' THEN 0 ELSE 1 END AS INTEGER) AS model FROM part, (SELECT unnest([{'concept': 'ring', 'concept_type': 'metal'}, {'concept': 'bolt', 'concept_type': 'metal'}, {'concept': 'red', 'concept_type': 'colour'}], recursive := true)) WHERE contains(p_name, concept) AND (concept_type = 'metal' OR NOT (p_name LIKE '%ring%' OR p_name LIKE '%bolt%'))")
+def _(t: Tables):
+    cascade = [concepts.KeywordExtractor({"ring": "metal", "bolt": "metal"}), concepts.KeywordExtractor({"red": "colour"})]
+    return concepts.extract_concepts(t("part"), "p_partkey", "p_name", cascade)
+
+
 @query("con_05_extraction_route", """, m AS (SELECT doc_id, length(text) AS n, (length(text) - length(regexp_replace(text, '[ \\t\\n\\r\\f]', '', 'g'))) / length(text) AS ws, list_transform(string_split_regex(text, '[ \\t\\n\\r\\f]+'), lambda w: length(w)) AS runs, len(regexp_extract_all(text, '[a-z][A-Z]')) / length(text) AS camel FROM documents),
 s AS (SELECT *, list_max(runs) AS run, coalesce(list_avg(list_filter(runs, lambda k: k > 0)), 0) AS avg FROM m),
 q AS (SELECT *, CASE WHEN n < 20 THEN 0 ELSE 1.0 - CASE WHEN ws < 0.10 THEN 0.4 WHEN ws < 0.15 THEN 0.2 ELSE 0.0 END - CASE WHEN run > 100 THEN 0.3 WHEN run > 50 THEN 0.15 ELSE 0.0 END - CASE WHEN camel > 0.10 THEN 0.3 WHEN camel > 0.05 THEN 0.15 ELSE 0.0 END - CASE WHEN avg < 3 OR avg > 12 THEN 0.1 ELSE 0.0 END END AS score FROM s)

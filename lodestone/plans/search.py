@@ -153,6 +153,17 @@ def _(t: Tables):
     return both.groupBy("id").agg(F.round(F.sum(1.0 / (60 + F.col("rank"))), 9).alias("score"), F.count("*").alias("channels"))
 
 
+@query("rnk_06_hybrid_with_graph", """, hit AS (SELECT p_partkey AS id, p_brand, p_name FROM part WHERE contains(p_name, 'ring') OR contains(p_name, 'loop')), lex AS (SELECT id, row_number() OVER (ORDER BY id) AS rank FROM hit QUALIFY rank <= 30), near AS (SELECT DISTINCT b.p_partkey AS id FROM (SELECT DISTINCT p_brand FROM hit JOIN lex USING (id)) h JOIN part b USING (p_brand) WHERE b.p_size = 7), g AS (SELECT id, row_number() OVER (ORDER BY id) AS rank FROM near QUALIFY rank <= 30)
+SELECT id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT * FROM lex UNION ALL SELECT * FROM g) GROUP BY id""")
+def _(t: Tables):
+    """The words of the expanded query, and the graph around what they hit, fused."""
+    part = t("part").select(F.col("p_partkey").alias("id"), "p_brand", "p_name", "p_size")
+    one = lambda d: top_k(d.withColumn("one", F.lit(1)), ["one"], [F.asc("id")], 30, "rank")
+    lex = one(part.filter(F.col("p_name").contains("ring") | F.col("p_name").contains("loop")).orderBy("id").limit(30))
+    near = part.filter("p_size = 7").join(lex.select("p_brand").distinct(), "p_brand").select("id").distinct()
+    return S.rank_fusion([lex.select("id", "rank"), one(near).select("id", "rank")], "id").select("id", F.round("score", 9).alias("score"))
+
+
 SYNONYMS = {"ring": ("loop", "band"), "red": ("scarlet",), "bolt": ("screw", "pin")}
 
 
