@@ -119,6 +119,13 @@ def _(t: Tables):
     return j.select("chunk_id", text.permalink(F.col("org"), F.col("repo"), F.lit(None).cast("string"), F.col("path"), F.col("start_line"), F.col("start_line") + 9).alias("link"), text.short_ref(F.col("repo"), F.col("path"), F.col("start_line")).alias("short_ref"))
 
 
+@query("str_10_json_in_chatter", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
+def _(t: Tables):
+    n = F.col("event_id") % 3
+    reply = F.when(n == 0, F.col("props")).when(n == 1, F.concat(F.lit("Here it is:\n```json\n"), "props", F.lit("\n```"))).otherwise(F.concat(F.lit("I found "), "props", F.lit(" there.")))
+    return t("events").select("event_id", F.try_variant_get(text.json_in(reply), "$.k", "int").alias("k"))
+
+
 @query("str_11_key_terms", """, w AS (SELECT item_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS w, generate_subscripts(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> ''), 1) AS pos FROM benchmark),
 k AS (SELECT item_id, w, count(*) AS n, min(pos) AS first FROM w WHERE length(w) > 3 AND w NOT IN (""" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + """) GROUP BY item_id, w),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, first, w) AS r FROM k)

@@ -159,6 +159,19 @@ def _(t: Tables):
     return t.passage_concepts.select("passage_id", "concept").join(F.broadcast(named), "concept").join(t.passages.select("passage_id", "doc_id"), "passage_id").groupBy("keyword").agg(F.count_distinct("doc_id").alias("documents"))
 
 
+@query("gr_20_sql_on_graph_views", _REL + " SELECT method, count(DISTINCT concept) AS concepts FROM uses JOIN mentions USING (paper) GROUP BY method")
+def _(t: Tables):
+    """Any reading statement over the views of the graph; others are refused."""
+    from lodestone.operators.relational import read_only
+
+    uses(t).createOrReplaceTempView("graph_uses")
+    mentions(t).createOrReplaceTempView("graph_mentions")
+    said = "SELECT method, count(DISTINCT concept) AS concepts FROM graph_uses JOIN graph_mentions USING (paper) GROUP BY method"
+    if not read_only(t.spark, said):
+        raise PermissionError("only reading statements")
+    return t.spark.sql(said)
+
+
 @query("gr_21_typed_triples", "SELECT passage_id AS src, concept AS dst, concept_type AS type, max(confidence) AS confidence FROM passage_concepts GROUP BY 1, 2, 3")
 def _(t: Tables):
     rows = t.passage_concepts.select(F.col("passage_id").alias("src"), F.col("concept").alias("dst"), F.col("concept_type").alias("type"), "confidence")

@@ -351,6 +351,12 @@ def _(t: Tables):
     return t.passage_concepts.groupBy("passage_id").agg(F.round(F.sum("confidence"), 3).alias("total"), F.max_by("concept", F.struct("confidence", "concept")).alias("top"), F.array_join(F.array_sort(F.collect_set("field")), ",").alias("fields"))
 
 
+@query("agg_13_passage_summary", "SELECT passage_id, count(*) AS n, array_to_string(list(concept || '/' || concept_type ORDER BY concept, concept_type), ',') AS concepts FROM passage_concepts GROUP BY passage_id")
+def _(t: Tables):
+    g = t.passage_concepts.groupBy("passage_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("concept", "concept_type"))).alias("x"))
+    return g.select("passage_id", "n", F.array_join(F.transform("x", lambda s: F.concat_ws("/", s["concept"], s["concept_type"])), ",").alias("concepts"))
+
+
 @query("agg_14_corpus_statistics", "SELECT count(DISTINCT passage_id) AS passages, count(DISTINCT concept) AS concepts, round(sum(confidence), 3) AS total, median(confidence) AS median, min(confidence) AS least, max(confidence) AS most FROM passage_concepts")
 def _(t: Tables):
     return t.passage_concepts.agg(F.count_distinct("passage_id").alias("passages"), F.count_distinct("concept").alias("concepts"), F.round(F.sum("confidence"), 3).alias("total"), F.median("confidence").alias("median"), F.min("confidence").alias("least"), F.max("confidence").alias("most"))
@@ -467,6 +473,16 @@ def _(t: Tables):
     return t("documents").select("doc_id").orderBy("doc_id").offset(60).limit(30)
 
 
+@query("win_12_greedy_overlap_filter")
+def _(t: Tables):
+    """The state runs through a ranked report of at most 300 rows, so it is folded on the driver."""
+    from lodestone.operators.atlas import greedy_distinct
+
+    top = t("part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(300).select("p_partkey", F.split("p_name", " ").alias("words")).collect()
+    kept = greedy_distinct([r.asDict() for r in top], "words", most=20, free=6)
+    return t.spark.createDataFrame([(i + 1, h["p_partkey"]) for i, h in enumerate(kept)], "rank int, p_partkey long")
+
+
 @query("src_06_keyset_page", "SELECT passage_id, status FROM passages WHERE passage_id > 500 ORDER BY passage_id LIMIT 50")
 def _(t: Tables):
     return t.passages.filter("passage_id > 500").select("passage_id", "status").orderBy("passage_id").limit(50)
