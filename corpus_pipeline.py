@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import byte_bpe, langid, pii
 from lodestone.llm._spark import materialise
 from lodestone.llm.decontaminate import without_leaks
-from lodestone.llm.ngram_join import ngram_join
+from lodestone.llm.ngram_join import BROADCAST_ROWS, ngram_join
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -21,14 +21,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose language is undetermined: a null text, or one without any letter. A missing lang is
     filled with the predicted one."""
     model = langid.train(docs.filter(langid.remainder("doc_id", 4) != 2))
-    known = langid.predict(docs.select(*COLUMNS, F.col("text").alias("read")), model, text="read", keep=COLUMNS)
+    known = langid.predict(docs, model, keep=COLUMNS)
     return known.filter("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: that with the smallest doc_id, once where rows repeat it."""
     joined = materialise(ngram_join(docs).select("doc_id", "kept"))
-    gone = joined.filter("NOT kept").select("doc_id").distinct()
+    gone = materialise(joined.filter("NOT kept").select("doc_id").distinct())
+    if gone.count() <= BROADCAST_ROWS:  # else texts are shuffled once, by doc_id
+        gone = F.broadcast(gone)
     kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
     twice = materialise(joined.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
     if twice.isEmpty():
