@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm._text import tidy
 from lodestone.operators.scratch import materialise, scratch_dir
 
 __all__ = ["grouped_map", "materialise", "pair_bins", "scratch_dir"]
@@ -34,6 +35,7 @@ def grouped_map(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.
                 held = [pdf.iloc[a:b]]
             if done := [x for x in done if len(x)]:
                 yield pd.concat(done)
+            tidy()
         if held:
             yield fn(pd.concat(held) if len(held) > 1 else held[0])
 

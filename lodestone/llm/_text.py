@@ -6,6 +6,7 @@ a run of bytes that are 0-9, a-z or not ASCII, so whole batches are cut with byt
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,16 +38,30 @@ def powers(n: int, base: int = _BASE) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Runs of rows whose texts have at most max_bytes together; a longer text comes alone and whole."""
+try:
+    _TRIM = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # not glibc
+    _TRIM = None
+
+
+def tidy() -> None:
+    """Gives freed memory back to the system: Python workers live on between stages, beside other workers."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20, max_rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """Runs of at most max_rows rows whose texts have at most max_bytes together; a longer text comes alone and whole."""
     i = batch.schema.get_field_index(column)
     size = pc.binary_length(batch.column(i)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends, start = np.cumsum(size), 0
     while start < batch.num_rows:
         base = ends[start] - size[start]
-        stop = max(start + 1, int(np.searchsorted(ends, base + max_bytes, side="right")))
+        stop = min(start + max_rows, max(start + 1, int(np.searchsorted(ends, base + max_bytes, side="right"))))
         yield batch.slice(start, stop - start)
         start = stop
+    tidy()
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -24,7 +24,7 @@ class WordTable:
     """learn(words) gives the ids of new words. Words are told apart by 96-bit hashes and kept as sorted hashes,
     offsets and ids, up to `cache` of them, some 30 bytes each; then the table starts anew."""
 
-    def __init__(self, learn: Callable[[list[bytes]], list[np.ndarray]], kind: np.dtype, cache: int = 2_000_000):
+    def __init__(self, learn: Callable[[list[bytes]], list[np.ndarray]], kind: np.dtype, cache: int = 1_000_000):
         self.learn, self.kind, self.cache = learn, kind, cache
         self.clear()
 

@@ -203,7 +203,7 @@ def _wide_blanks(data: np.ndarray) -> np.ndarray:
 class Codec:
     """Texts to ids and back. What is kept between texts is the table of pieces, and small tables of all tokens."""
 
-    def __init__(self, path: str, pattern: str, cache: int = 2_000_000):
+    def __init__(self, path: str, pattern: str, cache: int = 700_000):
         self.replay, self.split = MergeReplay(load_ranks(path)), regex.compile(pattern).findall
         self.standard = pattern == public_tokenizers.PATTERN
         self.table = WordTable(self._learn, np.dtype("<i4"), cache)
@@ -276,7 +276,7 @@ def _mapped(docs: DataFrame, doc_id: str, text: str, path: str, pattern: str, ch
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} {s}" for n, s, _ in fields))
 
 
-def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, chunk_bytes: int = 2 << 20) -> DataFrame:
+def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, chunk_bytes: int = 1 << 20) -> DataFrame:
     """doc_id, ids (array<int>)."""
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     return _mapped(docs, doc_id, text, path, pattern, chunk_bytes, [("ids", "array<int>", pa.list_(pa.int32()))], lambda own, ids: (ids,))
@@ -300,7 +300,7 @@ def _digest_row(own: Codec, ids: np.ndarray) -> tuple[int, str, str]:
     return len(ids), hashlib.sha256(own.decimal(ids)).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()
 
 
-def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, chunk_bytes: int = 2 << 20) -> DataFrame:
+def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, chunk_bytes: int = 1 << 20) -> DataFrame:
     """Encodes, decodes, and returns doc_id, n_tokens, ids_sha256 and decoded_sha256 from the same ids."""
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     return _mapped(docs, doc_id, text, path, pattern, chunk_bytes, [("n_tokens", "bigint", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())], _digest_row)

@@ -37,6 +37,8 @@ FAMILIES = {
     "zh": "sinitic", "ja": "japonic", "ko": "koreanic", "ar": "semitic", "he": "semitic", "tr": "turkic",
 }
 DIM = 4096
+#: Rows whose features are held at once: 8 MB of counts.
+ROWS = 256
 _LETTER = regex.compile(r"\p{L}")
 _SPACED = np.arange(256, dtype=np.uint8)
 _SPACED[:128] = 32
@@ -155,7 +157,7 @@ def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", max_rows=ROWS):
                 x = features(*utf8(_lowered(part.column(0)))).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
@@ -169,14 +171,15 @@ def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 def predict(docs: DataFrame, model: Hierarchy | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns in keep (default: all but the text), lang_pred and score."""
     keep = [c for c in docs.columns if c != text] if keep is None else keep
+    read = text if text in keep else "__text"
     types = dict(docs.dtypes)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            for part in slices(batch, "__text"):
-                col = part.column(part.num_columns - 1)
+            for part in slices(batch, read, max_rows=ROWS):
+                col = part.column(part.schema.get_field_index(read))
                 known = np.array([t is not None and _LETTER.search(t) is not None for t in col.to_pylist()], dtype=bool)
                 lang, score = ["und"] * part.num_rows, np.zeros(part.num_rows)
                 if own is not None and known.any():
@@ -185,9 +188,10 @@ def predict(docs: DataFrame, model: Hierarchy | None, text: str = "text", keep:
                     score[rows] = s
                     for r, k in zip(rows.tolist(), names):
                         lang[r] = k
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, "".join(f"`{c}` {types[c]}, " for c in keep) + "lang_pred string, score double")
+    wanted = docs.select(*keep) if read == text else docs.select(*keep, F.col(text).alias("__text"))
+    return wanted.mapInArrow(run, "".join(f"`{c}` {types[c]}, " for c in keep) + "lang_pred string, score double")
 
 
 def language_id(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 600) -> DataFrame:
