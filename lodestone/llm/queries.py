@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import byte_bpe, html_extract, pii, rans
@@ -36,10 +36,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     german = docs.filter("lang = 'de'")
     revised = counted(german, {"words-1": word_count()}, -1).union(counted(german, {"words-1": lettered_word_count()}))
     store.commit("2-revise", revised)
-    skinny = docs.select("doc_id", "source", "lang", F.sha2("text", 256).alias("same"), later.alias("words"), quarter_count().alias("quarters")).filter("same IS NOT NULL")
-    first = skinny.groupBy("same").agg(F.min("doc_id").alias("first"))
-    again = skinny.join(first, "same").filter("doc_id > first")
-    store.commit("3-delete", counted(again, {"words-1": F.col("words"), "quarters-1": F.col("quarters")}, -1))
+    skinny = docs.select("doc_id", "source", "lang", F.sha2("text", 256).alias("same"), later.alias("words"), quarter_count().alias("quarters")).filter("same IS NOT NULL AND doc_id IS NOT NULL")
+    group = skinny.groupBy("same", "source", "lang", "words", "quarters").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))  # copies are summed before they are sent
+    kept = F.when(F.col("least") == F.min("least").over(Window.partitionBy("same")), 1).otherwise(0)
+    again = group.withColumn("gone", F.col("n") - kept).filter("gone > 0")
+    store.commit("3-delete", counted(again, {"words-1": F.col("words"), "quarters-1": F.col("quarters")}, -F.col("gone")))
     store.commit("2-revise", revised)
     store.compact()
     return store.totals()
@@ -49,10 +50,13 @@ OP2_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, lang, text,
     coalesce(len(regexp_extract_all(text, '[^ 	
-]+')), 0) AS w1,
+
+]+')), 0) AS w1,
     coalesce(len(regexp_extract_all(text, '[^ 	
-A-Za-z]*[A-Za-z][^ 	
-]*')), 0) AS w2,
+
+A-Za-z]*[A-Za-z][^ 	
+
+]*')), 0) AS w2,
     coalesce(CAST(ceil(length(text) / 4.0) AS BIGINT), 0) AS q
   FROM documents
 ), f AS (SELECT text, min(doc_id) AS f FROM d WHERE text IS NOT NULL GROUP BY text),

@@ -23,11 +23,12 @@ KEYS = ["source", "lang", "tokenizer"]
 SCHEMA = "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint"
 
 
-def counted(docs: DataFrame, tokenizers: dict[str, Column], sign: int = 1, source: str = "source", lang: str = "lang") -> DataFrame:
-    """Signed changes: a row for each document and tokenizer version. tokenizers: a column of counts by version."""
+def counted(docs: DataFrame, tokenizers: dict[str, Column], sign: int | Column = 1, source: str = "source", lang: str = "lang") -> DataFrame:
+    """Signed changes: a row for each document and tokenizer version. tokenizers: a column of counts by version.
+    sign: 1 or -1, or a column with the signed number of documents that a row stands for, each with these counts."""
     counts = F.array(*(F.struct(F.lit(v).alias("tokenizer"), c.cast("bigint").alias("n")) for v, c in tokenizers.items()))
-    each = docs.select(F.col(source).alias("source"), F.col(lang).alias("lang"), F.explode(counts).alias("t"))
-    return each.select("source", "lang", "t.tokenizer", F.lit(sign).alias("sign"), F.col("t.n").alias("n_tokens"))
+    each = docs.select(F.col(source).alias("source"), F.col(lang).alias("lang"), (F.lit(sign) if isinstance(sign, int) else sign).alias("sign"), F.explode(counts).alias("t"))
+    return each.select("source", "lang", "t.tokenizer", "sign", F.col("t.n").alias("n_tokens"))
 
 
 def deltas(changes: DataFrame) -> DataFrame:
