@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from lodestone.llm._text import tidy
 from lodestone.operators.scratch import materialise, scratch_dir
 
-__all__ = ["grouped_map", "materialise", "pair_bins", "scratch_dir"]
+__all__ = ["grouped_arrays", "grouped_map", "materialise", "pair_bins", "scratch_dir"]
 
 
 def grouped_map(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -42,6 +43,34 @@ def grouped_map(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
+def grouped_arrays(df: DataFrame, keys: list[str], fn: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray] | None], schema: str) -> DataFrame:
+    """grouped_map for many tiny groups: fn takes and gives arrays by column name, without pandas for each group."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, np.ndarray] | None = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            cols = {c: pdf[c].to_numpy() for c in pdf.columns}
+            if held is not None:
+                cols = {c: np.concatenate([held[c], cols[c]]) for c in cols}
+            n = len(next(iter(cols.values())))
+            change = np.zeros(n, dtype=bool)
+            change[0] = True
+            for k in keys:
+                change[1:] |= cols[k][1:] != cols[k][:-1]
+            cuts = np.flatnonzero(change).tolist()
+            done = [x for a, b in zip(cuts[:-1], cuts[1:]) if (x := fn({c: v[a:b] for c, v in cols.items()})) is not None]
+            held = {c: v[cuts[-1] :] for c, v in cols.items()}
+            if done:
+                yield pd.DataFrame({c: np.concatenate([d[c] for d in done]) for c in done[0]})
+            tidy()
+        if held is not None and (x := fn(held)) is not None:
+            yield pd.DataFrame(x)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+
+
 def pair_bins(classes: DataFrame, key: str, labels: str, block: int) -> DataFrame:
     """Bins of at most about 2*block members that together hold every pair of classes with an equal label.
 

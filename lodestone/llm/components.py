@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm._spark import materialise
 
 
+def parts_of(linked: np.ndarray) -> np.ndarray:
+    """The smallest member that each member reaches, by a square of links."""
+    m = len(linked)
+    if m == 2:
+        return np.array([0, 0 if linked[0, 1] else 1])
+    root = np.arange(m)
+    while True:  # smallest root over neighbours, with pointer jumping
+        new = np.minimum(np.where(linked, root[None, :], m).min(axis=1, initial=m), root)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
     return tuple(row)
