@@ -16,7 +16,9 @@ pages for a template, is read by its own elements in the same way.
 Character references are decoded, white space within a block becomes one space, blocks are joined by two line feeds in
 page order. A null html, or one without such text, gives an empty text. A null url is a host of its own. Rows that
 repeat a page_id are each returned; unclosed and crossed tags, unfinished comments and scripts are closed as browsers
-do, roughly; an empty table gives an empty result; other columns are not read.
+do, roughly. The text of svg is not read, nor that of noscript, template, iframe and canvas that have an end tag; all
+else, math and the fallback of object too, is read as other elements. An empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -36,10 +38,12 @@ from pyspark.sql import functions as F
 from lodestone.llm._spark import grouped_map, materialise
 from lodestone.llm._text import slices
 
+_ATTRS = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|title|iframe|object|svg|math|canvas)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*+>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    rf"|<(script|style|textarea|title)\b(?!/>){_ATTRS}(?<![\s\"']/)>.*?(?:</\1\s*+>|\Z)"
+    rf"|<(noscript|template|iframe|canvas)\b(?!/>){_ATTRS}(?<![\s\"']/)>(?:(?!<\2\b).)*?</\2\s*+>"
+    rf"|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRS})>"
     r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>"
     r"|<[!?/][^>]*+>"
     r"|([^<]++|<)",
@@ -52,6 +56,8 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 #: Elements that are never part of the main text, and words that say so in a class, id or role.
 CHROME = frozenset("nav footer aside form button select dialog menu head input label fieldset".split())
 CHROME_WORDS = frozenset("ad ads advert advertisement adverts sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent notice alert popup modal newsletter subscribe signup share sharing social related recommended comment comments respond disqus discussion replies widget toolbar pagination pager search complementary contentinfo form".split())
+#: Elements that end an svg which is still open, as browsers do.
+_BREAKS_SVG = BLOCK | frozenset("b big br code em i img s small span strike strong sub sup tt u".split())
 _CLOSED_BY = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
 _SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
 _HASHES: dict[str, int] = {}
@@ -69,10 +75,11 @@ def _hash(s: str) -> int:
 class Element:
     """An open element: its tag and token, and what its ancestors and itself say."""
 
-    __slots__ = ("tag", "token", "chrome", "inside", "up")
+    __slots__ = ("tag", "token", "chrome", "inside", "mute", "up")
 
     def __init__(self, tag: str, attrs: str, up: Element | None):
         self.tag, self.up = tag, up
+        self.mute = tag == "svg" or (up is not None and up.mute)
         found = {k.lower(): (a or b or c or "") for k, a, b, c in _ATTR.findall(attrs)} if attrs and "=" in attrs or "hidden" in attrs else {}
         names = f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}" if found else ""
         own_name = tag + ("." + ".".join(sorted(found["class"].split())) if found.get("class") else "")
@@ -89,17 +96,21 @@ def parse(page: str) -> Iterator[tuple[str, Element, str]]:
     root = Element("#", "", None)
     stack = [root]
     for m in _TOKEN.finditer(page):
-        text = m[8]
+        text = m[9]
         if text is not None:
-            yield "text", stack[-1], text
+            if not stack[-1].mute:
+                yield "text", stack[-1], text
             continue
-        name = m[3] or m[6]
+        name = m[4] or m[7]
         if not name:
-            if m[1] and m[1].lower() in ("noscript", "title", "textarea"):
+            if (m[1] or m[2] or "").lower() in ("noscript", "title", "textarea") and not stack[-1].mute:
                 yield "break", stack[-1], ""
             continue
-        tag, attrs = name.lower(), (m[4] if m[3] else m[7]) or ""
-        if m[2] or m[5]:
+        tag, attrs = name.lower(), (m[5] if m[4] else m[8]) or ""
+        if stack[-1].mute and tag in _BREAKS_SVG and not (m[3] or m[6]) and all(e.tag != "foreignobject" for e in stack):
+            while stack[-1].mute:
+                stack.pop()
+        if m[3] or m[6]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     if any(e.tag in BLOCK for e in stack[i:]):
@@ -125,7 +136,8 @@ def parse(page: str) -> Iterator[tuple[str, Element, str]]:
                 yield "text", stack[-1], " "
             continue
         e = Element(tag, attrs, stack[-1])
-        yield "open", e, ""
+        if not e.mute:
+            yield "open", e, ""
         if not attrs.endswith("/"):
             stack.append(e)
 

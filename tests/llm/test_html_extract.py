@@ -31,3 +31,16 @@ def test_template(spark):
         assert by[20] == "" and by[21] == "Only page" and by[22] == "x" and by[32] == "Same text on all pages"
         assert all(r.n_chars == len(r.text) for r in got)
     assert extract(df.limit(0)).count() == 0
+
+
+def test_embedded_elements_end_where_they_end():
+    """Self-closed and unclosed icons, objects and canvases take no text with them."""
+    icon = '<article><p>x <svg class="i"/> y</p><p>Second paragraph.</p>'
+    assert extract_page(icon + "</article>", NONE) == "x y\n\nSecond paragraph."
+    assert extract_page(icon + "<p>z<svg><title>no</title><text>no</text></svg></p></article>", NONE) == "x y\n\nSecond paragraph.\n\nz"
+    assert extract_page("<article><p>a<svg/></p><svg><title/><g><text>no</text></g></svg><p>b</p></article>", NONE) == "a\n\nb"
+    assert extract_page("<article><p>a <svg> no </p><p>b</p><svg><p>c</p></article>", NONE) == "a\n\nb\n\nc"
+    for tag in ("object", "canvas", "iframe", "noscript", "template"):
+        assert extract_page(f"<article><p>a</p><{tag} id='q'><p>b</p><p>c</p></article>", NONE) == "a\n\nb\n\nc", tag
+        assert extract_page(f"<article><p>a</p><{tag} id='q' /><p>b</p><{tag}></{tag}></article>", NONE) == "a\n\nb", tag
+    assert extract_page("<article><p>a <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p><object><p>instead</p></object><canvas>no</canvas></article>", NONE) == "a x=1\n\ninstead"
