@@ -9,7 +9,8 @@ host's template. What a template leaves over are slots: elements with text that
 
 The main slots of a host are those within its article or main element; if it has none, those within the deepest
 template element that holds most of the varying text. Slots in elements whose name, role, class or id says menu,
-header, footer, sidebar, notice, advert, form or comments never count. Outside an article element, text that is itself
+header, footer, sidebar, notice, advert, form or comments do not count, unless such an element (but nav, aside and
+footer) holds the page's article or most of its text, as a wrapper does, or nothing else is left. Outside an article element, text that is itself
 part of the template (the same on most pages of the host) is left out. A page that deviates, or whose host has too few
 pages for a template, is read by its own elements in the same way.
 
@@ -53,13 +54,18 @@ _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
-#: Elements that are never part of the main text, and words that say so in a class, id or role.
-CHROME = frozenset("nav footer aside form button select dialog menu head input label fieldset".split())
+#: Elements that are never part of the main text; those that are not unless they hold it, as words in a class, id or role say.
+CHROME = frozenset("nav footer aside button select head input label".split())
+SOFT_CHROME = frozenset("form dialog menu fieldset".split())
 CHROME_WORDS = frozenset("ad ads advert advertisement adverts sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent notice alert popup modal newsletter subscribe signup share sharing social related recommended comment comments respond disqus discussion replies widget toolbar pagination pager search complementary contentinfo form".split())
+#: Words of readers' talk, which may be longer than the text, and names that only look like chrome.
+TALK_WORDS = frozenset("comment comments respond disqus replies".split())
+NO_CHROME = re.compile(r"\brelated[-_ ]?(?:work|works|literature|research|studies)\b", re.I)
 #: Elements that end an svg which is still open, as browsers do.
 _BREAKS_SVG = BLOCK | frozenset("b big br code em i img s small span strike strong sub sup tt u".split())
 _CLOSED_BY = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
 _SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
+SOFT, TALK, HARD = 1, 2, 3
 _HASHES: dict[str, int] = {}
 
 
@@ -73,9 +79,12 @@ def _hash(s: str) -> int:
 
 
 class Element:
-    """An open element: its tag and token, and what its ancestors and itself say."""
+    """An open element: its tag and token, and what its ancestors and itself say.
 
-    __slots__ = ("tag", "token", "chrome", "inside", "mute", "up")
+    own: 0, SOFT (chrome unless it holds the text), TALK (unless it holds nearly all of it) or HARD. chrome is known
+    when the page has been read, from `chars` and `main`, the characters in it, of all and of articles."""
+
+    __slots__ = ("tag", "token", "own", "chrome", "hard", "inside", "mute", "up", "chars", "main")
 
     def __init__(self, tag: str, attrs: str, up: Element | None):
         self.tag, self.up = tag, up
@@ -85,10 +94,37 @@ class Element:
         own_name = tag + ("." + ".".join(sorted(found["class"].split())) if found.get("class") else "")
         self.token = _hash(f"{up.token if up else 0}/{own_name}")
         self.inside = (up.inside if up else False) or tag in ("article", "main") or found.get("role", "").lower() in ("main", "article")
-        own = tag in CHROME or (tag == "header" and not (up and up.inside)) or "hidden" in found or found.get("aria-hidden") == "true"
-        if names.strip() and not own and tag not in ("body", "html", "article", "main"):
-            own = not CHROME_WORDS.isdisjoint(x.lower() for x in _PART.findall(names))
-        self.chrome = (up.chrome if up else False) or own
+        self.own = HARD if tag in CHROME else SOFT if tag in SOFT_CHROME or (tag == "header" and not (up and up.inside)) or "hidden" in found or found.get("aria-hidden") == "true" else 0
+        if names.strip() and not self.own and tag not in ("body", "html", "article", "main"):
+            said = {x.lower() for x in _PART.findall(NO_CHROME.sub(" ", names))} & CHROME_WORDS
+            if up and up.inside:
+                said.discard("discussion")  # a part of a paper
+            self.own = 0 if not said else SOFT if TALK_WORDS.isdisjoint(said) else TALK
+        self.hard = (up.hard if up else False) or self.own == HARD
+        self.chrome = self.hard
+        self.chars = self.main = 0
+
+
+def weigh(opened: list[Element]) -> None:
+    """Sets chrome of a page's elements (in page order, the page itself first), from the characters directly in each.
+
+    What its name calls chrome is none if it holds the page's text: most of that of articles, where there are any and
+    it is around them, else half of all (nine tenths if it is called comments, or more would be lost by long ones)."""
+    for e in reversed(opened):
+        if e.up is not None and e.own != HARD:
+            e.up.chars += e.chars
+            e.up.main += e.main
+    page = opened[0]
+    for e in opened[1:]:
+        if e.own in (SOFT, TALK):
+            if page.main and not e.inside:
+                holds = 2 * e.main >= page.main and 5 * e.chars >= page.chars
+            else:
+                whole, part = (page.main, e.main) if page.main else (page.chars, e.chars)
+                holds = whole > 0 and part >= (0.9 if e.own == TALK else 0.5) * whole
+            e.chrome = e.hard or e.up.chrome or not holds
+        else:
+            e.chrome = e.hard or e.up.chrome
 
 
 def parse(page: str) -> Iterator[tuple[str, Element, str]]:
@@ -146,60 +182,98 @@ def _clean(raw: str) -> str:
     return " ".join((htmllib.unescape(raw) if "&" in raw else raw).split())
 
 
+def read(page: str, constant: frozenset[int] = frozenset()) -> list[tuple[str, Element, str, int, bool]]:
+    """The events of parse(), with the hash of each text node that is not blank and whether the template has it. Its
+    elements are weighed, by the text that is not the template's."""
+    events, opened = [], []
+    for what, e, raw in parse(page):
+        h, fixed = 0, False
+        if what == "open":
+            if not opened:
+                opened.append(_page(e))
+            opened.append(e)
+        elif what == "text" and (t := _clean(raw)):
+            if not opened:
+                opened.append(_page(e))
+            h = xxhash.xxh64_intdigest(f"{e.token}\n{t}".encode()) >> 1
+            if not (fixed := h in constant):
+                e.chars += len(t)
+                e.main += len(t) * e.inside
+        events.append((what, e, raw, h, fixed))
+    if opened:
+        weigh(opened)
+    return events
+
+
+def _page(e: Element) -> Element:
+    while e.up is not None:
+        e = e.up
+    return e
+
+
 # -- first pass: occurrence vectors ---------------------------------------------------------------------------------
 
 
 def _page_tokens(page: str) -> dict[tuple[int, int, int], list]:
-    """(token, the token of the element around it, flags) -> [count, place of the first, characters of text in it].
-
-    flags: 1 text node, 2 within article or main, 4 chrome."""
+    """(token, the token of the element around it, 1 for a text node) -> [count, place of the first, characters of text
+    in it, 1 if within article or main, 1 if chrome]."""
     out: dict[tuple[int, int, int], list] = {}
     at = 0
-    for what, e, raw in parse(page):
+    for what, e, raw, h, _ in read(page):
         if what == "open":
-            key, chars = (e.token, e.up.token if e.up else 0, 2 * e.inside + 4 * e.chrome), 0
-        elif what == "text" and (t := _clean(raw)):
-            own = (e.token, e.up.token if e.up else 0, 2 * e.inside + 4 * e.chrome)
+            key, chars = (e.token, e.up.token if e.up else 0, 0), 0
+        elif h:
+            chars = len(_clean(raw))
+            own = (e.token, e.up.token if e.up else 0, 0)
             if own in out:
-                out[own][2] += len(t)
-            key, chars = (xxhash.xxh64_intdigest(f"{e.token}\n{t}".encode()) >> 1, e.token, 1 + 2 * e.inside + 4 * e.chrome), len(t)
+                out[own][2] += chars
+            key = (h, e.token, 1)
         else:
             continue
         at += 1
         if key in out:
-            out[key][0] += 1
+            s = out[key]
+            s[0] += 1
+            s[2] += chars
+            s[3] |= e.inside
+            s[4] &= e.chrome
         else:
-            out[key] = [1, at, chars]
+            out[key] = [1, at, chars, int(e.inside), int(e.chrome)]
     return out
 
 
+_SUMS = ["pages", "v1", "v2", "at", "chars", "inside", "chrome"]
+
+
 def _vectors(pages: DataFrame) -> DataFrame:
-    """host, token, up, flags and the sums over pages; token 0 stands for the page itself."""
+    """host, token, up, kind (1: text node) and the sums over pages; token 0 stands for the page itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "html", 8 << 20):
-                total: dict[tuple, list] = defaultdict(lambda: [0, 0, 0, 0.0, 0])
+                total: dict[tuple, list] = defaultdict(lambda: [0, 0, 0, 0.0, 0, 0, 0])
                 for host, page, pid in zip(*(part.column(i).to_pylist() for i in range(3))):
                     h = xxhash.xxh64_intdigest(f"{pid}\n{page}".encode())
                     h1, h2 = h & 0x7FFFFFFF, (h >> 31) & 0x7FFFFFFF
                     tokens = _page_tokens(page or "")
-                    tokens[0, 0, 0] = [1, 0, 0]
-                    for key, (n, at, chars) in tokens.items():
+                    tokens[0, 0, 0] = [1, 0, 0, 0, 0]
+                    for key, (n, at, chars, inside, chrome) in tokens.items():
                         s = total[host, *key]
                         s[0] += 1
                         s[1] += n * h1
                         s[2] += n * h2
                         s[3] += at / (len(tokens) + 1)
                         s[4] += chars
+                        s[5] += inside
+                        s[6] += chrome
                 keys = list(zip(*total)) if total else [()] * 4
-                sums = list(zip(*total.values())) if total else [()] * 5
-                types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*keys, *sums], types)], names=["host", "token", "up", "flags", "pages", "v1", "v2", "at", "chars"])
+                sums = list(zip(*total.values())) if total else [()] * 7
+                types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*keys, *sums], types)], names=["host", "token", "up", "kind", *_SUMS])
 
-    schema = "host string, token bigint, up bigint, flags int, pages bigint, v1 bigint, v2 bigint, at double, chars bigint"
+    schema = "host string, token bigint, up bigint, kind int, pages bigint, v1 bigint, v2 bigint, at double, chars bigint, inside bigint, chrome bigint"
     each = pages.select("host", "html", "page_id").mapInArrow(run, schema)
-    return each.groupBy("host", "token", "up", "flags").agg(*(F.sum(c).alias(c) for c in ("pages", "v1", "v2", "at", "chars")))
+    return each.groupBy("host", "token", "up", "kind").agg(*(F.sum(c).alias(c) for c in _SUMS))
 
 
 # -- templates ------------------------------------------------------------------------------------------------------
@@ -212,7 +286,7 @@ def deduce(g: pd.DataFrame, n: int, v1: int, v2: int) -> dict:
     its elements in page order, and the class and element that it is nested in), the constant text nodes, the element
     that holds the main slots (None if the host has an article or main element) and whether it has one."""
     g = g.assign(at=g["at"] / g["pages"])
-    tags, texts = g[g["flags"] % 2 == 0], g[g["flags"] % 2 == 1]
+    tags, texts = g[g["kind"] == 0], g[g["kind"] == 1]
     up = dict(zip(tags["token"].tolist(), tags["up"].tolist()))
     root = set(tags["token"][(tags["v1"] == v1) & (tags["v2"] == v2) & (tags["pages"] == n)].tolist())
     place = dict(zip(tags["token"].tolist(), tags["at"].tolist()))
@@ -235,9 +309,9 @@ def deduce(g: pd.DataFrame, n: int, v1: int, v2: int) -> dict:
     varying = dict(zip(tags["token"].tolist(), tags["chars"].tolist()))
     for t, c in zip(fixed["up"].tolist(), fixed["chars"].tolist()):
         varying[t] = varying.get(t, 0) - c
-    has_main = bool(((tags["flags"] & 2) > 0).any())
+    has_main = bool((tags["inside"] > 0).any())
     mass: dict[int, int] = defaultdict(int)
-    chrome = set(tags["token"][(tags["flags"] & 4) > 0].tolist())
+    chrome = set(tags["token"][2 * tags["chrome"] > tags["pages"]].tolist())
     for t, c in varying.items():
         x, seen = t, set()
         while x is not None and x not in seen and t not in chrome:
@@ -274,19 +348,16 @@ class Template:
 
 
 def extract_page(page: str, template: Template) -> str:
-    events = list(parse(page))
-    for inside, drop in ((True, False), (False, True), (False, False)):  # an article; the template's slots; all but chrome
+    events = read(page, template.constant)
+    for inside, drop, soft in ((True, False, False), (False, True, False), (False, False, False), (False, False, True)):  # an article; the template's slots; all but chrome; all but what is in hard chrome
         blocks: list[str] = []
         run: list[str] = []
-        for what, e, raw in events:
+        for what, e, raw, _, fixed in events:
             if what == "text":
-                if e.chrome or (inside and not e.inside):
+                if (e.hard if soft else e.chrome) or (inside and not e.inside):
+                    continue
+                if drop and (fixed or (template.main is not None and not _within(e, template.main))):
                     continue
-                if drop:
-                    if template.main is not None and not _within(e, template.main):
-                        continue
-                    if template.constant and (xxhash.xxh64_intdigest(f"{e.token}\n{_clean(raw)}".encode()) >> 1) in template.constant:
-                        continue
                 run.append(raw)
             elif what == "break" and run:
                 blocks.append(_clean("".join(run)))

@@ -44,3 +44,18 @@ def test_embedded_elements_end_where_they_end():
         assert extract_page(f"<article><p>a</p><{tag} id='q'><p>b</p><p>c</p></article>", NONE) == "a\n\nb\n\nc", tag
         assert extract_page(f"<article><p>a</p><{tag} id='q' /><p>b</p><{tag}></{tag}></article>", NONE) == "a\n\nb", tag
     assert extract_page("<article><p>a <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p><object><p>instead</p></object><canvas>no</canvas></article>", NONE) == "a x=1\n\ninstead"
+
+
+def test_wrappers_named_like_chrome():
+    """What is named like chrome is none if it holds the text, and an article's parts are not readers' talk."""
+    body = "<p>The first sentence of the text.</p><p>The second sentence of it.</p>"
+    want = "The first sentence of the text.\n\nThe second sentence of it."
+    for around in ("div class='layout has-sidebar'", "div id='page' class='header-fixed'", "form id='aspnetForm'", "div class='comments-open'"):
+        tag = around.split()[0]
+        for inner in (f"<article>{body}</article>", f"<div>{body}</div>", f"<main><div class='with-banner'>{body}</div></main>"):
+            page = f"<body><a>Skip</a><{around}><nav>Home News</nav>{inner}<div class='sidebar'>see also</div></{tag}><footer>f</footer></body>"
+            assert extract_page(page, NONE).removeprefix("Skip\n\n") == want, page
+    parts = "<section class='related-work'><h2>Related work</h2></section><section id='discussion'><h2>Discussion</h2></section>"
+    assert extract_page(f"<article>{body}{parts}<div class='related-posts'>no</div><div id='comments'>{'no ' * 40}</div></article>", NONE) == want + "\n\nRelated work\n\nDiscussion"
+    assert extract_page(f"<main>{body}</main><aside><article>{body * 3} teaser</article></aside>", NONE) == want
+    assert extract_page("<div class='sidebar'>left</div><div class='ad'>both</div><div class='ad'>last</div>", NONE) == "left\n\nboth\n\nlast"
