@@ -11,7 +11,9 @@ The main slots of a host are those within its article or main element; if it has
 template element that holds most of the varying text. Slots in elements whose name, role, class or id says menu,
 header, footer, sidebar, notice, advert, form or comments do not count, unless such an element (but nav, aside and
 footer) holds the page's article or most of its text, as a wrapper does, or nothing else is left. Outside an article element, text that is itself
-part of the template (the same on most pages of the host) is left out. A page that deviates, or whose host has too few
+part of the template (the same on most pages of the host) is left out; copies count once there, as each page sets bits
+in small sketches by min-wise hashes of its text, and a page with more such text than other is taken for a copy and
+keeps it. A page that deviates, or whose host has too few
 pages for a template, is read by its own elements in the same way.
 
 Character references are decoded, white space within a block becomes one space, blocks are joined by two line feeds in
@@ -30,6 +32,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -242,7 +245,24 @@ def _page_tokens(page: str) -> dict[tuple[int, int, int], list]:
     return out
 
 
+SKETCHES = 4
 _SUMS = ["pages", "v1", "v2", "at", "chars", "inside", "chrome"]
+_BODIES = [f"b{i}" for i in range(SKETCHES)]
+_XOR, _MUL = (np.random.default_rng(20240301 + i).integers(0, 2**64, SKETCHES, dtype=np.uint64) | np.uint64(i) for i in (0, 1))
+
+
+def _body(tokens: dict[tuple[int, int, int], list]) -> list[int]:
+    """One bit of 63 in each sketch, by a min-wise hash of the page's text nodes (those of its articles, if it has any):
+    exact copies set the same bits, near copies mostly. Joined by "or", they tell how many distinct bodies there are."""
+    texts = [(key[0], s[3]) for key, s in tokens.items() if key[2] and not s[4]]
+    x = np.array([h for h, inside in texts if inside] or [h for h, _ in texts] or [0], dtype=np.uint64)
+    least = ((x[:, None] ^ _XOR) * _MUL).min(axis=0)
+    return [1 << b for b in ((least ^ (least >> np.uint64(29))) % np.uint64(63)).tolist()]
+
+
+def _distinct(g: pd.DataFrame) -> np.ndarray:
+    """The mean number of bits in the sketches of each row: distinct bodies, up to 63."""
+    return sum(np.bitwise_count(g[c].to_numpy(dtype=np.int64)) for c in _BODIES) / SKETCHES
 
 
 def _vectors(pages: DataFrame) -> DataFrame:
@@ -251,11 +271,12 @@ def _vectors(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "html", 8 << 20):
-                total: dict[tuple, list] = defaultdict(lambda: [0, 0, 0, 0.0, 0, 0, 0])
+                total: dict[tuple, list] = defaultdict(lambda: [0, 0, 0, 0.0, 0, 0, 0] + [0] * SKETCHES)
                 for host, page, pid in zip(*(part.column(i).to_pylist() for i in range(3))):
                     h = xxhash.xxh64_intdigest(f"{pid}\n{page}".encode())
                     h1, h2 = h & 0x7FFFFFFF, (h >> 31) & 0x7FFFFFFF
                     tokens = _page_tokens(page or "")
+                    body = _body(tokens)
                     tokens[0, 0, 0] = [1, 0, 0, 0, 0]
                     for key, (n, at, chars, inside, chrome) in tokens.items():
                         s = total[host, *key]
@@ -266,23 +287,26 @@ def _vectors(pages: DataFrame) -> DataFrame:
                         s[4] += chars
                         s[5] += inside
                         s[6] += chrome
+                        for i in range(SKETCHES):
+                            s[7 + i] |= body[i]
                 keys = list(zip(*total)) if total else [()] * 4
-                sums = list(zip(*total.values())) if total else [()] * 7
-                types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*keys, *sums], types)], names=["host", "token", "up", "kind", *_SUMS])
+                sums = list(zip(*total.values())) if total else [()] * (7 + SKETCHES)
+                types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()] + [pa.int64()] * SKETCHES
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*keys, *sums], types)], names=["host", "token", "up", "kind", *_SUMS, *_BODIES])
 
-    schema = "host string, token bigint, up bigint, kind int, pages bigint, v1 bigint, v2 bigint, at double, chars bigint, inside bigint, chrome bigint"
+    schema = "host string, token bigint, up bigint, kind int, pages bigint, v1 bigint, v2 bigint, at double, chars bigint, inside bigint, chrome bigint" + "".join(f", {c} bigint" for c in _BODIES)
     each = pages.select("host", "html", "page_id").mapInArrow(run, schema)
-    return each.groupBy("host", "token", "up", "kind").agg(*(F.sum(c).alias(c) for c in _SUMS))
+    return each.groupBy("host", "token", "up", "kind").agg(*(F.sum(c).alias(c) for c in _SUMS), *(F.bit_or(c).alias(c) for c in _BODIES))
 
 
 # -- templates ------------------------------------------------------------------------------------------------------
 
 
-def deduce(g: pd.DataFrame, n: int, v1: int, v2: int) -> dict:
+def deduce(g: pd.DataFrame, n: int, v1: int, v2: int, bodies: float) -> dict:
     """The template of one host from its frequent tokens.
 
-    n, v1, v2: the number of pages and the vector of "once on every page". Returns the classes (root first; of each
+    n, v1, v2: the number of pages and the vector of "once on every page"; bodies: of distinct bodies, as _distinct()
+    counts. A text node is constant if it is on half of the pages and of the distinct bodies, on 3 at least. Returns the classes (root first; of each
     its elements in page order, and the class and element that it is nested in), the constant text nodes, the element
     that holds the main slots (None if the host has an article or main element) and whether it has one."""
     g = g.assign(at=g["at"] / g["pages"])
@@ -304,7 +328,7 @@ def deduce(g: pd.DataFrame, n: int, v1: int, v2: int) -> dict:
         around = {holder(t) for t in own["token"].tolist()}
         if len(around) == 1:  # valid: its elements all lie in one slot of the root
             classes.append({"in": around.pop(), "tokens": sorted(own["token"].tolist(), key=lambda t: (place[t], t))})
-    fixed = texts[texts["pages"] >= max(3, 0.5 * n)]
+    fixed = texts[(texts["pages"] >= max(3, 0.5 * n)) & (_distinct(texts) >= max(3, 0.5 * bodies))]
     constant = fixed["token"].tolist()
     varying = dict(zip(tags["token"].tolist(), tags["chars"].tolist()))
     for t, c in zip(fixed["up"].tolist(), fixed["chars"].tolist()):
@@ -328,12 +352,13 @@ def templates(pages: DataFrame, least_share: float = 0.3) -> DataFrame:
     """host, template (JSON): frequent tokens are those on at least 2 pages and on least_share of the host's pages, so
     that a host has at most 1 / least_share times as many as its average page."""
     vectors = materialise(_vectors(pages))
-    whole = vectors.filter("token = 0").select("host", F.col("pages").alias("n"), F.col("v1").alias("n1"), F.col("v2").alias("n2"))
+    whole = vectors.filter("token = 0").select("host", F.col("pages").alias("n"), F.col("v1").alias("n1"), F.col("v2").alias("n2"), *(F.col(c).alias(f"n{c}") for c in _BODIES))
     often = vectors.filter("token <> 0 AND pages >= 2").join(whole, "host").filter(F.col("pages") >= least_share * F.col("n"))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         n, a, b = (int(g[c].iloc[0]) for c in ("n", "n1", "n2"))
-        return pd.DataFrame({"host": [g["host"].iloc[0]], "template": [json.dumps(deduce(g, n, a, b))]})
+        bodies = float(_distinct(g[:1][[f"n{c}" for c in _BODIES]].set_axis(_BODIES, axis=1))[0])
+        return pd.DataFrame({"host": [g["host"].iloc[0]], "template": [json.dumps(deduce(g, n, a, b, bodies))]})
 
     return materialise(grouped_map(often, ["host"], run, "host string, template string"))
 
@@ -349,14 +374,17 @@ class Template:
 
 def extract_page(page: str, template: Template) -> str:
     events = read(page, template.constant)
+    texts = [(e, len(raw), fixed) for _, e, raw, h, fixed in events if h]
     for inside, drop, soft in ((True, False, False), (False, True, False), (False, False, False), (False, False, True)):  # an article; the template's slots; all but chrome; all but what is in hard chrome
+        own = [(n, fixed) for e, n, fixed in texts if drop and not e.chrome and (template.main is None or _within(e, template.main))]
+        drop_fixed = 2 * sum(n for n, fixed in own if fixed) < sum(n for n, _ in own)  # else the page is a copy of others
         blocks: list[str] = []
         run: list[str] = []
         for what, e, raw, _, fixed in events:
             if what == "text":
                 if (e.hard if soft else e.chrome) or (inside and not e.inside):
                     continue
-                if drop and (fixed or (template.main is not None and not _within(e, template.main))):
+                if drop and ((fixed and drop_fixed) or (template.main is not None and not _within(e, template.main))):
                     continue
                 run.append(raw)
             elif what == "break" and run:

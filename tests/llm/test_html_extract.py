@@ -59,3 +59,24 @@ def test_wrappers_named_like_chrome():
     assert extract_page(f"<article>{body}{parts}<div class='related-posts'>no</div><div id='comments'>{'no ' * 40}</div></article>", NONE) == want + "\n\nRelated work\n\nDiscussion"
     assert extract_page(f"<main>{body}</main><aside><article>{body * 3} teaser</article></aside>", NONE) == want
     assert extract_page("<div class='sidebar'>left</div><div class='ad'>both</div><div class='ad'>last</div>", NONE) == "left\n\nboth\n\nlast"
+
+
+def test_copies_are_no_template(spark):
+    """Paragraphs shared by revisions of one article stay, on a small host and where copies are half of the pages."""
+    rows, want = [], {}
+
+    def add(i, host, parts):
+        want[i] = "\n\n".join(parts)
+        rows.append((i, f"http://{host}/{i}", "<body><div class='t'>Terms and conditions apply</div><div class='m'>" + "".join(f"<div>{p}</div>" for p in parts) + "</div></body>"))
+
+    shared = [f"Paragraph {k} of the article that was revised, word {k * k}." for k in range(6)]
+    for i in range(3):
+        add(i, "few.example", [*shared, f"Revision {i} changed only this."])
+    add(3, "few.example", [f"Another page says {k} things." for k in range(5)])
+    for i in range(10, 30):
+        parts = [f"Page {i} has its own sentence {k} here." for k in range(6)]
+        add(i, "half.example", [*shared[: i % 6], f"Changed in {i}.", *shared[i % 6 + 1 :]] if i % 2 else parts)
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in want:
+        assert got[i].removeprefix("Terms and conditions apply\n\n") == want[i], (i, got[i])
+    assert all(got[i] == want[i] for i in range(10, 30))
