@@ -3,18 +3,20 @@
 Tokens of a page are its elements, each by the path of tags and classes that leads to it, and its text nodes, by the
 path and the text. A token's occurrence vector, its number on each page of a host, is kept as two sums of page hashes
 times counts, so a group-by finds the tokens that share a vector, in one pass and with partial sums. Tokens with equal
-vectors form an equivalence class; classes with enough support whose elements keep their order and whose path
-leads through one slot of another class are nested in it. The class of vector "once on every page" is the root of the
-host's template. What a template leaves over are slots: elements with text that varies between pages.
-
-The main slots of a host are those within its article or main element; if it has none, those within the deepest
-template element that holds most of the varying text. Slots in elements whose name, role, class or id says menu,
-header, footer, sidebar, notice, advert, form or comments do not count, unless such an element (but nav, aside and
-footer) holds the page's article or most of its text, as a wrapper does, or nothing else is left. Outside an article element, text that is itself
-part of the template (the same on most pages of the host) is left out; copies count once there, as each page sets bits
-in small sketches by min-wise hashes of its text, and a page with more such text than other is taken for a copy and
-keeps it. A page that deviates, or whose host has too few
-pages for a template, is read by its own elements in the same way.
+vectors form an equivalence class; classes with enough support whose path leads through one slot of another class are
+nested in it. The class of vector "once on every page" is the root of the host's template. The order of a class's
+elements is that of their mean places; that each page keeps it is not checked. What a template leaves over are slots:
+elements with text that varies between pages.
+
+The main slot of a host is the element of the root that holds most of the varying text: an article or main element if
+one has three tenths of it, else the deepest that has six tenths. On a page, articles within the slot (or on the page, if
+it has no slot) are read alone if they hold three tenths of what varies there. Slots in elements whose name, role, class
+or id says menu, header, footer, sidebar, notice, advert, form or comments do not count, unless such an element (but nav,
+aside and footer) holds the page's article or most of its text, as a wrapper does, or nothing else is left. Text that is
+part of the template is left out, in articles too: what is the same on most pages of the host, or comes with an element
+of a nested class whenever that comes. Copies count once there, as each page sets bits in small sketches by min-wise
+hashes of its text, and a page with as much such text in its slot as other is taken for a copy and keeps it. A page
+whose host has too few pages for a template is read by its own elements, articles first.
 
 Character references are decoded, white space within a block becomes one space, blocks are joined by two line feeds in
 page order. A null html, or one without such text, gives an empty text. A null url is a host of its own. Rows that
@@ -270,7 +272,7 @@ def _vectors(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "html", 8 << 20):
+            for part in slices(batch, "html", 4 << 20):
                 total: dict[tuple, list] = defaultdict(lambda: [0, 0, 0, 0.0, 0, 0, 0] + [0] * SKETCHES)
                 for host, page, pid in zip(*(part.column(i).to_pylist() for i in range(3))):
                     h = xxhash.xxh64_intdigest(f"{pid}\n{page}".encode())
@@ -307,8 +309,8 @@ def deduce(g: pd.DataFrame, n: int, v1: int, v2: int, bodies: float) -> dict:
 
     n, v1, v2: the number of pages and the vector of "once on every page"; bodies: of distinct bodies, as _distinct()
     counts. A text node is constant if it is on half of the pages and of the distinct bodies, on 3 at least. Returns the classes (root first; of each
-    its elements in page order, and the class and element that it is nested in), the constant text nodes, the element
-    that holds the main slots (None if the host has an article or main element) and whether it has one."""
+    its elements by mean place, and the element of the root that it is nested in), the constant text nodes, with those of
+    nested classes (blocks that only some pages have), and the element that holds the main slots, if there is one."""
     g = g.assign(at=g["at"] / g["pages"])
     tags, texts = g[g["kind"] == 0], g[g["kind"] == 1]
     up = dict(zip(tags["token"].tolist(), tags["up"].tolist()))
@@ -323,17 +325,23 @@ def deduce(g: pd.DataFrame, n: int, v1: int, v2: int, bodies: float) -> dict:
             x = up.get(x)
         return x if x in root else None
 
+    different = dict(zip(texts["token"].tolist(), _distinct(texts).tolist()))
+    texts_of = {k: x for k, x in texts.groupby(["v1", "v2"])}
+    labels: list[int] = []
     classes = [{"in": None, "tokens": sorted(root, key=lambda t: (place[t], t))}]
-    for _, own in tags[~tags["token"].isin(root)].groupby(["v1", "v2"], sort=True):
+    for vector, own in tags[~tags["token"].isin(root)].groupby(["v1", "v2"], sort=True):
         around = {holder(t) for t in own["token"].tolist()}
         if len(around) == 1:  # valid: its elements all lie in one slot of the root
             classes.append({"in": around.pop(), "tokens": sorted(own["token"].tolist(), key=lambda t: (place[t], t))})
-    fixed = texts[(texts["pages"] >= max(3, 0.5 * n)) & (_distinct(texts) >= max(3, 0.5 * bodies))]
+            if (same := texts_of.get(vector)) is not None:  # text that comes with its element whenever that comes
+                held = same[same["up"].isin(own["token"])]
+                labels += [t for t in held["token"].tolist() if different[t] >= max(3, 0.25 * bodies)]
+    fixed = texts[((texts["pages"] >= max(3, 0.5 * n)) & (_distinct(texts) >= max(3, 0.5 * bodies))) | texts["token"].isin(labels)]
     constant = fixed["token"].tolist()
     varying = dict(zip(tags["token"].tolist(), tags["chars"].tolist()))
     for t, c in zip(fixed["up"].tolist(), fixed["chars"].tolist()):
         varying[t] = varying.get(t, 0) - c
-    has_main = bool((tags["inside"] > 0).any())
+    hinted = set(tags["token"][2 * tags["inside"] > tags["pages"]].tolist())
     mass: dict[int, int] = defaultdict(int)
     chrome = set(tags["token"][2 * tags["chrome"] > tags["pages"]].tolist())
     for t, c in varying.items():
@@ -343,9 +351,10 @@ def deduce(g: pd.DataFrame, n: int, v1: int, v2: int, bodies: float) -> dict:
             mass[x] += max(0, c)
             x = up.get(x)
     total = max(mass.values(), default=0)
-    heavy = [t for t in root if mass.get(t, 0) >= 0.6 * total and total > 0 and t not in chrome]
-    deepest = max(heavy, key=lambda t: (place[t], t), default=None)
-    return {"classes": classes, "constant": constant, "main": None if has_main else deepest, "has_main": has_main}
+    heavy = [t for t in root if mass.get(t, 0) >= (0.3 if t in hinted else 0.6) * total and total > 0 and t not in chrome]
+    outer = [t for t in heavy if t in hinted and up.get(t) not in hinted]  # an article or main element
+    main = max(outer, key=lambda t: (mass[t], t)) if outer else max(heavy, key=lambda t: (place[t], t), default=None)
+    return {"classes": classes, "constant": constant, "main": main}
 
 
 def templates(pages: DataFrame, least_share: float = 0.3) -> DataFrame:
@@ -360,6 +369,7 @@ def templates(pages: DataFrame, least_share: float = 0.3) -> DataFrame:
         bodies = float(_distinct(g[:1][[f"n{c}" for c in _BODIES]].set_axis(_BODIES, axis=1))[0])
         return pd.DataFrame({"host": [g["host"].iloc[0]], "template": [json.dumps(deduce(g, n, a, b, bodies))]})
 
+    often = materialise(often)  # else the join's own shuffle by host may stand in for that of grouped_map, and be read in parts
     return materialise(grouped_map(often, ["host"], run, "host string, template string"))
 
 
@@ -368,33 +378,34 @@ def templates(pages: DataFrame, least_share: float = 0.3) -> DataFrame:
 
 class Template:
     def __init__(self, text: str | None):
-        t = json.loads(text) if text else {"classes": [], "constant": [], "main": None, "has_main": False}
+        t = json.loads(text) if text else {"classes": [], "constant": [], "main": None}
         self.constant, self.main, self.known = frozenset(t["constant"]), t["main"], bool(text)
 
 
 def extract_page(page: str, template: Template) -> str:
     events = read(page, template.constant)
-    texts = [(e, len(raw), fixed) for _, e, raw, h, fixed in events if h]
-    for inside, drop, soft in ((True, False, False), (False, True, False), (False, False, False), (False, False, True)):  # an article; the template's slots; all but chrome; all but what is in hard chrome
-        own = [(n, fixed) for e, n, fixed in texts if drop and not e.chrome and (template.main is None or _within(e, template.main))]
-        drop_fixed = 2 * sum(n for n, fixed in own if fixed) < sum(n for n, _ in own)  # else the page is a copy of others
-        blocks: list[str] = []
-        run: list[str] = []
-        for what, e, raw, _, fixed in events:
-            if what == "text":
-                if (e.hard if soft else e.chrome) or (inside and not e.inside):
-                    continue
-                if drop and ((fixed and drop_fixed) or (template.main is not None and not _within(e, template.main))):
-                    continue
-                run.append(raw)
-            elif what == "break" and run:
-                blocks.append(_clean("".join(run)))
-                run = []
-        if run:
+    texts = [(i, e, len(raw), fixed) for i, (_, e, raw, h, fixed) in enumerate(events) if h]
+    shown = [x for x in texts if not x[1].chrome]
+    slots = [x for x in shown if _within(x[1], template.main)] if template.main is not None else []
+    own = slots or shown or [x for x in texts if not x[1].hard]
+    articles = [x for x in own if x[1].inside]
+    if not template.known or sum(n for _, _, n, fixed in articles if not fixed) >= 0.3 * sum(n for _, _, n, fixed in own if not fixed):
+        own = articles or own
+    left = [x for x in own if not x[3]]
+    if 2 * sum(x[2] for x in left) > sum(x[2] for x in own):  # else the page is a copy of others
+        own = left
+    kept = {x[0] for x in own}
+    blocks: list[str] = []
+    run: list[str] = []
+    for i, (what, _, raw, h, _) in enumerate(events):
+        if what == "text" and (i in kept or (not h and run)):  # blanks between what is kept
+            run.append(raw)
+        elif what == "break" and run:
             blocks.append(_clean("".join(run)))
-        if blocks := [b for b in blocks if b]:
-            return "\n\n".join(blocks)
-    return ""
+            run = []
+    if run:
+        blocks.append(_clean("".join(run)))
+    return "\n\n".join(b for b in blocks if b)
 
 
 def _within(e: Element | None, token: int) -> bool:
@@ -417,7 +428,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str | None, Template] = {}
         for batch in batches:
-            for part in slices(batch, "html", 8 << 20):
+            for part in slices(batch, "html", 4 << 20):
                 out = []
                 for page, t in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
                     if t not in known:

@@ -61,6 +61,10 @@ def test_wrappers_named_like_chrome():
     assert extract_page("<div class='sidebar'>left</div><div class='ad'>both</div><div class='ad'>last</div>", NONE) == "left\n\nboth\n\nlast"
 
 
+def test_blanks_between_elements():
+    assert extract_page("<article><p><b>a</b> <i>b</i>\n<a>c</a></p></article>", NONE) == "a b c"
+
+
 def test_copies_are_no_template(spark):
     """Paragraphs shared by revisions of one article stay, on a small host and where copies are half of the pages."""
     rows, want = [], {}
@@ -80,3 +84,17 @@ def test_copies_are_no_template(spark):
     for i in want:
         assert got[i].removeprefix("Terms and conditions apply\n\n") == want[i], (i, got[i])
     assert all(got[i] == want[i] for i in range(10, 30))
+
+
+def test_template_within_articles(spark):
+    """A notice in every article, an advert in some and text around teasers: the template tells, tags are hints."""
+    rows, want = [], {}
+    for i in range(12):
+        parts = [f"Page {i} of this host has sentence {k} of its own." for k in range(5)]
+        want[i] = "\n\n".join(parts)
+        advert = "<div class='x'><i>Buy this lamp</i></div>" if i % 5 < 2 else ""
+        rows.append((i, f"http://a.example/{i}", f"<article><p>We value your time</p>{advert}" + "".join(f"<p>{p}</p>" for p in parts) + "<p>Sign the petition</p></article>"))
+        want[20 + i] = want[i]
+        rows.append((20 + i, f"http://b.example/{i}", "<div class='m'>" + "".join(f"<p>{p}</p>" for p in parts) + f"</div><div class='more'><article>Teaser {i}</article></div>"))
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
