@@ -19,8 +19,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose language is undetermined: a null text, or one without any letter. A missing lang is
-    filled with the predicted one."""
+    filled with the predicted one, or stays missing if no row to learn from has one."""
     model = langid.train(docs.filter(langid.remainder("doc_id", 4) != 2))
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
     known = langid.predict(docs, model, keep=COLUMNS)
     return known.filter("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 

@@ -57,3 +57,10 @@ def test_stages_against_brute_force(spark, tmp_path):
         assert kept["tokens"][d][1:] == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(clean.encode()).hexdigest())
     assert kept["personal_data"][204].text.startswith("mail [EMAIL] or [IP]")
     assert {r.doc_id for r in cp.run(spark, sf).collect()} == set(kept["tokens"])
+
+
+def test_language_without_labels(spark):
+    """Without a label to learn from, only null texts and those without a letter are rejected."""
+    rows = [(1, "some words", None, "s", 10), (2, None, None, "s", 0), (3, "12 !!", None, "s", 5), (4, "é", None, "s", 1), (None, "слово", None, "s", 5), (6, "", None, "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {tuple(r) for r in cp.language(spark, docs, "").collect()} == {rows[0], rows[3], rows[4]}
