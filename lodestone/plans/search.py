@@ -121,8 +121,10 @@ def _(t: Tables):
 
 @query("rnk_02_rerank")
 def _(t: Tables):
-    d = t("documents").orderBy("doc_id").limit(50)
-    return S.rerank(d, "doc_id", "text", "the of and in", S.OverlapReranker())
+    """The best 50 of the fused channels over all documents and vectors, as far as a document has that number."""
+    fused = S.rank_fusion(list(_channels(t)), "id").select(F.col("id").alias("doc_id"), "score").join(t("documents").select("doc_id").distinct(), "doc_id", "left_semi")
+    best = fused.orderBy(F.desc("score"), "doc_id").limit(50).select("doc_id")
+    return S.rerank(t("documents").select("doc_id", "text").join(F.broadcast(best), "doc_id"), "doc_id", "text", "the of and in", S.OverlapReranker())
 
 
 @query("rnk_03_hybrid_search")
