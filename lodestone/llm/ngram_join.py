@@ -1,8 +1,8 @@
-"""N-gram Jaccard join: MinHash LSH forest, then exact verification.
+"""N-gram Jaccard join: MinHash banding in place of an LSH forest, then exact verification.
 
 Documents whose sets of k-word shingles are equal form a class, found by a group-by on a fingerprint of the set.
-Every class has `trees` labels: in each tree of the forest the prefix, `depth` hashes long, of its MinHash
-signature, so that the classes below one node of the sorted trie have equal labels. `forest_depth` starts from the
+Every class has `trees` labels: for each tree the prefix, `depth` hashes long, of its MinHash
+signature. No tries are built: classes that a trie would have below one node have equal labels. `forest_depth` starts from the
 longest prefix and shortens it until a pair at the threshold meets in some tree with the target probability. What
 longer prefixes match stays matched by shorter ones, and a join at one threshold ends at the same depth for all
 documents, so only that depth is looked up. Pairs that meet are verified exactly, on their whole shingle sets.
