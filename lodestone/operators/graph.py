@@ -6,6 +6,7 @@ A graph is a table of edges, mostly (paper, name) pairs of one relation; two rel
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -168,18 +169,20 @@ def betweenness(edges: DataFrame, pivots: int = 500) -> DataFrame:
     return table.join(sums, "at", "left").select("node", (F.coalesce("s", F.lit(0.0)) * scale).alias("betweenness"))
 
 
-def _betweenness_frames(both: DataFrame, nodes: DataFrame, pivots: int, most_levels: int = 64) -> DataFrame:
+def _betweenness_frames(both: DataFrame, nodes: DataFrame, pivots: int) -> DataFrame:
+    """Walks until no pivot reaches a new node; as edges go both ways, a neighbour is new unless it is in the last two levels."""
+    both = materialise(both)
     n = nodes.count()
     k = min(n, pivots)
     start = nodes.orderBy(F.xxhash64("node"), "node").limit(k).select(F.col("node").alias("pivot"), "node", F.lit(1.0).alias("sigma"))
-    levels, seen = [start], start.select("pivot", "node")
-    while len(levels) <= most_levels:
+    levels = [start]
+    while True:
+        seen = reduce(DataFrame.unionByName, (x.select("pivot", "node") for x in levels[-2:]))
         step = levels[-1].join(both, levels[-1]["node"] == both["src"]).groupBy("pivot", F.col("dst").alias("node")).agg(F.sum("sigma").alias("sigma"))
         new = materialise(step.join(seen, ["pivot", "node"], "left_anti"))
         if new.isEmpty():
             break
         levels.append(new)
-        seen = seen.unionByName(new.select("pivot", "node"))
     delta = levels[-1].select("pivot", "node", "sigma", F.lit(0.0).alias("delta"))
     done = [delta]
     for upper in levels[-2::-1]:
