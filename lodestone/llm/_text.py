@@ -17,7 +17,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IN_WORD = np.zeros(256, dtype=bool)
 _IN_WORD[48:58] = _IN_WORD[97:123] = _IN_WORD[128:] = True
-_BASE = 0x9E3779B97F4A7C15
 U64 = np.uint64
 
 
@@ -32,7 +31,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int, base: int = _BASE) -> np.ndarray:
+def powers(n: int, base: int) -> np.ndarray:
     out = np.full(max(n, 1), base, dtype=U64)
     out[0] = 1
     return np.multiply.accumulate(out)
@@ -78,11 +77,67 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The 64-bit hash of every word, and for each row where its words begin (one more entry at the end)."""
+#: A random number for each byte at each of 64 places; later places mix in the number of their stretch of 64.
+_PLACES = 64
+_AT = np.random.default_rng(20240117).integers(0, 2**64, _PLACES * 256, dtype=U64)
+
+
+def run_hashes(body: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of bytes (the runs lie one after the other; none is empty): the sum of a random number
+    for each byte at its place, so no structure of the bytes, however long, makes two runs meet."""
+    if not len(begin):
+        return np.zeros(0, U64)
+    at = np.arange(len(body), dtype=np.int32) - np.repeat(begin.astype(np.int32), length)
+    if int(length.max()) <= _PLACES:
+        f = _AT[(at << 8) + body]
+    else:
+        f = _AT[((at & (_PLACES - 1)) << 8) + body]
+        far = np.flatnonzero(at >= _PLACES)
+        f[far] = mix(f[far] ^ mix((at[far] >> 6).astype(U64)))
+    return mix(np.add.reduceat(f, begin) + length.astype(U64))
+
+
+def expand(place: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The indices place[0], place[0] + 1, ... (size[0] of them), place[1], ..."""
+    stop = np.cumsum(size)
+    total = int(stop[-1]) if len(stop) else 0
+    kind = np.int32 if total + int(place.max(initial=0)) < 1 << 31 else np.int64
+    return np.repeat((place - (stop - size)).astype(kind), size) + np.arange(total, dtype=kind)
+
+
+def same_runs(a: np.ndarray, a_at: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_at: np.ndarray, b_size: np.ndarray) -> np.ndarray:
+    """Whether run i of a equals run i of b, byte by byte."""
+    out = a_size == b_size
+    i = np.flatnonzero(out & (a_size > 0))
+    if len(i):
+        size = a_size[i]
+        equal = a[expand(a_at[i], size)] == b[expand(b_at[i], size)]
+        if not equal.all():
+            out[i] = np.logical_and.reduceat(equal, np.cumsum(size) - size)
+    return out
+
+
+def distinct_runs(body: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash of each distinct run, the first run that is it, and which of these each run is. Runs of one hash are
+    compared byte by byte; should two differ, all are told apart as bytes."""
+    h = run_hashes(body, begin, length)
+    distinct, where, back = np.unique(h, return_index=True, return_inverse=True)
+    rep = where[back]
+    if not (np.array_equal(length, length[rep]) and np.array_equal(body, body[expand(begin[rep], length)])):
+        raw, seen = body.tobytes(), {}
+        back = np.array([seen.setdefault(raw[a : a + n], len(seen)) for a, n in zip(begin.tolist(), length.tolist())])
+        _, where = np.unique(back, return_index=True)
+        distinct = h[where]
+    return distinct, where, back
+
+
+def cut_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all words one after the other, where each begins and how long it is, and for each row where its
+    words begin (one more entry at the end)."""
     n = len(offsets) - 1
+    none = np.zeros(0, np.int64)
     if not len(data):
-        return np.zeros(0, U64), np.zeros(n + 1, np.int64)
+        return data, none, none, np.zeros(n + 1, np.int64)
     low = _LOWER[data]
     mask = _IN_WORD[low]
     first = mask.copy()
@@ -91,13 +146,16 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     first[inner] = mask[inner]
     starts = np.flatnonzero(first)
     if not len(starts):
-        return np.zeros(0, U64), np.zeros(n + 1, np.int64)
+        return data[:0], none, none, np.zeros(n + 1, np.int64)
     kept = low[mask]
     begin = np.flatnonzero(first[mask])
-    length = np.diff(np.append(begin, len(kept)))
-    at = np.arange(len(kept)) - np.repeat(begin, length)
-    h = np.add.reduceat((kept.astype(U64) + U64(1)) * powers(int(length.max()))[at], begin)
-    return mix(h + length.astype(U64)), np.searchsorted(starts, offsets)
+    return kept, begin, np.diff(np.append(begin, len(kept))), np.searchsorted(starts, offsets)
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hash of every word, and for each row where its words begin (one more entry at the end)."""
+    kept, begin, length, bounds = cut_words(data, offsets)
+    return run_hashes(kept, begin, length), bounds
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:

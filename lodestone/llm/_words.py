@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from lodestone.llm._text import mix, powers
+from lodestone.llm._text import distinct_runs, expand, run_hashes, same_runs
 
 
 def _merged(a: tuple, b: tuple) -> tuple:
@@ -14,48 +14,78 @@ def _merged(a: tuple, b: tuple) -> tuple:
     return (h[order], *(np.concatenate([x, y])[order] for x, y in zip(a[1:], b[1:])))
 
 
-def expand(place: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The indices place[0], place[0] + 1, ... (size[0] of them), place[1], ..."""
-    stop = np.cumsum(size)
-    return np.repeat(place - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)
+class Pool:
+    """An array that grows."""
+
+    def __init__(self, kind: np.dtype):
+        self.data, self.used = np.zeros(1 << 16, kind), 0
+
+    def add(self, x: np.ndarray) -> int:
+        """Appends x; where it begins."""
+        if self.used + len(x) > len(self.data):
+            self.data = np.concatenate([self.data[: self.used], np.zeros(max(len(x), self.used), self.data.dtype)])
+        self.data[self.used : self.used + len(x)] = x
+        self.used += len(x)
+        return self.used - len(x)
 
 
 class WordTable:
-    """learn(words) gives the ids of new words. Words are told apart by 96-bit hashes and kept as sorted hashes,
-    offsets and ids, up to `cache` of them, some 30 bytes each; then the table starts anew."""
+    """learn(words) gives the ids of new words. Words are found by a 64-bit hash and then compared byte by byte; those
+    whose hash another word has are kept in a dict. Up to `cache` words are kept, some 40 bytes each; then the table
+    starts anew, with the words of `start` if it is given."""
 
-    def __init__(self, learn: Callable[[list[bytes]], list[np.ndarray]], kind: np.dtype, cache: int = 1_000_000):
-        self.learn, self.kind, self.cache = learn, kind, cache
+    def __init__(self, learn: Callable[[list[bytes]], list[np.ndarray]], kind: np.dtype, cache: int = 1_000_000, start: tuple[list[bytes], list[np.ndarray]] | None = None):
+        self.learn, self.kind, self.cache, self.start = learn, kind, cache, start
         self.clear()
 
     def clear(self) -> None:
         none = lambda kind: np.zeros(0, kind)
-        self.tiers = [(none(np.uint64), none(np.uint32), none(np.int64), none(np.int32)) for _ in range(2)]
-        self.flat, self.used = np.zeros(1 << 16, self.kind), 0
-
-    def _add(self, h: np.ndarray, check: np.ndarray, words: list[bytes]) -> None:
-        """Joins the small tier, which joins the large one when it has grown."""
-        ids = self.learn(words)
-        n = np.array([len(x) for x in ids], dtype=np.int32)
-        total = int(n.sum())
-        if self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(total, self.used), self.kind)])
-        self.flat[self.used : self.used + total] = np.concatenate(ids)
-        at = self.used + np.cumsum(n, dtype=np.int64) - n
-        self.used += total
-        self.tiers[1] = _merged(self.tiers[1], (h, check, at, n))
+        self.tiers = [(none(np.uint64), none(np.int64), none(np.int32), none(np.int64), none(np.int32)) for _ in range(2)]
+        self.flat, self.raw = Pool(self.kind), Pool(np.dtype(np.uint8))
+        self.odd: dict[bytes, tuple[int, int]] = {}
+        if self.start and self.start[0]:
+            words, ids = self.start
+            length = np.array([len(w) for w in words], dtype=np.int64)
+            body = np.frombuffer(b"".join(words), dtype=np.uint8)
+            self._add(run_hashes(body, np.cumsum(length) - length, length), words, ids)
+
+    def _add(self, h: np.ndarray, words: list[bytes], ids: list[np.ndarray]) -> None:
+        """Joins the small tier, which joins the large one when it has grown. A hash that is there, or twice among the
+        new ones, keeps its first word; others of it are odd."""
+        n, size = (np.array([len(x) for x in xs], dtype=np.int64) for xs in (ids, words))
+        at = self.flat.add(np.concatenate(ids) if ids else np.zeros(0, self.kind)) + np.cumsum(n) - n
+        _, first = np.unique(h, return_index=True)
+        taken = np.ones(len(h), bool)
+        taken[first] = False
+        for th, *_ in self.tiers:
+            if len(th):
+                taken |= th[np.minimum(np.searchsorted(th, h), len(th) - 1)] == h
+        for i in np.flatnonzero(taken).tolist():
+            self.odd[words[i]] = (int(at[i]), int(n[i]))
+        i = np.flatnonzero(~taken)
+        raw = np.frombuffer(b"".join([words[k] for k in i.tolist()]), dtype=np.uint8)
+        where = self.raw.add(raw) + np.cumsum(size[i]) - size[i]
+        order = np.argsort(h[i], kind="stable")
+        new = (h[i][order], at[i][order], n[i][order].astype(np.int32), where[order], size[i][order].astype(np.int32))
+        self.tiers[1] = _merged(self.tiers[1], new)
         if len(self.tiers[1][0]) > 200_000:
             self.tiers[0] = _merged(self.tiers[0], self.tiers[1])
             self.tiers[1] = tuple(x[:0] for x in self.tiers[1])
 
-    def _find(self, h: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        known, at, n = np.zeros(len(h), bool), np.zeros(len(h), np.int64), np.zeros(len(h), np.int32)
-        for th, tc, ta, tn in self.tiers:
+    def _find(self, h: np.ndarray, body: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        known, at, n = np.zeros(len(h), bool), np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        for th, ta, tn, tr, ts in self.tiers:
             if len(th):
                 i = np.minimum(np.searchsorted(th, h), len(th) - 1)
-                hit = (th[i] == h) & (tc[i] == check)
-                known |= hit
-                at[hit], n[hit] = ta[i[hit]], tn[i[hit]]
+                hit = np.flatnonzero(th[i] == h)
+                k = i[hit]
+                hit = hit[same := same_runs(body, begin[hit], length[hit], self.raw.data, tr[k], ts[k].astype(np.int64))]
+                known[hit], at[hit], n[hit] = True, ta[k[same]], tn[k[same]]
+        if self.odd:
+            raw = body.tobytes()
+            for i in np.flatnonzero(~known).tolist():
+                if (got := self.odd.get(raw[begin[i] : begin[i] + length[i]])) is not None:
+                    known[i], (at[i], n[i]) = True, got
         return known, at, n
 
     def ids(self, body: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,23 +94,16 @@ class WordTable:
         if not len(cut):
             return np.zeros(0, np.int64), np.zeros(0, self.kind)
         length = np.diff(np.append(cut, len(body)))
-        at = np.arange(len(body), dtype=np.int32) - np.repeat(cut.astype(np.int32), length)
-        longest = int(length.max())
-        h = mix(np.add.reduceat((body.astype(np.uint64) + np.uint64(1)) * powers(longest)[at], cut) + length.astype(np.uint64))
-        check = np.add.reduceat(body.astype(np.uint32) * (powers(longest, 0xC2B2AE3D27D4EB4F) >> np.uint64(32)).astype(np.uint32)[at], cut)
-        distinct, where, back = np.unique(h, return_index=True, return_inverse=True)
-        same = check[where]
-        if (same[back] != check).any():  # two words with one 64-bit hash: told apart by both
-            h = mix(h ^ check.astype(np.uint64))
-            distinct, where, back = np.unique(h, return_index=True, return_inverse=True)
-            same = check[where]
-        if len(self.tiers[0][0]) + len(self.tiers[1][0]) > self.cache or self.used > 8 * self.cache:
+        distinct, where, back = distinct_runs(body, cut, length)
+        begin, length = cut[where], length[where]
+        if len(self.tiers[0][0]) + len(self.tiers[1][0]) > self.cache or self.flat.used + self.raw.used // 4 > 8 * self.cache or len(self.odd) > self.cache:
             self.clear()
-        known, place, n = self._find(distinct, same)
+        known, place, n = self._find(distinct, body, begin, length)
         if not known.all():
             fresh = np.flatnonzero(~known)
-            raw, a = body.tobytes(), cut[where[fresh]]
-            self._add(distinct[fresh], same[fresh], [raw[x:y] for x, y in zip(a.tolist(), (a + length[where[fresh]]).tolist())])
-            known, place, n = self._find(distinct, same)
-        size = n[back].astype(np.int64)
-        return size, self.flat[expand(place[back], size)]
+            raw = body.tobytes()
+            new = [raw[a:b] for a, b in zip(begin[fresh].tolist(), (begin + length)[fresh].tolist())]
+            self._add(distinct[fresh], new, self.learn(new))
+            known, place, n = self._find(distinct, body, begin, length)
+        size = n[back]
+        return size, self.flat.data[expand(place[back], size)]

@@ -1,19 +1,23 @@
 """Byte-level BPE by corpus-level merge replay, and decoding.
 
-A corpus, here a chunk of about `chunk_bytes` bytes of whole texts in one task, is cut at white space in a way that the
-pattern cannot see, and reduced to its distinct pieces by hashes of their bytes, and those to their distinct words (the
-matches of the pattern). Their bytes lie in one array of tokens with links to the next and previous one.
+Texts are cut at white space in a way that the pattern cannot see, and each task reduces its texts to their distinct
+pieces with their numbers; these are summed over the corpus, so that each distinct piece of the corpus is one row of one
+dictionary, and is replayed once. In the replay the bytes of the pieces' distinct words (the matches of the pattern) lie in
+one array of tokens with links to the next and previous one.
 An inverted index maps each pair's rank to the positions at which the pair stands. Ranks are taken in order; a rank's
 merges are applied to all its positions at once, and only the pairs with the touched neighbours are entered anew, as
-lists under their own ranks. Texts are then encoded by looking pieces up, all at once. Pieces seen before in the same
-Python worker are kept, up to `cache` of them, so later chunks replay only what is new.
+lists under their own ranks. Texts are then encoded by looking pieces up, all at once, and no text is shuffled.
+
+The dictionary is a table in the shared folder. Encoders hold its most frequent pieces, at most `held` of at most
+LONGEST bytes (about 10 MB, which bounds what is broadcast); they replay pieces beyond that themselves, slice by slice,
+and keep up to 700,000 of them.
 
 Merging all positions of a rank at once equals merging the lowest-ranked, leftmost pair of a word again and again
 unless a merge makes a pair of a lower or equal rank. Words in which that happens are encoded one by one in the plain
 way, so ids always are those of the plain way, for any table of ranks.
 
 Null texts are empty, and empty texts have no ids. Texts are never cut. Rows that repeat a doc_id are each returned;
-other columns are not read.
+an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,8 +35,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._text import slices, utf8
-from lodestone.llm._words import WordTable, expand
+from lodestone.llm._spark import materialise
+from lodestone.llm._text import distinct_runs, expand, slices, utf8
+from lodestone.llm._words import WordTable
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -203,10 +209,10 @@ def _wide_blanks(data: np.ndarray) -> np.ndarray:
 class Codec:
     """Texts to ids and back. What is kept between texts is the table of pieces, and small tables of all tokens."""
 
-    def __init__(self, path: str, pattern: str, cache: int = 700_000):
+    def __init__(self, path: str, pattern: str, cache: int = 700_000, start: tuple[list[bytes], list[np.ndarray]] | None = None):
         self.replay, self.split = MergeReplay(load_ranks(path)), regex.compile(pattern).findall
         self.standard = pattern == public_tokenizers.PATTERN
-        self.table = WordTable(self._learn, np.dtype("<i4"), cache)
+        self.table = WordTable(self.learn, np.dtype("<i4"), cache, start)
         top = self.replay.top
         raw = [self.replay.bytes_of.get(i, b"") for i in range(top)]
         self.raw_size = np.array([len(b) for b in raw], dtype=np.int64)
@@ -217,7 +223,7 @@ class Codec:
         self.text_at = np.cumsum(self.text_size) - self.text_size
         self.text = np.frombuffer(b"".join(text), dtype=np.uint8)
 
-    def _learn(self, segments_: list[bytes]) -> list[np.ndarray]:
+    def learn(self, segments_: list[bytes]) -> list[np.ndarray]:
         """All words of the new segments go through one merge replay."""
         split = [[w.encode() for w in self.split(s.decode())] for s in segments_]
         words = list(dict.fromkeys(w for ws in split for w in ws))
@@ -227,12 +233,16 @@ class Codec:
         ids.update(zip(todo, self.replay.encode(todo)))
         return [np.array([i for w in ws for i in ids[w]], dtype=np.int32) for ws in split]
 
+    def cut(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where the pieces begin; a pattern that is not known gets whole texts."""
+        return segments(data, offsets) if self.standard else np.unique(offsets[:-1][np.diff(offsets) > 0])
+
     def encode_batch(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """data, offsets: UTF-8 of texts. The number of ids of each text, and all ids."""
         docs = len(offsets) - 1
         if not len(data):
             return np.zeros(docs, np.int64), np.zeros(0, np.int32)
-        cut = segments(data, offsets) if self.standard else np.unique(offsets[:-1][np.diff(offsets) > 0])
+        cut = self.cut(data, offsets)
         size, ids = self.table.ids(data, cut)
         of = np.append(0, np.cumsum(size))[np.searchsorted(cut, offsets)]
         return np.diff(of), ids
@@ -251,21 +261,86 @@ class Codec:
         return self.text[expand(self.text_at[ids], self.text_size[ids])][:-1].tobytes()
 
 
-#: One codec for each worker process and file.
+#: One codec for each worker process, file and dictionary.
 _CODECS: dict[tuple, Codec] = {}
 
 
-def codec(path: str, pattern: str) -> Codec:
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(path, pattern)
-    return _CODECS[path, pattern]
+def codec(path: str, pattern: str, key: str = "", start: tuple[list[bytes], list[np.ndarray]] | None = None) -> Codec:
+    if (path, pattern, key) not in _CODECS:
+        _CODECS.clear()
+        _CODECS[path, pattern, key] = Codec(path, pattern, start=start)
+    return _CODECS[path, pattern, key]
+
+
+#: The most bytes of a piece that encoders hold from the dictionary.
+LONGEST = 48
+
 
+def dictionary(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, chunk_bytes: int = 1 << 20, most: int = 300_000) -> DataFrame:
+    """piece (binary), n (how often the corpus has it) and ids, for every distinct piece, as a written table. A task
+    sends a piece once, or once for each `most` distinct ones."""
+    path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, total = codec(path, pattern), {}
+
+        def send() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["piece", "n"])
 
-def _mapped(docs: DataFrame, doc_id: str, text: str, path: str, pattern: str, chunk_bytes: int, fields: list, row) -> DataFrame:
+        for batch in batches:
+            for part in slices(batch, "text", chunk_bytes):
+                data, offsets = utf8(part.column(0))
+                cut = own.cut(data, offsets) if len(data) else offsets[:0]
+                if not len(cut):
+                    continue
+                length = np.diff(np.append(cut, len(data)))
+                _, where, back = distinct_runs(data, cut, length)
+                raw = data.tobytes()
+                for a, n, k in zip(cut[where].tolist(), length[where].tolist(), np.bincount(back).tolist()):
+                    piece = raw[a : a + n]
+                    total[piece] = total.get(piece, 0) + k
+                if len(total) > most:
+                    yield send()
+                    total.clear()
+        if total:
+            yield send()
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path, pattern)
+        for batch in batches:
+            for part in slices(batch, "piece", 8 * chunk_bytes, 1 << 18):
+                ids = own.learn(part.column(0).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["piece", "n", "ids"])
+
+    pieces = docs.select(F.col(text).alias("text")).mapInArrow(count, "piece binary, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
+    return materialise(pieces.mapInArrow(replay, "piece binary, n bigint, ids array<int>"))
+
+
+def frequent(pieces: DataFrame, held: int) -> tuple[list[bytes], list[np.ndarray]]:
+    """The pieces of a dictionary that are found at least so often that there are at most `held` of them."""
+    level = F.floor(F.log2("n") * 16)
+    own = pieces.filter(F.length("piece") <= LONGEST).select("piece", "ids", level.alias("level"))
+    left, least = held, None
+    for r in sorted(own.groupBy("level").agg(F.count("*").alias("k")).collect(), key=lambda r: -r["level"]):
+        if r["k"] > left:
+            break
+        left, least = left - r["k"], r["level"]
+    if least is None:
+        return [], []
+    rows = own.filter(F.col("level") >= least).select("piece", "ids").toArrow()
+    ids = rows.column("ids").combine_chunks()
+    flat, stop = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))
+    return rows.column("piece").to_pylist(), np.split(flat, stop[:-1]) if len(stop) else []
+
+
+def _mapped(docs: DataFrame, doc_id: str, text: str, path: str, pattern: str, chunk_bytes: int, fields: list, row, held: int) -> DataFrame:
     kind = dict(docs.dtypes)[doc_id]
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    sent = docs.sparkSession.sparkContext.broadcast(frequent(dictionary(docs, "text", path, pattern, chunk_bytes), held))
+    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        own = codec(path, pattern, key, sent.value)
         for batch in batches:
             for part in slices(batch, "text", chunk_bytes):
                 n, ids = own.encode_batch(*utf8(part.column(1)))
@@ -273,13 +348,13 @@ def _mapped(docs: DataFrame, doc_id: str, text: str, path: str, pattern: str, ch
                 cols = list(zip(*(row(own, ids[a:b]) for a, b in zip([0, *stop[:-1]], stop))))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, (_, _, t) in zip(cols, fields))], names=["doc_id", *(n for n, _, _ in fields)])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} {s}" for n, s, _ in fields))
+    return docs.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} {s}" for n, s, _ in fields))
 
 
-def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, chunk_bytes: int = 1 << 20) -> DataFrame:
+def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, chunk_bytes: int = 1 << 20, held: int = 200_000) -> DataFrame:
     """doc_id, ids (array<int>)."""
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return _mapped(docs, doc_id, text, path, pattern, chunk_bytes, [("ids", "array<int>", pa.list_(pa.int32()))], lambda own, ids: (ids,))
+    return _mapped(docs, doc_id, text, path, pattern, chunk_bytes, [("ids", "array<int>", pa.list_(pa.int32()))], lambda own, ids: (ids,), held)
 
 
 def decode(encoded: DataFrame, doc_id: str = "doc_id", ids: str = "ids", path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -300,7 +375,7 @@ def _digest_row(own: Codec, ids: np.ndarray) -> tuple[int, str, str]:
     return len(ids), hashlib.sha256(own.decimal(ids)).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()
 
 
-def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, chunk_bytes: int = 1 << 20) -> DataFrame:
+def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, chunk_bytes: int = 1 << 20, held: int = 200_000) -> DataFrame:
     """Encodes, decodes, and returns doc_id, n_tokens, ids_sha256 and decoded_sha256 from the same ids."""
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return _mapped(docs, doc_id, text, path, pattern, chunk_bytes, [("n_tokens", "bigint", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())], _digest_row)
+    return _mapped(docs, doc_id, text, path, pattern, chunk_bytes, [("n_tokens", "bigint", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())], _digest_row, held)

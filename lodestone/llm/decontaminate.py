@@ -3,7 +3,7 @@
 A fingerprint is the least hash among `w` consecutive k-grams of words, the rightmost one on ties, with k + w - 1 =
 `window`. So whatever text holds it, a shared span of `window` words has a fingerprint at the same place in both, and
 every such span is found. Item fingerprints that meet a document's are extended: each start from which a window
-would cover the fingerprint is compared with the windows of the items. Items of fewer words than the window, but
+would cover the fingerprint is compared with the windows of the items, by hash and then byte by byte. Items of fewer words than the window, but
 some, are one window of their own length and are looked up by that length.
 
 Items are taken in blocks of at most `block_words` words, which bounds what is broadcast: each block of items is a
@@ -26,8 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm._spark import materialise
-from lodestone.llm._text import grams, slices, utf8, words
-
+from lodestone.llm._text import cut_words, expand, grams, run_hashes, same_runs, slices, utf8
 
 #: The index of the block that a Python worker has last worked with, by a key of the pass.
 _BUILT: dict[str, ItemIndex] = {}
@@ -58,39 +57,70 @@ def gram_rows(bounds: np.ndarray, k: int) -> np.ndarray:
     return np.where(row[:n] == row[k - 1 : k - 1 + n], row[:n], -1)
 
 
+class Cut:
+    """Texts cut to words: their bytes one after the other, where each begins (one more entry at the end), their hashes
+    and where each text's words begin."""
+
+    def __init__(self, column: pa.Array):
+        self.body, begin, length, self.bounds = cut_words(*utf8(column))
+        self.edge = np.append(begin, len(self.body))
+        self.h = run_hashes(self.body, begin, length)
+        self.lengths = length
+
+
+def _same(a: Cut, i: np.ndarray, b: Cut, j: np.ndarray, n: int) -> np.ndarray:
+    """Whether the n words from i of a are those from j of b."""
+    out = (a.lengths[i[:, None] + np.arange(n)] == b.lengths[j[:, None] + np.arange(n)]).all(axis=1)
+    k = np.flatnonzero(out)
+    out[k] = same_runs(a.body, a.edge[i[k]], a.edge[i[k] + n] - a.edge[i[k]], b.body, b.edge[j[k]], b.edge[j[k] + n] - b.edge[j[k]])
+    return out
+
+
 class ItemIndex:
-    """Fingerprints and windows of a block of items."""
+    """Fingerprints of a block of items, and by length its distinct windows: their hashes in order, a place at which
+    each stands, and the items that have it."""
 
     def __init__(self, ids: list, column: pa.Array, window: int, k: int):
         self.window, self.k, self.w = window, k, window - k + 1
-        h, bounds = words(*utf8(column))
-        length = np.diff(bounds)
-        row = gram_rows(bounds, k)
-        g = grams(h, k)
-        self.prints = np.unique(g[winnow(g, row, self.w)]) if len(g) else g
+        self.cut = own = Cut(column)
+        length = np.diff(own.bounds)
+        g = grams(own.h, k)
+        self.prints = np.unique(g[winnow(g, gram_rows(own.bounds, k), self.w)]) if len(g) else g
         self.ids = ["" if i is None else str(i) for i in ids]
         self.named = np.array([i is not None for i in ids], dtype=bool)
-        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        of = gram_rows(bounds, window)
-        if len(of):
-            found[window] = [(grams(h, window)[of >= 0], of[of >= 0])]
-        for n in np.unique(length[(length > 0) & (length < window)]).tolist():
-            at = np.flatnonzero(length == n)
-            found[n] = [(np.concatenate([grams(h[bounds[i] : bounds[i] + n], n) for i in at]), at)]
         self.windows = {}
-        for n, parts in found.items():
-            x, item = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            order = np.lexsort((item, x))
-            x, item = x[order], item[order]
-            new = np.append(True, (x[1:] != x[:-1]) | (item[1:] != item[:-1]))
-            self.windows[n] = (x[new], item[new])
-
-    def search(self, h: np.ndarray, bounds: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, int]]:
+        of = gram_rows(own.bounds, window)
+        if (at := np.flatnonzero(of >= 0)).size:
+            self._enter(window, at, of[at])
+        for n in np.unique(length[(length > 0) & (length < window)]).tolist():
+            items = np.flatnonzero(length == n)
+            self._enter(n, own.bounds[items], items)
+
+    def _enter(self, n: int, at: np.ndarray, item: np.ndarray) -> None:
+        x = np.concatenate([grams(self.cut.h[a : a + n], n) for a in at.tolist()]) if n < self.window else grams(self.cut.h, n)[at]
+        order = np.lexsort((at, x))
+        x, at, item = x[order], at[order], item[order]
+        first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+        lead = at[np.repeat(first, np.diff(np.append(first, len(x))))]
+        number = np.cumsum(np.append(True, x[1:] != x[:-1])) - 1
+        if not _same(self.cut, at, self.cut, lead, n).all():  # other words of one hash: told apart by bytes
+            edge, raw, seen = self.cut.edge, self.cut.body.tobytes(), {}
+            words = [(tuple(np.diff(edge[a : a + n + 1]).tolist()), raw[edge[a] : edge[a + n]]) for a in at.tolist()]
+            number = np.array([seen.setdefault((int(h), w), len(seen)) for h, w in zip(x, words)])
+            order = np.argsort(number, kind="stable")
+            x, at, item, number = x[order], at[order], item[order], number[order]
+            by = np.argsort(x, kind="stable")
+            x, at, item, number = x[by], at[by], item[by], number[by]
+            number = np.cumsum(np.append(True, number[1:] != number[:-1])) - 1
+        first = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
+        self.windows[n] = (x[first], at[first], item, np.append(first, len(x)))
+
+    def search(self, docs: Cut) -> list[tuple[int, np.ndarray, np.ndarray, int]]:
         """(row, sorted starts, items, length) for every row and window length with hits."""
-        out = []
-        for n, (x, item) in self.windows.items():
+        out, h, bounds = [], docs.h, docs.bounds
+        for n, (x, place, item, edge) in self.windows.items():
             row = gram_rows(bounds, n)
-            if not len(row) or not len(x):
+            if not len(row):
                 continue
             if n == self.window:
                 g = grams(h, self.k)
@@ -105,14 +135,15 @@ class ItemIndex:
                 continue
             v = grams(h, n)[starts]
             lo, hi = np.searchsorted(x, v, side="left"), np.searchsorted(x, v, side="right")
-            hit = hi > lo
-            starts, lo, hi = starts[hit], lo[hit], hi[hit]
+            which = expand(lo, hi - lo)
+            starts = np.repeat(starts, hi - lo)
+            ok = np.concatenate([_same(docs, starts[a : a + 50_000], self.cut, place[which[a : a + 50_000]], n) for a in range(0, len(starts), 50_000)] or [np.zeros(0, bool)])
+            starts, which = starts[ok], which[ok]
             rows = row[starts]
-            for r in np.unique(rows).tolist():
-                mine = rows == r
-                spans = np.unique(np.stack([lo[mine], hi[mine]], 1), axis=0)
-                items = np.unique(np.concatenate([item[a:b] for a, b in spans.tolist()]))
-                out.append((r, starts[mine], items, n))
+            cut = np.flatnonzero(np.append(True, rows[1:] != rows[:-1])) if len(rows) else rows
+            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(rows)]):
+                own = np.unique(which[a:b])
+                out.append((int(rows[a]), starts[a:b], np.unique(item[expand(edge[own], edge[own + 1] - edge[own])]), n))
         return out
 
 
@@ -136,13 +167,13 @@ def _pass(docs: DataFrame, ids: list, texts: list, window: int, k: int, keep: li
         index = _BUILT[key]
         for batch in batches:
             for part in slices(batch, "text"):
-                h, bounds = words(*utf8(part.column(part.schema.get_field_index("text"))))
-                n = part.num_rows
+                own = Cut(part.column(part.schema.get_field_index("text")))
+                bounds, n = own.bounds, part.num_rows
                 starts: list = [[] for _ in range(n)]
                 ends: list = [[] for _ in range(n)]
                 items: list = [set() for _ in range(n)]
                 marks: dict[int, np.ndarray] = {}
-                for r, s, it, length in index.search(h, bounds):
+                for r, s, it, length in index.search(own):
                     edge = marks.setdefault(r, np.zeros(bounds[r + 1] - bounds[r] + 1, np.int64))
                     np.add.at(edge, s - bounds[r], 1)
                     np.add.at(edge, s - bounds[r] + length, -1)

@@ -10,12 +10,14 @@ Layout of a shard, little-endian: magic "LRA1", then lengths and contents of: th
 of tokens), the table (symbols and frequencies), and for each block its number of ids, checksum, states, checkpoints
 and stream. Index and table are deflated.
 
-In frames, documents are put in ascending order by ranges of their id; a task tokenises its range, and writes a shard
+In frames, documents are tokenised where they are; their ids, which take a fraction of the text, are sent to ranges of
+doc_id, whose bounds come from approximate quantiles, and sorted there; a task writes a shard
 row for about `shard_ids` ids, which bounds its memory. Rows are Parquet in the shared folder, so that any executor
-can read them; a reader decodes a shard without the others.
+can read them. A reader decodes a shard without the others, from all checkpoints of its blocks at once, and one
+document from the checkpoint before it.
 
 Null texts are empty and have the end id only. Null ids come first. Rows that repeat an id are each returned, in the
-order of their texts. Empty tables give no shards and an empty result; other columns are not read.
+order of their ids. Empty tables give no shards and an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +30,6 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -187,14 +188,42 @@ class Shard:
             x = new
         return [self.symbols[out[b].ravel()[: p[0]]] for b, p in enumerate(parts)]
 
+    def _segments(self, block: int) -> list[tuple[int, np.ndarray, int, np.ndarray]]:
+        """The stretches from the block's begin and its checkpoints to the next one: what _decode() takes."""
+        n, states, marks, stream = self._parts(block)
+        per = self.checkpoint * self.lanes
+        begins = [(0, states), *marks]
+        return [(min(per, n - i * per) if i < len(marks) else n - i * per, st, at, stream) for i, (at, st) in enumerate(begins)]
+
     def ids(self) -> np.ndarray:
-        """All ids; raises if a block's checksum differs."""
-        parts = [self._parts(b) for b in range(len(self.blocks))]
-        got = self._decode([(n, states, 0, stream) for n, states, _, stream in parts]) if parts else []
-        for (_, crc), x in zip(self.blocks, got):
+        """All ids, from all checkpoints of all blocks at once; raises if a block's checksum differs."""
+        parts = [self._segments(b) for b in range(len(self.blocks))]
+        got = iter(self._decode([x for p in parts for x in p]) if parts else [])
+        out = []
+        for (_, crc), p in zip(self.blocks, parts):
+            x = np.concatenate([next(got) for _ in p])
             if zlib.crc32(x.astype("<u4").tobytes()) != crc:
                 raise ValueError("a block's checksum differs")
-        return np.concatenate(got) if got else np.zeros(0, np.uint32)
+            out.append(x)
+        return np.concatenate(out) if out else np.zeros(0, np.uint32)
+
+    def between(self, a: int, b: int) -> np.ndarray:
+        """The ids at places a to b, from the stretches between checkpoints that hold them; without a checksum."""
+        block, out = self.steps * self.lanes, []
+        for k in range(a // block, -(-b // block)):
+            at = k * block
+            own = []
+            for s in self._segments(k):
+                if at < b and at + s[0] > a:
+                    own.append((s, at))
+                at += s[0]
+            out += [x[max(0, a - at) : b - at] for x, (_, at) in zip(self._decode([s for s, _ in own]), own)] if own else []
+        return np.concatenate(out) if out else np.zeros(0, np.uint32)
+
+    def document(self, i: int) -> np.ndarray:
+        """The ids of the document at place i of the index."""
+        stop = int(self.counts[: i + 1].sum())
+        return self.between(stop - int(self.counts[i]), stop)
 
     def from_checkpoint(self, block: int, mark: int) -> np.ndarray:
         """The ids of a block from its checkpoint number mark (from 0) on."""
@@ -214,12 +243,16 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+STANDARD = "word_bpe_49k.json"
+
+
 class Words:
     """Ids of words, each distinct word by the library once.
 
     White space always parts what the tokenizer sees as words, and so does the step from an ASCII letter or digit to
     one of some signs, or back. So texts are cut there, as arrays of bytes, and looked up in a WordTable; ASCII is
-    lower-cased first, as the tokenizer does, but for words with "<", which may name special tokens."""
+    lower-cased first, as the tokenizer does, but for words with "<", which may name special tokens. That is so for
+    the file named STANDARD; for another the library gets whole texts."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -231,6 +264,7 @@ class Words:
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.table = WordTable(self._learn, self.kind)
+        self.standard = os.path.basename(path) == STANDARD
 
     def _learn(self, raw: list[bytes]) -> list[np.ndarray]:
         """Words of letters only have one word end, and go through the library as lines of many."""
@@ -252,6 +286,10 @@ class Words:
     def encode(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """data, offsets: UTF-8 of texts. The number of ids of each text, with the end id, and all ids."""
         docs = len(offsets) - 1
+        if not self.standard:
+            raw, at = data.tobytes(), offsets.tolist()
+            got = [e.ids for e in self.library.encode_batch_fast([raw[a:b].decode() for a, b in zip(at[:-1], at[1:])], add_special_tokens=False)]
+            return np.array([len(x) + 1 for x in got], dtype=np.int64), np.array([i for x in got for i in (*x, end)], dtype=self.kind)
         kind = _KIND[data]
         first = kind > 0
         first[1:] &= (kind[:-1] == 0) | ((kind[1:] == 1) & (kind[:-1] == 2)) | ((kind[1:] == 2) & (kind[:-1] == 1))
@@ -284,35 +322,61 @@ def words_of(path: str) -> Words:
 # -- frames ---------------------------------------------------------------------------------------------------------
 
 
-def write_shards(docs: DataFrame, out: str, doc_id: str = "doc_id", text: str = "text", path: str | None = None, end: int = 2, shard_ids: int = 1 << 22) -> None:
+def _bounds(rows: DataFrame, part_bytes: int) -> list[int]:
+    """Bounds of ranges of doc_id with about part_bytes of text each, were all rows as long."""
+    size, some = rows.agg(F.sum(F.octet_length("text")), F.count("doc_id")).first()
+    parts = min(100_000, -(-(size or 0) // part_bytes))
+    if parts < 2 or not some:
+        return []
+    share = [i / parts for i in range(1, parts)]
+    return sorted(set(rows.agg(F.percentile_approx("doc_id", share, 10 * parts)).first()[0]))
+
+
+def write_shards(docs: DataFrame, out: str, doc_id: str = "doc_id", text: str = "text", path: str | None = None, end: int = 2, shard_ids: int = 1 << 22, part_bytes: int = 12 << 20) -> None:
     """Writes rows of part, shard, first (ids of the part before it), n_ids and payload to the folder out."""
     path = path or public_tokenizers.path("word_bpe_49k.json")
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    bounds = np.array(_bounds(rows, part_bytes), dtype=np.int64)
+
+    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = words_of(path)
+        for batch in batches:
+            for piece in slices(batch, "text", 4 << 20):
+                n, x = own.encode(*utf8(piece.column(1)), end)
+                ends = np.append(0, np.cumsum(n)) * x.itemsize
+                known = piece.column(0)
+                part = np.where(known.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(bounds, known.fill_null(0).to_numpy(), side="left"))
+                data = x.tobytes()
+                ids = pa.array([data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), known, ids], names=["part", "doc_id", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part, shard, first = words_of(path), TaskContext.get().partitionId(), 0, 0
-        docs_, counts, ids, held = [], [], [], 0
+        kind = words_of(path).kind
+        part, shard, first = -1, 0, 0
+        docs_, ids, held = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            payload = encode_shard(docs_, np.concatenate(counts), np.concatenate(ids))
+            counts = np.array([len(x) // kind.itemsize for x in ids], dtype=np.int64)
+            payload = encode_shard(docs_, counts, np.frombuffer(b"".join(ids), dtype=kind))
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([first], pa.int64()), pa.array([held], pa.int64()), pa.array([payload], pa.binary())], names=["part", "shard", "first", "n_ids", "payload"])
 
         for batch in batches:
-            for piece in slices(batch, "text", 4 << 20):
-                n, x = own.encode(*utf8(piece.column(1)), end)
-                docs_ += piece.column(0).to_pylist()
-                counts.append(n)
-                ids.append(x)
-                held += len(x)
-                if held >= shard_ids:
+            for p, d, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if docs_ and (p != part or held >= shard_ids):
                     yield flush()
                     shard, first = shard + 1, first + held
-                    docs_, counts, ids, held = [], [], [], 0
+                    docs_, ids, held = [], [], 0
+                if p != part:
+                    part, shard, first = p, 0, 0
+                docs_.append(d)
+                ids.append(x)
+                held += len(x) // kind.itemsize
         if docs_:
             yield flush()
 
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    rows.mapInArrow(run, "part int, shard int, first bigint, n_ids bigint, payload binary").write.parquet(out)
+    coded = rows.mapInArrow(tokenise, "part int, doc_id bigint, ids binary")
+    ordered = coded.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
+    ordered.mapInArrow(run, "part int, shard int, first bigint, n_ids bigint, payload binary").write.parquet(out)
 
 
 def read_shards(spark: SparkSession, out: str) -> DataFrame:

@@ -10,7 +10,8 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from lodestone.llm._text import utf8
-from lodestone.llm.rans import SCALE_BITS, Shard, digest, encode_shard, scaled, words_of
+from lodestone.llm._spark import scratch_dir
+from lodestone.llm.rans import SCALE_BITS, Shard, digest, encode_shard, read_shards, scaled, words_of, write_shards
 
 PATH = P.path("word_bpe_49k.json")
 LIB = Tokenizer.from_file(PATH)
@@ -38,6 +39,8 @@ def test_size_checkpoints_checksums():
     for b in range(len(s.blocks) - 1):
         for m in range(5):
             assert (s.from_checkpoint(b, m) == x[b * 64 * 512 + (m + 1) * 100 * 64 : (b + 1) * 64 * 512]).all()
+    for a, b in ((0, 1), (5, 5), (64 * 100 - 1, 64 * 512 + 3), (200_000, 300_000)):
+        assert (s.between(a, b) == x[a:b]).all()
     broken = bytearray(data)
     broken[-5] ^= 1
     with pytest.raises(ValueError):
@@ -72,9 +75,16 @@ def test_frames(spark):
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, ids int")
     got = sorted(map(tuple, digest(df).collect()), key=lambda x: x[1])
     start, exp = 0, []
-    for d, t in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")):
+    for d, t in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, np.array(want(x[1] or ""), dtype=OWN.kind).tobytes())):
         x = want(t or "")
         exp.append((d, start, len(x), zlib.crc32(np.array(x, dtype="<u4").tobytes())))
         start += len(x)
     assert got == exp
+    out = scratch_dir(spark)
+    write_shards(df, out, part_bytes=2000, shard_ids=700)
+    shards = [Shard(r.payload) for r in spark.read.parquet(out).collect()]
+    assert len(shards) > 5 and sorted(map(tuple, read_shards(spark, out).select("doc_id", "start", "n_tokens").collect()), key=lambda x: x[1]) == [x[:3] for x in exp]
+    for s in shards:
+        ids, stop = s.ids(), np.cumsum(s.counts)
+        assert all((s.document(i) == ids[b - n : b]).all() for i, (b, n) in enumerate(zip(stop.tolist(), s.counts.tolist())))
     assert digest(df.limit(0)).count() == 0
