@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._spark import grouped_arrays, materialise, pair_bins
+from lodestone.llm._spark import bin_slots, grouped_arrays, materialise, pair_bins
 from lodestone.llm._text import U64, mix
 from lodestone.llm.components import components, parts_of
 
@@ -81,7 +81,7 @@ def _labelled(classes: DataFrame, tables: int, bits: int) -> DataFrame:
 def _codes(x: np.ndarray, tables: int, bits: int, first: int) -> np.ndarray:
     """The labels of vectors of one length in the first so many tables."""
     signs = (x @ _planes(x.shape[1], tables, bits)[: first * bits].T > 0).reshape(len(x), first, bits)
-    return (signs @ (1 << np.arange(bits)).astype(np.int64)) ^ (x.shape[1] << 48)
+    return (signs @ (1 << np.arange(bits)).astype(np.int64)) ^ (x.shape[1] << 48) | 1 << 46
 
 
 def _verify(threshold: float, tables: int, bits: int):
@@ -118,9 +118,9 @@ def embedding_near_dedup(vecs: DataFrame, vec_id: str = "vec_id", embedding: str
     classes = materialise(classes)
     bits = min(44, max(8, math.ceil(math.log2(max(2, classes.count()) / per_bucket))))
     tables = tables_for(threshold, bits, recall)
-    members = pair_bins(materialise(_labelled(classes, tables, bits)), "cid", "labels", block)
+    members = materialise(pair_bins(materialise(_labelled(classes, tables, bits)), "cid", "labels", block))
     binned = members.join(classes.select("cid", "mult", "unit"), "cid")
-    found = materialise(grouped_arrays(binned, ["tab", "lab", "i", "j"], _verify(threshold, tables, bits), "cid bigint, links bigint, root bigint"))
+    found = materialise(grouped_arrays(binned, ["tab", "lab", "i", "j"], _verify(threshold, tables, bits), "cid bigint, links bigint, root bigint", bin_slots(members)))
     reps = classes.select("cid", "rep")
     edges = found.filter("cid <> root").select("cid", "root").distinct().join(reps.select("cid", F.col("rep").alias("u")), "cid").join(reps.select(F.col("cid").alias("root"), F.col("rep").alias("v")), "root").select("u", "v")
     again = named.groupBy("vec_id").agg(F.count_distinct("fp").alias("n")).filter("n > 1").select("vec_id")

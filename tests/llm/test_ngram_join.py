@@ -49,6 +49,37 @@ def test_against_brute_force(spark):
     assert max(n for _, n in want.values()) > 20
 
 
+def test_crowded_nodes_get_longer_prefixes_and_more_trees(spark):
+    rows = corpus(7)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    for crowd in (3, 20):
+        assert {r.doc_id: (r.class_id, r.n_links) for r in ngram_join(df, block=8, crowd=crowd).collect()} == want
+
+
+def test_recall_and_near_copies_below_the_threshold(spark):
+    """Every pair at the threshold or above is found, and the copies below it are told apart from lost ones."""
+    r = random.Random(9)
+    vocab = [f"w{i}" for i in range(3000)]
+    rows, below = [], 0
+    for i in range(150):
+        w = [r.choice(vocab) for _ in range(120)]
+        v = w[:]
+        for _ in range(r.choice([1, 2, 3, 4])):
+            v[r.randrange(len(v))] = r.choice(vocab)
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        below += 5 * len(a & b) < 4 * len(a | b)
+    got = {x.doc_id: x.n_links for x in ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert 20 < below < 130 and sum(got.values()) == 2 * (150 - below)
+
+
+def test_words_of_one_polynomial_hash(spark):
+    t = lambda n, a, b: "".join((a, b)[bin(i).count("1") & 1] for i in range(n))
+    df = spark.createDataFrame([(i, x) for n in (1024, 2048, 4096) for i, x in ((n, t(n, "a", "b")), (n + 1, t(n, "b", "a")))], "doc_id long, text string")
+    assert all(x.n_links == 0 and x.kept for x in ngram_join(df).collect())
+
+
 def test_nulls_repeats_empty(spark):
     t = " ".join(f"q{i}" for i in range(30))
     df = spark.createDataFrame([(None, t), (1, t), (1, t), (2, t + " z"), (3, None), (None, None)], "doc_id long, text string")
