@@ -55,7 +55,8 @@ _TOKEN = re.compile(
     r"|([^<]++|<)",
     re.S | re.I,
 )
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NAMES = frozenset("class id role hidden aria-hidden".split())
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
@@ -65,7 +66,9 @@ SOFT_CHROME = frozenset("form dialog menu fieldset".split())
 CHROME_WORDS = frozenset("ad ads advert advertisement adverts sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent notice alert popup modal newsletter subscribe signup share sharing social related recommended comment comments respond disqus discussion replies widget toolbar pagination pager search complementary contentinfo form".split())
 #: Words of readers' talk, which may be longer than the text, and names that only look like chrome.
 TALK_WORDS = frozenset("comment comments respond disqus replies".split())
-NO_CHROME = re.compile(r"\brelated[-_ ]?(?:work|works|literature|research|studies)\b", re.I)
+NO_CHROME = re.compile(r"\brelated[-_ ]?(?:work|works|literature|research|studies)\b|\bsocial[-_ ]?(?:sciences?|stud(?:y|ies)|work|history|policy|psychology|issues?|security|justice)\b|\bsearch[-_ ]?(?:results?|engines?)\b|\bad[-_ ]hoc\b", re.I)
+#: An article that is a reader's: a name that begins so, but for those that say whether one may comment.
+_READERS = re.compile(r"(?:^|\s)(?:comments?|respond|disqus|repl(?:y|ies))(?![-_](?:open|closed|enabled|disabled|on|off)\b)(?=[-_\s]|$)", re.I)
 #: Elements that end an svg which is still open, as browsers do.
 _BREAKS_SVG = BLOCK | frozenset("b big br code em i img s small span strike strong sub sup tt u".split())
 _CLOSED_BY = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
@@ -94,15 +97,23 @@ class Element:
     def __init__(self, tag: str, attrs: str, up: Element | None):
         self.tag, self.up = tag, up
         self.mute = tag == "svg" or (up is not None and up.mute)
-        found = {k.lower(): (a or b or c or "") for k, a, b, c in _ATTR.findall(attrs)} if attrs and "=" in attrs or "hidden" in attrs else {}
+        found: dict[str, str] = {}
+        if attrs.strip("/ "):
+            for k, x, y, z in _ATTR.findall(attrs):
+                if (k := k.lower()) in _NAMES:
+                    found.setdefault(k, x or y or z)  # the first counts
         names = f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}" if found else ""
         own_name = tag + ("." + ".".join(sorted(found["class"].split())) if found.get("class") else "")
         self.token = _hash(f"{up.token if up else 0}/{own_name}")
-        self.inside = (up.inside if up else False) or tag in ("article", "main") or found.get("role", "").lower() in ("main", "article")
-        self.own = HARD if tag in CHROME else SOFT if tag in SOFT_CHROME or (tag == "header" and not (up and up.inside)) or "hidden" in found or found.get("aria-hidden") == "true" else 0
-        if names.strip() and not self.own and tag not in ("body", "html", "article", "main"):
+        readers = tag == "article" and bool(names) and _READERS.search(names) is not None
+        within = up.inside if up else False
+        self.inside = (within or tag in ("article", "main") or found.get("role", "").lower() in ("main", "article")) and not (readers and not within)
+        self.own = HARD if tag in CHROME else SOFT if tag in SOFT_CHROME or (tag == "header" and not within) or "hidden" in found or found.get("aria-hidden") == "true" else 0
+        if readers:
+            self.own = TALK
+        elif names.strip() and not self.own and tag not in ("body", "html", "article", "main"):
             said = {x.lower() for x in _PART.findall(NO_CHROME.sub(" ", names))} & CHROME_WORDS
-            if up and up.inside:
+            if within:
                 said.discard("discussion")  # a part of a paper
             self.own = 0 if not said else SOFT if TALK_WORDS.isdisjoint(said) else TALK
         self.hard = (up.hard if up else False) or self.own == HARD
@@ -357,8 +368,9 @@ def deduce(g: pd.DataFrame, n: int, v1: int, v2: int, bodies: float) -> dict:
     return {"classes": classes, "constant": constant, "main": main}
 
 
-def templates(pages: DataFrame, least_share: float = 0.3) -> DataFrame:
-    """host, template (JSON): frequent tokens are those on at least 2 pages and on least_share of the host's pages, so
+def templates(pages: DataFrame, least_share: float = 0.3, classes: bool = False) -> DataFrame:
+    """host, template (JSON: the constant text nodes and the main element; with classes, the nested classes too, from
+    which these were read): frequent tokens are those on at least 2 pages and on least_share of the host's pages, so
     that a host has at most 1 / least_share times as many as its average page."""
     vectors = materialise(_vectors(pages))
     whole = vectors.filter("token = 0").select("host", F.col("pages").alias("n"), F.col("v1").alias("n1"), F.col("v2").alias("n2"), *(F.col(c).alias(f"n{c}") for c in _BODIES))
@@ -367,7 +379,8 @@ def templates(pages: DataFrame, least_share: float = 0.3) -> DataFrame:
     def run(g: pd.DataFrame) -> pd.DataFrame:
         n, a, b = (int(g[c].iloc[0]) for c in ("n", "n1", "n2"))
         bodies = float(_distinct(g[:1][[f"n{c}" for c in _BODIES]].set_axis(_BODIES, axis=1))[0])
-        return pd.DataFrame({"host": [g["host"].iloc[0]], "template": [json.dumps(deduce(g, n, a, b, bodies))]})
+        found = deduce(g, n, a, b, bodies)
+        return pd.DataFrame({"host": [g["host"].iloc[0]], "template": [json.dumps(found if classes else {k: found[k] for k in ("constant", "main")})]})
 
     often = materialise(often)  # else the join's own shuffle by host may stand in for that of grouped_map, and be read in parts
     return materialise(grouped_map(often, ["host"], run, "host string, template string"))
@@ -378,7 +391,7 @@ def templates(pages: DataFrame, least_share: float = 0.3) -> DataFrame:
 
 class Template:
     def __init__(self, text: str | None):
-        t = json.loads(text) if text else {"classes": [], "constant": [], "main": None}
+        t = json.loads(text) if text else {"constant": [], "main": None}
         self.constant, self.main, self.known = frozenset(t["constant"]), t["main"], bool(text)
 
 

@@ -1,4 +1,9 @@
-from lodestone.llm.html_extract import Template, extract, extract_page
+import json
+from collections import defaultdict
+
+from pyspark.sql import functions as F
+
+from lodestone.llm.html_extract import Template, _page_tokens, extract, extract_page, templates
 
 NONE = Template(None)
 
@@ -98,3 +103,65 @@ def test_template_within_articles(spark):
         rows.append((20 + i, f"http://b.example/{i}", "<div class='m'>" + "".join(f"<p>{p}</p>" for p in parts) + f"</div><div class='more'><article>Teaser {i}</article></div>"))
     got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == want
+
+
+def test_attributes_are_read_by_name():
+    """A word in a value or after a hyphen is no attribute, and subjects are no chrome."""
+    body = "<p>The first sentence of the text.</p><p>The second sentence of it.</p>"
+    want = "The first sentence of the text.\n\nThe second sentence of it."
+    for attrs in ('style="overflow: hidden"', 'title="the hidden cost"', 'data-hidden="false"', 'data-id="footer"', "data-class='sidebar' data-role=menu", 'class="social-science"', 'class="a" class="sidebar"', 'title=\'class="ad"\''):
+        for tag in ("div", "section"):
+            assert extract_page(f"<article><p>Lead.</p><{tag} {attrs}>{body}</{tag}><div class='share'>tweet</div></article>", NONE) == "Lead.\n\n" + want, attrs
+    assert extract_page(f"<form method=post action=x><nav>menu</nav><article>{body}</article><input name=q></form>", NONE) == want
+    assert extract_page(f"<article>{body}<div HIDDEN>no</div><div aria-hidden='true'>no</div></article>", NONE) == want
+
+
+def test_readers_articles_go():
+    body = "<p>The first sentence of the text.</p>"
+    talk = "<article class='comment' id='comment-7'><p>I was there and saw all of it, believe me, it was great.</p></article>" * 3
+    assert extract_page(f"<article>{body}</article>{talk}", NONE) == "The first sentence of the text."
+    assert extract_page(f"<article>{body}<section>{talk}</section></article>", NONE) == "The first sentence of the text."
+    assert extract_page(f"<main>{body}{talk}</main>", NONE) == "The first sentence of the text."
+    assert extract_page(f"<article class='post comments-open'>{body}</article><p>x</p>", NONE) == "The first sentence of the text."
+
+
+def test_classes_against_brute_force(spark):
+    """Vectors kept as sums of hashes give the classes that whole vectors give, for a few small hosts."""
+    rows = []
+    for host in range(3):
+        for i in range(9):
+            extra = "".join(f"<div class='{c}'><b>{c}</b><i>t{i}</i></div>" for c, every in (("x", 2), ("y", 3), ("z", 2)) if (i + host) % every == 0)
+            twice = "<ul><li>a<li>b</ul>" * (1 + i % 2) if host else ""
+            rows.append((host * 100 + i, f"http://h{host}.example/{i}", f"<div id='t'>Top</div><div class='m'><p>Text {i} {host}</p>{extra}</div>{twice}"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.regexp_extract("url", "//([^/]+)", 1))
+    got = {r.host: json.loads(r.template) for r in templates(df, classes=True).collect()}
+    for host in range(3):
+        pages = [_page_tokens(h) for p, _, h in rows if p // 100 == host]
+        vector, up = defaultdict(lambda: [0] * 9), {}
+        for k, page in enumerate(pages):
+            for (token, around, kind), s in page.items():
+                if kind == 0:
+                    vector[token][k] = s[0]
+                    up[token] = around
+        root = {t for t, v in vector.items() if v == [1] * 9}
+        classes = defaultdict(set)
+        for t, v in vector.items():
+            if t not in root and sum(map(bool, v)) >= max(2, 0.3 * 9):
+                classes[tuple(v)].add(t)
+
+        def holder(t):
+            while t is not None and t not in root:
+                t = up.get(t)
+            return t
+
+        valid = [(next(iter(h)), c) for c in classes.values() if len(h := {holder(up[t]) for t in c}) == 1]
+        found = got[f"h{host}.example"]["classes"]
+        assert set(found[0]["tokens"]) == root and len(root) >= 3
+        assert sorted((c["in"] or 0, sorted(c["tokens"])) for c in found[1:]) == sorted((h or 0, sorted(c)) for h, c in valid)
+
+
+def test_repeats_clashing_columns_and_long_pages(spark):
+    long = "<article>" + "".join(f"<p>Line {i} of a very long page.</p>" for i in range(30_000)) + "</article>"
+    df = spark.createDataFrame([(1, "http://l.example/1", long, "h", "t", 3), (1, "http://l.example/1", long, "h", "t", 3), (None, None, "<p>x</p>", None, None, None)], "page_id long, url string, html string, host string, template string, n_chars int")
+    got = extract(df).collect()
+    assert sorted(r.n_chars for r in got) == [1, *[len("\n\n".join(f"Line {i} of a very long page." for i in range(30_000)))] * 2]
