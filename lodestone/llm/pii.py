@@ -6,12 +6,14 @@ spans are read off that sequence and may cross windows. Every window of every te
 is left out only where it provably gives no span: where each tag's emission is below that of "outside" by more than any
 gain that transitions can give.
 
-Spans of the four base recognisers always stay. A span of the model is added if it overlaps none of them and has the
-form of its kind (`_fits`: digits and Luhn for cards, parts for IPs, and so on).
+Each kind has a begin tag and an inside tag, so neighbours of one kind stay apart. Spans of the four base recognisers
+always stay. A span of the model is added if it overlaps none of them and what it holds can be of its kind (`_fits`):
+an address has an "at" and a dot in some spelling, a card's digits pass Luhn, an IP's parts are in range, a phone has 9
+to 15 digits in groups. Such are cards beside other digits, cards with dots, phones without a plus, "(at)" and "[.]".
 
 Labelled spans come from the base recognisers on a bounded sample of rows (`sample_rows` by a hash of the text, at
-most `max_windows` windows) and from generated variants that those do not know (phones without a plus, "(at)"), put
-into the same texts. Training takes place on the driver, on those windows only.
+most `max_windows` windows), with all runs of 13 to 19 digits as cards (the network cannot know Luhn), and from generated
+variants that the base does not know, put into the same texts. Training takes place on the driver, on those windows only.
 
 Null texts are empty and have no spans; offsets are code points, ends exclusive. Rows that repeat an id are each
 returned; an empty table gives an empty result; other columns are not read.
@@ -77,6 +79,16 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+_CARD_SHAPE = re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])")
+
+
+def shaped_spans(text: str) -> list[Span]:
+    """base_spans(), and as cards all that has the shape of one, for training."""
+    base = base_spans(text)
+    more = [(*m.span(), "card") for m in _CARD_SHAPE.finditer(text) if all(m.end() <= a or b <= m.start() for a, b, _ in base)]
+    return sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))
+
+
 # Characters: 0 is padding, then classes of code points.
 _SIGNS = "@._-+%()[]{}<> \n\t,:;/\\=\"'#$*!&?|~"
 _CLASS = np.full(128, 1, dtype=np.uint8)
@@ -88,7 +100,8 @@ for _i in range(26):
     _CLASS[97 + _i] = 4 + len(_SIGNS) + _i
 WIDE = 4 + len(_SIGNS) + 26
 N_CLASSES = WIDE + 1
-N_TAGS = 1 + len(KINDS)
+#: 0: outside; then for each kind its begin and its inside.
+N_TAGS = 1 + 2 * len(KINDS)
 
 
 def classes_of(text: str) -> np.ndarray:
@@ -252,7 +265,7 @@ class Tagger:
         return out
 
     def spans(self, texts: list[str], window: int = 256, overlap: int = 48, at_once: int = 2048) -> list[list[Span]]:
-        """Runs of equal tags in the reconciled tag sequence of each text."""
+        """Spans in the reconciled tag sequence of each text: from a begin tag, or another kind, to the last inside."""
         codes = [classes_of(t) for t in texts]
         size = np.array([len(c) for c in codes], dtype=np.int64)
         if not size.sum():
@@ -277,31 +290,45 @@ class Tagger:
             tags[idx[own]] = got[own]
         out: list[list[Span]] = [[] for _ in texts]
         row = np.repeat(np.arange(len(texts)), size)
-        edge = np.flatnonzero(np.append(True, (tags[1:] != tags[:-1]) | (row[1:] != row[:-1])))
+        kind = (tags + 1) >> 1
+        edge = np.flatnonzero(np.append(True, (kind[1:] != kind[:-1]) | (tags[1:] & 1 > 0) | (row[1:] != row[:-1])))
         stop = np.append(edge[1:], len(tags))
-        for k in np.flatnonzero(tags[edge] > 0).tolist():
+        for k in np.flatnonzero(kind[edge] > 0).tolist():
             r = int(row[edge[k]])
-            out[r].append((int(edge[k] - base[r]), int(stop[k] - base[r]), KINDS[int(tags[edge[k]]) - 1]))
+            out[r].append((int(edge[k] - base[r]), int(stop[k] - base[r]), KINDS[int(kind[edge[k]]) - 1]))
         return out
 
 
-_EMAIL_LIKE = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP_LIKE = re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}")
-_CARD_LIKE = re.compile(r"[0-9](?:[ .-]?[0-9])+")
-_PHONE_LIKE = re.compile(r"(?:\+?[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){1,4}")
+_AT = re.compile(r"(?<=[A-Za-z0-9_%+-])(?: ?@ ?| ?[(\[{<] ?(?:at|@) ?[)\]}>] ?| at )(?=[A-Za-z0-9])", re.I)
+_DOT = re.compile(r"(?<=[A-Za-z0-9])(?:\.| ?[(\[{<] ?(?:dot|\.) ?[)\]}>] ?| dot )(?=[A-Za-z0-9])", re.I)
+_PARTED = re.compile(r"[0-9]+(?: ?[(\[{]?(?:\.|dot)[)\]}]? ?[0-9]+){3}", re.I)
+_EDGES = " \t\n\r.,;:!?'\"<>{}[]/|=_"
 
 
 def _fits(text: str, a: int, b: int, kind: str) -> Span | None:
-    """The part of the model's span that has the form of its kind and stands alone, or None."""
-    like = {"email": _EMAIL_LIKE, "ip": _IP_LIKE, "card": _CARD_LIKE, "phone": _PHONE_LIKE}[kind]
-    m = like.search(text, a, b)
-    if not m or m.end() - m.start() < 0.7 * (b - a):
-        return None
-    a, b = m.span()
-    if (a and (text[a - 1].isalnum() or text[a - 1] in "@._+-/=\"")) or (b < len(text) and (text[b].isalnum() or text[b] in "@_/\"" or (text[b] in "-.+" and b + 1 < len(text) and text[b + 1].isalnum()))):
+    """The model's span without what hangs at its ends, if it can be of its kind and stands alone, or None."""
+    while b > a and text[b - 1] in _EDGES + "(-":
+        b -= 1
+    while a < b and text[a] in _EDGES + ")-" and not (kind == "email" and text[a] == "_"):
+        a += 1
+    while a and kind != "email" and text[a].isdigit() and text[a - 1].isdigit():  # all digits of a group
+        a -= 1
+    while b < len(text) and kind != "email" and text[b - 1].isdigit() and text[b].isdigit():
+        b += 1
+    s = text[a:b]
+    if not s or (a and (text[a - 1].isalnum() or text[a - 1] in "@_")) or (b < len(text) and (text[b].isalnum() or text[b] in "@_")):
         return None
-    d = _NOT_DIGIT.sub("", m[0])
-    ok = {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else False, "card": 13 <= len(d) <= 19 and bool(d) and luhn(d), "phone": 9 <= len(d) <= 15 and len(d) < b - a and len(re.findall(r"[ ().-]", m[0])) >= 2}[kind]
+    d = _NOT_DIGIT.sub("", s)
+    if kind == "email":
+        at = _AT.search(s)
+        ok = at is not None and len(_AT.findall(s)) == 1 and _DOT.search(s, at.end()) is not None and len(s) <= 320 and "\n" not in s and s.count(" ") <= 6
+    elif kind == "ip":
+        ok = _PARTED.fullmatch(s) is not None and all(len(x) <= 3 and int(x) <= 255 for x in re.findall("[0-9]+", s))
+    elif kind == "card":
+        ok = 13 <= len(d) <= 19 and luhn(d) and len(set(d)) > 1 and re.fullmatch(r"[0-9]+(?:[ ./\u00a0-]{1,2}[0-9]+)*", s) is not None
+    else:
+        groups = re.findall("[0-9]+", s)
+        ok = 9 <= len(d) <= 15 and 3 <= len(groups) <= 6 and max(map(len, groups)) <= 8 and re.fullmatch(r"[+(]{0,2}[0-9][0-9 ()./\u00a0-]*[0-9]", s) is not None
     return (a, b, kind) if ok else None
 
 
@@ -323,16 +350,20 @@ WIDTH = 128
 def _variant(r: np.random.Generator, kind: str) -> str:
     digits = lambda n: "".join(map(str, r.integers(0, 10, n)))
     word = lambda n: "".join(map(chr, r.integers(97, 123, n)))
+    pick = lambda *x: str(x[r.integers(len(x))])
     if kind == "email":
-        name = word(r.integers(2, 9)) + r.choice(["", ".", "_", "-"]) + r.choice([word(4), digits(2)])
-        return name + r.choice(["@", "@", "@", " (at) ", "[at]"]) + word(r.integers(3, 8)) + r.choice(["", digits(1)]) + r.choice([".com", ".org", ".example.com", ".co.uk", ".de"])
+        at, dot = pick("@", "@", "@", " (at) ", "[at]", "(at)", " [at] ", " at ", " @ "), pick(".", ".", ".", "[.]", " (dot) ", "(dot)", " dot ")
+        if at == " at ":
+            dot = pick(" dot ", "(dot)", "[.]")  # else it may be any sentence
+        name = word(r.integers(2, 9)) + pick("", ".", "_", "-") + pick(word(4), digits(2))
+        return name + at + word(r.integers(3, 8)) + pick("", digits(1)) + pick(f"{dot}com", f"{dot}org", f"{dot}example{dot}com", f"{dot}co{dot}uk", f"{dot}de")
     if kind == "ip":
-        return ".".join(str(x) for x in r.integers(0, 256, 4))
+        return pick(".", ".", "[.]", "(.)", " . ").join(str(x) for x in r.integers(0, 256, 4))
     if kind == "card":
-        d, cut = digits(16), r.choice(["", "", " ", "-"])
-        return cut.join(d[i : i + 4] for i in range(0, 16, 4)) if r.random() < 0.8 else digits(int(r.choice([14, 15, 19])))
+        d, cut = digits(16), pick("", "", " ", "-", ".", "  ", " - ")
+        return cut.join(d[i : i + 4] for i in range(0, 16, 4)) if r.random() < 0.75 else pick(digits(14), digits(15), digits(19), f"{digits(4)} {digits(6)} {digits(5)}", f"{digits(4)}-{digits(6)}-{digits(5)}")
     a, b, c = digits(3), digits(3), digits(4)
-    return str(r.choice([f"+1 ({a}) {b}-{c}", f"+{digits(2)} {digits(2)} {digits(4)} {digits(4)}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{digits(2)}-{digits(2)}-{digits(7)}", f"+1 {a}.{b}.{c}"]))
+    return pick(f"+1 ({a}) {b}-{c}", f"+{digits(2)} {digits(2)} {digits(4)} {digits(4)}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{digits(2)}-{digits(2)}-{digits(7)}", f"+1 {a}.{b}.{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"00{digits(2)} {digits(3)} {digits(3)} {digits(3)}", f"0{digits(3)} {digits(3)} {digits(3)}", f"1-{a}-{b}-{c}", f"0{digits(2)}/{digits(3)}-{digits(4)}")
 
 
 def _decoy(r: np.random.Generator) -> str:
@@ -368,20 +399,26 @@ def labelled_windows(texts: list[str], spans: list[list[Span]], n: int, seed: in
             marks, at = of[t], s[0]
         else:
             at, marks = int(r.integers(len(t))), list(of.get(t, ()))
-            if what < 0.6:
+            if what < 0.65:
                 kind = KINDS[r.integers(4)]
                 put = _variant(r, kind)
+                more = _variant(r, kind) if r.random() < 0.15 else ""  # a neighbour of the same kind
                 left, right = r.choice([" ", " ", "", ": ", "("]) if r.random() < 0.3 else " ", r.choice([" ", ". ", ", ", "\n", ")", "### ", "%%% ", "!! "]) if r.random() < 0.6 else " "
-                t, at, marks = _put(t, at, left + put + right, marks)
+                gap = " " if more else ""
+                t, at, marks = _put(t, at, left + put + gap + more + right, marks)
                 at += len(left)
                 marks.append((at, at + len(put), kind))
-            elif what < 0.8:
+                if more:
+                    marks.append((at + len(put) + 1, at + len(put) + 1 + len(more), kind))
+            elif what < 0.82:
                 t, at, marks = _put(t, at, f" {_decoy(r)} ", marks)
         begin = max(0, min(at - int(r.integers(0, WIDTH - 20)), max(0, len(t) - int(r.integers(20, WIDTH + 1)))))
         cut = t[begin : begin + WIDTH]
         x[i, : len(cut)] = classes_of(cut)
         for a, b, kind in marks:
-            y[i, max(0, a - begin) : max(0, min(WIDTH, b - begin))] = 1 + KINDS.index(kind)
+            y[i, max(0, a - begin) : max(0, min(WIDTH, b - begin))] = 2 + 2 * KINDS.index(kind)
+            if 0 <= a - begin < WIDTH:
+                y[i, a - begin] -= 1
         y[i, len(cut) :] = 0
     return x, y
 
@@ -406,7 +443,7 @@ def train(docs: DataFrame, text: str = "text", sample_rows: int = 3000, max_wind
 
     some = rows.filter(F.pmod(F.xxhash64("text", F.lit("pii")), F.lit(1 << 30)) < share).distinct()
     texts = [r["text"] for r in some.mapInArrow(run, "text string").distinct().orderBy(F.xxhash64("text"), "text").limit(max_windows).collect()]
-    spans = [base_spans(t) for t in texts]
+    spans = [shaped_spans(t) for t in texts]
     key = hashlib.sha256(repr((steps, max_windows, texts)).encode()).hexdigest()
     if key not in _TRAINED:
         _TRAINED.clear()

@@ -109,6 +109,40 @@ def test_trained_tagger():
     assert t.spans(["", clean, ""])[::2] == [[], []]
 
 
+def test_held_out_precision_and_recall():
+    """Spans that the base does not know, in texts that were not trained on: found exactly, and little else."""
+    t, r = trained(), np.random.default_rng(70)
+    words = random.Random(8)
+    found = planted = added = 0
+    for k in range(200):
+        kind = pii.KINDS[k % 4]
+        put = pii._variant(r, kind)
+        if kind == "card":
+            put = next(c for z in "0123456789" if pii.luhn(re.sub("[^0-9]", "", c := put[:-1] + z)))
+        lead = " ".join("".join(words.choices("abcdeéü", k=words.randrange(2, 9))) for _ in range(int(r.integers(1, 80))))
+        text = f"{lead} {put} and more was said of it then. {pii._decoy(r)} was not."
+        at, base = len(lead) + 1, pii.base_spans(text)
+        got = [s for s in pii.reconcile(text, base, t.spans([text])[0]) if s not in base]
+        if not any(a < at + len(put) and at < b for a, b, _ in base):
+            planted += 1
+            found += (at, at + len(put), kind) in got
+        added += len(got)
+    assert planted > 80 and found >= 0.8 * planted and found >= 0.9 * added, (planted, found, added)
+
+
+def test_neighbours_and_edges():
+    """Cards beside other digits, which the base drops, and what hangs at a span's ends."""
+    two = "an 7536784127813050 4845168114407329 of"
+    assert pii.base_spans(two) == [] and pii._fits(two, 20, 36, "card") == (20, 36, "card")
+    assert pii._fits(two, 24, 33, "card") == (20, 36, "card") and pii._fits(two.replace("753", "763"), 3, 19, "card") is None
+    assert pii._fits("x (212) 555-0142.", 1, 17, "phone") == (2, 16, "phone")
+    assert pii._fits("at 10[.]0[.]0[.]300 x", 3, 19, "ip") is None and pii._fits("at 10[.]0[.]0[.]30 x", 3, 18, "ip") == (3, 18, "ip")
+    assert pii._fits("on 2024-01-02 at", 3, 13, "phone") is None and pii._fits("a at the end of it", 0, 18, "email") is None
+    tagger = pii.Tagger()
+    tagger.tags = lambda x: np.array([[0, 5, 6, 5, 6, 0, 2, 2, 0, 0][: x.shape[1]] + [0] * max(0, x.shape[1] - 10)], dtype=np.uint8)
+    assert tagger.spans(["abcdefghij"]) == [[(1, 3, "card"), (3, 5, "card"), (6, 8, "email")]]
+
+
 def test_frames(spark):
     card = "4111111111111111"
     rows = [(1, f"mail a.b@c.de, {card}", "z"), (2, None, "z"), (3, "", "z"), (4, "nothing here " * 4000 + " +1 (523) 555-1055.", "z"), (None, "10.0.0.1", "z"), (1, "x", "y")]
