@@ -6,8 +6,9 @@ tells it from the others; within the best family each pair of languages has a ma
 larger sum of margins, then the first name). `families` maps language codes to families; codes it does not have
 share one family, so that each of them is told from the others by its own machines.
 
-Machines are fitted with a squared hinge loss on a bounded sample: about `per_language` labelled rows of each
-language, picked by a hash of their id; only their features reach the driver, 8 KB each.
+Machines are fitted with a squared hinge loss on a bounded sample: about `per_language` labelled rows of each of the
+`max_languages` languages that have most rows (ties: the first names), fewer where that would be more than `max_rows`
+together, picked by a hash of their id; only their features reach the driver, 8 KB each, so 100 MB at most.
 
 A null text, or one without any letter, is `und` with score 0. Without labelled rows every text is. With one learned
 language every text with a letter is that language. score: the product of a logistic function of the family's and of
@@ -144,12 +145,13 @@ def _lowered(column: pa.Array) -> pa.Array:
     return pc.utf8_lower(column.fill_null(""))
 
 
-def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", families: dict[str, str] | None = None, per_language: int = 600) -> Hierarchy | None:
+def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", families: dict[str, str] | None = None, per_language: int = 600, max_languages: int = 32, max_rows: int = 12_000) -> Hierarchy | None:
     """Fits on about per_language rows of each language, fewer where there are fewer; rows with nulls are left."""
     rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
     if not counts:
         return None
+    per_language = min(per_language, max_rows // len(counts))
     picked = F.lit(False)
     share = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20))
     for k, n in counts.items():

@@ -1,14 +1,16 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick on folded text, normalised by length, with exceptions.
 
-Folding lower-cases, maps homoglyphs to Latin letters, reads digits and signs within a word as the letters they stand
-for, and makes one space of whatever else is no letter. The lexicon holds whole words and word beginnings ("stems"),
+Folding takes compatible forms (mathematical and full-width letters, ligatures) as their letters, drops accents and
+invisible characters, lower-cases, maps homoglyphs to Latin letters, reads digits and signs within a word as the letters
+they stand for, and makes one space of whatever else is no letter. A homoglyph or digit stands for one letter only. The lexicon holds whole words and word beginnings ("stems"),
 each with a weight; in a match of several entries at one word the heaviest counts, and matches inside an exception
 phrase don't. The sum of weights per `per_words` words, damped by a logarithm, gives the score by a logistic function.
 
 The lexicon and the logistic function are learned from a bounded sample of labelled rows: about `per_class` of each
 class, picked by a hash of the id, less those that share a MinHash value with another (copies would count their words
 again and again). An entry's weight is the logarithm of how much likelier toxic documents have it; entries have a
-least support and a least weight, and the lexicon's size is bounded by `max_entries`. A seed lexicon may be given.
+least support and a least weight, and the lexicon's size is bounded by `max_entries`; it is picked from the
+50 * `max_entries` words and word beginnings that most of the sample's toxic documents have. A seed lexicon may be given.
 
 Null and empty texts have no words and get the score of a text without matches. Without labelled rows of both classes
 only the seed lexicon counts. A null id is held out. Repeated ids are each scored; labels that repeat an id count as
@@ -18,6 +20,7 @@ toxic if any does; an empty table gives an empty result; other columns are not r
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -46,13 +49,17 @@ _MARKED = regex.compile(r"[\p{L}0-9@$]*[0-9@$][\p{L}0-9@$]*")
 _OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 _HAS_MARK = regex.compile(r"[0-9@$]")
 _HAS_LETTER = regex.compile(r"\p{L}")
+#: Accents, and what is not seen: format characters and variation selectors.
+_UNSEEN = regex.compile(r"[\u0300-\u036f\p{Cf}\ufe00-\ufe0f]+")
 
 
 def fold(text: str | None) -> str:
     """Words of letters between single spaces, with a space at either end."""
-    t = (text or "").lower()
-    if not t.isascii():
-        t = t.translate(_GLYPHS)
+    t = text or ""
+    if t.isascii():
+        t = t.lower()
+    else:
+        t = unicodedata.normalize("NFC", _UNSEEN.sub("", unicodedata.normalize("NFKD", t)).lower()).translate(_GLYPHS)
     if _HAS_MARK.search(t):
         t = _MARKED.sub(lambda m: m[0].translate(_LEET) if _HAS_LETTER.search(m[0]) else m[0], t)
     return f" {_OTHER.sub(' ', t).strip()} "
@@ -81,7 +88,7 @@ class Model:
 
     def weigh(self, folded: str, automaton: ahocorasick.Automaton | None) -> tuple[float, int]:
         """The weights of all matched words, and the number of words."""
-        n = max(0, folded.count(" ") - 1)
+        n = folded.count(" ") - 1 if len(folded) > 2 else 0
         if automaton is None:
             return 0.0, n
         found: dict[int, float] = {}
@@ -174,21 +181,22 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     signed = _signed(rows.select("doc_id", "text"), 5, 2, 1).join(F.broadcast(picked), "doc_id")
     alone = signed.groupBy("y", "l0").agg(F.min("doc_id").alias("doc_id"), F.min_by("l1", "doc_id").alias("l1")).groupBy("y", "l1").agg(F.min("doc_id").alias("doc_id"))
     rows = rows.join(F.broadcast(alone.select("doc_id")), "doc_id").persist()
-    size = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if not size.get(0) or not size.get(1):
+    try:
+        size = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+        if not size.get(0) or not size.get(1):
+            return Model(lexicon=seed)
+        least = max(3, math.ceil(least_share * size[1]))
+        toxic = {r["pattern"]: r["n"] for r in _support(rows.filter("y = 1"), stems, None).filter(F.col("n") >= least).orderBy(F.desc("n"), "pattern").limit(50 * max_entries).collect()}
+        clean = {r["pattern"]: r["n"] for r in _support(rows.filter("y = 0"), stems, set(toxic)).collect()}
+        weight = {p: math.log((n + 0.5) / (size[1] + 1)) - math.log((clean.get(p, 0) + 0.5) / (size[0] + 1)) for p, n in toxic.items()}
+        best = sorted((p for p, w in weight.items() if w >= least_weight), key=lambda p: (-weight[p] * toxic[p], p))[:max_entries]
+        model = Model(lexicon=seed | {p: weight[p] for p in best})
+        got = _weighed(rows, model, ["y"]).select("y", "weight", "n_words").orderBy("y", "weight", "n_words").toPandas()
+        x = np.array([model.feature(w, n) for w, n in zip(got["weight"], got["n_words"])])
+        model.slope, model.bias = _logistic(x, got["y"].to_numpy(dtype=np.float64))
+        return model
+    finally:
         rows.unpersist()
-        return Model(lexicon=seed)
-    least = max(3, math.ceil(least_share * size[1]))
-    toxic = {r["pattern"]: r["n"] for r in _support(rows.filter("y = 1"), stems, None).filter(F.col("n") >= least).orderBy(F.desc("n"), "pattern").limit(50 * max_entries).collect()}
-    clean = {r["pattern"]: r["n"] for r in _support(rows.filter("y = 0"), stems, set(toxic)).collect()}
-    weight = {p: math.log((n + 0.5) / (size[1] + 1)) - math.log((clean.get(p, 0) + 0.5) / (size[0] + 1)) for p, n in toxic.items()}
-    best = sorted((p for p, w in weight.items() if w >= least_weight), key=lambda p: (-weight[p] * toxic[p], p))[:max_entries]
-    model = Model(lexicon=seed | {p: weight[p] for p in best})
-    got = _weighed(rows, model, ["y"]).select("y", "weight", "n_words").orderBy("y", "weight", "n_words").toPandas()
-    rows.unpersist()
-    x = np.array([model.feature(w, n) for w, n in zip(got["weight"], got["n_words"])])
-    model.slope, model.bias = _logistic(x, got["y"].to_numpy(dtype=np.float64))
-    return model
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

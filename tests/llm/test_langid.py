@@ -1,6 +1,11 @@
 import random
+from collections import Counter
 
-from lodestone.llm.langid import language_id, remainder
+import numpy as np
+import pyarrow as pa
+
+from lodestone.llm._text import utf8
+from lodestone.llm.langid import DIM, FAMILIES, Hierarchy, features, language_id, remainder, train
 
 WORDS = {"en": "the and of to with thing other", "de": "der und die mit nicht eine über", "fr": "le des une pour être où été", "es": "los una para con más niño año"}
 
@@ -31,3 +36,59 @@ def test_edges(spark):
     assert language_id(df.limit(0)).count() == 0
     none = language_id(df.withColumn("lang", df["lang"].substr(50, 1)).withColumn("lang", remainder("doc_id", 4).cast("string").substr(9, 1)).selectExpr("doc_id", "text", "nullif(lang, '') lang"))
     assert {r.lang_pred for r in none.collect()} == {"und"}
+
+
+def slow_features(text):
+    """One text, one byte after the other."""
+    x = [c if c >= 128 or 97 <= c < 123 else 32 for c in text.lower().encode()]
+    count = Counter()
+    for k in (2, 3, 4):
+        for i in range(len(x) - k + 1):
+            if x[i] == x[i + 1] == 32:
+                continue
+            code = (x[i] * 257 + x[i + 1]) % 2**32
+            for c in x[i + 2 : i + k]:
+                code = (code * 0x01000193 + c) % 2**32
+            count[code * 0x9E3779B1 % 2**32 >> 20] += 1
+    out = np.zeros(DIM)
+    for slot, n in count.items():
+        out[slot] = (n / sum(count.values())) ** 0.5
+    return out
+
+
+def test_features_and_votes_against_brute_force():
+    rows = corpus(120, 5)
+    texts = [t.lower() for _, t, _ in rows] + ["", "a", "é", "x y", "  "]
+    x = features(*utf8(pa.array(texts)))
+    assert all(np.allclose(x[i], slow_features(t), atol=1e-6) for i, t in enumerate(texts))
+    lang = np.array([k for _, _, k in rows])
+    model = Hierarchy(x[: len(rows)], lang, {**FAMILIES, "es": "germanic"})  # one family has a tie of three to break
+    got, score = model.predict(x)
+    assert model.langs == [["de", "en", "es"], ["fr"]] and len(model.pairs) == 3
+    for i in range(len(x)):
+        z = x[i] @ model.w + model.b
+        f = int(np.argmax(z[:2]))
+        votes = {k: [0, 0.0] for k in model.langs[f]}
+        for p, (fam, a, c) in enumerate(model.pairs):
+            if fam == f:
+                m, ka, kc = z[2 + p], model.langs[f][a], model.langs[f][c]
+                votes[ka if m >= 0 else kc][0] += 1
+                votes[ka][1] += m
+                votes[kc][1] -= m
+        best = min(votes, key=lambda k: (-votes[k][0], -votes[k][1], k))
+        assert got[i] == best and 0 <= score[i] <= 1
+
+
+def test_ties_go_to_the_first_name():
+    x = np.zeros((4, DIM), np.float32)
+    x[:2, 1] = x[2:, 2] = 1
+    model = Hierarchy(x, np.array(["en", "en", "de", "de"]), FAMILIES)
+    model.w[:], model.b[:] = 0, 0
+    assert model.predict(x[:1])[0] == ["de"]
+
+
+def test_languages_that_are_learned_are_bounded(spark):
+    rows = [*corpus(200), *((1000 + i, f"zz{i} qq", f"x{i:03d}") for i in range(60))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = train(df, max_languages=6, max_rows=300)
+    assert sorted(k for ks in model.langs for k in ks) == sorted([*WORDS, "x000", "x001"])

@@ -64,3 +64,23 @@ def test_language_without_labels(spark):
     rows = [(1, "some words", None, "s", 10), (2, None, None, "s", 0), (3, "12 !!", None, "s", 5), (4, "é", None, "s", 1), (None, "слово", None, "s", 5), (6, "", None, "s", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert {tuple(r) for r in cp.language(spark, docs, "").collect()} == {rows[0], rows[3], rows[4]}
+
+
+def test_repeats_nulls_empty_clashing_columns_and_long_texts(spark, tmp_path):
+    """Other texts of one doc_id stay, equal rows and near copies stay once, whatever other columns there are."""
+    t = " ".join(f"q{i}" for i in range(60))
+    other = " ".join(f"z{i}" for i in range(60))
+    long = " ".join(f"w{i}" for i in range(200_000))
+    rows = [(1, t), (1, t), (1, t + " tail"), (1, other), (2, t + " more"), (3, long), (4, long + " end"), (None, t), (5, None), (6, "")]
+    docs = spark.createDataFrame([(d, x, "en", "s", 1, 7, "k") for d, x in rows], "doc_id long, text string, lang string, source string, n_chars long, cid int, kept string")
+    got = sorted(((r.doc_id or 0, r.text or "") for r in cp.near_duplicates(spark, docs, "").collect()), key=str)
+    assert got in (sorted([(1, x), (1, other), (3, long), (0, t), (5, ""), (6, "")], key=str) for x in (t, t + " tail"))
+    bench = spark.createDataFrame([(1, "zz " * 12)], "item_id long, text string")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    empty = docs.limit(0)
+    for name, stage in cp.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0, name
+    stages = dict(cp.STAGES)
+    assert stages["decontaminate"](spark, docs, str(tmp_path)).count() == len(rows)
+    assert sorted(str(r.doc_id) for r in stages["tokens"](spark, docs, "").collect()) == sorted(str(d) for d, _ in rows)
+    assert stages["language"](spark, docs, "").columns == cp.COLUMNS
