@@ -19,7 +19,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose language is undetermined: a null text, or one without any letter. A missing lang is
-    filled with the predicted one, or stays missing if no row to learn from has one."""
+    filled with the predicted one (ties: the first name), or stays missing if no row to learn from has one. Rows that
+    repeat are each kept; an empty table stays empty; other columns than those of documents go."""
+    docs = docs.select(*COLUMNS)
     model = langid.train(docs.filter(langid.remainder("doc_id", 4) != 2))
     if model is None:
         return docs.filter(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
@@ -28,7 +30,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that with the smallest doc_id, once where rows repeat it."""
+    """One document of each group stays: that with the smallest doc_id. Rows that repeat it are compared with each other
+    as documents of their own: equal rows, and near copies among them, stay once; other texts of one doc_id are each kept.
+    A null doc_id is in no group and stays, as do texts without words; an empty table stays empty."""
     joined = materialise(ngram_join(docs).select("doc_id", "kept"))
     gone = materialise(joined.filter("NOT kept").select("doc_id").distinct())
     if gone.count() <= BROADCAST_ROWS:  # else texts are shuffled once, by doc_id
@@ -37,22 +41,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     twice = materialise(joined.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
     if twice.isEmpty():
         return kept
-    once = kept.join(twice, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
-    return kept.join(twice, "doc_id", "left_anti").select(*COLUMNS).unionByName(once)
+    once = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("rest"))
+    once = materialise(once.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text", "rest.*"))
+    first = ngram_join(once, doc_id="row").filter("kept").select(F.col("doc_id").alias("row"))
+    return kept.join(twice, "doc_id", "left_anti").select(*COLUMNS).unionByName(once.join(first, "row", "left_semi").select(*COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with words of a benchmark window go."""
+    """Documents with words of a benchmark window go; null and wordless texts and rows that repeat stay. An empty table,
+    of documents or of the benchmark, takes nothing away."""
     return without_leaks(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data become marks such as [EMAIL], and n_chars follows the text."""
+    """Personal data become marks such as [EMAIL], and n_chars follows the text (a null text stays null, as its number
+    of characters). All rows stay; an empty table stays empty."""
     return pii.redact(docs.select(*COLUMNS), pii.train(docs)).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids, their number and digests of the ids and of the bytes that they decode to."""
+    """doc_id, the number of ids, and digests of the ids and of the bytes that they decode to; a row for each row of docs."""
     return byte_bpe.digest(docs)
 
 
