@@ -30,30 +30,31 @@ class Pool:
 
 
 class WordTable:
-    """learn(words) gives the ids of new words. Words are found by a 64-bit hash and then compared byte by byte; those
-    whose hash another word has are kept in a dict. Up to `cache` words are kept, some 40 bytes each; then the table
-    starts anew, with the words of `start` if it is given."""
+    """learn(words) gives the numbers of ids of new words, and all their ids. Words are found by a 64-bit hash and then
+    compared byte by byte; those whose hash another word has are kept in a dict. Up to `cache` words that were learned are
+    kept, some 60 bytes each; then the table starts anew, with the words of `start` (their bytes, lengths, numbers of ids
+    and ids) if it is given."""
 
-    def __init__(self, learn: Callable[[list[bytes]], list[np.ndarray]], kind: np.dtype, cache: int = 1_000_000, start: tuple[list[bytes], list[np.ndarray]] | None = None):
+    def __init__(self, learn: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], kind: np.dtype, cache: int = 1_000_000, start: tuple[np.ndarray, ...] | None = None):
         self.learn, self.kind, self.cache, self.start = learn, kind, cache, start
         self.clear()
 
     def clear(self) -> None:
         none = lambda kind: np.zeros(0, kind)
         self.tiers = [(none(np.uint64), none(np.int64), none(np.int32), none(np.int64), none(np.int32)) for _ in range(2)]
-        self.flat, self.raw = Pool(self.kind), Pool(np.dtype(np.uint8))
+        self.flat, self.raw, self.known = Pool(self.kind), Pool(np.dtype(np.uint8)), 0
         self.odd: dict[bytes, tuple[int, int]] = {}
-        if self.start and self.start[0]:
-            words, ids = self.start
-            length = np.array([len(w) for w in words], dtype=np.int64)
-            body = np.frombuffer(b"".join(words), dtype=np.uint8)
-            self._add(run_hashes(body, np.cumsum(length) - length, length), words, ids)
+        if self.start and len(self.start[1]):
+            body, length, n, ids = self.start
+            self._add(run_hashes(body, np.cumsum(length) - length, length), body, length, n, ids)
+            self.tiers[0], self.tiers[1], self.known = self.tiers[1], self.tiers[0], 0
+        self.base = (self.flat.used, self.raw.used)
 
-    def _add(self, h: np.ndarray, words: list[bytes], ids: list[np.ndarray]) -> None:
+    def _add(self, h: np.ndarray, body: np.ndarray, length: np.ndarray, n: np.ndarray, ids: np.ndarray) -> None:
         """Joins the small tier, which joins the large one when it has grown. A hash that is there, or twice among the
         new ones, keeps its first word; others of it are odd."""
-        n, size = (np.array([len(x) for x in xs], dtype=np.int64) for xs in (ids, words))
-        at = self.flat.add(np.concatenate(ids) if ids else np.zeros(0, self.kind)) + np.cumsum(n) - n
+        at = self.flat.add(ids) + np.cumsum(n) - n
+        where = self.raw.add(body) + np.cumsum(length) - length
         _, first = np.unique(h, return_index=True)
         taken = np.ones(len(h), bool)
         taken[first] = False
@@ -61,13 +62,10 @@ class WordTable:
             if len(th):
                 taken |= th[np.minimum(np.searchsorted(th, h), len(th) - 1)] == h
         for i in np.flatnonzero(taken).tolist():
-            self.odd[words[i]] = (int(at[i]), int(n[i]))
-        i = np.flatnonzero(~taken)
-        raw = np.frombuffer(b"".join([words[k] for k in i.tolist()]), dtype=np.uint8)
-        where = self.raw.add(raw) + np.cumsum(size[i]) - size[i]
-        order = np.argsort(h[i], kind="stable")
-        new = (h[i][order], at[i][order], n[i][order].astype(np.int32), where[order], size[i][order].astype(np.int32))
-        self.tiers[1] = _merged(self.tiers[1], new)
+            self.odd[self.raw.data[where[i] : where[i] + length[i]].tobytes()] = (int(at[i]), int(n[i]))
+        i = first[~taken[first]]  # in the order of the hashes
+        self.tiers[1] = _merged(self.tiers[1], (h[i], at[i], n[i].astype(np.int32), where[i], length[i].astype(np.int32)))
+        self.known += len(h)
         if len(self.tiers[1][0]) > 200_000:
             self.tiers[0] = _merged(self.tiers[0], self.tiers[1])
             self.tiers[1] = tuple(x[:0] for x in self.tiers[1])
@@ -96,14 +94,15 @@ class WordTable:
         length = np.diff(np.append(cut, len(body)))
         distinct, where, back = distinct_runs(body, cut, length)
         begin, length = cut[where], length[where]
-        if len(self.tiers[0][0]) + len(self.tiers[1][0]) > self.cache or self.flat.used + self.raw.used // 4 > 8 * self.cache or len(self.odd) > self.cache:
+        if self.known > self.cache or self.flat.used - self.base[0] + (self.raw.used - self.base[1]) // 4 > 8 * self.cache:
             self.clear()
         known, place, n = self._find(distinct, body, begin, length)
         if not known.all():
             fresh = np.flatnonzero(~known)
-            raw = body.tobytes()
-            new = [raw[a:b] for a, b in zip(begin[fresh].tolist(), (begin + length)[fresh].tolist())]
-            self._add(distinct[fresh], new, self.learn(new))
+            size = length[fresh]
+            new = body[expand(begin[fresh], size)]
+            raw, stop = new.tobytes(), np.cumsum(size).tolist()
+            self._add(distinct[fresh], new, size, *self.learn([raw[a:b] for a, b in zip([0, *stop[:-1]], stop)]))
             known, place, n = self._find(distinct, body, begin, length)
         size = n[back]
         return size, self.flat.data[expand(place[back], size)]

@@ -9,8 +9,8 @@ merges are applied to all its positions at once, and only the pairs with the tou
 lists under their own ranks. Texts are then encoded by looking pieces up, all at once, and no text is shuffled.
 
 The dictionary is a table in the shared folder. Encoders hold its most frequent pieces, at most `held` of at most
-LONGEST bytes (about 10 MB, which bounds what is broadcast); they replay pieces beyond that themselves, slice by slice,
-and keep up to 700,000 of them.
+LONGEST bytes (some 15 MB, 40 at most, which bounds what is broadcast); they replay pieces beyond that themselves, slice by
+slice, and keep up to 700,000 of them.
 
 Merging all positions of a rank at once equals merging the lowest-ranked, leftmost pair of a word again and again
 unless a merge makes a pair of a lower or equal rank. Words in which that happens are encoded one by one in the plain
@@ -31,6 +31,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +57,10 @@ def plain_encode(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts]
 
 
+#: Positions of one rank up to which merging them one by one is faster than in arrays.
+FEW = 40
+
+
 class MergeReplay:
     """ranks: every single byte and every merged token, by its bytes."""
 
@@ -73,6 +78,7 @@ class MergeReplay:
                     made.append(rank)
         order = np.argsort(np.array(keys, dtype=np.int64))
         self.keys, self.made = np.array(keys, dtype=np.int64)[order], np.array(made, dtype=np.int64)[order]
+        self.rank_of = dict(zip(keys, made))
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair's merge, or -1."""
@@ -83,8 +89,14 @@ class MergeReplay:
 
     def encode(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         """The ids of each word."""
+        count, ids = self.replay(pieces)
+        ids, stop = ids.tolist(), np.cumsum(count).tolist()
+        return [tuple(ids[a:b]) for a, b in zip([0, *stop[:-1]], stop)]
+
+    def replay(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each word, and all ids."""
         if not pieces:
-            return []
+            return np.zeros(0, np.int64), np.zeros(0, np.int32)
         ranks = self.ranks
         size = np.array([len(p) for p in pieces], dtype=np.int64)
         token = self.byte_id[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
@@ -100,7 +112,35 @@ class MergeReplay:
         token = np.append(token, -1)
         odd = np.zeros(len(pieces), dtype=bool)
         index: dict[int, list[np.ndarray]] = {}
+        single: dict[int, list[int]] = {}  # positions that were entered alone
         todo: list[int] = []
+        rank_of, top = self.rank_of.get, self.top
+
+        def merge_few(r: int, places: list[int]) -> None:
+            """The merges of a rank at a few positions, one after the other."""
+            for p in sorted(set(places)):
+                q = int(nxt[p])
+                if not alive[p] or q >= n or rank_of(int(token[p]) * top + int(token[q])) != r:
+                    continue
+                after, before = int(nxt[q]), int(prv[p])
+                token[p], alive[q], nxt[p] = r, False, after
+                pairs = []
+                if after < n:
+                    prv[after] = p
+                    pairs.append((p, rank_of(r * top + int(token[after]))))
+                if before >= 0:
+                    pairs.append((before, rank_of(int(token[before]) * top + r)))
+                for place, rank in pairs:
+                    if rank is None:
+                        continue
+                    if rank <= r:
+                        odd[word[p]] = True
+                    if rank in single:
+                        single[rank].append(place)
+                    else:
+                        single[rank] = [place]
+                        if rank not in index:
+                            heapq.heappush(todo, rank)
 
         def enter(pos: np.ndarray, rank: np.ndarray) -> None:
             known = rank >= 0
@@ -115,13 +155,19 @@ class MergeReplay:
                     index[r].append(pos[a:b])
                 else:
                     index[r] = [pos[a:b]]
-                    heapq.heappush(todo, r)
+                    if r not in single:
+                        heapq.heappush(todo, r)
 
         first = np.flatnonzero(nxt < n)
         enter(first, self._rank(token[first], token[nxt[first]]))
         while todo:
             r = heapq.heappop(todo)
-            lists = index.pop(r)
+            lists, alone = index.pop(r, []), single.pop(r, [])
+            if len(alone) + sum(map(len, lists)) <= FEW:
+                merge_few(r, alone + [p for x in lists for p in x.tolist()])
+                continue
+            if alone:
+                lists.append(np.array(alone, dtype=np.int64))
             pos = np.unique(np.concatenate(lists)) if len(lists) > 1 else np.sort(lists[0])
             pos = pos[alive[pos]]
             right = nxt[pos]
@@ -153,12 +199,13 @@ class MergeReplay:
             odd[word[new[(rank >= 0) & (rank <= r)]]] = True
             enter(new, rank)
         stays = np.flatnonzero(alive[:n])
-        ids, count = token[stays].tolist(), np.bincount(word[stays], minlength=len(pieces))
-        stop = np.cumsum(count).tolist()
-        out = [tuple(ids[a:b]) for a, b in zip([0, *stop[:-1]], stop)]
-        for i in np.flatnonzero(odd).tolist():
-            out[i] = tuple(plain_encode(pieces[i], ranks))
-        return out
+        ids, count = token[stays].astype(np.int32), np.bincount(word[stays], minlength=len(pieces))
+        if odd.any():
+            parts = np.split(ids, np.cumsum(count)[:-1])
+            for i in np.flatnonzero(odd).tolist():
+                parts[i] = np.array(plain_encode(pieces[i], ranks), dtype=np.int32)
+            ids, count = np.concatenate(parts), np.array([len(x) for x in parts], dtype=np.int64)
+        return count, ids
 
 
 _BLANK = np.zeros(256, dtype=bool)
@@ -209,7 +256,7 @@ def _wide_blanks(data: np.ndarray) -> np.ndarray:
 class Codec:
     """Texts to ids and back. What is kept between texts is the table of pieces, and small tables of all tokens."""
 
-    def __init__(self, path: str, pattern: str, cache: int = 700_000, start: tuple[list[bytes], list[np.ndarray]] | None = None):
+    def __init__(self, path: str, pattern: str, cache: int = 700_000, start: tuple[np.ndarray, ...] | None = None):
         self.replay, self.split = MergeReplay(load_ranks(path)), regex.compile(pattern).findall
         self.standard = pattern == public_tokenizers.PATTERN
         self.table = WordTable(self.learn, np.dtype("<i4"), cache, start)
@@ -223,15 +270,24 @@ class Codec:
         self.text_at = np.cumsum(self.text_size) - self.text_size
         self.text = np.frombuffer(b"".join(text), dtype=np.uint8)
 
-    def learn(self, segments_: list[bytes]) -> list[np.ndarray]:
-        """All words of the new segments go through one merge replay."""
-        split = [[w.encode() for w in self.split(s.decode())] for s in segments_]
-        words = list(dict.fromkeys(w for ws in split for w in ws))
-        ranks = self.replay.ranks
-        todo = [w for w in words if w not in ranks]
-        ids: dict[bytes, tuple[int, ...]] = {w: (ranks[w],) for w in words if w in ranks}
-        ids.update(zip(todo, self.replay.encode(todo)))
-        return [np.array([i for w in ws for i in ids[w]], dtype=np.int32) for ws in split]
+    def learn(self, segments_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All words of the new segments go through one merge replay. The number of ids of each segment, and all ids."""
+        number: dict[str, int] = {}
+        of: list[int] = []
+        per = np.empty(len(segments_), dtype=np.int64)
+        for k, s in enumerate(segments_):
+            words = self.split(s.decode())
+            per[k] = len(words)
+            of += [number.setdefault(w, len(number)) for w in words]
+        raw = [w.encode() for w in number]
+        one = np.array([self.replay.ranks.get(w, -1) for w in raw], dtype=np.int32)
+        todo = np.flatnonzero(one < 0)
+        n, ids = self.replay.replay([raw[i] for i in todo.tolist()])
+        size, at = np.ones(len(raw), np.int64), np.arange(len(raw)) + len(ids)
+        size[todo], at[todo] = n, np.cumsum(n) - n
+        ids, which = np.concatenate([ids, one]), np.array(of, dtype=np.int64)
+        stop = np.append(0, np.cumsum(size[which]))[np.append(0, np.cumsum(per))]
+        return np.diff(stop), ids[expand(at[which], size[which])]
 
     def cut(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Where the pieces begin; a pattern that is not known gets whole texts."""
@@ -265,7 +321,7 @@ class Codec:
 _CODECS: dict[tuple, Codec] = {}
 
 
-def codec(path: str, pattern: str, key: str = "", start: tuple[list[bytes], list[np.ndarray]] | None = None) -> Codec:
+def codec(path: str, pattern: str, key: str = "", start: tuple[np.ndarray, ...] | None = None) -> Codec:
     if (path, pattern, key) not in _CODECS:
         _CODECS.clear()
         _CODECS[path, pattern, key] = Codec(path, pattern, start=start)
@@ -306,18 +362,30 @@ def dictionary(docs: DataFrame, text: str = "text", path: str | None = None, pat
             yield send()
 
     def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        own, held = codec(path, pattern), []
+
+        def send() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            n, ids = own.learn(table.column(0).to_pylist())
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(ids))
+            return pa.Table.from_arrays([table.column(0), table.column(1), lists], names=["piece", "n", "ids"]).combine_chunks().to_batches()[0]
+
         for batch in batches:
-            for part in slices(batch, "piece", 8 * chunk_bytes, 1 << 18):
-                ids = own.learn(part.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["piece", "n", "ids"])
+            for part in slices(batch, "piece", 4 * chunk_bytes, most):
+                held.append(part)
+                if sum(x.num_rows for x in held) >= most or sum(x.nbytes for x in held) >= 8 * chunk_bytes:
+                    yield send()
+                    held.clear()
+        if held:
+            yield send()
 
     pieces = docs.select(F.col(text).alias("text")).mapInArrow(count, "piece binary, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
     return materialise(pieces.mapInArrow(replay, "piece binary, n bigint, ids array<int>"))
 
 
-def frequent(pieces: DataFrame, held: int) -> tuple[list[bytes], list[np.ndarray]]:
-    """The pieces of a dictionary that are found at least so often that there are at most `held` of them."""
+def frequent(pieces: DataFrame, held: int) -> tuple[np.ndarray, ...]:
+    """The pieces of a dictionary that are found at least so often that there are at most `held` of them: their bytes,
+    lengths, numbers of ids and ids."""
     level = F.floor(F.log2("n") * 16)
     own = pieces.filter(F.length("piece") <= LONGEST).select("piece", "ids", level.alias("level"))
     left, least = held, None
@@ -325,12 +393,11 @@ def frequent(pieces: DataFrame, held: int) -> tuple[list[bytes], list[np.ndarray
         if r["k"] > left:
             break
         left, least = left - r["k"], r["level"]
-    if least is None:
-        return [], []
-    rows = own.filter(F.col("level") >= least).select("piece", "ids").toArrow()
-    ids = rows.column("ids").combine_chunks()
-    flat, stop = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))
-    return rows.column("piece").to_pylist(), np.split(flat, stop[:-1]) if len(stop) else []
+    rows = own.filter(F.col("level") >= least if least is not None else F.lit(False)).select("piece", "ids").toArrow()
+    piece, ids = rows.column("piece").to_pylist(), rows.column("ids")
+    flat = ids.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int32) if len(piece) else np.zeros(0, np.int32)
+    n = pc.list_value_length(ids).to_numpy().astype(np.int64) if len(piece) else np.zeros(0, np.int64)
+    return np.frombuffer(b"".join(piece), dtype=np.uint8), np.array([len(x) for x in piece], dtype=np.int64), n, flat
 
 
 def _mapped(docs: DataFrame, doc_id: str, text: str, path: str, pattern: str, chunk_bytes: int, fields: list, row, held: int) -> DataFrame:
@@ -351,7 +418,7 @@ def _mapped(docs: DataFrame, doc_id: str, text: str, path: str, pattern: str, ch
     return docs.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} {s}" for n, s, _ in fields))
 
 
-def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, chunk_bytes: int = 1 << 20, held: int = 200_000) -> DataFrame:
+def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, chunk_bytes: int = 2 << 20, held: int = 400_000) -> DataFrame:
     """doc_id, ids (array<int>)."""
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     return _mapped(docs, doc_id, text, path, pattern, chunk_bytes, [("ids", "array<int>", pa.list_(pa.int32()))], lambda own, ids: (ids,), held)
@@ -375,7 +442,7 @@ def _digest_row(own: Codec, ids: np.ndarray) -> tuple[int, str, str]:
     return len(ids), hashlib.sha256(own.decimal(ids)).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()
 
 
-def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, chunk_bytes: int = 1 << 20, held: int = 200_000) -> DataFrame:
+def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, chunk_bytes: int = 2 << 20, held: int = 400_000) -> DataFrame:
     """Encodes, decodes, and returns doc_id, n_tokens, ids_sha256 and decoded_sha256 from the same ids."""
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     return _mapped(docs, doc_id, text, path, pattern, chunk_bytes, [("n_tokens", "bigint", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())], _digest_row, held)

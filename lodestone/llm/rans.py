@@ -266,7 +266,7 @@ class Words:
         self.table = WordTable(self._learn, self.kind)
         self.standard = os.path.basename(path) == STANDARD
 
-    def _learn(self, raw: list[bytes]) -> list[np.ndarray]:
+    def _learn(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Words of letters only have one word end, and go through the library as lines of many."""
         words = [w.decode() for w in raw]
         out: list[np.ndarray | None] = [None] * len(words)
@@ -281,7 +281,7 @@ class Words:
         rest = [i for i, x in enumerate(out) if x is None]
         for i, e in zip(rest, self.library.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)):
             out[i] = np.array(e.ids, dtype=self.kind)
-        return out
+        return np.array([len(x) for x in out], dtype=np.int64), np.concatenate(out)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """data, offsets: UTF-8 of texts. The number of ids of each text, with the end id, and all ids."""

@@ -135,7 +135,7 @@ class RollupStore:
 VERSIONS = {"byte_bpe_50k": "byte_bpe_50k.tiktoken", "word_bpe_49k": "word_bpe_49k.json"}
 
 
-def tokens_of(docs: DataFrame, texts: dict[str, str], keep: list[str], held: int = 200_000) -> DataFrame:
+def tokens_of(docs: DataFrame, texts: dict[str, str], keep: list[str], held: int = 400_000) -> DataFrame:
     """The columns in keep, and the numbers of tokens of whole texts: for each name in texts, which gives the text's
     column, <name>_byte and <name>_word. A null text has none, and is not tokenised."""
     types = dict(docs.dtypes)
@@ -147,7 +147,7 @@ def tokens_of(docs: DataFrame, texts: dict[str, str], keep: list[str], held: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         byte, word = byte_bpe.codec(of(path), pattern, key, sent.value), words_of(of(VERSIONS["word_bpe_49k"]))
         for batch in batches:
-            for part in slices(batch, f"__{next(iter(texts))}"):
+            for part in slices(batch, f"__{next(iter(texts))}", 2 << 20):
                 counts = []
                 for n in texts:
                     data, offsets = utf8(part.column(part.schema.get_field_index(f"__{n}")))
