@@ -135,17 +135,15 @@ class RollupStore:
 VERSIONS = {"byte_bpe_50k": "byte_bpe_50k.tiktoken", "word_bpe_49k": "word_bpe_49k.json"}
 
 
-def tokens_of(docs: DataFrame, texts: dict[str, str], keep: list[str], held: int = 400_000) -> DataFrame:
+def tokens_of(docs: DataFrame, texts: dict[str, str], keep: list[str]) -> DataFrame:
     """The columns in keep, and the numbers of tokens of whole texts: for each name in texts, which gives the text's
     column, <name>_byte and <name>_word. A null text has none, and is not tokenised."""
     types = dict(docs.dtypes)
     of, path, pattern = public_tokenizers.path, VERSIONS["byte_bpe_50k"], public_tokenizers.PATTERN
-    sent = docs.sparkSession.sparkContext.broadcast(byte_bpe.frequent(byte_bpe.dictionary(docs, next(iter(texts.values())), of(path)), held))
-    key = uuid.uuid4().hex
     names = [f"{n}_{k}" for n in texts for k in ("byte", "word")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        byte, word = byte_bpe.codec(of(path), pattern, key, sent.value), words_of(of(VERSIONS["word_bpe_49k"]))
+        byte, word = byte_bpe.codec(of(path), pattern), words_of(of(VERSIONS["word_bpe_49k"]))
         for batch in batches:
             for part in slices(batch, f"__{next(iter(texts))}", 2 << 20):
                 counts = []
