@@ -9,8 +9,8 @@ merges are applied to all its positions at once, and only the pairs with the tou
 lists under their own ranks. Texts are then encoded by looking pieces up, all at once, and no text is shuffled.
 
 The dictionary is a table in the shared folder. Encoders hold its most frequent pieces, at most `held` of at most
-LONGEST bytes (some 15 MB, 40 at most, which bounds what is broadcast); they replay pieces beyond that themselves, slice by
-slice, and keep up to 700,000 of them.
+LONGEST bytes (some 10 MB, 30 at most, which bounds what is broadcast); they replay pieces beyond that themselves, slice by
+slice, and keep up to 400,000 of them.
 
 Merging all positions of a rank at once equals merging the lowest-ranked, leftmost pair of a word again and again
 unless a merge makes a pair of a lower or equal rank. Words in which that happens are encoded one by one in the plain
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm._spark import materialise
-from lodestone.llm._text import distinct_runs, expand, slices, utf8
+from lodestone.llm._text import distinct_runs, expand, slices, tidy, utf8
 from lodestone.llm._words import WordTable
 
 
@@ -253,12 +253,27 @@ def _wide_blanks(data: np.ndarray) -> np.ndarray:
     return lead[wide]
 
 
+def pieces_at(data: np.ndarray, offsets: np.ndarray, pattern: str) -> np.ndarray:
+    """Where the pieces begin; a pattern that is not known gets whole texts."""
+    return segments(data, offsets) if pattern == public_tokenizers.PATTERN else np.unique(offsets[:-1][np.diff(offsets) > 0])
+
+
+#: The last table of ranks, by its path.
+_REPLAYS: dict[str, MergeReplay] = {}
+
+
+def replay_of(path: str) -> MergeReplay:
+    if path not in _REPLAYS:
+        _REPLAYS.clear()
+        _REPLAYS[path] = MergeReplay(load_ranks(path))
+    return _REPLAYS[path]
+
+
 class Codec:
     """Texts to ids and back. What is kept between texts is the table of pieces, and small tables of all tokens."""
 
-    def __init__(self, path: str, pattern: str, cache: int = 700_000, start: tuple[np.ndarray, ...] | None = None):
-        self.replay, self.split = MergeReplay(load_ranks(path)), regex.compile(pattern).findall
-        self.standard = pattern == public_tokenizers.PATTERN
+    def __init__(self, path: str, pattern: str, cache: int = 400_000, start: tuple[np.ndarray, ...] | None = None):
+        self.replay, self.pattern, self.split = replay_of(path), pattern, regex.compile(pattern).findall
         self.table = WordTable(self.learn, np.dtype("<i4"), cache, start)
         top = self.replay.top
         raw = [self.replay.bytes_of.get(i, b"") for i in range(top)]
@@ -289,16 +304,12 @@ class Codec:
         stop = np.append(0, np.cumsum(size[which]))[np.append(0, np.cumsum(per))]
         return np.diff(stop), ids[expand(at[which], size[which])]
 
-    def cut(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Where the pieces begin; a pattern that is not known gets whole texts."""
-        return segments(data, offsets) if self.standard else np.unique(offsets[:-1][np.diff(offsets) > 0])
-
     def encode_batch(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """data, offsets: UTF-8 of texts. The number of ids of each text, and all ids."""
         docs = len(offsets) - 1
         if not len(data):
             return np.zeros(docs, np.int64), np.zeros(0, np.int32)
-        cut = self.cut(data, offsets)
+        cut = pieces_at(data, offsets, self.pattern)
         size, ids = self.table.ids(data, cut)
         of = np.append(0, np.cumsum(size))[np.searchsorted(cut, offsets)]
         return np.diff(of), ids
@@ -332,13 +343,13 @@ def codec(path: str, pattern: str, key: str = "", start: tuple[np.ndarray, ...]
 LONGEST = 48
 
 
-def dictionary(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, chunk_bytes: int = 1 << 20, most: int = 300_000) -> DataFrame:
+def dictionary(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, chunk_bytes: int = 1 << 20, most: int = 150_000) -> DataFrame:
     """piece (binary), n (how often the corpus has it) and ids, for every distinct piece, as a written table. A task
     sends a piece once, or once for each `most` distinct ones."""
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, total = codec(path, pattern), {}
+        total: dict[bytes, int] = {}
 
         def send() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["piece", "n"])
@@ -346,7 +357,7 @@ def dictionary(docs: DataFrame, text: str = "text", path: str | None = None, pat
         for batch in batches:
             for part in slices(batch, "text", chunk_bytes):
                 data, offsets = utf8(part.column(0))
-                cut = own.cut(data, offsets) if len(data) else offsets[:0]
+                cut = pieces_at(data, offsets, pattern) if len(data) else offsets[:0]
                 if not len(cut):
                     continue
                 length = np.diff(np.append(cut, len(data)))
@@ -376,6 +387,7 @@ def dictionary(docs: DataFrame, text: str = "text", path: str | None = None, pat
                 if sum(x.num_rows for x in held) >= most or sum(x.nbytes for x in held) >= 8 * chunk_bytes:
                     yield send()
                     held.clear()
+                    tidy()
         if held:
             yield send()
 
@@ -418,7 +430,7 @@ def _mapped(docs: DataFrame, doc_id: str, text: str, path: str, pattern: str, ch
     return docs.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} {s}" for n, s, _ in fields))
 
 
-def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, chunk_bytes: int = 2 << 20, held: int = 400_000) -> DataFrame:
+def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, chunk_bytes: int = 1 << 20, held: int = 300_000) -> DataFrame:
     """doc_id, ids (array<int>)."""
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     return _mapped(docs, doc_id, text, path, pattern, chunk_bytes, [("ids", "array<int>", pa.list_(pa.int32()))], lambda own, ids: (ids,), held)
@@ -442,7 +454,7 @@ def _digest_row(own: Codec, ids: np.ndarray) -> tuple[int, str, str]:
     return len(ids), hashlib.sha256(own.decimal(ids)).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()
 
 
-def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, chunk_bytes: int = 2 << 20, held: int = 400_000) -> DataFrame:
+def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, chunk_bytes: int = 1 << 20, held: int = 300_000) -> DataFrame:
     """Encodes, decodes, and returns doc_id, n_tokens, ids_sha256 and decoded_sha256 from the same ids."""
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     return _mapped(docs, doc_id, text, path, pattern, chunk_bytes, [("n_tokens", "bigint", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())], _digest_row, held)

@@ -264,7 +264,7 @@ class Tagger:
             out[todo, 0] = at
         return out
 
-    def spans(self, texts: list[str], window: int = 256, overlap: int = 48, at_once: int = 2048) -> list[list[Span]]:
+    def spans(self, texts: list[str], window: int = 256, overlap: int = 48, at_once: int = 1024) -> list[list[Span]]:
         """Spans in the reconciled tag sequence of each text: from a begin tag, or another kind, to the last inside."""
         codes = [classes_of(t) for t in texts]
         size = np.array([len(c) for c in codes], dtype=np.int64)
