@@ -52,34 +52,29 @@ def ocr_repaired(text: Column) -> Column:
     return text
 
 
-def quality_measures(text: Column) -> dict[str, Column]:
-    n = F.length(text)
-    runs = F.split(text, r"\s+")
-    words = F.filter(runs, lambda w: F.length(w) > 0)
-    return {
-        "whitespace_ratio": F.bround((n - F.length(F.regexp_replace(text, r"\s", ""))) / n, 3),
-        "max_run": F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0)),
-        "camel_rate": F.bround(F.regexp_count(text, F.lit("[a-z][A-Z]")) / n, 3),
-        "avg_word": F.bround(F.coalesce(F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w)) / F.nullif(F.size(words), F.lit(0)), F.lit(0.0)), 1),
-    }
-
-
 def text_quality(text: Column) -> Column:
     """struct(score, label, whitespace_ratio, max_run, camel_rate, avg_word): penalties for lost blanks, glued words
-    and odd word lengths, from 1 down to 0; below 20 characters a text is `short` with score 0."""
-    n = F.length(text)
+    and odd word lengths, from 1 down to 0; below 20 characters a text is `short` with score 0.
+
+    The text is split once: what is measured is bound to a name, as the one element of an array."""
     runs = F.transform(F.split(text, r"\s+"), F.length)
-    ws = (n - F.length(F.regexp_replace(text, r"\s", ""))) / n
-    run, camel = F.array_max(runs), F.regexp_count(text, F.lit("[a-z][A-Z]")) / n
-    words = F.filter(runs, lambda k: k > 0)
-    avg = F.coalesce(F.aggregate(words, F.lit(0), lambda a, k: a + k) / F.nullif(F.size(words), F.lit(0)), F.lit(0.0))
-    raw = F.lit(1.0) - F.when(ws < 0.10, 0.4).when(ws < 0.15, 0.2).otherwise(0.0) - F.when(run > 100, 0.3).when(run > 50, 0.15).otherwise(0.0) - F.when(camel > 0.10, 0.3).when(camel > 0.05, 0.15).otherwise(0.0) - F.when((avg < 3) | (avg > 12), 0.1).otherwise(0.0)
-    short = (F.length(F.coalesce(text, F.lit(""))) < 20)
-    score = F.when(short, 0.0).otherwise(F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), 3))
-    label = F.when(short, "short").when(score >= 0.7, "clean").when(ws < 0.10, "no_space").when((camel > 0.05) | (run > 50), "glued").otherwise("marginal")
-    m = quality_measures(text)
-    zero = lambda c, z: F.when(short, F.lit(z)).otherwise(c)
-    return F.struct(score.alias("score"), label.alias("label"), zero(m["whitespace_ratio"], 0.0).alias("whitespace_ratio"), zero(m["max_run"], 0).alias("max_run"), zero(m["camel_rate"], 0.0).alias("camel_rate"), zero(m["avg_word"], 0.0).alias("avg_word"))
+    measured = F.struct(F.length(text).alias("n"), runs.alias("runs"), F.regexp_count(text, F.lit("[a-z][A-Z]")).alias("camel"))
+
+    def sums(m: Column) -> Column:
+        letters = F.aggregate(m["runs"], F.lit(0), lambda a, k: a + k)  # all but white space
+        words = F.size(F.filter(m["runs"], lambda k: k > 0))
+        return F.struct(m["n"].alias("n"), F.try_divide(m["n"] - letters, m["n"]).alias("ws"), F.coalesce(F.array_max(m["runs"]), F.lit(0)).alias("run"), F.try_divide(m["camel"], m["n"]).alias("camel"), F.coalesce(F.try_divide(letters, words), F.lit(0.0)).alias("avg"))
+
+    def rated(m: Column) -> Column:
+        ws, run, camel, avg = m["ws"], m["run"], m["camel"], m["avg"]
+        raw = F.lit(1.0) - F.when(ws < 0.10, 0.4).when(ws < 0.15, 0.2).otherwise(0.0) - F.when(run > 100, 0.3).when(run > 50, 0.15).otherwise(0.0) - F.when(camel > 0.10, 0.3).when(camel > 0.05, 0.15).otherwise(0.0) - F.when((avg < 3) | (avg > 12), 0.1).otherwise(0.0)
+        short = F.coalesce(m["n"], F.lit(0)) < 20
+        zero = lambda c, z: F.when(short, F.lit(z)).otherwise(c)
+        score = zero(F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), 3), 0.0)
+        label = F.when(short, "short").when(score >= 0.7, "clean").when(ws < 0.10, "no_space").when((camel > 0.05) | (run > 50), "glued").otherwise("marginal")
+        return F.struct(score.alias("score"), label.alias("label"), zero(F.bround(ws, 3), 0.0).alias("whitespace_ratio"), zero(run, 0).alias("max_run"), zero(F.bround(camel, 3), 0.0).alias("camel_rate"), zero(F.bround(avg, 1), 0.0).alias("avg_word"))
+
+    return F.transform(F.transform(F.array(measured), sums), rated)[0]
 
 
 def first_title(text: Column, least: int = 10, most: int = 200) -> Column:

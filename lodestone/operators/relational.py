@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.scratch import materialise
+
 
 def distinct_on(df: DataFrame, keys: list[str], order: list[Column], limit: int | None = None, limit_by: list[Column] | None = None) -> DataFrame:
     """One row for each key, the first in the order. limit keeps so many of them by limit_by (default: the keys)."""
@@ -31,6 +33,7 @@ def ranked(df: DataFrame, order: list[Column], rank: str = "rank") -> DataFrame:
     single task sorts all rows."""
     names = df.columns
     parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
+    parts = materialise(parts)  # dealt out once: a second exchange could get other bounds
     sizes = parts.groupBy("__p").agg(F.count("*").alias("__n"), F.min("__i").alias("__first"))
     before = sizes.select("__p", "__first", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
     return parts.join(F.broadcast(before), "__p").select(*names, (F.col("__b") + F.col("__i") - F.col("__first") + 1).alias(rank))
@@ -135,10 +138,39 @@ def junk_name(name: Column, known: tuple[str, ...] = ("unknown", "none", "other"
     return name.isin(*known) | name.startswith("test_") | name.startswith("_") | (F.length(name) <= 2)
 
 
+#: Nodes of a parsed plan that only read; any other refuses the statement.
+READING = frozenset("Project Filter Join Aggregate Sort GlobalLimit LocalLimit Limit Offset Tail UnresolvedRelation SubqueryAlias Union Distinct OneRowRelation UnresolvedWith UnresolvedInlineTable UnresolvedHaving Generate Except Intersect UnresolvedSubqueryColumnAliases WithWindowDefinition Sample Pivot Unpivot LateralJoin UnresolvedTableValuedFunction LocalRelation Window".split())
+#: Functions that call other code, or read other files than tables.
+CALLING = frozenset("reflect java_method try_reflect read_files sql_keywords python_worker_logs".split())
+
+
+def _members(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _reads(plan, known: set[str]) -> bool:
+    if plan.getClass().getSimpleName().rstrip("$") not in READING:
+        return False
+    if plan.getClass().getSimpleName() == "UnresolvedTableValuedFunction" and ".".join(_members(plan.name())).lower() not in known:
+        return False
+    return all(_reads(x, known) for x in [*_members(plan.children()), *(x for x in _members(plan.innerChildren()) if hasattr(x, "children") and "plans.logical" in x.getClass().getName())]) and all(_calls_known(e, known) for e in _members(plan.expressions()))
+
+
+def _calls_known(e, known: set[str]) -> bool:
+    kind = e.getClass().getSimpleName()
+    if kind == "UnresolvedFunction" and ".".join(_members(e.nameParts())).lower() not in known:
+        return False
+    if kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery") and not _reads(e.plan(), known):
+        return False
+    return all(_calls_known(x, known) for x in _members(e.children()))
+
+
 def read_only(spark, sql: str) -> bool:
-    """Whether a statement only reads: its parsed plan is no command and holds none."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    text = plan.toString()
-    kind = plan.getClass().getSimpleName()
-    writes = ("Insert", "Create", "Drop", "Alter", "Delete", "Update", "Merge", "Truncate", "Command", "Replace", "Overwrite", "Set", "Cache", "Load")
-    return not any(w in kind for w in writes) and "Command" not in text.splitlines()[0]
+    """Whether a statement only reads: all nodes of its parsed plan, with those of common tables and subqueries, are
+    known to read, and all functions are built in and call no other code."""
+    state = spark._jsparkSession.sessionState()
+    builtin = spark._jvm.org.apache.spark.sql.catalyst.analysis
+    known = set()
+    for registry in (builtin.FunctionRegistry.builtin(), builtin.TableFunctionRegistry.builtin()):
+        known |= {f.funcName().lower() for f in _members(registry.listFunction())}
+    return _reads(state.sqlParser().parsePlan(sql), known - CALLING)

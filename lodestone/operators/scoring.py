@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.relational import top_k
+
 #: Weights of the parts of an item's priority.
 WEIGHTS = {"popularity": 0.15, "freshness": 0.10, "bridge": 0.25, "gap": 0.15, "trust": 0.15, "information": 0.20}
 
@@ -132,3 +134,62 @@ def support_balance(text: Column) -> Column:
 def verdict(support: Column, contra: Column) -> Column:
     c = F.coalesce(F.try_divide(support * 1.0, support + contra), F.lit(0.5))
     return F.struct(c.alias("confidence"), F.when(c > 0.6, "supported").when(c > 0.4, "needs_investigation").otherwise("not_supported").alias("verdict"))
+
+
+def repository_relevance(description: Column, stars: Column, language: Column, tier: Column, keywords: list[tuple[list[str], float]], tiers: dict[str, float]) -> Column:
+    """The weight of each group of keywords of which the description has one, up to 0.3 for stars (a tenth for each power
+    of ten), 0.1 for Python and the tier's own."""
+    said = F.lower(F.coalesce(description, F.lit("")))
+    groups = [F.when(reduce(lambda a, b: a | b, (said.contains(k) for k in ks)), w).otherwise(0.0) for ks, w in keywords]
+    liked = F.when(stars > 0, F.least(F.lit(0.3), F.log10(stars + 1) / 10)).otherwise(0.0)
+    own = reduce(lambda c, x: c.when(tier == x[0], x[1]), list(tiers.items())[1:], F.when(tier == next(iter(tiers)), tiers[next(iter(tiers))])).otherwise(0.0) if tiers else F.lit(0.0)
+    return reduce(lambda a, b: a + b, groups, F.lit(0.0)) + liked + F.when(language == "Python", 0.1).otherwise(0.0) + own
+
+
+def key_file_priority(text: Column, name: Column, definition: str, sweet: tuple[int, int], favoured: str, plain: str) -> Column:
+    """0.3 for definitions in a hundred lines (10 and more count full), 0.4 for a number of lines in the sweet spot (else
+    half), 0.3 for the name (1.5 times if favoured, 0.7 times if plain)."""
+    lines = F.regexp_count(text, F.lit("\n")) + 1
+    density = F.least(F.regexp_count(text, F.lit(definition)) * 100 / lines / 10, F.lit(1.0))
+    size = F.when(lines.between(*sweet), 1.0).otherwise(0.5)
+    return 0.3 * density + 0.4 * size + 0.3 * F.when(name.rlike(favoured), 1.5).when(name.rlike(plain), 0.7).otherwise(1.0)
+
+
+def hypothesis_rank(method: Column, concept: Column, proven: dict[str, float], hot: dict[str, float], base: float = 7.0) -> Column:
+    """The base for a pair that nobody has tried, with boosts for proven methods and hot concepts, by parts of names."""
+    boosts = [F.when(method.contains(k), w).otherwise(0.0) for k, w in proven.items()] + [F.when(F.lower(concept).contains(k), w).otherwise(0.0) for k, w in hot.items()]
+    return reduce(lambda a, b: a + b, boosts, F.lit(base))
+
+
+def topic_gaps(hits: DataFrame, concepts: DataFrame, key: str, year: str, concept: str, now: int, methods: list[str]) -> DataFrame:
+    """One row on a topic's papers (hits, of a bounded search): how many, how many of the last three years and whether
+    those are fewer than five, the ten most frequent concepts, up to ten that one paper has, and whether none of the
+    methods is among the frequent ones."""
+    own = concepts.join(F.broadcast(hits.select(key)), key, "left_semi").groupBy(concept).agg(F.count("*").alias("n"))
+    first = lambda rows, *order: rows.orderBy(*order).limit(10).agg(F.array_sort(F.collect_list(F.struct(*(o for o in ("n", concept))))).alias("x"))
+    top = first(own, F.desc("n"), concept).select(F.transform(F.array_sort("x", lambda a, b: F.when(a["n"] != b["n"], b["n"].cast("int") - a["n"].cast("int")).when(a[concept] < b[concept], -1).when(a[concept] > b[concept], 1).otherwise(0)), lambda s: s[concept]).alias("top_concepts"))
+    rare = first(own.filter("n = 1"), concept).select(F.transform("x", lambda s: s[concept]).alias("rare_concepts"))
+    papers = hits.agg(F.count("*").alias("papers"), F.count_if((F.col(year) <= now) & (F.col(year) > now - 3)).alias("recent"))
+    gap = ~F.arrays_overlap("top_concepts", F.array(*map(F.lit, methods)))
+    return papers.join(top).join(rare).select("papers", "recent", (F.col("recent") < 5).alias("recency_gap"), "top_concepts", "rare_concepts", gap.alias("method_gap"))
+
+
+def assignee_velocity(filings: DataFrame, assignee: str, year: str, code: str, now: int, k: int = 10) -> DataFrame:
+    """assignee, filings in all and of this and the last year, and its k most frequent codes (ties by name)."""
+    by_code = filings.groupBy(assignee, code).agg(F.count("*").alias("n"))
+    top = top_k(by_code, [assignee], [F.desc("n"), F.asc(code)], k, "r")
+    listed = top.groupBy(assignee).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", code))), lambda s: s[code]).alias("areas"))
+    total = filings.groupBy(assignee).agg(F.count("*").alias("total"), F.count_if(F.col(year).isin(now, now - 1)).alias("recent"))
+    return total.join(listed, assignee)
+
+
+def jurisdiction_coverage(cases: DataFrame, court: str, k: int = 10) -> DataFrame:
+    """court, cases, percent of all cases, of the k courts that have most."""
+    n = cases.groupBy(court).agg(F.count("*").alias("cases"))
+    return n.join(F.broadcast(n.agg(F.sum("cases").alias("total")))).orderBy(F.desc("cases"), court).limit(k).select(court, "cases", F.round(100.0 * F.col("cases") / F.col("total"), 1).alias("percent"))
+
+
+def precedents(found: DataFrame, key: str, court: str, score: str, per_court: int = 10, k: int = 20) -> DataFrame:
+    """The k best cases of the per_court best of each court; a case that several courts give counts once, by its best."""
+    best = top_k(found, [court], [F.desc(score), F.asc(key)], per_court)
+    return best.groupBy(key).agg(F.max(score).alias(score)).orderBy(F.desc(score), key).limit(k)

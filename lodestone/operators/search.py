@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.scratch import materialise
+
 from lodestone.functions.text import STOP_WORDS
 from lodestone.operators.relational import top_k
 
@@ -89,9 +91,11 @@ def _upto(places: Column, end: Column) -> Column:
 
 
 def bm25(docs: DataFrame, key: str, text: str, query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """key, score of the documents that have some term. Statistics are over all documents, in one pass."""
+    """key, score of the documents that have some term. Statistics are over all documents, which are read once: the
+    numbers of terms, a few integers a document, are written and read twice."""
     t = docs.select(key, terms(F.col(text)).alias("t"))
     tfs = t.select(key, F.size("t").alias("n"), *(tf_of(F.col("t"), q).alias(f"tf{i}") for i, q in enumerate(query)))
+    tfs = materialise(tfs)
     stats = tfs.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(query))))
     hits = tfs.filter(reduce(lambda a, c: a | c, (F.col(f"tf{i}") > 0 for i in range(len(query)))))
 

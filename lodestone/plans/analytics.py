@@ -70,15 +70,16 @@ def _(t: Tables):
     return once.orderBy(F.desc("value"), "event_id").limit(100).select("source", "user_id", "event_id", "value")
 
 
-@query("sco_09_repository_relevance", "SELECT file_id, round((CASE WHEN language = 'python' THEN 2 ELSE 0 END) + log10(greatest(size, 1)), 6) AS score FROM code_files")
+@query("sco_09_repository_relevance", "SELECT p_partkey, round((CASE WHEN contains(p_name, 'red') OR contains(p_name, 'blue') THEN 0.3 ELSE 0.0 END) + (CASE WHEN contains(p_name, 'ring') THEN 0.3 ELSE 0.0 END) + (CASE WHEN contains(p_name, 'bolt') OR contains(p_name, 'gear') THEN 0.2 ELSE 0.0 END) + (CASE WHEN p_size > 0 THEN least(0.3, log10(p_size + 1) / 10) ELSE 0.0 END) + (CASE WHEN p_partkey % 3 = 0 THEN 0.1 ELSE 0.0 END) + (CASE p_brand WHEN 'Brand#1' THEN 0.5 WHEN 'Brand#2' THEN 0.3 ELSE 0.0 END), 6) AS score FROM part")
 def _(t: Tables):
-    return t.code_files.select("file_id", F.round(F.when(F.col("language").rlike("python"), 2).otherwise(0) + F.log10(F.greatest("size", F.lit(1.0))), 6).alias("score"))
+    language = F.when(F.col("p_partkey") % 3 == 0, "Python").otherwise("R")
+    score = S.repository_relevance(F.col("p_name"), F.col("p_size"), language, F.col("p_brand"), [(["red", "blue"], 0.3), (["ring"], 0.3), (["bolt", "gear"], 0.2)], {"Brand#1": 0.5, "Brand#2": 0.3})
+    return t("part").select("p_partkey", F.round(score, 6).alias("score"))
 
 
-@query("sco_10_key_file_priority", "SELECT file_id, round(0.3 * CASE WHEN path LIKE '%1%' THEN 1 ELSE 0 END + 0.4 * least(1.0, greatest(size, 0) / 10000) + 0.3 * CASE WHEN language = 'python' THEN 1 ELSE 0 END, 6) AS priority FROM code_files")
+@query("sco_10_key_file_priority", r""", d AS (SELECT doc_id, source, len(regexp_extract_all(text, '\n')) + 1 AS lines, len(regexp_extract_all(text, '\n[A-Z]')) AS defs FROM documents WHERE text IS NOT NULL) SELECT doc_id, round(0.3 * least(defs * 100.0 / lines / 10, 1.0) + 0.4 * (CASE WHEN lines BETWEEN 5 AND 40 THEN 1.0 ELSE 0.5 END) + 0.3 * (CASE WHEN contains(source, '1') THEN 1.5 WHEN contains(source, '2') THEN 0.7 ELSE 1.0 END), 6) AS priority FROM d""")
 def _(t: Tables):
-    one = lambda c: F.when(c, 1.0).otherwise(0.0)
-    return t.code_files.select("file_id", F.round(0.3 * one(F.col("path").contains("1")) + 0.4 * S.clamped(F.col("size") / 10000) + 0.3 * one(F.col("language") == "python"), 6).alias("priority"))
+    return t("documents").filter("text IS NOT NULL").select("doc_id", F.round(S.key_file_priority(F.col("text"), F.col("source"), "\n[A-Z]", (5, 40), "1", "2"), 6).alias("priority"))
 
 
 @query("sco_11_novelty", """, g AS (SELECT field, concept, count(*) AS n FROM passage_concepts GROUP BY 1, 2) SELECT field, concept, CAST(round(greatest(0.3, least(0.95, CASE n % 5 WHEN 0 THEN 0.0 WHEN 1 THEN 0.2 WHEN 2 THEN 0.3 WHEN 3 THEN 0.4 ELSE 0.35 END + CASE WHEN n = 0 THEN 0.4 WHEN n < 3 THEN 0.3 WHEN n < 10 THEN 0.2 WHEN n < 30 THEN 0.15 ELSE 0.05 END + CASE WHEN n // 4 = 0 THEN 0.2 WHEN n // 4 < 5 THEN 0.15 ELSE 0.1 END)), 6) AS DOUBLE) AS novelty FROM g""")
@@ -87,9 +88,10 @@ def _(t: Tables):
     return g.select("field", "concept", F.round(S.novelty(F.col("n") % 5, F.col("n"), F.floor(F.col("n") / 4)), 6).alias("novelty"))
 
 
-@query("sco_12_hypothesis_rank", "SELECT passage_id, CAST(7 + CASE WHEN count(DISTINCT field) >= 3 THEN 1 ELSE 0 END + CASE WHEN max(confidence) >= 0.95 THEN 1 ELSE 0 END AS INTEGER) AS score FROM passage_concepts GROUP BY passage_id")
+@query("sco_12_hypothesis_rank", "SELECT DISTINCT field, concept, CAST(7.0 + (CASE WHEN contains(field, '#1') THEN 2.0 ELSE 0.0 END) + (CASE WHEN contains(lower(concept), 'red') THEN 1.5 ELSE 0.0 END) + (CASE WHEN contains(lower(concept), 'ring') THEN 1.0 ELSE 0.0 END) AS DOUBLE) AS score FROM passage_concepts")
 def _(t: Tables):
-    return t.passage_concepts.groupBy("passage_id").agg((7 + F.when(F.count_distinct("field") >= 3, 1).otherwise(0) + F.when(F.max("confidence") >= 0.95, 1).otherwise(0)).alias("score"))
+    pairs = t.passage_concepts.select("field", "concept").distinct()
+    return pairs.withColumn("score", S.hypothesis_rank(F.col("field"), F.col("concept"), {"#1": 2.0}, {"red": 1.5, "ring": 1.0}))
 
 
 @query("sco_13_velocity_steps", f"SELECT event_id, CAST(CASE WHEN d < 7 THEN 1.0 WHEN d < 30 THEN 0.8 WHEN d < 90 THEN 0.5 WHEN d < 180 THEN 0.2 ELSE 0.0 END AS DOUBLE) AS velocity FROM (SELECT event_id, date_diff('day', CAST(ts AS DATE), {_AS_OF}) AS d FROM feed)")
@@ -100,9 +102,13 @@ def _(t: Tables):
 # -- trends ---------------------------------------------------------------------------------------------------------
 
 
-@query("trd_01_gaps", "SELECT year, count(*) AS n, count(*) FILTER (WHERE quality < 0.1) AS poor FROM passages GROUP BY year HAVING count(*) < 1000000")
+@query("trd_01_gaps", """, h AS (SELECT passage_id, max(confidence) AS s FROM passage_concepts WHERE concept LIKE 'red%' GROUP BY passage_id ORDER BY s DESC, passage_id LIMIT 50), y AS (SELECT count(*) AS papers, count(*) FILTER (WHERE year BETWEEN 1996 AND 1998) AS recent FROM h JOIN passages USING (passage_id)), c AS (SELECT concept, count(*) AS n FROM h JOIN passage_concepts USING (passage_id) GROUP BY concept), tc AS (SELECT string_agg(concept, ',' ORDER BY n DESC, concept) AS top_concepts, bool_or(concept IN ('blue_ring', 'blue_bolt')) AS any_method FROM (SELECT * FROM c ORDER BY n DESC, concept LIMIT 10)), rc AS (SELECT coalesce(string_agg(concept, ',' ORDER BY concept), '') AS rare_concepts FROM (SELECT * FROM c WHERE n = 1 ORDER BY concept LIMIT 10)) SELECT papers, recent, recent < 5 AS recency_gap, top_concepts, rare_concepts, NOT any_method AS method_gap FROM y, tc, rc""")
 def _(t: Tables):
-    return t.passages.groupBy("year").agg(F.count("*").alias("n"), F.count_if(F.col("quality") < 0.1).alias("poor"))
+    """The papers that a search for the topic gives, 50 at most, and what they leave open."""
+    hits = t.passage_concepts.filter("concept LIKE 'red%'").groupBy("passage_id").agg(F.max("confidence").alias("s")).orderBy(F.desc("s"), "passage_id").limit(50)
+    hits = t.passages.select("passage_id", "year").join(F.broadcast(hits.select("passage_id")), "passage_id")
+    g = S.topic_gaps(hits, t.passage_concepts, "passage_id", "year", "concept", 1998, ["blue_ring", "blue_bolt"])
+    return g.select("papers", "recent", "recency_gap", F.array_join("top_concepts", ",").alias("top_concepts"), F.array_join("rare_concepts", ",").alias("rare_concepts"), "method_gap")
 
 
 _YEARS = ", y AS (SELECT concept, CAST(year(created_at) AS INTEGER) AS year FROM passage_concepts)"
@@ -198,6 +204,23 @@ def _(t: Tables):
     return ends.groupBy("node").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
 
+@query("mkt_07_assignee_velocity", """, f AS (SELECT field, CAST(year(created_at) AS INTEGER) AS year, concept FROM passage_concepts), g AS (SELECT field, count(*) AS total, count(*) FILTER (WHERE year IN (1998, 1997)) AS recent FROM f GROUP BY field), r AS (SELECT field, concept, row_number() OVER (PARTITION BY field ORDER BY count(*) DESC, concept) AS r FROM f GROUP BY field, concept), a AS (SELECT field, string_agg(concept, ',' ORDER BY r) AS areas FROM r WHERE r <= 10 GROUP BY field) SELECT field, total, recent, areas FROM g JOIN a USING (field)""")
+def _(t: Tables):
+    f = t.passage_concepts.select("field", F.year("created_at").alias("year"), "concept")
+    return S.assignee_velocity(f, "field", "year", "concept", 1998).select("field", "total", "recent", F.array_join("areas", ",").alias("areas"))
+
+
+@query("mkt_08_coverage", "SELECT source, count(*) AS cases, round(100.0 * count(*) / sum(count(*)) OVER (), 1) AS percent FROM documents WHERE contains(lower(text), 'the') GROUP BY source ORDER BY cases DESC, source LIMIT 10")
+def _(t: Tables):
+    return S.jurisdiction_coverage(t("documents").filter(F.lower("text").contains("the")), "source")
+
+
+@query("mkt_08_precedents", """, m AS (SELECT doc_id, source, len(regexp_extract_all(lower(text), 'the')) AS score FROM documents WHERE contains(lower(text), 'the')), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS r FROM m) SELECT doc_id, max(score) AS score FROM r WHERE r <= 10 GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20""")
+def _(t: Tables):
+    m = t("documents").filter(F.lower("text").contains("the")).select("doc_id", "source", F.regexp_count(F.lower("text"), F.lit("the")).alias("score"))
+    return S.precedents(m, "doc_id", "source", "score")
+
+
 @query("mkt_09_presence_flags", "SELECT c_mktsegment, count(DISTINCT c_nationkey) AS nations, bool_or(c_nationkey = 3) AS in_three, bool_or(c_acctbal > 9999) AS rich FROM customer GROUP BY c_mktsegment")
 def _(t: Tables):
     return t("customer").groupBy("c_mktsegment").agg(F.count_distinct("c_nationkey").alias("nations"), F.bool_or(F.col("c_nationkey") == 3).alias("in_three"), F.bool_or(F.col("c_acctbal") > 9999).alias("rich"))
@@ -403,6 +426,7 @@ def _(t: Tables):
     return s.select(F.round("share", 6).alias("share"), Q.grade(F.col("share")).alias("grade"))
 
 
-@query("qa_18_latency", "SELECT event_type, count(*) AS runs, round(avg(CASE WHEN value < 1 THEN 1.0 ELSE 0.0 END), 6) AS failure_rate, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
+@query("qa_18_latency", """, r AS (SELECT event_type, value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, count(*) AS runs, round(avg(CASE WHEN value < 1 THEN 1.0 ELSE 0.0 END) * 100, 1) AS failure_rate, round(avg(value) * 1000, 1) AS mean_ms, round(max(value) FILTER (WHERE r = floor(n * 0.95)) * 1000, 1) AS p95_ms, round(avg(k) FILTER (WHERE value >= 1), 1) AS mean_concepts, round(count(*) / sum(value) * 60, 1) AS per_minute FROM r GROUP BY event_type""")
 def _(t: Tables):
-    return Q.latency_report(t("events"), "event_type", "value", F.col("value") < 1).select("event_type", "runs", F.round("failure_rate", 6).alias("failure_rate"), F.round("p95", 6).alias("p95"))
+    runs = t("events").select("event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    return Q.latency_report(runs, "event_type", "value", F.col("value") < 1, "k")

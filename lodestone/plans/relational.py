@@ -90,7 +90,7 @@ def _(t: Tables):
 
 @query("flt_15_read_only_guard")
 def _(t: Tables):
-    said = ["SELECT 1", "WITH a AS (SELECT 1) SELECT * FROM a", "DROP TABLE x", "INSERT INTO x VALUES (1)", "CREATE TABLE x (a INT)", "DELETE FROM x"]
+    said = ["SELECT 1", "WITH a AS (SELECT 1) SELECT * FROM a", "DROP TABLE x", "INSERT INTO x VALUES (1)", "CREATE TABLE x (a INT)", "DELETE FROM x", "WITH a AS (SELECT 1 AS n) INSERT INTO t SELECT * FROM a", "FROM v INSERT INTO a SELECT * INSERT INTO b SELECT *", "REFRESH TABLE x", "SELECT reflect('java.lang.System', 'exit', '1')", "SELECT (SELECT max(reflect('a', 'b')) FROM t) FROM u", "SELECT a, count(*) FROM t JOIN u USING (a) WHERE a IN (SELECT b FROM v) GROUP BY a HAVING count(*) > 1 ORDER BY a LIMIT 3"]
     return t.spark.createDataFrame([(s, R.read_only(t.spark, s)) for s in said], "statement string, reads boolean")
 
 

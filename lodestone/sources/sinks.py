@@ -81,3 +81,9 @@ def markdown_table(df: DataFrame, title: str, most: int = 50) -> str:
     rows = df.limit(most).collect()
     head = f"| {' | '.join(df.columns)} |\n|{'---|' * len(df.columns)}"
     return "\n".join([f"## {title}", "", head, *(f"| {' | '.join(str(v) for v in r)} |" for r in rows)]) + "\n"
+
+
+def file_system(spark, path: str):
+    """The Hadoop file system of a path, and the path as it takes it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p

@@ -4,6 +4,7 @@ import uuid
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import chunking, concepts, identity, text
@@ -161,3 +162,39 @@ def test_gate_and_scores(spark):
 
 def test_only_reads(spark):
     assert relational.read_only(spark, "SELECT 1") and not relational.read_only(spark, "DROP TABLE x")
+
+
+def test_read_only_walks_the_whole_statement(spark):
+    refused = ["WITH a AS (SELECT 1 AS n) INSERT INTO t SELECT * FROM a", "FROM v INSERT INTO a SELECT * INSERT INTO b SELECT *", "REFRESH TABLE x", "SELECT reflect('java.lang.System', 'exit', '1')", "SELECT (SELECT max(java_method('a', 'b')) FROM t) FROM u", "SELECT own.secret(1)", "WITH a AS (SELECT reflect('a', 'b') AS n) SELECT * FROM a", "SET x = 1", "CACHE TABLE t", "SELECT * FROM no_such_function(1)"]
+    allowed = ["SELECT a, count(*) AS n FROM t JOIN u USING (a) WHERE a IN (SELECT b FROM v) GROUP BY a HAVING count(*) > 1 ORDER BY n DESC LIMIT 3", "WITH a AS (SELECT 1 AS n) SELECT n FROM a UNION ALL SELECT 2", "SELECT row_number() OVER (PARTITION BY a ORDER BY b) FROM t", "SELECT * FROM range(5)", "SELECT x FROM t LATERAL VIEW explode(xs) e AS x"]
+    assert [relational.read_only(spark, s) for s in refused + allowed] == [False] * len(refused) + [True] * len(allowed)
+
+
+def test_ranked_keeps_all_wide_rows_and_their_ranks(spark, tmp_path):
+    """Written ranks of rows that are wider than their sort keys, with many partitions that are coalesced or not."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 48)
+        for i, (coalesce, size) in enumerate((("true", "4m"), ("true", "64m"), ("false", "64m"))):
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+            spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+            df = spark.range(120_000).select(F.xxhash64("id").alias("k"), "id", F.repeat(F.sha2(F.col("id").cast("string"), 256), 4).alias("wide"))
+            relational.ranked(df, [F.desc("k"), F.asc("id")]).write.parquet(f"{tmp_path}/{i}")
+            got = spark.read.parquet(f"{tmp_path}/{i}")
+            w = Window.orderBy(F.desc("k"), "id")
+            bad = got.withColumn("want", F.row_number().over(w)).filter("want <> rank OR wide IS NULL").count()
+            assert (got.count(), bad) == (120_000, 0)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from lodestone.operators import scratch
+
+    alone = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://x:1", applicationId="a", getConf=lambda: SimpleNamespace(get=lambda k: None)))
+    with pytest.raises(ValueError):
+        scratch.scratch_dir(alone)
+    assert scratch.materialise(spark.range(3)).count() == 3
