@@ -155,8 +155,9 @@ def _in(x: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[at] == x
 
 
-def _pass(docs: DataFrame, ids: list, texts: list, window: int, k: int, keep: list[str]) -> DataFrame:
-    """The columns in keep, n_words, spans (start, end word of hit runs) and items of every document."""
+def _pass(docs: DataFrame, ids: list, texts: list, window: int, k: int, keep: list[str], text: str = "text", clean: bool = False) -> DataFrame:
+    """The columns in keep, n_words, spans (start, end word of hit runs) and items of every document; or, if clean is
+    wanted, the columns in keep of those without hits."""
     sent = docs.sparkSession.sparkContext.broadcast((ids, texts))
     key = uuid.uuid4().hex
 
@@ -166,9 +167,14 @@ def _pass(docs: DataFrame, ids: list, texts: list, window: int, k: int, keep: li
             _BUILT[key] = ItemIndex(sent.value[0], pa.array(sent.value[1], pa.string()), window, k)
         index = _BUILT[key]
         for batch in batches:
-            for part in slices(batch, "text"):
-                own = Cut(part.column(part.schema.get_field_index("text")))
+            for part in slices(batch, text):
+                own = Cut(part.column(part.schema.get_field_index(text)))
                 bounds, n = own.bounds, part.num_rows
+                if clean:
+                    rows = np.ones(n, dtype=bool)
+                    rows[[r for r, *_ in index.search(own)]] = False
+                    yield part.filter(pa.array(rows)).select(keep)
+                    continue
                 starts: list = [[] for _ in range(n)]
                 ends: list = [[] for _ in range(n)]
                 items: list = [set() for _ in range(n)]
@@ -186,6 +192,8 @@ def _pass(docs: DataFrame, ids: list, texts: list, window: int, k: int, keep: li
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(bounds)), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=[*keep, "n_words", "starts", "ends", "items"])
 
     types = dict(docs.dtypes)
+    if clean:
+        return docs.select(*keep).mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in keep))
     return docs.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in keep) + ", n_words bigint, starts array<bigint>, ends array<bigint>, items array<string>")
 
 
@@ -239,11 +247,12 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     """The rows, with all their columns, that have no word of an item's window. With several blocks of items each
     pass takes what the one before has kept."""
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).filter("text IS NOT NULL")
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text).alias("text"))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names)
     for i, block in enumerate(_blocks(items, block_words)):
         rows = materialise(rows) if i else rows
-        rows = _pass(rows, *block, window, k, ["row"]).filter("size(starts) = 0").select("row", F.col("row")[text].alias("text"))
-    return rows.select("row.*")
+        rows = _pass(rows, *block, window, k, names, names[docs.columns.index(text)], clean=True)
+    return rows.toDF(*docs.columns)
 
 
 def leak_digest(found: DataFrame) -> DataFrame:

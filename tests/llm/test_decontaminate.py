@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from lodestone.llm.decontaminate import find_leaks, leak_digest
+from lodestone.llm.decontaminate import find_leaks, leak_digest, without_leaks
 
 
 def toks(t):
@@ -49,6 +49,8 @@ def test_against_brute_force(spark, block_words):
     bb = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id int")
     got = sorted(map(tuple, leak_digest(find_leaks(dd, bb, block_words=block_words)).collect()), key=str)
     assert got == brute(docs, items)
+    kept = without_leaks(dd, bb, block_words=block_words)
+    assert kept.columns == dd.columns and sorted(map(tuple, kept.select("doc_id", "text").collect()), key=str) == sorted(((d, t) for d, t in docs if not brute([(d, t)], items)[0][5]), key=str)
 
 
 def test_empty(spark):
