@@ -9,8 +9,8 @@ merges are applied to all its positions at once, and only the pairs with the tou
 lists under their own ranks. Texts are then encoded by looking pieces up, all at once, and no text is shuffled.
 
 The dictionary is a table in the shared folder. Encoders hold its most frequent pieces, at most `held` of at most
-LONGEST bytes (some 10 MB, 30 at most, which bounds what is broadcast); they replay pieces beyond that themselves, slice by
-slice, and keep up to 400,000 of them.
+LONGEST bytes (some 7 MB, 20 at most, which bounds what is broadcast); they replay pieces beyond that themselves, slice by
+slice, and keep up to 300,000 of them.
 
 Merging all positions of a rank at once equals merging the lowest-ranked, leftmost pair of a word again and again
 unless a merge makes a pair of a lower or equal rank. Words in which that happens are encoded one by one in the plain
@@ -272,7 +272,7 @@ def replay_of(path: str) -> MergeReplay:
 class Codec:
     """Texts to ids and back. What is kept between texts is the table of pieces, and small tables of all tokens."""
 
-    def __init__(self, path: str, pattern: str, cache: int = 400_000, start: tuple[np.ndarray, ...] | None = None):
+    def __init__(self, path: str, pattern: str, cache: int = 300_000, start: tuple[np.ndarray, ...] | None = None):
         self.replay, self.pattern, self.split = replay_of(path), pattern, regex.compile(pattern).findall
         self.table = WordTable(self.learn, np.dtype("<i4"), cache, start)
         top = self.replay.top
@@ -343,7 +343,7 @@ def codec(path: str, pattern: str, key: str = "", start: tuple[np.ndarray, ...]
 LONGEST = 48
 
 
-def dictionary(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, chunk_bytes: int = 1 << 20, most: int = 150_000) -> DataFrame:
+def dictionary(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, chunk_bytes: int = 1 << 20, most: int = 100_000) -> DataFrame:
     """piece (binary), n (how often the corpus has it) and ids, for every distinct piece, as a written table. A task
     sends a piece once, or once for each `most` distinct ones."""
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -430,7 +430,7 @@ def _mapped(docs: DataFrame, doc_id: str, text: str, path: str, pattern: str, ch
     return docs.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} {s}" for n, s, _ in fields))
 
 
-def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, chunk_bytes: int = 1 << 20, held: int = 300_000) -> DataFrame:
+def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, chunk_bytes: int = 1 << 20, held: int = 200_000) -> DataFrame:
     """doc_id, ids (array<int>)."""
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     return _mapped(docs, doc_id, text, path, pattern, chunk_bytes, [("ids", "array<int>", pa.list_(pa.int32()))], lambda own, ids: (ids,), held)
@@ -454,7 +454,7 @@ def _digest_row(own: Codec, ids: np.ndarray) -> tuple[int, str, str]:
     return len(ids), hashlib.sha256(own.decimal(ids)).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()
 
 
-def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, chunk_bytes: int = 1 << 20, held: int = 300_000) -> DataFrame:
+def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, chunk_bytes: int = 1 << 20, held: int = 200_000) -> DataFrame:
     """Encodes, decodes, and returns doc_id, n_tokens, ids_sha256 and decoded_sha256 from the same ids."""
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     return _mapped(docs, doc_id, text, path, pattern, chunk_bytes, [("n_tokens", "bigint", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())], _digest_row, held)
