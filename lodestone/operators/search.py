@@ -262,6 +262,35 @@ def bridge_boost(score: Column, text: Column, families: dict[str, tuple[str, ...
     return F.when(F.size(detected_domains(text, families)) >= 2, score * factor).otherwise(score)
 
 
+def multi_hop(first: DataFrame, postings: DataFrame, families: dict[str, tuple[str, ...]], n: int, top: int = 10, hops: int = 5, each: int = 3, factor: float = 1.2) -> DataFrame:
+    """id, score: the n best of first(id, score) and of one hop from it over postings(id, concept, score).
+
+    The hop leads from the `top` best hits to the `hops` concepts that most of them have (ties: by name), and on to the
+    `each` best items of each. An item keeps its score of first, else its best one of the hop; `factor` raises items
+    whose concepts touch two families or more. What is broadcast is `hops` concepts and the merged hits, so first must
+    have a limit."""
+    best = first.orderBy(F.desc("score"), "id").limit(top).select("id")
+    wanted = postings.join(F.broadcast(best), "id", "left_semi").groupBy("concept").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "concept").limit(hops).select("concept")
+    near = top_k(postings.join(F.broadcast(wanted), "concept", "left_semi"), ["concept"], [F.desc("score"), F.asc("id")], each)
+    both = first.select("id", "score", F.lit(0).alias("list")).unionByName(near.select("id", "score", F.lit(1).alias("list")))
+    both = both.groupBy("id").agg(F.min(F.struct("list", (-F.col("score")).alias("s"))).alias("m")).select("id", (-F.col("m.s")).alias("score"))
+    of = postings.join(F.broadcast(both.select("id")), "id", "left_semi").groupBy("id").agg(F.array_join(F.collect_set("concept"), " ").alias("text"))
+    return both.join(of, "id", "left").select("id", bridge_boost(F.col("score"), F.coalesce("text", F.lit("")), families, factor).alias("score")).orderBy(F.desc("score"), "id").limit(n)
+
+
+def abstracted(problem: str, patterns: dict[str, tuple[str, ...]], most: int = 3) -> list[str]:
+    """The first `most` queries that stand for the problem's words in other fields, in the patterns' order."""
+    low = problem.lower()
+    return list(dict.fromkeys(q for word, queries in patterns.items() if word in low for q in queries))[:most]
+
+
+def merged_searches(results: list[DataFrame], n: int) -> DataFrame:
+    """id, score: the n best of several results (id, score); an item of more than one keeps its score in the first."""
+    parts = [d.select("id", "score", F.lit(i).alias("list")) for i, d in enumerate(results)]
+    first = reduce(lambda a, b: a.unionByName(b), parts).groupBy("id").agg(F.min_by("score", "list").alias("score"))
+    return first.orderBy(F.desc("score"), "id").limit(n)
+
+
 def mentions_both(text: Column, a: str, b: str) -> Column:
     """Any word of a, and any word of b."""
     low = F.lower(text)

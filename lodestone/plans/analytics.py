@@ -9,6 +9,7 @@ from lodestone.operators import evidence as E
 from lodestone.operators import quality as Q
 from lodestone.operators import relational as R
 from lodestone.operators import scoring as S
+from lodestone.operators.search import nearest
 from lodestone.plans.registry import Tables, query
 
 _AS_OF = "DATE '2024-02-01'"
@@ -142,11 +143,16 @@ def _(t: Tables):
     return p.join(t.passages.select("passage_id", "doc_id"), "passage_id").groupBy("concept").agg(F.count_distinct("doc_id").alias("documents")).filter("documents < 20")
 
 
-@query("trd_07_deep_hunt", """, n AS (SELECT doc_id AS id, length(text) AS s, row_number() OVER (ORDER BY length(text) DESC, doc_id) AS r FROM documents), v AS (SELECT page_id AS id, length(html) AS s, row_number() OVER (ORDER BY length(html) DESC, page_id) AS r FROM pages) SELECT 'paper' AS kind, id, s AS score FROM n WHERE r <= 5 UNION ALL SELECT 'page', id, s FROM v WHERE r <= 5""")
+_HUNT = "SELECT kind, vec_id AS id, round(s, 3) AS score FROM (SELECT CASE WHEN label < 5 THEN 'paper' ELSE 'code' END AS kind, vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 3)) AS s FROM embeddings) QUALIFY row_number() OVER (PARTITION BY kind ORDER BY s DESC, vec_id) <= CASE WHEN kind = 'paper' THEN 20 ELSE 10 END"
+
+
+@query("trd_07_deep_hunt", _HUNT)
 def _(t: Tables):
-    """The best of two collections, each by its own score."""
-    best = lambda d, kind, key, text: d.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), F.length(text).cast("bigint").alias("score")).orderBy(F.desc("score"), "id").limit(5)
-    return best(t("documents"), "paper", "doc_id", "text").unionByName(best(t("pages"), "page", "page_id", "html"))
+    """The 20 papers and the 10 pieces of code that are nearest to a question's vector."""
+    e = t("embeddings")
+    q = list(e.filter("vec_id = 3").first()["embedding"])
+    best = lambda kind, k, cond: nearest(e, "vec_id", "embedding", q, k, cond).select(F.lit(kind).alias("kind"), F.col("vec_id").alias("id"), F.round("score", 3).alias("score"))
+    return best("paper", 20, F.col("label") < 5).unionByName(best("code", 10, F.col("label") >= 5))
 
 
 # -- market ---------------------------------------------------------------------------------------------------------

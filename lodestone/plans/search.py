@@ -182,10 +182,42 @@ def _(t: Tables):
     return t("part").select("p_partkey", F.round(S.bridge_boost(F.col("p_retailprice"), F.col("p_name"), FAMILIES), 6).alias("score"))
 
 
-@query("rnk_09_oblique_search", """, d AS (SELECT p_partkey, p_name, unnest(['ring', 'red', 'bolt']) AS q FROM part) SELECT q, count(*) AS n, min(p_partkey) AS first FROM d WHERE contains(p_name, q) GROUP BY q""")
+_POSTINGS = ", pc AS (SELECT passage_id AS id, concept, max(confidence) AS score FROM passage_concepts GROUP BY 1, 2)"
+
+
+def _hop_sql(words: list[str], n: int, i: int = 0) -> str:
+    """Tables f<i> to r<i>: hits of the words, concepts of the best ten, their best items, and the boosted result."""
+    has = " + ".join(f"CASE WHEN bool_or(regexp_matches(concept, '{'|'.join(ws)}')) THEN 1 ELSE 0 END" for ws in FAMILIES.values())
+    return f""", f{i} AS (SELECT id, round(sum(score), 4) AS score FROM pc WHERE regexp_matches(concept, '{'|'.join(words)}') GROUP BY id ORDER BY 2 DESC, id LIMIT {2 * n}),
+w{i} AS (SELECT concept FROM pc WHERE id IN (SELECT id FROM f{i} ORDER BY score DESC, id LIMIT 10) GROUP BY concept ORDER BY count(*) DESC, concept LIMIT 5),
+m{i} AS (SELECT id, score FROM pc WHERE concept IN (FROM w{i}) QUALIFY row_number() OVER (PARTITION BY concept ORDER BY score DESC, id) <= 3),
+u{i} AS (SELECT id, score FROM f{i} UNION ALL SELECT id, max(score) FROM m{i} WHERE id NOT IN (SELECT id FROM f{i}) GROUP BY id),
+d{i} AS (SELECT id, {has} AS n FROM pc WHERE id IN (SELECT id FROM u{i}) GROUP BY id),
+r{i} AS (SELECT id, score * CASE WHEN n >= 2 THEN CAST(1.2 AS DOUBLE) ELSE 1 END AS score FROM u{i} JOIN d{i} USING (id) ORDER BY 2 DESC, id LIMIT {n})"""
+
+
+def _hop(t: Tables, words: list[str], n: int):
+    """Passages by the confidence of their concepts that have some of the words, and one hop from them."""
+    postings = t.passage_concepts.groupBy(F.col("passage_id").alias("id"), "concept").agg(F.max("confidence").alias("score"))
+    first = postings.filter(F.col("concept").rlike("|".join(words))).groupBy("id").agg(F.round(F.sum("score"), 4).alias("score"))
+    return S.multi_hop(first.orderBy(F.desc("score"), "id").limit(2 * n), postings, FAMILIES, n)
+
+
+@query("rnk_08_multi_hop", _POSTINGS + _hop_sql(["ring", "loop", "band"], 10) + " SELECT id, round(score, 6) AS score FROM r0")
+def _(t: Tables):
+    """The words are those of the expanded query."""
+    return _hop(t, ["ring", *SYNONYMS["ring"]], 10).withColumn("score", F.round("score", 6))
+
+
+PATTERNS = {"ring": ("bolt",), "red": ("blue", "green"), "large": ("small",)}
+
+
+@query("rnk_09_oblique_search", _POSTINGS + _hop_sql(["bolt"], 5, 0) + _hop_sql(["blue"], 5, 1) + _hop_sql(["green"], 5, 2) + """, a AS (SELECT 0 AS list, * FROM r0 UNION ALL SELECT 1, * FROM r1 UNION ALL SELECT 2, * FROM r2)
+SELECT id, round(arg_min(score, list), 6) AS score FROM a GROUP BY id ORDER BY arg_min(score, list) DESC, id LIMIT 15""")
 def _(t: Tables):
-    q = t.spark.createDataFrame([("ring",), ("red",), ("bolt",)], "q string")
-    return t("part").join(F.broadcast(q), F.col("p_name").contains(F.col("q"))).groupBy("q").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"))
+    """The problem in words of other fields: at most three searches, merged."""
+    queries = S.abstracted("a large red ring", PATTERNS)
+    return S.merged_searches([_hop(t, [q], 5) for q in queries], 15).withColumn("score", F.round("score", 6))
 
 
 @query("rnk_10_bridge_keywords", "SELECT doc_id FROM documents WHERE (contains(lower(text), 'token') OR contains(lower(text), '@')) AND (contains(lower(text), 'license') OR contains(lower(text), 'an'))")
