@@ -166,6 +166,15 @@ def rank_fusion(lists: list[DataFrame], key: str, k: int = 60) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts).groupBy(key).agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"), F.min("list").alias("first_list"))
 
 
+def hybrid(lists: list[DataFrame], key: str, n: int, k: int = 60) -> DataFrame:
+    """key, score, first_list: the n best of several lists (key, score), each cut to its n best, by reciprocal ranks.
+    Ties go by the first list that had an item, then by key."""
+    order = [F.desc("score"), F.asc(key)]
+    cut = [top_k(d.orderBy(*order).limit(n).withColumn("__one", F.lit(1)), ["__one"], order, n, "rank") for d in lists]
+    fused = rank_fusion(cut, key, k).withColumn("score", F.round("score", 12))
+    return fused.orderBy(F.desc("score"), "first_list", key).limit(n)
+
+
 def position_fusion(lists: list[tuple[DataFrame, float]], key: str, boost: float = 0.1) -> DataFrame:
     """key, score: for each list (1 - (rank - 1) / its length) * weight, and a boost for keys of more than one list."""
     parts = []
@@ -306,6 +315,16 @@ def answer_mode(question: Column, modes: dict[str, tuple[str, ...]]) -> Column:
     return F.coalesce(*(F.when(c == best, m) for m, c in counts))
 
 
+def template_search(question: str, templates: dict[str, list[str]], words: dict[str, tuple[str, ...]], vectors: DataFrame, model: Embedder, n: int) -> DataFrame:
+    """id, score of the n rows of vectors(id, vector) nearest to made-up answers: the templates of the question's mode
+    (that with the most of its words in it, the first on ties), filled with it and embedded. A row that several answers
+    find keeps its score for the first."""
+    low = question.lower()
+    mode = max(templates, key=lambda m: sum(w in low for w in words.get(m, ())))
+    answers = model.vectors([t.format(question=question) for t in templates[mode]])
+    return merged_searches([nearest(vectors, "id", "vector", v.tolist(), n) for v in answers], n)
+
+
 def golden_hits(results: DataFrame, golden: DataFrame) -> DataFrame:
     """results(query_id, rank, text), golden(query_id, terms, k): the terms that occur, in a spelling with blanks or
     hyphens too, in the first k results, and their number."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import search as S
 from lodestone.operators.relational import top_k
+from lodestone.operators.scratch import materialise
 from lodestone.plans.registry import Tables, query
 
 #: SQL of the terms of a text: words without stop words, stemmed.
@@ -155,15 +156,22 @@ def _(t: Tables):
     return both.groupBy("id").agg(F.round(F.sum(1.0 / (60 + F.col("rank"))), 9).alias("score"), F.count("*").alias("channels"))
 
 
-@query("rnk_06_hybrid_with_graph", """, hit AS (SELECT p_partkey AS id, p_brand, p_name FROM part WHERE contains(p_name, 'ring') OR contains(p_name, 'loop')), lex AS (SELECT id, row_number() OVER (ORDER BY id) AS rank FROM hit QUALIFY rank <= 30), near AS (SELECT DISTINCT b.p_partkey AS id FROM (SELECT DISTINCT p_brand FROM hit JOIN lex USING (id)) h JOIN part b USING (p_brand) WHERE b.p_size = 7), g AS (SELECT id, row_number() OVER (ORDER BY id) AS rank FROM near QUALIFY rank <= 30)
-SELECT id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT * FROM lex UNION ALL SELECT * FROM g) GROUP BY id""")
+_MORE = [*QUERY, "ithth"]
+_HYBRID = _CHANNELS + f""", gr AS (SELECT doc_id AS id, count(DISTINCT passage_id) AS score FROM passage_concepts JOIN passages USING (passage_id) WHERE contains(concept, 'ring') GROUP BY doc_id),
+ex AS (SELECT doc_id AS id, round({' + '.join(f"0.1 * (1 - 1.0 / (1 + len(list_filter(t, lambda x: x = '{q}'))))" for q in _MORE)}, 9) AS score FROM tok WHERE {' OR '.join(f"list_contains(t, '{q}')" for q in _MORE)}),
+al AS (SELECT 0 AS list, id, rank FROM vec UNION ALL SELECT 1, id, rank FROM lex UNION ALL SELECT 2, id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM gr QUALIFY rank <= 50 UNION ALL SELECT 3, id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM ex QUALIFY rank <= 50)
+SELECT id, round(sum(1.0 / (60 + rank)), 9) AS score, min(list) AS first_list FROM al GROUP BY id ORDER BY round(sum(1.0 / (60 + rank)), 12) DESC, min(list), id LIMIT 50"""
+
+
+@query("rnk_06_hybrid_with_graph", _HYBRID)
 def _(t: Tables):
-    """The words of the expanded query, and the graph around what they hit, fused."""
-    part = t("part").select(F.col("p_partkey").alias("id"), "p_brand", "p_name", "p_size")
-    one = lambda d: top_k(d.withColumn("one", F.lit(1)), ["one"], [F.asc("id")], 30, "rank")
-    lex = one(part.filter(F.col("p_name").contains("ring") | F.col("p_name").contains("loop")).orderBy("id").limit(30))
-    near = part.filter("p_size = 7").join(lex.select("p_brand").distinct(), "p_brand").select("id").distinct()
-    return S.rank_fusion([lex.select("id", "rank"), one(near).select("id", "rank")], "id").select("id", F.round("score", 9).alias("score"))
+    """Nearest vectors, words by BM25, documents by their passages with a concept, and the expanded query's words, fused."""
+    vec = S.nearest(t("embeddings"), "vec_id", "embedding", _vector(t, 3), 50).select(F.col("vec_id").alias("id"), F.round("score", 9).alias("score"))
+    lex = S.bm25(t("documents"), "doc_id", "text", QUERY).select(F.col("doc_id").alias("id"), F.round("score", 9).alias("score"))
+    ring = t.passage_concepts.filter(F.col("concept").contains("ring")).select("passage_id").distinct()
+    graph = t.passages.join(ring, "passage_id").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").cast("double").alias("score"))
+    words = t("documents").select(F.col("doc_id").alias("id"), S.terms(F.col("text")).alias("t")).filter(F.arrays_overlap("t", F.array(*map(F.lit, _MORE))))
+    return S.hybrid([vec, lex, graph, words.select("id", F.round(S.saturated_rank(F.col("t"), _MORE), 9).alias("score"))], "id", 50).withColumn("score", F.round("score", 9))
 
 
 SYNONYMS = {"ring": ("loop", "band"), "red": ("scarlet",), "bolt": ("screw", "pin")}
@@ -230,6 +238,16 @@ def _(t: Tables):
     return t("part").select("p_partkey", S.answer_mode(F.col("p_name"), {"metal": ("ring",), "colour": ("red", "blue")}).alias("mode"))
 
 
+TEMPLATES = {"method": ["We apply {question} to new data and report", "A method for {question} that"], "finding": ["We find that {question}", "The results show {question} in"]}
+
+
+@query("rnk_11_template_search")
+def _(t: Tables):
+    model = S.HashingEmbedder(32)
+    vectors = materialise(S.embed(t("benchmark"), "item_id", "text", model).select(F.col("item_id").alias("id"), "vector"))
+    return S.template_search("how is the text of a license used", TEMPLATES, {"method": ("how", "apply"), "finding": ("what", "why")}, vectors, model, 10)
+
+
 @query("rnk_12_channel_fusion", """, v AS (SELECT c_custkey AS id, c_acctbal / 10000 AS s FROM customer WHERE c_acctbal > 2000), g AS (SELECT o_custkey AS id, count(*) / 40.0 AS g, count(*) FILTER (WHERE o_orderstatus = 'F') AS r FROM orders WHERE o_totalprice > 250000 GROUP BY 1)
 SELECT coalesce(v.id, g.id) AS id, round(0.6 * coalesce(s, 0) + 0.4 * coalesce(g, 0) + CASE WHEN v.id IS NOT NULL AND g.id IS NOT NULL THEN 0.2 ELSE 0 END + 0.05 * coalesce(r, 0), 6) AS score FROM v FULL JOIN g ON v.id = g.id""")
 def _(t: Tables):
