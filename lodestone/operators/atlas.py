@@ -84,7 +84,7 @@ def rare_pairs(concepts: DataFrame, least: int = 3, least_field_pairs: int = 2)
 
 def evidence_for(concepts: DataFrame, wanted: DataFrame, k: int = 3) -> DataFrame:
     """wanted(concept) -> concept, passage_id, confidence, rank: the surest passages of each, in one join."""
-    one = concepts.join(F.broadcast(wanted.select("concept").distinct()), "concept").groupBy("concept", "passage_id").agg(F.max("confidence").alias("confidence"))
+    one = concepts.join(wanted.select("concept").distinct(), "concept").groupBy("concept", "passage_id").agg(F.max("confidence").alias("confidence"))
     r = F.row_number().over(Window.partitionBy("concept").orderBy(F.desc("confidence"), "passage_id"))
     return one.withColumn("rank", r).filter(F.col("rank") <= k)
 

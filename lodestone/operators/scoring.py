@@ -25,7 +25,7 @@ def log_scaled(value: Column, low: Column, high: Column) -> Column:
 
 def popularity(items: DataFrame, thresholds: DataFrame, metric: str) -> DataFrame:
     """thresholds(source, low, high): sources that it does not have score 0."""
-    j = items.join(F.broadcast(thresholds), "source", "left")
+    j = items.join(thresholds, "source", "left")
     return j.withColumn("popularity", F.when(F.col("low").isNotNull(), log_scaled(F.col(metric), F.col("low"), F.col("high"))).otherwise(0.0)).drop("low", "high")
 
 
@@ -165,7 +165,7 @@ def topic_gaps(hits: DataFrame, concepts: DataFrame, key: str, year: str, concep
     """One row on a topic's papers (hits, of a bounded search): how many, how many of the last three years and whether
     those are fewer than five, the ten most frequent concepts, up to ten that one paper has, and whether none of the
     methods is among the frequent ones."""
-    own = concepts.join(F.broadcast(hits.select(key)), key, "left_semi").groupBy(concept).agg(F.count("*").alias("n"))
+    own = concepts.join(hits.select(key), key, "left_semi").groupBy(concept).agg(F.count("*").alias("n"))
     first = lambda rows, *order: rows.orderBy(*order).limit(10).agg(F.array_sort(F.collect_list(F.struct(*(o for o in ("n", concept))))).alias("x"))
     top = first(own, F.desc("n"), concept).select(F.transform(F.array_sort("x", lambda a, b: F.when(a["n"] != b["n"], b["n"].cast("int") - a["n"].cast("int")).when(a[concept] < b[concept], -1).when(a[concept] > b[concept], 1).otherwise(0)), lambda s: s[concept]).alias("top_concepts"))
     rare = first(own.filter("n = 1"), concept).select(F.transform("x", lambda s: s[concept]).alias("rare_concepts"))

@@ -328,7 +328,7 @@ def template_search(question: str, templates: dict[str, list[str]], words: dict[
 def golden_hits(results: DataFrame, golden: DataFrame) -> DataFrame:
     """results(query_id, rank, text), golden(query_id, terms, k): the terms that occur, in a spelling with blanks or
     hyphens too, in the first k results, and their number."""
-    j = results.join(F.broadcast(golden), "query_id").filter("rank <= k")
+    j = results.join(golden, "query_id").filter("rank <= k")
     forms = lambda t: F.array(t, F.replace(t, F.lit("_"), F.lit(" ")), F.replace(t, F.lit("_"), F.lit("-")))
     hits = j.select("query_id", F.explode(F.filter("terms", lambda t: F.exists(forms(F.lower(t)), lambda v: F.lower(F.col("text")).contains(v)))).alias("term"))
     found = hits.groupBy("query_id").agg(F.array_sort(F.collect_set("term")).alias("hits"))
