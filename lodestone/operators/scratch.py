@@ -30,8 +30,15 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read back."""
-    path = scratch_dir(df.sparkSession)
+def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Written to the shared folder (to a new one, or to path) and read back."""
+    path = path or scratch_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str | None) -> None:
+    """Removes a folder of scratch_dir(); results that are still read from it are gone then."""
+    if path is not None:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
