@@ -28,15 +28,15 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """edges(u, v bigint) -> (node, component): the smallest node that each node of an edge reaches.
+def components(edges: DataFrame, max_rounds: int = 60, kind: str = "bigint") -> DataFrame:
+    """edges(u, v) -> (node, component): the smallest node that each node of an edge reaches. kind: the type of nodes.
 
     Rows with a null end, loops and repeated edges change nothing; an empty table gives an empty one. A star's
     centre may have any degree: minima are pre-aggregated and the join back on the centre is one that AQE splits.
     Each round is written to the shared folder, so lineage stays short. Raises after max_rounds without a fixpoint
     (rounds grow with the square of the logarithm of the longest path).
     """
-    edges = materialise(edges.filter("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest("u", "v").cast("bigint").alias("u"), F.least("u", "v").cast("bigint").alias("v")).distinct())
+    edges = materialise(edges.filter("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest("u", "v").cast(kind).alias("u"), F.least("u", "v").cast(kind).alias("v")).distinct())
     before = _state(edges)
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -7,14 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm import byte_bpe, html_extract, pii, rans
+from lodestone.llm import byte_bpe, html_extract, oracles, pii, rans
 from lodestone.llm._spark import materialise, scratch_dir
+from lodestone.llm.centroids import centroid_clusters
+from lodestone.llm.collocations import collocations
 from lodestone.llm.decontaminate import find_leaks, leak_digest
 from lodestone.llm.embedding_dedup import embedding_near_dedup
 from lodestone.llm.langid import language_id
 from lodestone.llm.ngram_join import ngram_join
 from lodestone.llm.toxicity import toxicity
 from lodestone.llm.token_rollup import RollupStore, counted, tokens_of
+from lodestone.llm.url_filter import filter_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +86,19 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"))
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = ", ".join(f"('{host}', '{path}', '{verdict}')" for verdict, host, path in oracles.URL_RULES)
+    return filter_urls(_table(spark, sf_dir, "pages"), spark.sql(f"SELECT * FROM VALUES {rules} AS rules(host, path, verdict)"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_token_counts": op2_token_counts,
@@ -94,7 +110,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rans_token_ids": op8_rans_token_ids,
     "op9_toxicity": op9_toxicity,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_url_filters": op11_url_filters,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
-#: None can be put as SQL: tokenizers, models, min-wise hashes and coders.
-ORACLE_SQL: dict[str, str] = {}
+#: The first ten cannot be put as SQL: tokenizers, models, min-wise hashes and coders.
+ORACLE_SQL: dict[str, str] = {
+    "op11_url_filters": oracles.URL_FILTERS,
+    "op12_centroid_clustering": oracles.CENTROIDS,
+    "op13_phrase_collocations": oracles.COLLOCATIONS,
+}
