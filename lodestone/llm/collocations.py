@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,11 +58,11 @@ def cut_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
-    """Rows of one language, at most 2 MB of text at a time."""
+    """Rows of one language, at most 1 MB of text at a time."""
     langs = pc.unique(batch.column(0)).to_pylist()
     for lang in langs:
         own = batch if len(langs) == 1 else batch.filter(pc.equal(batch.column(0), lang))
-        for part in slices(own, "text", 1 << 21):
+        for part in slices(own, "text"):
             yield lang, part
 
 
@@ -186,9 +186,9 @@ class PairKeys:
     def slots(self, batch: pa.RecordBatch, counts: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
         """Rows, the slots of their pairs, at the place of the first, and how many each row has."""
         ids, cut = _ids(batch.column(0))
-        out = np.full(len(ids), -1, np.int64)
-        for a in range(0, len(ids), 1 << 20):
-            at, key = _pairs(ids[a : a + (1 << 20) + 1])
+        out = np.full(len(ids), -1, np.int32)
+        for a in range(0, len(ids), 1 << 18):
+            at, key = _pairs(ids[a : a + (1 << 18) + 1])
             slot = self.keys.find(key)
             at, slot = at[slot >= 0] + a, slot[slot >= 0]
             counts += np.bincount(slot, minlength=len(counts))
@@ -220,8 +220,8 @@ def _frequent_pairs(slots: DataFrame, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, _ = _ids(batch.column(0))
-            for a in range(0, len(ids), 1 << 21):
-                _, key = _pairs(ids[a : a + (1 << 21) + 1])
+            for a in range(0, len(ids), 1 << 20):
+                _, key = _pairs(ids[a : a + (1 << 20) + 1])
                 key, n = np.unique(key, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
             tidy()
@@ -229,10 +229,9 @@ def _frequent_pairs(slots: DataFrame, least: int) -> DataFrame:
     return slots.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("key")
 
 
-def _look_up(rows: DataFrame, keys: WordKeys | PairKeys, base: int, more: bool, wanted: bool) -> DataFrame:
+def _look_up(rows: DataFrame, sent: Broadcast, base: int, more: bool, wanted: bool) -> DataFrame:
     """The rows with their slots so far (ids), and the counts of this block's slots. more: blocks follow, so sources are
     kept; wanted: slots are."""
-    sent = rows.sparkSession.sparkContext.broadcast(keys)
     source = [c for c in rows.columns if c != "ids"]
     types = dict(rows.dtypes)
     names = [*(source if more else []), "ids", "part", "chunk", "body"]
@@ -261,17 +260,16 @@ def _level(rows: DataFrame, cands: DataFrame, make: Callable[[DataFrame], WordKe
     counts = named = None
     source = list(rows.columns)
     for own, base, more in _blocks(cands, cands.columns, block_keys):
-        keys = make(own)
-        out = materialise(_look_up(rows, keys, base, more, wanted))
-        part, here = out.filter("body IS NOT NULL").select("part", "chunk", "body"), _slotted(own, keys, base)
+        sent = rows.sparkSession.sparkContext.broadcast(make(own))
+        out = materialise(_look_up(rows, sent, base, more, wanted))
+        part, here = out.filter("body IS NOT NULL").select("part", "chunk", "body"), materialise(_slotted(own, sent, base))
+        sent.destroy()  # workers live on: they would keep the keys of every level
         counts, named = (part, here) if counts is None else (counts.unionByName(part), named.unionByName(here))
         rows = out.filter("ids IS NOT NULL").select(*(source if more else []), "ids")
     return rows, materialise(named.join(tree_sum(counts), "slot"))
 
 
-def _slotted(cands: DataFrame, keys: WordKeys | PairKeys, base: int) -> DataFrame:
-    sent = cands.sparkSession.sparkContext.broadcast(keys)
-
+def _slotted(cands: DataFrame, sent: Broadcast, base: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.rows(batch) + base)], names=[*batch.schema.names, "slot"])
