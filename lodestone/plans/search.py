@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.operators import search as S
+from lodestone.operators import vectors as V
 from lodestone.operators.relational import top_k
-from lodestone.operators.scratch import materialise
+from lodestone.operators.scratch import materialise, scratch_dir
 from lodestone.plans.registry import Tables, query
 
 #: SQL of the terms of a text: words without stop words, stemmed.
@@ -95,6 +96,35 @@ def _(t: Tables):
     return S.nearest_join(e, "vec_id", "embedding", queries, "query_id", "q", 5).withColumn("score", F.round("score", 6))
 
 
+@query("vec_04_cell_index", """, q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 20 = 0), r AS (SELECT query_id, vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) AS s, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) DESC, vec_id) AS r FROM embeddings, q)
+SELECT query_id, vec_id, round(s, 6) AS score, r AS rank FROM r WHERE r <= 10""")
+def _(t: Tables):
+    e = t("embeddings")
+    index = V.CellIndex.build(e, "vec_id", "embedding", scratch_dir(t.spark))
+    queries = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return index.search(queries, "query_id", "q", 10).select("query_id", F.col("key").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
+
+
+#: The embeddings, and a disturbed copy of each: by nothing, a little or much, as its number says.
+_DISTURBED = "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings UNION ALL SELECT vec_id + 10000000, list_transform(CAST(embedding AS DOUBLE[]), lambda x, i: x + 0.001 * (vec_id % 40) * ((i * 7 + vec_id) % 11 - 5)) FROM embeddings"
+
+
+def _disturbed(t: Tables):
+    e = t("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    moved = F.transform("v", lambda x, i: x + 0.001 * (F.col("vec_id") % 40) * (((i + 1) * 7 + F.col("vec_id")) % 11 - 5))
+    return e.unionByName(e.withColumn("v", moved).withColumn("vec_id", F.col("vec_id") + 10_000_000))  # one after the other: moved uses the old number
+
+
+@query("vec_05_near_duplicates", f", d AS MATERIALIZED ({_DISTURBED}), c AS MATERIALIZED (SELECT min(vec_id) AS id, v FROM d GROUP BY v) SELECT x.id AS a, y.id AS b, round(list_cosine_similarity(x.v, y.v), 6) AS score FROM c x JOIN c y ON x.id < y.id AND list_cosine_similarity(x.v, y.v) >= 0.99")
+def _(t: Tables):
+    return V.near_pairs(_disturbed(t), "vec_id", "v", 0.99, recall=0.99999).withColumn("score", F.round("score", 6))
+
+
+@query("vec_05_representatives", f", d AS ({_DISTURBED}) SELECT vec_id, min(vec_id) OVER (PARTITION BY v) AS rep FROM d")
+def _(t: Tables):
+    return V.representatives(_disturbed(t), "vec_id", "v")
+
+
 @query("vec_06_embed_text")
 def _(t: Tables):
     return S.embed(t("benchmark"), "item_id", "text", S.HashingEmbedder(32))
