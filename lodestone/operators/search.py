@@ -67,7 +67,11 @@ def cover_density(tokens: Column, query: list[str]) -> Column:
     """1 / the length of the shortest run of tokens that has all the query's terms, 0 if there is none.
 
     For each end at a term, the run reaches back to the earliest of the terms' last places before it."""
-    places = [_places(tokens, q) for q in query]
+    return cover_of([_places(tokens, q) for q in query])
+
+
+def cover_of(places: list[Column]) -> Column:
+    """cover_density() of the places of each term."""
     ends = F.array_sort(F.array_distinct(F.flatten(F.array(*places))))
 
     def length(e: Column) -> Column:

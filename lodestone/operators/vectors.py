@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodestone.operators.relational import top_k
 from lodestone.operators.scratch import materialise
@@ -108,7 +109,7 @@ class CellIndex:
     the nearest cells of a query first; of the others, by the triangle inequality, only those that can hold a nearer
     vector than the k-th found so far, and in them only such vectors. So results are exact."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str | None = None):
+    def __init__(self, spark: SparkSession, path: str, schema: StructType | None = None):
         """An index that build() wrote; schema: of its rows, needed only where it may be empty."""
         self.spark, self.path, self.schema = spark, path, schema
         self.read: list[int] = []  # pairs of query and cell that searches have read, and that there are
@@ -135,14 +136,14 @@ class CellIndex:
         kinds = dict(fine.dtypes)
         placed = fine.mapInPandas(assign, f"key {kinds['key']}, v {kinds['v']}, cell int, d double")
         placed.repartition("cell", F.pmod(F.xxhash64("key"), F.lit(files))).write.partitionBy("cell").parquet(f"{path}/rows")
-        index = CellIndex(spark, path, placed.schema.simpleString())
+        index = CellIndex(spark, path, placed.schema)
         known = index.rows().groupBy("cell").agg(F.max("d").alias("far"), F.min("d").alias("near"), F.count("*").alias("n"))
         table = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>")
         table.join(known, "cell").write.parquet(f"{path}/cells")
         return index
 
     def rows(self) -> DataFrame:
-        read = self.spark.read if self.schema is None else self.spark.read.schema(self.schema.removeprefix("struct<").removesuffix(">"))
+        read = self.spark.read if self.schema is None else self.spark.read.schema(self.schema)
         return read.parquet(f"{self.path}/rows")
 
     def search(self, queries: DataFrame, qkey: str, qvector: str, k: int, probe: int = 4) -> DataFrame:
