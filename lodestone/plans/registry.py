@@ -73,7 +73,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"{name} is registered twice")
         QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
         if sql is not None:
-            ORACLE[name] = f"WITH {VIEWS.strip()}{sql}" if sql.lstrip().startswith(",") else f"WITH {VIEWS.strip()}\n{sql}"
+            ORACLE[name] = f"WITH RECURSIVE {VIEWS.strip()}{sql}" if sql.lstrip().startswith(",") else f"WITH {VIEWS.strip()}\n{sql}"
         return fn
 
     return register

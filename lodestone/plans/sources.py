@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from lodestone.operators.scratch import scratch_dir
 from lodestone.plans.registry import Tables, query
-from lodestone.sources import readers, sinks
-from lodestone.streaming import feeds
+from lodestone.sources import paged, readers, sinks
+from lodestone.streaming import feeds, late
+from lodestone.streaming import status as machine
+from lodestone.streaming.status import rocks
 
 
 @query("src_01_relational_scan", "SELECT c_custkey, c_name FROM customer WHERE c_acctbal < 0")
@@ -97,6 +99,29 @@ def _(t: Tables):
     return t.spark.read.format("recorded_feed").option("responses", said).load()
 
 
+_PAGE = 250
+
+
+@query("src_13_paged_stream", f"SELECT 'w' || event_id AS external_id, event_type AS title, CAST(CAST(ts AS DATE) AS VARCHAR) AS published, CAST(user_id AS VARCHAR) AS user_id, row_number() OVER (ORDER BY event_id) - 1 - (row_number() OVER (ORDER BY event_id) - 1) % {_PAGE} AS first_of_page FROM events")
+def _(t: Tables):
+    """The events as recorded responses of a paged interface, read as a stream in two runs: the second brings what pages came
+    meanwhile, and nothing twice."""
+    from lodestone.operators.relational import ranked
+
+    t.spark.dataSource.register(paged.PagedFeed)
+    path, out, ck = scratch_dir(t.spark), scratch_dir(t.spark), scratch_dir(t.spark)
+    e = ranked(t("events"), [F.asc("event_id")], "r").withColumn("first", F.col("r") - 1 - (F.col("r") - 1) % _PAGE)
+    fields = {"id": F.concat(F.lit("w"), F.col("event_id").cast("string")), "title": F.col("event_type"), "publication_date": F.date_format("ts", "yyyy-MM-dd"), "user_id": F.col("user_id"), "first": F.col("first")}
+    page = (F.col("first") / _PAGE).cast("bigint")
+    half = e.agg(F.max(page)).first()[0] // 2
+    items = t.spark.readStream.format("paged_feed").option("path", path).option("kind", "works").load()
+    for part in (e.filter(page <= half), e.filter(page > half)):
+        paged.write_pages(part, page, fields, path)
+        items.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start().awaitTermination()
+    got = t.spark.read.schema(readers.ITEM_SCHEMA).parquet(out)
+    return got.select("external_id", "title", "published", F.col("meta")["user_id"].alias("user_id"), F.col("meta")["first"].cast("bigint").alias("first_of_page"))
+
+
 @query("src_14_optional_metadata", "SELECT p_partkey, p_name FROM part WHERE p_brand = 'Brand#7' AND p_size >= 10")
 def _(t: Tables):
     from lodestone.operators.relational import where
@@ -206,6 +231,32 @@ def _(t: Tables):
     return feeds.counted_late(e, "ts", "arrived", F.expr("INTERVAL 1 HOUR")).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
 
+_LATE = ", e AS (SELECT event_id, ts, day(ts) <= 20 AND event_id % 9 <> 0 AS early FROM events), w AS (SELECT max(epoch_us(ts)) // 1000 * 1000 - 86400000000 AS w FROM e WHERE early), f AS (SELECT event_id, ts, NOT early AND epoch_us(ts) <= w AS late FROM e, w)"
+
+
+def _twice(t: Tables):
+    """Two deliveries: the second has later days, and every ninth row of the earlier ones. What came out of the stream, what
+    was dropped by the watermark of a day, as the progress counts it."""
+    path, out, ck = scratch_dir(t.spark), scratch_dir(t.spark), scratch_dir(t.spark)
+    e = t("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), ((F.dayofmonth("ts") <= 20) & (F.col("event_id") % 9 != 0)).alias("early"))
+    dropped, shape = 0, "event_id bigint, ts timestamp"
+    for early in (True, False):
+        e.filter(F.col("early") == early).select("event_id", "ts").write.mode("append").parquet(path)
+        dropped += late.run_once(t.spark.readStream.schema(shape).parquet(path), ["event_id"], "ts", "1 day", out, ck)
+    kept = t.spark.read.schema(shape).parquet(out)
+    return kept, late.set_aside(t.spark.read.schema(shape).parquet(path), kept, ["event_id"], dropped)
+
+
+@query("stm_04_kept_rows", _LATE + " SELECT event_id, ts FROM f WHERE NOT late")
+def _(t: Tables):
+    return _twice(t)[0].withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("stm_04_dropped_rows", _LATE + " SELECT event_id, ts FROM f WHERE late")
+def _(t: Tables):
+    return _twice(t)[1].withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 @query("stm_05_incremental_extraction", "SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN 'visit' ELSE 'other' END AS concept FROM events")
 def _(t: Tables):
     out, ck = scratch_dir(t.spark), scratch_dir(t.spark)
@@ -213,3 +264,72 @@ def _(t: Tables):
     for _ in range(2):  # the second run finds nothing new
         feeds.extract_new(_stream(t), extract, out, ck).awaitTermination()
     return t.spark.read.schema("event_id bigint, concept string").parquet(out)
+
+
+# -- status of items ------------------------------------------------------------------------------------------------
+
+#: Actions on items for the types of events; four items a user.
+_ACTIONS = {"view": "discover", "click": "fetched", "signup": "paywalled", "error": "failed", "purchase": "resolved"}
+#: The log in three deliveries: of the last day of each, every seventh event comes with the next one, and every fifth again.
+_LOG = f"""
+, acts AS (SELECT user_id * 4 + event_id % 4 AS item, event_id, ts, epoch_us(ts) // 1000 AS ms, CASE event_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _ACTIONS.items())} END AS action, least(2, (day(ts) - 1) // 10) AS d, (day(ts) - 1) % 10 = 9 AS last FROM events),
+log AS (SELECT *, least(2, d + CASE WHEN last AND event_id % 7 = 0 THEN 1 ELSE 0 END) AS batch FROM acts UNION ALL SELECT *, least(2, d + 1) AS batch FROM acts WHERE last AND event_id % 5 = 0 AND d < 2)"""
+
+
+def _log(t: Tables):
+    action = F.element_at(F.create_map(*(F.lit(x) for kv in _ACTIONS.items() for x in kv)), F.col("event_type"))
+    day = F.dayofmonth("ts") - 1
+    e = t("events").select((F.col("user_id") * 4 + F.col("event_id") % 4).alias("item"), "event_id", F.col("ts").cast("timestamp").alias("ts"), action.alias("action"), F.least(F.lit(2), F.floor(day / 10)).cast("int").alias("d"), (day % 10 == 9).alias("last"))
+    batch = F.least(F.lit(2), F.col("d") + F.when(F.col("last") & (F.col("event_id") % 7 == 0), 1).otherwise(0))
+    again = e.filter("last AND event_id % 5 = 0 AND d < 2").withColumn("batch", F.col("d") + 1)
+    return e.withColumn("batch", batch).unionByName(again).drop("d", "last")
+
+
+def _deliveries(t: Tables, log):
+    """A stream that brings the rows of batch 0, 1, ... one after the other."""
+    path = scratch_dir(t.spark)
+    for b in range(3):
+        log.filter(F.col("batch") == b).drop("batch").coalesce(1).write.mode("append").parquet(path)
+    return t.spark.readStream.schema(log.drop("batch").schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _next_status(status: str, action: str) -> str:
+    cases = " ".join(f"WHEN {status} IS NULL AND {action} = '{a}' THEN '{to}'" if s is None else f"WHEN {status} = '{s}' AND {action} = '{a}' THEN '{to}'" for (s, a), to in machine.TRANSITIONS.items())
+    return f"CASE {cases} END"
+
+
+_DAY = 86_400_000
+_REPLAY = _LOG + f""", seq AS (SELECT item, event_id, ms, action, row_number() OVER (PARTITION BY item ORDER BY batch, ms, event_id) AS n FROM log),
+steps AS (
+  SELECT item, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::BIGINT AS ms, NULL::VARCHAR AS action, NULL::VARCHAR AS before, NULL::VARCHAR AS after, NULL::VARCHAR AS verdict, NULL::BIGINT AS deadline, NULL::BIGINT AS last_at, NULL::BIGINT AS last_id, NULL::BIGINT AS lapsed FROM (SELECT DISTINCT item FROM seq)
+  UNION ALL
+  SELECT item, n, event_id, ms, action, cur, coalesce(nxt, cur), CASE WHEN stale THEN CASE WHEN event_id = last_id THEN 'repeated' ELSE 'late' END WHEN nxt IS NOT NULL THEN 'applied' WHEN cur IS NOT NULL AND action = 'discover' THEN 'duplicate' ELSE 'illegal' END,
+    CASE WHEN nxt = 'needs_user' THEN ms + {5 * _DAY} WHEN nxt IS NOT NULL OR lapse THEN NULL ELSE deadline END, CASE WHEN stale THEN last_at ELSE ms END, CASE WHEN stale THEN last_id ELSE event_id END, CASE WHEN lapse THEN deadline END
+  FROM (SELECT *, CASE WHEN NOT stale THEN {_next_status("cur", "action")} END AS nxt
+    FROM (SELECT *, CASE WHEN lapse THEN 'failed' ELSE after END AS cur
+      FROM (SELECT *, NOT stale AND deadline IS NOT NULL AND ms >= deadline AS lapse
+        FROM (SELECT l.item, l.n, l.event_id, l.ms, l.action, s.after, s.deadline, s.last_at, s.last_id, s.last_at IS NOT NULL AND (l.ms < s.last_at OR (l.ms = s.last_at AND l.event_id <= s.last_id)) AS stale FROM steps s JOIN seq l ON l.item = s.item AND l.n = s.n + 1))))
+),
+ends AS (SELECT item, after, deadline FROM steps QUALIFY row_number() OVER (PARTITION BY item ORDER BY n DESC) = 1),
+told AS (
+  SELECT item, event_id, ms, action, before, after, verdict FROM steps WHERE n > 0
+  UNION ALL SELECT item, NULL, lapsed, NULL, 'needs_user', 'failed', 'expired' FROM steps WHERE lapsed IS NOT NULL
+  UNION ALL SELECT item, NULL, deadline, NULL, after, 'failed', 'expired' FROM ends WHERE deadline <= (SELECT max(ms) FROM log) - {2 * _DAY})"""
+
+
+def _told(t: Tables):
+    with rocks(t.spark):
+        rows = machine.statuses(_deliveries(t, _log(t)), "item", "event_id", "ts", "action", 5 * _DAY, "2 days")
+        return _landed(t, rows, "statuses", "append")
+
+
+@query("sco_08_status_machine", _REPLAY + " SELECT item, event_id, ms, action, before, after, verdict FROM told")
+def _(t: Tables):
+    """Every event and expiry of the feed's items, with what it did."""
+    return _told(t)
+
+
+@query("sco_08_tickets", _REPLAY + """, o AS (SELECT item, ms FROM told WHERE verdict = 'applied' AND after = 'needs_user'), c AS (SELECT item, ms, after FROM told WHERE before = 'needs_user' AND after <> 'needs_user')
+SELECT o.item, o.ms AS opened, min(c.ms) AS closed, arg_min(c.after, c.ms) AS outcome FROM o LEFT JOIN c ON c.item = o.item AND c.ms > o.ms GROUP BY o.item, o.ms""")
+def _(t: Tables):
+    return machine.tickets(_told(t))
