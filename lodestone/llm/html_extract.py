@@ -73,6 +73,7 @@ _READERS = re.compile(r"(?:^|\s)(?:comments?|respond|disqus|repl(?:y|ies))(?![-_
 _BREAKS_SVG = BLOCK | frozenset("b big br code em i img s small span strike strong sub sup tt u".split())
 _CLOSED_BY = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
 _SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
+_CLOSERS = frozenset().union(*_CLOSED_BY.values())
 SOFT, TALK, HARD = 1, 2, 3
 _HASHES: dict[str, int] = {}
 
@@ -146,7 +147,16 @@ def weigh(opened: list[Element]) -> None:
 def parse(page: str) -> Iterator[tuple[str, Element, str]]:
     """("open", element, ""), ("text", the element it lies in, raw text) and ("break", element, "") between blocks."""
     root = Element("#", "", None)
-    stack = [root]
+    stack, blocks = [root], []  # blocks: where in the stack the open blocks are
+    opened: dict[str, int] = defaultdict(int)  # open elements by tag, so that nothing is looked for that isn't there
+
+    def cut(i: int) -> None:
+        for e in stack[i:]:
+            opened[e.tag] -= 1
+        del stack[i:]
+        while blocks and blocks[-1] >= i:
+            blocks.pop()
+
     for m in _TOKEN.finditer(page):
         text = m[9]
         if text is not None:
@@ -159,25 +169,27 @@ def parse(page: str) -> Iterator[tuple[str, Element, str]]:
                 yield "break", stack[-1], ""
             continue
         tag, attrs = name.lower(), (m[5] if m[4] else m[8]) or ""
-        if stack[-1].mute and tag in _BREAKS_SVG and not (m[3] or m[6]) and all(e.tag != "foreignobject" for e in stack):
-            while stack[-1].mute:
-                stack.pop()
+        if stack[-1].mute and tag in _BREAKS_SVG and not (m[3] or m[6]) and not opened["foreignobject"]:
+            i = len(stack)
+            while stack[i - 1].mute:
+                i -= 1
+            cut(i)
         if m[3] or m[6]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    if any(e.tag in BLOCK for e in stack[i:]):
-                        yield "break", stack[i], ""
-                    del stack[i:]
-                    break
-            else:
-                if tag in BLOCK:
-                    yield "break", stack[-1], ""
+            if opened[tag]:
+                i = len(stack) - 1
+                while stack[i].tag != tag:
+                    i -= 1
+                if any(e.tag in BLOCK for e in stack[i:]):
+                    yield "break", stack[i], ""
+                cut(i)
+            elif tag in BLOCK:
+                yield "break", stack[-1], ""
             continue
-        for i in range(len(stack) - 1, 0, -1):  # end tags that are implied
+        for i in blocks[::-1] if tag in _CLOSERS else ():  # end tags that are implied
             e = stack[i].tag
             if tag in _CLOSED_BY.get(e, ()):
-                del stack[i:]
-            elif e in BLOCK and (e != "p") and not (tag in _CLOSED_BY and e in _CLOSED_BY and e not in _SCOPES.get(tag, ())):
+                cut(i)
+            elif (e != "p") and not (tag in _CLOSED_BY and e in _CLOSED_BY and e not in _SCOPES.get(tag, ())):
                 break
             elif e in _SCOPES.get(tag, ()):
                 break
@@ -191,6 +203,9 @@ def parse(page: str) -> Iterator[tuple[str, Element, str]]:
         if not e.mute:
             yield "open", e, ""
         if not attrs.endswith("/"):
+            if tag in BLOCK:
+                blocks.append(len(stack))
+            opened[tag] += 1
             stack.append(e)
 
 

@@ -145,13 +145,16 @@ def _lowered(column: pa.Array) -> pa.Array:
     return pc.utf8_lower(column.fill_null(""))
 
 
-def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", families: dict[str, str] | None = None, per_language: int = 600, max_languages: int = 32, max_rows: int = 12_000) -> Hierarchy | None:
-    """Fits on about per_language rows of each language, fewer where there are fewer; rows with nulls are left."""
+def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", families: dict[str, str] | None = None, per_language: int = 600, max_languages: int = 128, max_rows: int = 12_000) -> Hierarchy | None:
+    """Fits on about per_language rows of each language, fewer where there are fewer; rows with nulls are left. Every language
+    is learned. More than max_languages raise: labels that are no languages would each want machines against all others."""
     rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(max_languages + 1).collect()}
     if not counts:
         return None
-    per_language = min(per_language, max_rows // len(counts))
+    if len(counts) > max_languages:
+        raise ValueError(f"more than {max_languages} languages in column {lang}")
+    per_language = max(1, min(per_language, max_rows // len(counts)))
     picked = F.lit(False)
     share = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20))
     for k, n in counts.items():

@@ -1,9 +1,11 @@
 import json
+import time
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm.html_extract import Template, _page_tokens, extract, extract_page, templates
+from lodestone.llm.html_extract import Template, _page_tokens, extract, extract_page, parse, templates
 
 NONE = Template(None)
 
@@ -165,3 +167,11 @@ def test_repeats_clashing_columns_and_long_pages(spark):
     df = spark.createDataFrame([(1, "http://l.example/1", long, "h", "t", 3), (1, "http://l.example/1", long, "h", "t", 3), (None, None, "<p>x</p>", None, None, None)], "page_id long, url string, html string, host string, template string, n_chars int")
     got = extract(df).collect()
     assert sorted(r.n_chars for r in got) == [1, *[len("\n\n".join(f"Line {i} of a very long page." for i in range(30_000)))] * 2]
+
+
+@pytest.mark.parametrize("piece", ["<b>", "<span><i></em>", "<b><p>", "<div><span>", "<svg><p><b>", "<option><li><td>", "</b></p>"])
+def test_unclosed_tags_take_time_in_proportion(piece):
+    page = "<html><body><article>" + piece * (1_000_000 // len(piece)) + "the text</article></body></html>"
+    began = time.process_time()
+    events = sum(1 for _ in parse(page))
+    assert events > 1 and time.process_time() - began < 30

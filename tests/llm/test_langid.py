@@ -1,8 +1,10 @@
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from lodestone.llm._text import utf8
 from lodestone.llm.langid import DIM, FAMILIES, Hierarchy, features, language_id, remainder, train
@@ -87,8 +89,15 @@ def test_ties_go_to_the_first_name():
     assert model.predict(x[:1])[0] == ["de"]
 
 
-def test_languages_that_are_learned_are_bounded(spark):
-    rows = [*corpus(200), *((1000 + i, f"zz{i} qq", f"x{i:03d}") for i in range(60))]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    model = train(df, max_languages=6, max_rows=300)
-    assert sorted(k for ks in model.langs for k in ks) == sorted([*WORDS, "x000", "x001"])
+def test_every_language_is_learned(spark):
+    r = random.Random(2)
+    own = [["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(5)] for _ in range(40 - len(WORDS))]
+    rows = [*corpus(200), *((1000 + 20 * i + j, " ".join(r.choice(w) for _ in range(9)), f"x{i:03d}") for i, w in enumerate(own) for j in range(20))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = train(df, max_rows=1200)
+    assert len([k for ks in model.langs for k in ks]) == 40 + len({r[2] for r in corpus(200) if r[2]} - set(WORDS))
+    got = {r.doc_id: r.lang_pred for r in language_id(df).collect()}
+    held = [(d, la) for d, _, la in rows if d >= 1000 and zlib.crc32(str(d).encode()) % 4 == 2]
+    assert sum(got[d] == la for d, la in held) > 0.95 * len(held)
+    with pytest.raises(ValueError):
+        train(df, max_languages=39)

@@ -66,6 +66,27 @@ def test_language_without_labels(spark):
     assert {tuple(r) for r in cp.language(spark, docs, "").collect()} == {rows[0], rows[3], rows[4]}
 
 
+def test_no_text_of_a_repeated_doc_id_is_lost(spark):
+    """Rows that differ are documents of their own: one of each group of near copies stays, with the smallest doc_id."""
+    r = random.Random(11)
+    base = [" ".join(f"{c}{r.randrange(10_000)}" for _ in range(40)) for c in "abcdef"]
+    a, b, c = base[:3]
+    tables = [[(3, a), (5, a + " one"), (5, b), (7, c)]]
+    for _ in range(2):
+        tables.append([(r.randrange(12), r.choice(base) + r.choice(["", " one", " two", " three four five six seven eight nine ten eleven twelve thirteen"])) for _ in range(40)])
+    for rows in tables:
+        docs = spark.createDataFrame([(d, x, "en", "s", 1) for d, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+        got = [(x.doc_id, x.text) for x in cp.near_duplicates(spark, docs, "").collect()]
+        own = sorted(set(rows))
+        part = {i: least for i, (least, _) in groups([(i, x) for i, (_, x) in enumerate(own)]).items()}
+        least = {}
+        for i, (d, _) in enumerate(own):
+            least[part[i]] = min(least.get(part[i], d), d)
+        assert len(got) == len(set(got)) == len(least)
+        at = {row: i for i, row in enumerate(own)}
+        assert sorted((part[at[x]], x[0]) for x in got) == sorted(least.items())
+
+
 def test_repeats_nulls_empty_clashing_columns_and_long_texts(spark, tmp_path):
     """Other texts of one doc_id stay, equal rows and near copies stay once, whatever other columns there are."""
     t = " ".join(f"q{i}" for i in range(60))
