@@ -30,21 +30,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that with the smallest doc_id. Rows that repeat it are compared with each other
-    as documents of their own: equal rows, and near copies among them, stay once; other texts of one doc_id are each kept.
-    A null doc_id is in no group and stays, as do texts without words; an empty table stays empty."""
-    joined = materialise(ngram_join(docs).select("doc_id", "kept"))
-    gone = materialise(joined.filter("NOT kept").select("doc_id").distinct())
-    if gone.count() <= BROADCAST_ROWS:  # else texts are shuffled once, by doc_id
-        gone = F.broadcast(gone)
-    kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    twice = materialise(joined.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
-    if twice.isEmpty():
-        return kept
-    once = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("rest"))
-    once = materialise(once.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text", "rest.*"))
-    first = ngram_join(once, doc_id="row").filter("kept").select(F.col("doc_id").alias("row"))
-    return kept.join(twice, "doc_id", "left_anti").select(*COLUMNS).unionByName(once.join(first, "row", "left_semi").select(*COLUMNS))
+    """One document of each group stays: that with the smallest doc_id. Where doc_ids repeat, rows that differ in doc_id or
+    text are documents of their own, so of equal rows one stays, and no text goes that isn't near another one. A null
+    doc_id is in no group and stays, as do texts without words; an empty table stays empty."""
+    docs = docs.select(*COLUMNS)
+    if docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        gone = materialise(ngram_join(docs).filter("NOT kept").select("doc_id"))
+        if gone.count() <= BROADCAST_ROWS:  # else texts are shuffled once, by doc_id
+            gone = F.broadcast(gone)
+        return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    once = docs.filter("doc_id IS NOT NULL").groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("rest"))
+    once = materialise(once.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "rest.*"))
+    joined = ngram_join(once.select("row", "text"), doc_id="row").select(F.col("doc_id").alias("row"), "class_id")
+    least = joined.join(once.select("row", "doc_id"), "row").groupBy("class_id").agg(F.min(F.struct("doc_id", "row"))["row"].alias("row"))
+    return once.join(least, "row", "left_semi").select(*COLUMNS).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
