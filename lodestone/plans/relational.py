@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import relational as R
+from lodestone.operators.containment import containing, either_way
 from lodestone.plans.registry import Tables, query
 
 # -- filters --------------------------------------------------------------------------------------------------------
@@ -251,6 +252,22 @@ def _(t: Tables):
     return n.join(r, F.lower("n_name").contains(F.lower(F.substring("r_name", 1, 1))) | F.lower("r_name").contains(F.lower("n_name"))).select("r_name", "n_name").distinct()
 
 
+@query("jn_20_title_in_titles", ", n AS (SELECT DISTINCT lower(left(title, 16)) AS part FROM documents_kb UNION SELECT lpad(CAST(s_suppkey AS VARCHAR), 4, '0') FROM supplier) SELECT part, min(doc_id) AS doc_id, count(*) AS titles FROM n JOIN documents_kb ON contains(lower(title), part) GROUP BY part")
+def _(t: Tables):
+    """The first characters of all titles, and the numbers of all suppliers, in all titles."""
+    d = t.documents_kb.select("doc_id", F.lower("title").alias("low"))
+    n = d.select(F.substring("low", 1, 16).alias("part")).union(t("supplier").select(F.lpad(F.col("s_suppkey").cast("string"), 4, "0"))).distinct()
+    return containing(n, "part", d, "low").groupBy("part").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("titles"))
+
+
+@query("jn_21_names_in_names", ", a AS (SELECT DISTINCT p_name AS x FROM part), b AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS y FROM part UNION SELECT DISTINCT p_name || ' and more' FROM part WHERE p_size > 25 UNION SELECT DISTINCT left(p_name, 3) FROM part) SELECT x, y FROM a JOIN b ON contains(x, y) OR contains(y, x)")
+def _(t: Tables):
+    p = t("part")
+    a = p.select(F.col("p_name").alias("x")).distinct()
+    b = p.select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("y")).union(p.filter("p_size > 25").select(F.concat("p_name", F.lit(" and more")))).union(p.select(F.substring("p_name", 1, 3))).distinct()
+    return either_way(a, "x", b, "y")
+
+
 @query("jn_22_full_outer_by_title", """, a AS (SELECT doc_id, quality FROM labels WHERE quality = 1), b AS (SELECT doc_id, toxic FROM labels WHERE toxic = 1) SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL THEN 'both' WHEN a.doc_id IS NOT NULL THEN 'left' ELSE 'right' END AS side FROM a FULL JOIN b ON a.doc_id = b.doc_id""")
 def _(t: Tables):
     lab = t("labels")
