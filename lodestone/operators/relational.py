@@ -148,29 +148,48 @@ def _members(seq) -> list:
     return [seq.apply(i) for i in range(seq.size())]
 
 
-def _reads(plan, known: set[str]) -> bool:
-    if plan.getClass().getSimpleName().rstrip("$") not in READING:
+class _Known:
+    """What a statement may use: functions, and tables (None: any that has a name of one part, which is never a file)."""
+
+    def __init__(self, functions: set[str], tables: set[str] | None):
+        self.functions, self.tables, self.common = functions, tables, set()
+
+    def table(self, name: str, parts: int) -> bool:
+        if self.tables is not None:
+            return name in self.tables or (parts == 1 and name in self.common)
+        return parts == 1
+
+
+def _reads(plan, known: _Known) -> bool:
+    kind = plan.getClass().getSimpleName().rstrip("$")
+    if kind not in READING:
+        return False
+    if kind == "UnresolvedWith":
+        known.common |= {x._1().lower() for x in _members(plan.cteRelations())}
+    if kind == "UnresolvedRelation" and not known.table(".".join(parts := _members(plan.multipartIdentifier())).lower(), len(parts)):
         return False
-    if plan.getClass().getSimpleName() == "UnresolvedTableValuedFunction" and ".".join(_members(plan.name())).lower() not in known:
+    if kind == "UnresolvedTableValuedFunction" and ".".join(_members(plan.name())).lower() not in known.functions:
         return False
     return all(_reads(x, known) for x in [*_members(plan.children()), *(x for x in _members(plan.innerChildren()) if hasattr(x, "children") and "plans.logical" in x.getClass().getName())]) and all(_calls_known(e, known) for e in _members(plan.expressions()))
 
 
-def _calls_known(e, known: set[str]) -> bool:
+def _calls_known(e, known: _Known) -> bool:
     kind = e.getClass().getSimpleName()
-    if kind == "UnresolvedFunction" and ".".join(_members(e.nameParts())).lower() not in known:
+    if kind == "UnresolvedFunction" and ".".join(_members(e.nameParts())).lower() not in known.functions:
         return False
     if kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery") and not _reads(e.plan(), known):
         return False
     return all(_calls_known(x, known) for x in _members(e.children()))
 
 
-def read_only(spark, sql: str) -> bool:
+def read_only(spark, sql: str, tables: list[str] | None = None) -> bool:
     """Whether a statement only reads: all nodes of its parsed plan, with those of common tables and subqueries, are
-    known to read, and all functions are built in and call no other code."""
+    known to read, all functions are built in and call no other code, and all relations are names: of `tables` (which may
+    have several parts) and the statement's own common tables, or, if no list is given, of one part. A name of two parts such
+    as csv.`/path` would read a file."""
     state = spark._jsparkSession.sessionState()
     builtin = spark._jvm.org.apache.spark.sql.catalyst.analysis
     known = set()
     for registry in (builtin.FunctionRegistry.builtin(), builtin.TableFunctionRegistry.builtin()):
         known |= {f.funcName().lower() for f in _members(registry.listFunction())}
-    return _reads(state.sqlParser().parsePlan(sql), known - CALLING)
+    return _reads(state.sqlParser().parsePlan(sql), _Known(known - CALLING, None if tables is None else {x.lower() for x in tables}))

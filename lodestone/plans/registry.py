@@ -64,7 +64,7 @@ class Tables:
         return self("events").select("event_id", "ts", F.col("event_type").alias("source"), "user_id", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, recursive: bool = False):
     """Registers fn(tables) -> DataFrame. sql is a SELECT over the driver's tables and the domain's views; further
     common table expressions may come first, after a leading comma."""
 
@@ -73,7 +73,8 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"{name} is registered twice")
         QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
         if sql is not None:
-            ORACLE[name] = f"WITH RECURSIVE {VIEWS.strip()}{sql}" if sql.lstrip().startswith(",") else f"WITH {VIEWS.strip()}\n{sql}"
+            begin = f"WITH {'RECURSIVE ' if recursive else ''}{VIEWS.strip()}"
+            ORACLE[name] = f"{begin}{sql}" if sql.lstrip().startswith(",") else f"{begin}\n{sql}"
         return fn
 
     return register

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -95,6 +97,24 @@ def _(t: Tables):
     return t.spark.createDataFrame([(s, R.read_only(t.spark, s)) for s in said], "statement string, reads boolean")
 
 
+@query("flt_15_guarded_statements", ", s AS (SELECT n_nationkey AS k, n_nationkey % 5 IN (0, 3) AS reads FROM nation) SELECT k, reads, CASE WHEN reads THEN (SELECT count(*) FROM customer WHERE c_nationkey = k) END AS customers FROM s")
+def _(t: Tables):
+    """A statement for each nation, of five kinds; those that read what is given are run, in one plan, the others refused."""
+    t("customer").createOrReplaceTempView("guarded_customers")
+    kinds = [
+        "SELECT {k} AS k, count(*) AS customers FROM guarded_customers WHERE c_nationkey = {k}",
+        "DROP TABLE guarded_customers_{k}",
+        "SELECT {k} AS k, count(*) AS customers FROM csv.`/etc/passwd`",
+        "WITH own AS (SELECT * FROM guarded_customers WHERE c_nationkey = {k}) SELECT {k} AS k, count(*) AS customers FROM own",
+        "SELECT {k} AS k, (SELECT count(*) FROM parquet.`{k}`) AS customers FROM guarded_customers",
+    ]
+    said = {r["n_nationkey"]: kinds[r["n_nationkey"] % 5].format(k=r["n_nationkey"]) for r in t("nation").select("n_nationkey").collect()}
+    fine = {k: s for k, s in said.items() if R.read_only(t.spark, s, ["guarded_customers"])}
+    counts = reduce(lambda a, b: a.union(b), (t.spark.sql(s) for s in fine.values()))
+    reads = t.spark.createDataFrame([(k, k in fine) for k in said], "k bigint, reads boolean")
+    return reads.join(counts.select(F.col("k").cast("bigint").alias("k"), "customers"), "k", "left")
+
+
 @query("flt_16_json_projection", "SELECT event_id, coalesce(CAST(json_extract_string(props, '$.k') AS DOUBLE), 0.0) AS priority, coalesce(CAST(json_extract_string(props, '$.hidden') AS BOOLEAN), false) AS hidden FROM events")
 def _(t: Tables):
     js = lambda p: F.get_json_object("props", p)

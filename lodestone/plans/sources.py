@@ -323,13 +323,13 @@ def _told(t: Tables):
         return _landed(t, rows, "statuses", "append")
 
 
-@query("sco_08_status_machine", _REPLAY + " SELECT item, event_id, ms, action, before, after, verdict FROM told")
+@query("sco_08_status_machine", _REPLAY + " SELECT item, event_id, ms, action, before, after, verdict FROM told", recursive=True)
 def _(t: Tables):
     """Every event and expiry of the feed's items, with what it did."""
     return _told(t)
 
 
 @query("sco_08_tickets", _REPLAY + """, o AS (SELECT item, ms FROM told WHERE verdict = 'applied' AND after = 'needs_user'), c AS (SELECT item, ms, after FROM told WHERE before = 'needs_user' AND after <> 'needs_user')
-SELECT o.item, o.ms AS opened, min(c.ms) AS closed, arg_min(c.after, c.ms) AS outcome FROM o LEFT JOIN c ON c.item = o.item AND c.ms > o.ms GROUP BY o.item, o.ms""")
+SELECT o.item, o.ms AS opened, min(c.ms) AS closed, arg_min(c.after, c.ms) AS outcome FROM o LEFT JOIN c ON c.item = o.item AND c.ms > o.ms GROUP BY o.item, o.ms""", recursive=True)
 def _(t: Tables):
     return machine.tickets(_told(t))

@@ -164,6 +164,14 @@ def test_only_reads(spark):
     assert relational.read_only(spark, "SELECT 1") and not relational.read_only(spark, "DROP TABLE x")
 
 
+def test_read_only_refuses_files(spark):
+    ask = lambda s, t=None: relational.read_only(spark, s, t)
+    for s in ("SELECT * FROM csv.`/etc/passwd`", "SELECT * FROM parquet.`x`", "SELECT 1 WHERE 1 IN (SELECT a FROM text.`x`)", "WITH c AS (SELECT * FROM json.`x`) SELECT * FROM c", "SELECT * FROM a.b"):
+        assert not ask(s) and not ask(s, ["a", "c"])
+    assert ask("SELECT * FROM a.b", ["A.b"]) and ask("SELECT * FROM a JOIN b") and not ask("SELECT * FROM a JOIN b", ["a"])
+    assert ask("WITH c AS (SELECT * FROM a), d AS (SELECT * FROM c) SELECT * FROM d JOIN a", ["a"])
+
+
 def test_read_only_walks_the_whole_statement(spark):
     refused = ["WITH a AS (SELECT 1 AS n) INSERT INTO t SELECT * FROM a", "FROM v INSERT INTO a SELECT * INSERT INTO b SELECT *", "REFRESH TABLE x", "SELECT reflect('java.lang.System', 'exit', '1')", "SELECT (SELECT max(java_method('a', 'b')) FROM t) FROM u", "SELECT own.secret(1)", "WITH a AS (SELECT reflect('a', 'b') AS n) SELECT * FROM a", "SET x = 1", "CACHE TABLE t", "SELECT * FROM no_such_function(1)"]
     allowed = ["SELECT a, count(*) AS n FROM t JOIN u USING (a) WHERE a IN (SELECT b FROM v) GROUP BY a HAVING count(*) > 1 ORDER BY n DESC LIMIT 3", "WITH a AS (SELECT 1 AS n) SELECT n FROM a UNION ALL SELECT 2", "SELECT row_number() OVER (PARTITION BY a ORDER BY b) FROM t", "SELECT * FROM range(5)", "SELECT x FROM t LATERAL VIEW explode(xs) e AS x"]
