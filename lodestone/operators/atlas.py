@@ -5,6 +5,7 @@ Input is the table of a corpus's passage concepts: passage_id, concept, concept_
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,3 +111,86 @@ def greedy_distinct(ranked: list[dict], items: str, most: int = 20, free: int =
         if len(out) == most:
             break
     return out
+
+
+def field_strengths(overlap: DataFrame) -> DataFrame:
+    """field, strength, partners: the summed absolute PMI of a field with its partners."""
+    both = overlap.select(F.col("field_a").alias("field"), "pmi").union(overlap.select("field_b", "pmi"))
+    return both.groupBy("field").agg(F.sum(F.abs("pmi")).alias("strength"), F.count("*").alias("partners"))
+
+
+def pmi_matrix(overlap: DataFrame, fields: list[str]) -> DataFrame:
+    """field and a column for each of these fields: their PMI, null where a pair is not known or a field is itself."""
+    one = overlap.filter(F.col("field_a").isin(*fields) & F.col("field_b").isin(*fields)).select("field_a", "field_b", "pmi")
+    both = one.union(one.select("field_b", "field_a", "pmi"))
+    return both.withColumnRenamed("field_a", "field").groupBy("field").pivot("field_b", fields).agg(F.first("pmi"))
+
+
+def field_clusters(overlap: DataFrame, k: int = 5, top: int = 25) -> DataFrame:
+    """field, cluster, place: the `top` strongest fields, in k clusters, in the order of the tree's leaves.
+
+    Distances are the greatest PMI (1 if none is positive) less a pair's, 0 for pairs that are not known; clusters are joined
+    by Ward's rule. The matrix has top times top numbers, whatever the corpus, so it is clustered on the driver."""
+    spark = overlap.sparkSession
+    names = [r["field"] for r in field_strengths(overlap).orderBy(F.desc(F.round("strength", 9)), "field").limit(top).collect()]
+    at, m = {f: i for i, f in enumerate(names)}, np.zeros((len(names), len(names)))
+    for r in overlap.filter(F.col("field_a").isin(*names) & F.col("field_b").isin(*names)).select("field_a", "field_b", "pmi").collect():
+        m[at[r["field_a"]], at[r["field_b"]]] = m[at[r["field_b"]], at[r["field_a"]]] = r["pmi"]
+    most = m.max(initial=0.0)
+    d = (most if most > 0 else 1.0) - m
+    np.fill_diagonal(d, 0)
+    own, order = cut_tree(ward_merges(d), len(names), k)
+    rows = [(f, int(own[i]), order.index(i) + 1) for i, f in enumerate(names)]
+    return spark.createDataFrame(rows, "field string, cluster int, place int")
+
+
+def ward_merges(d: np.ndarray) -> list[tuple[float, int, int]]:
+    """height, a, b of the joins, where a and b are members of what is joined: by chains of nearest neighbours, which find
+    the joins of the greedy order in time n squared. Ties go to the smaller number."""
+    n = len(d)
+    d2, size, live = d.astype(float) ** 2, np.ones(n), np.ones(n, bool)
+    np.fill_diagonal(d2, np.inf)
+    merges: list[tuple[float, int, int]] = []
+    chain: list[int] = []
+    while live.sum() > 1:
+        if not chain:
+            chain.append(int(np.flatnonzero(live)[0]))
+        a = chain[-1]
+        near = np.where(live, d2[a], np.inf)
+        b = int(near.argmin())
+        if len(chain) > 1 and near[chain[-2]] <= near[b]:
+            b = chain[-2]
+        if len(chain) < 2 or b != chain[-2]:
+            chain.append(b)
+            continue
+        chain = chain[:-2]
+        a, b = min(a, b), max(a, b)
+        merges.append((float(np.sqrt(max(d2[a, b], 0.0))), a, b))
+        total = size[a] + size[b] + size
+        new = ((size[a] + size) * d2[a] + (size[b] + size) * d2[b] - size * d2[a, b]) / total
+        d2[a], d2[:, a] = new, new
+        d2[a, a], size[a], live[b] = np.inf, size[a] + size[b], False
+    return sorted(merges, key=lambda x: x[0])
+
+
+def cut_tree(merges: list[tuple[float, int, int]], n: int, k: int) -> tuple[list[int], list[int]]:
+    """The cluster of each member, numbered from 1 by first members, with k clusters; and the members in the tree's order."""
+    root = list(range(n))
+    leaves = {i: [i] for i in range(n)}
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    own = list(range(n))
+    for done, (_, a, b) in enumerate(merges):
+        if n - done == k:
+            own = [find(i) for i in range(n)]
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+        leaves[a] = leaves[a] + leaves.pop(b)
+    if n - len(merges) >= k:
+        own = [find(i) for i in range(n)]
+    names: dict[int, int] = {}
+    return [names.setdefault(x, len(names) + 1) for x in own], [i for r in sorted(leaves) for i in leaves[r]]

@@ -286,9 +286,23 @@ def _(t: Tables):
 
 @query("atl_14_pmi_matrix", _PMI + ", l AS (SELECT field_a AS f, log2(lift) AS v FROM o UNION ALL SELECT field_b, log2(lift) FROM o) SELECT f AS field, round(sum(abs(v)), 6) AS strength, count(*) AS partners FROM l GROUP BY f")
 def _(t: Tables):
-    o = A.field_overlap(t.passage_concepts, 20)
-    both = o.select(F.col("field_a").alias("field"), "pmi").union(o.select("field_b", "pmi"))
-    return both.groupBy("field").agg(F.round(F.sum(F.abs("pmi")), 6).alias("strength"), F.count("*").alias("partners"))
+    s = A.field_strengths(A.field_overlap(t.passage_concepts, 20))
+    return s.select("field", F.round("strength", 6).alias("strength"), "partners")
+
+
+_SIX = [f"Brand#{i}" for i in (1, 2, 3, 11, 12, 21)]
+
+
+@query("atl_14_matrix", _PMI + ", l AS (SELECT field_a AS f, field_b AS g, log2(lift) AS v FROM o UNION ALL SELECT field_b, field_a, log2(lift) FROM o) SELECT f AS field, " + ", ".join(f"round(max(CASE WHEN g = '{x}' THEN v END), 6) AS \"{x}\"" for x in _SIX) + " FROM l WHERE f IN (" + ", ".join(f"'{x}'" for x in _SIX) + ") AND g IN (" + ", ".join(f"'{x}'" for x in _SIX) + ") GROUP BY f")
+def _(t: Tables):
+    m = A.pmi_matrix(A.field_overlap(t.passage_concepts, 20), _SIX)
+    return m.select("field", *(F.round(F.col(f"`{x}`"), 6).alias(x) for x in _SIX))
+
+
+@query("atl_14_clusters")
+def _(t: Tables):
+    """Fields in five clusters by their overlap, in the order of the tree."""
+    return A.field_clusters(A.field_overlap(t.passage_concepts, 20))
 
 
 @query("atl_15_explorer", _PMI + " SELECT field_a, field_b, count FROM o WHERE count >= 6 AND (field_a < 'Brand#14' OR field_b > 'Brand#8')")

@@ -1,6 +1,7 @@
+import numpy as np
 import pytest
 
-from lodestone.operators import graph
+from lodestone.operators import atlas, graph
 
 
 def test_betweenness_walks_to_any_depth(spark, monkeypatch):
@@ -11,3 +12,42 @@ def test_betweenness_walks_to_any_depth(spark, monkeypatch):
     edges = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "src long, dst long").coalesce(1)
     got = {r.node: r.betweenness for r in graph.betweenness(edges).collect()}
     assert got == pytest.approx({i: 2 * i * (n - 1 - i) / ((n - 1) * (n - 2)) for i in range(n)})
+
+
+def greedy_ward(d, k):
+    """Joins the two nearest clusters again and again, all pairs looked at each time."""
+    d2 = {(i, j): d[i][j] ** 2 for i in range(len(d)) for j in range(i)}
+    size = {i: 1 for i in range(len(d))}
+    parts = {i: {i} for i in range(len(d))}
+    get = lambda i, j: d2[max(i, j), min(i, j)]
+    while len(parts) > k:
+        a, b = min(((i, j) for i in parts for j in parts if i < j), key=lambda x: get(*x))
+        for w in parts:
+            if w not in (a, b):
+                n = size[a] + size[b] + size[w]
+                d2[max(a, w), min(a, w)] = ((size[a] + size[w]) * get(a, w) + (size[b] + size[w]) * get(b, w) - size[w] * get(a, b)) / n
+        parts[a] |= parts.pop(b)
+        size[a] += size[b]
+    return {frozenset(x) for x in parts.values()}
+
+
+def test_clusters_equal_the_greedy_order():
+    r = np.random.default_rng(2)
+    for n in (1, 2, 5, 12, 25):
+        m = r.random((n, n)) * 3
+        d = np.triu(m, 1) + np.triu(m, 1).T
+        for k in (1, 2, 5):
+            own, order = atlas.cut_tree(atlas.ward_merges(d), n, k)
+            got = {frozenset(i for i in range(n) if own[i] == c) for c in set(own)}
+            assert got == greedy_ward(d, k) and sorted(order) == list(range(n))
+            assert all(max(p) - min(p) + 1 == len(p) for c in got if (p := [order.index(i) for i in c]))  # neighbours in the tree
+
+
+def test_field_clusters(spark):
+    rows = [(f"{g}{i}", f"{g}{j}", 2.0 + 0.01 * i) for g in "xyz" for i in range(4) for j in range(i + 1, 4)] + [("x0", "y0", -1.0), ("y1", "z1", 0.1)]
+    overlap = spark.createDataFrame(rows, "field_a string, field_b string, pmi double")
+    got = {}
+    for r in atlas.field_clusters(overlap, k=3).collect():
+        got.setdefault(r.cluster, set()).add(r.field)
+    assert sorted(map(sorted, got.values())) == [[f"{g}{i}" for i in range(4)] for g in "xyz"]
+    assert atlas.field_clusters(overlap.limit(0)).count() == 0
