@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.containment import containing
 from lodestone.operators.scratch import materialise
 
 #: Edges that may be sent to every task, as two arrays of integers: 80 MB.
@@ -197,3 +198,18 @@ def _betweenness_frames(both: DataFrame, nodes: DataFrame, pivots: int) -> DataF
     sums = total.filter("pivot <> node").groupBy("node").agg(F.sum("delta").alias("s"))
     scale = (n / k) / ((n - 1) * (n - 2)) if n > 2 else 0.0
     return nodes.join(sums, "node", "left").select("node", (F.coalesce("s", F.lit(0.0)) * scale).alias("betweenness"))
+
+
+def link_orphans(papers: DataFrame, paper: str, title: str, keywords: DataFrame, edges, kind: str = "MENTIONS") -> DataFrame:
+    """Links papers that have no edge of this kind to the concepts whose keywords are in their titles, and writes the edges
+    into the versioned table `edges` (src, dst, type, keywords, weight), whose others stay. keywords: keyword, concept; case is
+    ignored. An edge has the keywords that led to it as its provenance, and as weight how many they are. What is linked is no
+    orphan any more, so a further run over the same papers changes nothing. The papers that are still orphans."""
+    known = edges.read().filter(F.col("type") == kind).select(F.col("src").alias(paper)).distinct()
+    orphans = papers.select(paper, F.lower(title).alias("__title")).join(known, paper, "left_anti")
+    words = keywords.select(F.lower("keyword").alias("__word"), "concept").distinct()
+    found = containing(words, "__word", orphans, "__title").groupBy(F.col(paper).alias("src"), F.col("concept").alias("dst"))
+    rows = found.agg(F.array_sort(F.collect_set("__word")).alias("keywords")).select("src", "dst", F.lit(kind).alias("type"), "keywords", F.size("keywords").alias("weight"))
+    rows = materialise(rows)  # orphans are read from the table that is written
+    edges.insert_ignore(rows, ["src", "dst", "type"], "weight")
+    return orphans.join(rows.select(F.col("src").alias(paper)).distinct(), paper, "left_anti").select(paper).distinct()

@@ -170,6 +170,21 @@ def rank_fusion(lists: list[DataFrame], key: str, k: int = 60) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts).groupBy(key).agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"), F.min("list").alias("first_list"))
 
 
+def explained_fusion(channels: dict[str, DataFrame], key: str, k: int = 60) -> DataFrame:
+    """key, score, trace: rank fusion of channels (key, rank, score and, if a channel has it, path: what led to the item), with
+    what each channel added. trace has a struct for each channel that had the item, in the order of channels: channel, rank,
+    score (the channel's own), part (1 / (k + rank)) and path. score is the sum of the parts, in that order."""
+    parts = []
+    for i, (name, d) in enumerate(channels.items()):
+        path = F.col("path").cast("array<string>") if "path" in d.columns else F.array().cast("array<string>")
+        entry = F.struct(F.lit(i).alias("at"), F.lit(name).alias("channel"), F.col("rank").cast("bigint").alias("rank"), F.col("score").cast("double").alias("score"), (1.0 / (k + F.col("rank"))).alias("part"), path.alias("path"))
+        parts.append(d.select(key, entry.alias("entry")))
+    trace = F.array_sort(F.collect_list("entry"))  # at most one for each channel
+    fused = reduce(lambda a, b: a.unionByName(b), parts).groupBy(key).agg(trace.alias("trace"))
+    score = F.aggregate("trace", F.lit(0.0), lambda s, x: s + x["part"])
+    return fused.select(key, score.alias("score"), F.transform("trace", lambda x: x.dropFields("at")).alias("trace"))
+
+
 def hybrid(lists: list[DataFrame], key: str, n: int, k: int = 60) -> DataFrame:
     """key, score, first_list: the n best of several lists (key, score), each cut to its n best, by reciprocal ranks.
     Ties go by the first list that had an item, then by key."""

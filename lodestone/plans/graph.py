@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import atlas as A
 from lodestone.operators import graph as G
+from lodestone.operators.scratch import scratch_dir
 from lodestone.plans.registry import Tables, query
 
 #: Papers use methods (fields) and mention concepts.
@@ -143,6 +144,40 @@ def _(t: Tables):
     return orphans.filter(F.col("section").contains("HIGH")).select("passage_id", F.col("section").alias("keyword"))
 
 
+#: Keywords of the concepts that documents are linked to.
+_KEYWORDS = {"thth": "ring", "anth": "ring", "erent": "bolt", "tion": "gear", "wh ti": "nut", "Über": "cog", "ción": "cog"}
+_PAIRS = ", ".join(f"('{k}', '{c}')" for k, c in _KEYWORDS.items())
+_ORPHANS = f"""
+, mentions AS (SELECT DISTINCT doc_id AS src FROM labels WHERE quality = 1), k(keyword, concept) AS (VALUES {_PAIRS}),
+orphans AS (SELECT DISTINCT doc_id, lower(left(text, 120)) AS title FROM documents WHERE doc_id NOT IN (SELECT src FROM mentions)),
+linked AS (SELECT doc_id AS src, concept AS dst, array_to_string(list_sort(list(DISTINCT lower(keyword))), ' ') AS keywords FROM orphans JOIN k ON contains(title, lower(keyword)) GROUP BY ALL)"""
+
+
+def _linked(t: Tables):
+    """Documents with a good label have an edge; the others are linked twice, and the second time changes nothing."""
+    from lodestone.operators.graph import link_orphans
+    from lodestone.sources.sinks import VersionedTable
+
+    edges = VersionedTable(t.spark, scratch_dir(t.spark), "src bigint, dst string, type string, keywords array<string>, weight int")
+    good = t("labels").filter("quality = 1").select(F.col("doc_id").alias("src"), F.lit("quality").alias("dst"), F.lit("MENTIONS").alias("type"), F.array().cast("array<string>").alias("keywords"), F.lit(0).alias("weight")).distinct()
+    edges.insert_ignore(good, ["src", "dst", "type"], "weight")
+    words = t.spark.createDataFrame(list(_KEYWORDS.items()), "keyword string, concept string")
+    papers = t("documents").select("doc_id", F.left("text", F.lit(120)).alias("title"))
+    for _ in range(2):
+        left = link_orphans(papers, "doc_id", "title", words, edges)
+    return edges, left
+
+
+@query("gr_16_linked_orphans", _ORPHANS + " SELECT src, dst, keywords FROM linked")
+def _(t: Tables):
+    return _linked(t)[0].read().filter("dst <> 'quality'").select("src", "dst", F.array_join("keywords", " ").alias("keywords"))
+
+
+@query("gr_16_remaining_orphans", _ORPHANS + " SELECT DISTINCT doc_id FROM orphans WHERE doc_id NOT IN (SELECT src FROM linked)")
+def _(t: Tables):
+    return _linked(t)[1]
+
+
 @query("gr_17_context_of_topic", _REL + " SELECT DISTINCT u.method FROM mentions m JOIN uses u USING (paper) WHERE m.concept = 'red_ring'")
 def _(t: Tables):
     return mentions(t).filter("concept = 'red_ring'").join(uses(t), "paper").select("method").distinct()

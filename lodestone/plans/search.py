@@ -242,6 +242,29 @@ def _(t: Tables):
     return both.groupBy("id").agg(F.round(F.sum(1.0 / (60 + F.col("rank"))), 9).alias("score"), F.count("*").alias("channels"))
 
 
+_EXPLAINED = _BM25 + f""", q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 3),
+lex AS (SELECT doc_id AS id, round(score, 9) AS s, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank, [] AS path FROM bm QUALIFY rank <= 30),
+vec AS (SELECT vec_id AS id, round({_COS}, 9) AS s, row_number() OVER (ORDER BY round({_COS}, 9) DESC, vec_id) AS rank, [] AS path FROM embeddings, q QUALIFY rank <= 30),
+near AS (SELECT doc_id AS id, count(DISTINCT passage_id) AS s, list_sort(list(DISTINCT concept)) AS path FROM passage_concepts JOIN passages USING (passage_id) WHERE contains(concept, 'ring') GROUP BY doc_id),
+gra AS (SELECT id, s, row_number() OVER (ORDER BY s DESC, id) AS rank, path FROM near QUALIFY rank <= 30),
+al AS (SELECT 0 AS c, 'vector' AS channel, id, s, rank, path FROM vec UNION ALL SELECT 1, 'lexical', * FROM lex UNION ALL SELECT 2, 'graph', id, s, rank, path FROM gra)
+"""
+
+
+@query("rnk_05_explained", _EXPLAINED + "SELECT id, round(sum(1.0 / (60 + rank)), 9) AS score, string_agg(channel || ':' || rank || ':' || CAST(round(s * 1000) AS BIGINT) || ':' || len(path), ' ' ORDER BY c) AS trace, max(coalesce(path[1], '')) AS first_step FROM al GROUP BY id")
+def _(t: Tables):
+    """Vectors, words and the concept graph, fused, with what each channel added and the concepts that led to a document."""
+    cut = lambda d: top_k(d.withColumn("one", F.lit(1)), ["one"], [F.desc("score"), F.asc("id")], 30, "rank").drop("one")
+    vec = S.nearest(t("embeddings"), "vec_id", "embedding", _vector(t, 3), 60).select(F.col("vec_id").alias("id"), F.round("score", 9).alias("score"))
+    lex = _index(t).bm25(QUERY, 60).select(F.col("key").alias("id"), F.round("score", 9).alias("score"))
+    ring = t.passage_concepts.filter(F.col("concept").contains("ring")).join(t.passages.select("passage_id", "doc_id"), "passage_id")
+    gra = ring.groupBy(F.col("doc_id").alias("id")).agg(F.count_distinct("passage_id").alias("score"), F.array_sort(F.collect_set("concept")).alias("path"))
+    fused = S.explained_fusion({"vector": cut(vec), "lexical": cut(lex), "graph": cut(gra)}, "id")
+    told = F.transform("trace", lambda x: F.concat_ws(":", x["channel"], x["rank"], F.round(x["score"] * 1000).cast("bigint"), F.size(x["path"])))
+    first = F.array_max(F.transform("trace", lambda x: F.coalesce(F.try_element_at(x["path"], F.lit(1)), F.lit(""))))
+    return fused.select("id", F.round("score", 9).alias("score"), F.array_join(told, " ").alias("trace"), first.alias("first_step"))
+
+
 _MORE = [*QUERY, "ithth"]
 _HYBRID = _CHANNELS + f""", gr AS (SELECT doc_id AS id, count(DISTINCT passage_id) AS score FROM passage_concepts JOIN passages USING (passage_id) WHERE contains(concept, 'ring') GROUP BY doc_id),
 ex AS (SELECT doc_id AS id, round({' + '.join(f"0.1 * (1 - 1.0 / (1 + len(list_filter(t, lambda x: x = '{q}'))))" for q in _MORE)}, 9) AS score FROM tok WHERE {' OR '.join(f"list_contains(t, '{q}')" for q in _MORE)}),

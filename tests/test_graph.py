@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from lodestone.operators import atlas, graph
+from lodestone.sources.sinks import VersionedTable
 
 
 def test_betweenness_walks_to_any_depth(spark, monkeypatch):
@@ -51,3 +52,15 @@ def test_field_clusters(spark):
         got.setdefault(r.cluster, set()).add(r.field)
     assert sorted(map(sorted, got.values())) == [[f"{g}{i}" for i in range(4)] for g in "xyz"]
     assert atlas.field_clusters(overlap.limit(0)).count() == 0
+
+
+def test_orphans_are_linked_once(spark, tmp_path):
+    edges = VersionedTable(spark, str(tmp_path / "edges"), "src int, dst string, type string, keywords array<string>, weight int")
+    edges.insert_ignore(spark.createDataFrame([(1, "cell", "MENTIONS", [], 9), (2, "cell", "CITES", [], 9)], edges.schema), ["src", "dst", "type"], "weight")
+    papers = spark.createDataFrame([(1, "Deep learning"), (2, "DEEP Learning of cells"), (3, "single-cell attention"), (4, "none"), (5, None), (3, "attention")], "id int, title string")
+    words = spark.createDataFrame([("deep learning", "deep"), ("Cell", "cell"), ("cells", "cell"), ("attention", "attention"), (None, "x"), ("", "y")], "keyword string, concept string")
+    for _ in range(2):
+        left = graph.link_orphans(papers, "id", "title", words, edges)
+        assert sorted(r.id for r in left.collect()) == [4, 5]
+        got = sorted((r.src, r.dst, r.type, r.keywords) for r in edges.read().collect())
+        assert got == [(1, "cell", "MENTIONS", []), (2, "cell", "CITES", []), (2, "cell", "MENTIONS", ["cell", "cells"]), (2, "deep", "MENTIONS", ["deep learning"]), (3, "attention", "MENTIONS", ["attention"]), (3, "cell", "MENTIONS", ["cell"])]
