@@ -44,7 +44,7 @@ def merged_edges(rows: DataFrame, by: str) -> DataFrame:
 def never_combined(left: DataFrame, right: DataFrame, paper: str, a: str, b: str) -> DataFrame:
     """Pairs of vocabulary entries that no paper has both of. The product is one of vocabularies, not of papers."""
     seen = left.select(paper, a).join(right.select(paper, b), paper).select(a, b).distinct()
-    return left.select(a).distinct().crossJoin(F.broadcast(right.select(b).distinct())).join(seen, [a, b], "left_anti")
+    return left.select(a).distinct().crossJoin(right.select(b).distinct()).join(seen, [a, b], "left_anti")
 
 
 def combinations(left: DataFrame, right: DataFrame, paper: str, a: str, b: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import atlas as A
 from lodestone.operators import graph as G
+from lodestone.operators.containment import containing
 from lodestone.operators.scratch import scratch_dir
 from lodestone.plans.registry import Tables, query
 
@@ -79,7 +80,7 @@ def _(t: Tables):
 def _(t: Tables):
     u, m = fine(t)
     hubs = u.groupBy("method").agg(F.count("*").alias("n")).filter("n >= 5").select("method")
-    return G.never_combined(u.join(F.broadcast(hubs), "method", "left_semi"), m, "paper", "method", "concept")
+    return G.never_combined(u.join(hubs, "method", "left_semi"), m, "paper", "method", "concept")
 
 
 @query("gr_09_top_trajectories", _REL + " SELECT a.concept AS a, b.concept AS b, count(*) AS weight FROM mentions a JOIN mentions b ON a.paper = b.paper AND a.concept < b.concept GROUP BY 1, 2 ORDER BY weight DESC, a, b LIMIT 10")
@@ -193,8 +194,8 @@ def _(t: Tables):
 @query("gr_19_concept_coverage", "SELECT w AS keyword, count(DISTINCT doc_id) AS documents FROM passage_concepts JOIN passages USING (passage_id), (SELECT unnest(['ring', 'bolt', 'zebra']) AS w) WHERE contains(concept, w) GROUP BY w")
 def _(t: Tables):
     k = t.spark.createDataFrame([("ring",), ("bolt",), ("zebra",)], "keyword string")
-    named = t.passage_concepts.select("concept").distinct().join(F.broadcast(k), F.col("concept").contains(F.col("keyword")))
-    return t.passage_concepts.select("passage_id", "concept").join(F.broadcast(named), "concept").join(t.passages.select("passage_id", "doc_id"), "passage_id").groupBy("keyword").agg(F.count_distinct("doc_id").alias("documents"))
+    named = containing(k, "keyword", t.passage_concepts.select("concept").distinct(), "concept")
+    return t.passage_concepts.select("passage_id", "concept").join(named, "concept").join(t.passages.select("passage_id", "doc_id"), "passage_id").groupBy("keyword").agg(F.count_distinct("doc_id").alias("documents"))
 
 
 @query("gr_20_sql_on_graph_views", _REL + " SELECT method, count(DISTINCT concept) AS concepts FROM uses JOIN mentions USING (paper) GROUP BY method")
