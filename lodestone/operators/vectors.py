@@ -30,6 +30,10 @@ def _unit(column: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+#: Bins that one task call verifies.
+BINS = 200
+
+
 # -- near-duplicates ------------------------------------------------------------------------------------------------
 
 
@@ -79,23 +83,34 @@ def near_pairs(rows: DataFrame, key: str, vector: str, threshold: float = 0.99,
     labelled = materialise(fine.mapInPandas(label, f"key {kind}, v {dict(rows.dtypes)[vector]}, labels array<bigint>"))
     each = labelled.select("key", F.posexplode("labels").alias("tab", "label"))
     crowds = each.groupBy("tab", "label").agg(F.count("*").alias("n")).filter("n > 1").select("tab", "label", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    crowds = materialise(crowds)
     dealt = each.join(crowds, ["tab", "label"]).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     bins = dealt.select("key", "tab", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     bins = bins.select("key", "tab", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def verify(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("key", kind="stable")
-        x, tab, labels = _unit(g["v"]), int(g["tab"].iloc[0]), np.stack(g["labels"].to_numpy())
-        s = x @ x.T
-        fits = np.triu(s >= threshold, 1)
-        if g["i"].iloc[0] != g["j"].iloc[0]:
-            fits &= g["own"].to_numpy()[:, None] != g["own"].to_numpy()[None, :]
-        a, b = np.nonzero(fits)
-        new = (labels[a, :tab] != labels[b, :tab]).all(axis=1)
-        a, b, keys = a[new], b[new], g["key"].to_numpy()
-        return pd.DataFrame({"a": keys[a], "b": keys[b], "score": s[a, b]})
-
-    return bins.join(labelled, "key").groupBy("tab", "label", "i", "j").applyInPandas(verify, f"a {kind}, b {kind}, score double")
+        g = g.sort_values(["tab", "label", "i", "j", "key"], kind="stable")
+        names = g[["tab", "label", "i", "j"]].to_numpy()
+        cuts = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1).tolist(), len(g)]
+        units, every, own, keys = _unit(g["v"]), np.stack(g["labels"].to_numpy()), g["own"].to_numpy(), g["key"].to_numpy()
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for at, end in zip(cuts[:-1], cuts[1:]):
+            x, labels, (tab, _, i, j) = units[at:end], every[at:end], names[at]
+            s = x @ x.T
+            fits = np.triu(s >= threshold, 1)
+            if i != j:
+                fits &= own[at:end, None] != own[None, at:end]
+            a, b = np.nonzero(fits)
+            new = (labels[a, :tab] != labels[b, :tab]).all(axis=1)
+            a, b = a[new], b[new]
+            out.append((keys[at:end][a], keys[at:end][b], s[a, b]))
+        a, b, s = (np.concatenate(c) for c in zip(*out))
+        return pd.DataFrame({"a": a, "b": b, "score": s})
+
+    # some bins, which are bounded each, are one call
+    slots = max(1, (crowds.agg(F.coalesce(F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2), F.lit(0.0))).first()[0] // BINS))
+    slot = F.pmod(F.xxhash64("tab", "label", "i", "j"), F.lit(int(slots)))
+    return bins.join(labelled, "key").groupBy(slot.alias("slot")).applyInPandas(verify, f"a {kind}, b {kind}, score double")
 
 
 # -- nearest neighbours ---------------------------------------------------------------------------------------------
