@@ -193,3 +193,27 @@ def precedents(found: DataFrame, key: str, court: str, score: str, per_court: in
     """The k best cases of the per_court best of each court; a case that several courts give counts once, by its best."""
     best = top_k(found, [court], [F.desc(score), F.asc(key)], per_court)
     return best.groupBy(key).agg(F.max(score).alias(score)).orderBy(F.desc(score), key).limit(k)
+
+
+def _methods(papers: DataFrame, concepts: DataFrame, by: str, key: str, concept: str) -> DataFrame:
+    return papers.select(key, by).join(concepts.select(key, concept), key).groupBy(by, concept).agg(F.count("*").alias("n"))
+
+
+def watched(papers: DataFrame, concepts: DataFrame, by: str, key: str, year: str, concept: str, top: int = 10) -> DataFrame:
+    """by, papers, velocity (year and n of its papers, by year) and methods (the `top` most frequent concepts of its papers,
+    ties by name) of every lab, author or venue at once. papers(key, by, year), concepts(key, concept). A paper without a
+    year counts as a paper only; one without concepts has no methods."""
+    years = papers.groupBy(by, year).agg(F.count("*").alias("n"))
+    entry = F.when(F.col(year).isNotNull(), F.struct(F.col(year).alias("year"), "n"))
+    velocity = years.groupBy(by).agg(F.sum("n").alias("papers"), F.array_sort(F.collect_list(entry)).alias("velocity"))  # one a year
+    best = top_k(_methods(papers, concepts, by, key, concept), [by], [F.desc("n"), F.asc(concept)], top, "r")
+    named = best.groupBy(F.col(by).alias("__by")).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", concept))), lambda x: x[concept]).alias("methods"))
+    out = velocity.join(named, F.col(by).eqNullSafe(F.col("__by")), "left")
+    return out.select(by, "papers", "velocity", F.coalesce("methods", F.array().cast("array<string>")).alias("methods"))
+
+
+def topic_overlap(papers: DataFrame, concepts: DataFrame, by: str, key: str, concept: str, topics: list[str]) -> DataFrame:
+    """by, topic, concept, frequency: the concepts of each lab's papers that contain one of the topics, whatever the case.
+    Concepts are counted before topics are looked for in them."""
+    found = F.filter(F.array(*map(F.lit, topics)), lambda x: F.lower(concept).contains(F.lower(x)))
+    return _methods(papers, concepts, by, key, concept).select(by, F.explode(found).alias("topic"), concept, F.col("n").alias("frequency"))

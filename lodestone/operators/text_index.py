@@ -160,15 +160,24 @@ class TextIndex:
             idf = math.log(1 + (docs - df + 0.5) / (df + 0.5))
             yield r["block"], r["term"], times[r["term"]] * idf * (K1 + 1) / (1 + K1 * ((1 - B) / r["tf"] + B * r["ratio"] / mean)), r["df"]
 
-    def search(self, queries: DataFrame, qkey: str, words: str, k: int) -> DataFrame:
+    def _near(self, table: str, asked: DataFrame) -> DataFrame:
+        """Rows of a table in which those of the column term of asked are; with many terms these are all rows."""
+        few = [r["term"] for r in asked.select("term").distinct().limit(MOST_TERMS + 1).collect()]
+        return self._of(table, few) if len(few) <= MOST_TERMS else self._read(table, self.segments())
+
+    def postings_of(self, asked: DataFrame) -> DataFrame:
+        """The postings of the terms in the column term of asked."""
+        return self._near("postings", asked).join(asked.select("term").distinct(), "term", "left_semi")
+
+    def search(self, queries: DataFrame, qkey: str, words: str, k: int, digits: int | None = None) -> DataFrame:
         """qkey, key, score, rank: the k best of each query (an array of terms) by BM25, all queries in one plan. Terms that a
-        query repeats count as often."""
+        query repeats count as often. With digits, scores are rounded before they are compared, so equals go by key."""
         docs, mean = self.statistics()
         asked = materialise(queries.select(F.col(qkey).alias("q"), F.explode(words).alias("term")).groupBy("q", "term").agg(F.count("*").alias("times")))
-        few = [r["term"] for r in asked.select("term").distinct().limit(MOST_TERMS + 1).collect()]
-        posts, maxima = (self._of(t, few) if len(few) <= MOST_TERMS else self._read(t, self.segments()) for t in ("postings", "maxima"))
+        posts, maxima = (self._near(t, asked) for t in ("postings", "maxima"))
         known = asked.join(maxima.groupBy("term").agg(F.sum("df").cast("double").alias("df")), "term")
         hits = posts.select("term", "key", "tf", "n").join(known, "term")
         score = F.sum(F.col("times") * _part(F.col("tf"), F.col("n"), F.col("df"), F.lit(float(docs)), F.lit(mean or 1.0)))
+        score = score if digits is None else F.round(score, digits)
         best = top_k(hits.groupBy("q", "key").agg(score.alias("score")), ["q"], [F.desc("score"), F.asc("key")], k, "rank")
         return best.select(F.col("q").alias(qkey), "key", "score", F.col("rank").cast("bigint").alias("rank"))
