@@ -9,7 +9,7 @@ from lodestone.operators import scoring as C
 from lodestone.operators import search as S
 from lodestone.operators import vectors as V
 from lodestone.operators.relational import top_k
-from lodestone.operators.scratch import scratch_dir
+from lodestone.operators.scratch import materialise, scratch_dir
 from lodestone.plans.registry import Tables, query
 from lodestone.plans.search import _STOP, _index
 
@@ -62,8 +62,9 @@ def _(t: Tables):
     items, docs = t("benchmark"), t("documents")
     asked = items.select("item_id", F.slice(S.terms(F.col("text")), 1, 12).alias("t"))
     lexical = _index(t).search(asked, "item_id", "t", 50, I.DIGITS).select("item_id", F.col("key").alias("doc_id"), "rank")
-    cells = V.CellIndex.build(docs.select("doc_id", _letters(F.col("text")).alias("v")), "doc_id", "v", scratch_dir(t.spark))
-    near = cells.search(items.select("item_id", _letters(F.col("text")).alias("v")), "item_id", "v", 80).withColumn("s", F.round("score", I.DIGITS))
+    vectors = lambda d, key: materialise(d.select(key, _letters(F.col("text")).alias("v")))
+    cells = V.CellIndex.build(vectors(docs, "doc_id"), "doc_id", "v", scratch_dir(t.spark))
+    near = cells.search(vectors(items, "item_id"), "item_id", "v", 80).withColumn("s", F.round("score", I.DIGITS))
     near = top_k(near.drop("rank"), ["item_id"], [F.desc("s"), F.asc("key")], 50, "rank").select("item_id", F.col("key").alias("doc_id"), "rank")
     fused = I.fused_batch([near, lexical], "item_id", "doc_id", 50)
     best = I.reranked_batch(fused, "item_id", "doc_id", items, "text", docs, "text", S.OverlapReranker(), 10)
