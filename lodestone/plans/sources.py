@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators.scratch import scratch_dir
 from lodestone.plans.registry import Tables, query
-from lodestone.sources import paged, readers, sinks
+from lodestone.sources import paged, pages, readers, sinks
 from lodestone.streaming import feeds, late
 from lodestone.streaming import status as machine
 from lodestone.streaming.status import rocks
@@ -74,6 +74,30 @@ def _(t: Tables):
     return c.join(n, "conv_id").select("conv_id", (F.col("turn") + 1).alias("page"), readers.page_sections(F.col("text"), F.col("turn") + 1, F.col("pages")).alias("section"))
 
 
+_PAGED = """, p AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS page, count(*) OVER (PARTITION BY conv_id) AS pages, coalesce(text, '') AS text, CASE WHEN conv_id % 7 = 1 THEN 'recovered' WHEN conv_id % 3 = 0 THEN 'text_utf-16' ELSE 'text_utf-8' END AS reader FROM conversations),
+s AS (SELECT *, CASE WHEN page = 1 OR contains(lower(substr(text, 1, 200)), 'abstract') THEN 'abstract' WHEN regexp_matches(lower(text), 'methods|materials|experimental') THEN 'methods' WHEN regexp_matches(lower(text), 'results|findings') THEN 'results' WHEN regexp_matches(lower(text), 'discussion|conclusion') THEN 'discussion' WHEN regexp_matches(lower(text), 'references|bibliography') OR page > 0.9 * pages THEN 'references' ELSE 'body' END AS section FROM p)
+"""
+
+
+def _paged(t: Tables):
+    """Each conversation as a file, a turn a page: most as UTF-8, some as UTF-16, some broken by a byte at their begin."""
+    turns = t("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))).alias("t"))
+    text = F.array_join("t.text", "\f")
+    utf8 = F.encode(text, "UTF-8")
+    content = F.when(F.col("conv_id") % 7 == 1, F.concat(F.unhex(F.lit("FF")), utf8)).when(F.col("conv_id") % 3 == 0, F.encode(text, "UTF-16")).otherwise(utf8)
+    return pages.with_sections(pages.read_pages(turns.select("conv_id", content.alias("content")), "conv_id", "content"))
+
+
+@query("src_10_page_cascade", _PAGED + "SELECT conv_id, page, pages, reader, section, CAST(CASE WHEN section = 'discussion' THEN 0.8 WHEN section = 'body' THEN 0.7 WHEN section = 'references' THEN 0.3 ELSE 1.0 END AS DOUBLE) AS quality, length(text) + CASE WHEN reader = 'recovered' AND page = 1 THEN 1 ELSE 0 END AS n_chars FROM s")
+def _(t: Tables):
+    return _paged(t).select("conv_id", "page", "pages", "reader", "section", "quality", F.length("text").alias("n_chars"))
+
+
+@query("src_10_cited_passages")
+def _(t: Tables):
+    return pages.page_passages(_paged(t), "conv_id")
+
+
 @query("src_11_notebooks", "SELECT conv_id, CAST(rn - 1 AS INTEGER) AS n, CASE WHEN role = 'user' THEN 'markdown' ELSE 'code' END AS kind, length(text) AS n_chars FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) WHERE trim(text) <> ''")
 def _(t: Tables):
     cell = F.struct(F.when(F.col("role") == "user", "markdown").otherwise("code").alias("cell_type"), F.array("text").alias("source"))
