@@ -20,12 +20,30 @@ from lodestone.operators.scratch import materialise
 BROADCAST_EDGES = 5_000_000
 
 
-def co_occurrence(pairs: DataFrame, group: str, item: str, least: int = 2) -> DataFrame:
+def _dealt_pairs(d: DataFrame, crowds: DataFrame) -> DataFrame:
+    """a < b of each group of d(g, i), where crowds(g, blocks) has the large groups. Their items are dealt into blocks by a
+    hash, and each two blocks meet in one bin, so no task gets an unbounded group."""
+    dealt = d.join(crowds, "g", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    bins = dealt.groupBy("g", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).agg(F.array_sort(F.collect_list(F.struct("i", "own"))).alias("s"))
+    first = bins.filter("size(s) > 1").select("x", "y", F.posexplode("s").alias("at", "p"), "s")
+    later = F.slice("s", F.col("at") + 2, F.size("s"))
+    meets = F.when(F.col("x") == F.col("y"), later).otherwise(F.filter(later, lambda q: q["own"] != F.col("p")["own"]))
+    return first.select(F.col("p.i").alias("a"), F.explode(meets).alias("q")).select("a", F.col("q.i").alias("b"))
+
+
+def co_occurrence(pairs: DataFrame, group: str, item: str, least: int = 2, block: int = 1024) -> DataFrame:
     """a < b, weight: the number of groups that have both items. Each pair is counted within its group's rows before
-    anything is shuffled by pair; a group's items are a set, which bounds the pairs that it makes."""
-    d = pairs.select(F.col(group).alias("g"), F.col(item).alias("i")).distinct()
-    sets = d.groupBy("g").agg(F.array_sort(F.collect_set("i")).alias("s")).filter("size(s) > 1")
-    each = sets.select(F.posexplode("s").alias("at", "a"), "s").select("a", F.explode(F.slice("s", F.col("at") + 2, F.size("s"))).alias("b"))
+    anything is shuffled by pair. Groups are sets in one row each, unless one has more than `block` items; then groups are
+    dealt into blocks. Null groups and items are in no pair."""
+    d = pairs.select(F.col(group).alias("g"), F.col(item).alias("i")).filter("g IS NOT NULL AND i IS NOT NULL").distinct()
+    crowds = d.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > block).select("g", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    if crowds.isEmpty():
+        sets = d.groupBy("g").agg(F.array_sort(F.collect_set("i")).alias("s")).filter("size(s) > 1")
+        each = sets.select(F.posexplode("s").alias("at", "a"), "s").select("a", F.explode(F.slice("s", F.col("at") + 2, F.size("s"))).alias("b"))
+    else:
+        each = _dealt_pairs(d, crowds)
     return each.groupBy("a", "b").agg(F.count("*").alias("weight")).filter(F.col("weight") >= least)
 
 

@@ -64,3 +64,23 @@ def test_orphans_are_linked_once(spark, tmp_path):
         assert sorted(r.id for r in left.collect()) == [4, 5]
         got = sorted((r.src, r.dst, r.type, r.keywords) for r in edges.read().collect())
         assert got == [(1, "cell", "MENTIONS", []), (2, "cell", "CITES", []), (2, "cell", "MENTIONS", ["cell", "cells"]), (2, "deep", "MENTIONS", ["deep learning"]), (3, "attention", "MENTIONS", ["attention"]), (3, "cell", "MENTIONS", ["cell"])]
+
+
+def test_pairs_of_a_hot_group_are_dealt_into_blocks(spark):
+    import random
+    from collections import Counter
+    from itertools import combinations
+
+    r = random.Random(4)
+    rows = [(0, f"i{k}") for k in range(60)] + [(g, f"i{r.randrange(60)}") for g in range(1, 30) for _ in range(r.choice([1, 2, 12]))] + [(0, "i3"), (None, "i1"), (3, None)]
+    d = spark.createDataFrame(rows, "g long, i string")
+    sets = {}
+    for g, i in rows:
+        if g is not None and i is not None:
+            sets.setdefault(g, set()).add(i)
+    want = Counter(p for s in sets.values() for p in combinations(sorted(s), 2))
+    for block in (7, 1024):
+        got = {(x.a, x.b): x.weight for x in graph.co_occurrence(d, "g", "i", 1, block).collect()}
+        assert got == dict(want)
+    assert graph.co_occurrence(d.limit(0), "g", "i").count() == 0
+
