@@ -206,3 +206,21 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
     with pytest.raises(ValueError):
         scratch.scratch_dir(alone)
     assert scratch.materialise(spark.range(3)).count() == 3
+
+
+def test_quotes_are_found_whatever_their_case(spark, tmp_path):
+    """ß has no capital of one letter, and a sigma is folded alike inside a word and at its end."""
+    import duckdb
+
+    import lodestone.plans.all as plans
+
+    body = " und so weiter, damit der Text lang genug ist, um hier zu gelten, bis an sein Ende"
+    texts = ["Die Straße ist weiß" + body, "Ende ΟΔΟΣ und ﬁn ŉ İ ᾳ" + body, "so ὁδός nicht, und ı auch nicht" + body, "plain text" + body]
+    rows = [(i + 1, x, "en") for i, x in enumerate(texts)] + [(10, texts[0], "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    db = duckdb.connect()
+    for t in "customer orders lineitem part supplier events".split():
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = [tuple(r) for r in plans.QUERIES["qa_07_quotes_in_passages"](spark, str(tmp_path)).collect()]
+    assert got == db.sql(plans.ORACLE["qa_07_quotes_in_passages"]).fetchall() == [(5, 3)]
