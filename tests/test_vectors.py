@@ -67,3 +67,23 @@ def test_empty_index(spark, tmp_path):
     _, rows = rows_of(5)
     index = CellIndex.build(frame(spark, rows).limit(0), "id", "v", str(tmp_path / "index"))
     assert index.search(frame(spark, rows).withColumnRenamed("id", "q"), "q", "v", 3).count() == 0
+
+
+def test_search_meets_bounded_slots(spark, tmp_path, monkeypatch):
+    """Blocks of queries meet slots of rows, no row for each pair; a cell of many copies is dealt into parts."""
+    from lodestone.operators import vectors
+
+    assert vectors._slots([5, 20_000, 3, 4]) == ([0, 1, 2, 2], [1, 3, 1])
+    monkeypatch.setattr(vectors, "SLOT", 40)
+    own, rows = rows_of(6)
+    own = own + [(i, own[3][1]) for i in (9000, 9001, *range(10_000, 10_300))]
+    index = CellIndex.build(frame(spark, rows + own[-300:]), "id", "v", str(tmp_path / "index"), cells=9)
+    found = index.search(frame(spark, own[:100], "qv").withColumnRenamed("id", "qid"), "qid", "qv", 6, 2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan
+    got = {}
+    for x in found.collect():
+        got.setdefault(x.qid, []).append((x["rank"], x.key))
+    for i, v in own[:100]:
+        best = sorted((-round(float(unit(v) @ unit(u)), 12), j) for j, u in own)[:6]
+        assert [j for _, j in sorted(got[i])] == [j for _, j in best]
