@@ -72,3 +72,26 @@ def test_queries_read_the_folders_of_their_terms(made):
     plan = index.postings(["alpha"])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan or "bucket#" in plan.split("PartitionFilters")[1].split("]")[0]
     assert "EqualTo(term,alpha)" in plan and files
+
+
+def test_texts_are_shuffled_once(spark, tmp_path):
+    """Places are gathered where a document is read: what is dealt out is texts and rows of terms, never a row for each
+    word. Terms are those of terms(), in other alphabets too; keys that repeat and many tasks change nothing."""
+    words = "Straße ὁδός ΟΔΟΣ İstanbul flies flied kindly goings the 漢字 x²y aßed ﬁnes".split()
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choice(words) for _ in range(600))) for i in range(40)] + [(3, "a repeated key"), (50, None)]
+    df = spark.createDataFrame(rows, "id long, body string")
+    index = TextIndex(spark, str(tmp_path / "index"), blocks=8, buckets=4, task_bytes=20_000)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("add", "")
+    index.add(df, "id", "body")
+    jobs = list(tracker.getJobIdsForGroup("add"))
+    store = spark.sparkContext._jsc.sc().statusStore()
+    written = sum(store.lastStageAttempt(s).shuffleWriteRecords() for j in jobs for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s).numTasks)
+    spark.sparkContext._jsc.sc().clearJobGroup()
+    assert written < 5_000  # 24,000 words
+    once = df.groupBy("id").agg(F.min("body").alias("body"))
+    want = once.select(F.col("id").alias("key"), F.posexplode(S.terms(F.coalesce("body", F.lit("")))).alias("p", "term")).groupBy("key", "term").agg(F.sort_array(F.collect_list("p")).alias("places"))
+    got = index._read("postings", index.segments())
+    assert sorted((x.key, x.term, x.places) for x in got.collect()) == sorted((x.key, x.term, x.places) for x in want.collect())
+    assert index.statistics()[0] == 41 == index.docs().count()
