@@ -9,7 +9,7 @@ from __future__ import annotations
 import ast
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
@@ -97,19 +97,39 @@ def page_spans(text: str, size: int = 1000, overlap: int = 100) -> list[tuple[in
     return spans
 
 
+#: Characters of chunks that are held before they are handed on.
+_HELD = 1 << 20
+
+
 def _spanned(df: DataFrame, key: str, text: str, cut: Callable[[str], list[tuple[int, int]]], prepare: Callable[[str], str]) -> DataFrame:
+    """Texts are taken from a batch one at a time, and chunks handed on as they come: a worker holds one batch of texts."""
     kind = dict(df.dtypes)[key]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for k, t in zip(pdf["key"], pdf["text"]):
-                if t is not None:
-                    t = prepare(t)
-                    rows += [(k, i, a, b, t[a:b]) for i, (a, b) in enumerate(cut(t))]
-            yield pd.DataFrame(rows, columns=["key", "n", "start", "end", "chunk"])
-
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, f"key {kind}, n int, start int, end int, chunk string").withColumnRenamed("key", key)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, texts = batch.column(0), batch.column(1)
+
+            def send(rows: list[tuple], keys=keys) -> pa.RecordBatch:
+                at, *rest = zip(*rows)
+                return pa.RecordBatch.from_arrays([keys.take(pa.array(at)), *(pa.array(c, t) for c, t in zip(rest, (pa.int32(), pa.int32(), pa.int32(), pa.string())))], names=["key", "n", "start", "end", "chunk"])
+
+            rows, held = [], 0
+            for at in range(batch.num_rows):
+                t = texts[at].as_py()
+                if t is None:
+                    continue
+                t = prepare(t)
+                for i, (a, b) in enumerate(cut(t)):
+                    rows.append((at, i, a, b, t[a:b]))
+                    held += b - a
+                    if held >= _HELD:
+                        yield send(rows)
+                        rows, held = [], 0
+            if rows:
+                yield send(rows)
+            pa.default_memory_pool().release_unused()
+
+    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, n int, start int, end int, chunk string").withColumnRenamed("key", key)
 
 
 def sentence_chunks(df: DataFrame, key: str, text: str, **limits: int) -> DataFrame:

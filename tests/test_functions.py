@@ -224,3 +224,23 @@ def test_quotes_are_found_whatever_their_case(spark, tmp_path):
     db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     got = [tuple(r) for r in plans.QUERIES["qa_07_quotes_in_passages"](spark, str(tmp_path)).collect()]
     assert got == db.sql(plans.ORACLE["qa_07_quotes_in_passages"]).fetchall() == [(5, 3)]
+
+
+def test_chunks_are_handed_on_as_they_come(spark):
+    """However many texts a batch has, and however long they are, few chunks are held."""
+    import pyarrow as pa
+
+    class Kept:
+        dtypes = [("id", "bigint")]
+        select = withColumnRenamed = lambda self, *a: self
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+    body = "some words that fill a page " * 40_000
+    batch = pa.RecordBatch.from_pydict({"key": [7, None, 9, 10], "text": [body, body, None, "short"]})
+    out = list(chunking.page_chunks(Kept(), "id", "text").run(iter([batch])))
+    assert len(out) > 2 and max(b.nbytes for b in out) < 2_000_000
+    rows = [tuple(r.values()) for b in out for r in b.to_pylist()]
+    assert rows == [(k, i, a, b, t[a:b]) for k, t in ((7, body), (None, body), (10, "short")) for i, (a, b) in enumerate(chunking.page_spans(t))]
