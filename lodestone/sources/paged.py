@@ -1,4 +1,4 @@
-"""A feed of pages as a stream: a Python data source with offsets, one partition a page.
+"""A feed of pages as a stream: a Python data source with offsets, some pages a partition.
 
 A page is a folder ``page=<number>`` with the recorded response as text. Offsets are numbers of pages, so a stream that
 failed or was stopped reads each page once. Pages are read by pyarrow's file systems, in the tasks.
@@ -27,9 +27,20 @@ def _pages(path: str) -> list[int]:
     return sorted(int(m[1]) for x in found if (m := re.fullmatch(r"page=(\d+)", x)))
 
 
-class _Page(InputPartition):
-    def __init__(self, number: int):
-        self.number = number
+#: Partitions of a batch of pages, at most. Tasks cost more than small pages do, so their number is bounded.
+PARTITIONS = 64
+
+
+class _Range(InputPartition):
+    """Pages that one task reads, one after the other."""
+
+    def __init__(self, numbers: list[int]):
+        self.numbers = numbers
+
+
+def _dealt(numbers: list[int]) -> list[InputPartition]:
+    some = max(1, -(-len(numbers) // PARTITIONS))
+    return [_Range(numbers[i : i + some]) for i in range(0, len(numbers), some)]
 
 
 class _Pages:
@@ -38,18 +49,19 @@ class _Pages:
     def __init__(self, options: dict[str, str]):
         self.path, self.kind, self.source = options["path"], options.get("kind", "works"), options.get("source", "feed")
 
-    def read(self, partition: _Page) -> Iterator[tuple]:
+    def read(self, partition: _Range) -> Iterator[tuple]:
         files, root = _open(self.path)
-        for f in files.get_file_info(fs.FileSelector(f"{root}/page={partition.number}")):
-            if f.is_file and not f.base_name.startswith(("_", ".")):
-                for body in files.open_input_stream(f.path).read().decode().splitlines():
-                    if body.strip():
-                        yield from atom_items(self.source, body) if self.kind == "atom" else rest_items(self.source, self.kind, body)
+        for number in partition.numbers:
+            for f in files.get_file_info(fs.FileSelector(f"{root}/page={number}")):
+                if f.is_file and not f.base_name.startswith(("_", ".")):
+                    for body in files.open_input_stream(f.path).read().decode().splitlines():
+                        if body.strip():
+                            yield from atom_items(self.source, body) if self.kind == "atom" else rest_items(self.source, self.kind, body)
 
 
 class _Batch(_Pages, DataSourceReader):
     def partitions(self) -> list[InputPartition]:
-        return [_Page(n) for n in _pages(self.path)]
+        return _dealt(_pages(self.path))
 
 
 class _Stream(_Pages, DataSourceStreamReader):
@@ -68,7 +80,7 @@ class _Stream(_Pages, DataSourceStreamReader):
         return {"page": n}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [_Page(n) for n in range(start["page"], end["page"])]
+        return _dealt(list(range(start["page"], end["page"])))
 
     def commit(self, end: dict) -> None:
         pass

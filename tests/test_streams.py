@@ -92,3 +92,13 @@ def test_pages_are_read_once_over_stops_and_failures(spark, tmp_path):
     assert run() == list(range(25))
     whole = spark.read.format("paged_feed").option("path", path).option("kind", "works").load()
     assert whole.count() == 25 and whole.rdd.getNumPartitions() == 5
+
+
+def test_a_partition_reads_some_pages(tmp_path):
+    """The number of partitions is bounded, and they hold every page once, in order."""
+    from lodestone.sources import paged
+
+    reader = paged._Stream({"path": str(tmp_path)})
+    for n in (0, 1, 63, 64, 65, 10_000):
+        parts = reader.partitions({"page": 5}, {"page": 5 + n})
+        assert len(parts) <= paged.PARTITIONS and [x for p in parts for x in p.numbers] == list(range(5, 5 + n))
