@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -109,6 +110,34 @@ def test_trained_tagger():
     assert t.spans(["", clean, ""])[::2] == [[], []]
 
 
+def test_coarse_network_leaves_plain_windows():
+    """Plain windows need no exact run, and what the coarse one leaves out has no tags."""
+    t, r = trained(), random.Random(3)
+    plain = [" ".join("".join(r.choices("abcdeéü", k=r.randrange(2, 9))) for _ in range(60))[:256] for _ in range(150)]
+    held = [f"{p[:60]} call +1 (212) 555-{1000 + i} or u{i} [at] mail [dot] example [dot] com {p[130:]}"[:256] for i, p in enumerate(plain[:51])]
+    x = np.stack([np.pad(pii.classes_of(s), (0, 256 - len(s))) for s in plain + held])
+    todo = t.unclear(x, 64)
+    assert len(todo) < 100 and set(range(150, 201)) <= set(todo.tolist())
+    assert t._best(x).tolist() == t.tags(x).tolist() and t.tags(x)[150:].any(axis=1).all()
+    t.p["uf"][0] += 100  # numbers that the coarse arithmetic can't hold
+    assert len(t.unclear(x)) == len(x)
+
+
+def test_bars():
+    """With all leads below their bars no sequence of tags is better than all outside; bars are lower than one for all."""
+    r = np.random.default_rng(2)
+    for k in range(20):
+        t = pii.Tagger(hidden=2)
+        t.p["tr"] = r.standard_normal((pii.N_TAGS, pii.N_TAGS)).astype(np.float32)
+        bars, tr = t.bars(), t.p["tr"] - t.p["tr"][0, 0]
+        lead = np.concatenate([[0], bars[:, 0] - 1e-3])
+        best = lead.copy()
+        for _ in range(30):
+            best = (best[:, None] + tr).max(axis=0) + lead
+            assert best.max() <= 1e-6 and best.argmax() == 0
+    assert pii.Tagger(hidden=2).bars().tolist() == pytest.approx(np.zeros((pii.N_TAGS - 1, 1)), abs=1e-4)
+
+
 def test_held_out_precision_and_recall():
     """Spans that the base does not know, in texts that were not trained on: found exactly, and little else."""
     t, r = trained(), np.random.default_rng(70)
