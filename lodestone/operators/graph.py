@@ -21,27 +21,40 @@ BROADCAST_EDGES = 5_000_000
 
 
 def _dealt_pairs(d: DataFrame, crowds: DataFrame) -> DataFrame:
-    """a < b of each group of d(g, i), where crowds(g, blocks) has the large groups. Their items are dealt into blocks by a
-    hash, and each two blocks meet in one bin, so no task gets an unbounded group."""
+    """a < b of each group of d(g, i, w), one of them with w, where crowds(g, blocks) has the large groups. Their items are
+    dealt into blocks by a hash, and each two blocks meet in one bin, so no task gets an unbounded group."""
     dealt = d.join(crowds, "g", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    bins = dealt.groupBy("g", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).agg(F.array_sort(F.collect_list(F.struct("i", "own"))).alias("s"))
+    bins = dealt.groupBy("g", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).agg(F.array_sort(F.collect_list(F.struct("i", "w", "own"))).alias("s"))
     first = bins.filter("size(s) > 1").select("x", "y", F.posexplode("s").alias("at", "p"), "s")
     later = F.slice("s", F.col("at") + 2, F.size("s"))
     meets = F.when(F.col("x") == F.col("y"), later).otherwise(F.filter(later, lambda q: q["own"] != F.col("p")["own"]))
+    meets = F.when(F.col("p.w"), meets).otherwise(F.filter(meets, lambda q: q["w"]))
     return first.select(F.col("p.i").alias("a"), F.explode(meets).alias("q")).select("a", F.col("q.i").alias("b"))
 
 
-def co_occurrence(pairs: DataFrame, group: str, item: str, least: int = 2, block: int = 1024) -> DataFrame:
+def co_occurrence(pairs: DataFrame, group: str, item: str, least: int = 2, block: int = 1024, but: DataFrame | None = None) -> DataFrame:
     """a < b, weight: the number of groups that have both items. Each pair is counted within its group's rows before
     anything is shuffled by pair. Groups are sets in one row each, unless one has more than `block` items; then groups are
-    dealt into blocks. Null groups and items are in no pair."""
+    dealt into blocks. Null groups and items are in no pair. but(item): pairs of two of these are left out."""
     d = pairs.select(F.col(group).alias("g"), F.col(item).alias("i")).filter("g IS NOT NULL AND i IS NOT NULL").distinct()
+    if but is None:
+        d = d.withColumn("w", F.lit(True))
+    else:
+        known = but.select(F.col(item).alias("i"), F.lit(False).alias("w")).distinct()
+        d = d.join(known, "i", "left").withColumn("w", F.coalesce("w", F.lit(True)))
+        d = d.join(d.filter("w").select("g").distinct(), "g", "left_semi")
     crowds = d.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > block).select("g", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     if crowds.isEmpty():
-        sets = d.groupBy("g").agg(F.array_sort(F.collect_set("i")).alias("s")).filter("size(s) > 1")
-        each = sets.select(F.posexplode("s").alias("at", "a"), "s").select("a", F.explode(F.slice("s", F.col("at") + 2, F.size("s"))).alias("b"))
+        one = "i" if but is None else F.struct("i", "w")
+        sets = d.groupBy("g").agg(F.array_sort(F.collect_set(one)).alias("s")).filter("size(s) > 1")
+        each = sets.select(F.posexplode("s").alias("at", "a"), F.slice("s", F.col("at") + 2, F.size("s")).alias("later"))
+        if but is None:
+            each = each.select("a", F.explode("later").alias("b"))
+        else:
+            meets = F.when(F.col("a.w"), F.col("later")).otherwise(F.filter("later", lambda q: q["w"]))
+            each = each.select(F.col("a.i").alias("a"), F.explode(meets["i"]).alias("b"))
     else:
         each = _dealt_pairs(d, crowds)
     return each.groupBy("a", "b").agg(F.count("*").alias("weight")).filter(F.col("weight") >= least)
@@ -70,6 +83,19 @@ def combinations(left: DataFrame, right: DataFrame, paper: str, a: str, b: str)
     return left.select(paper, a).distinct().join(right.select(paper, b).distinct(), paper).groupBy(a, b).agg(F.count("*").alias("n"))
 
 
+def analogies(left: DataFrame, right: DataFrame, paper: str, a: str, b: str, least: int = 2) -> DataFrame:
+    """a, c1, c2: values of a that least papers combine with c1 and none with c2, where least papers have c1 and c2.
+
+    What every value of a was combined with is no c2, so of papers' pairs only those with another one are made."""
+    mc = materialise(combinations(left, right, paper, a, b))
+    n = mc.select(a).distinct().count()  # a null is a value that is combined with nothing
+    full = mc.groupBy(b).agg(F.count(a).alias("n")).filter(F.col("n") == n).select(b)
+    r = both_ways(co_occurrence(right, paper, b, least, but=full)).select(F.col("src").alias("c1"), F.col("dst").alias("c2"))
+    r = r.join(full.select(F.col(b).alias("c2")), "c2", "left_anti")
+    j = mc.filter(F.col("n") >= least).select(a, F.col(b).alias("c1")).join(r, "c1")
+    return j.join(mc.select(a, F.col(b).alias("c2")), [a, "c2"], "left_anti").select(a, "c1", "c2")
+
+
 def k_hops(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     """start(origin, node) -> origin, node, dist: the nodes within so many hops, with their least distance.
 

@@ -20,7 +20,7 @@ _FINE = ", uses AS (SELECT DISTINCT l_orderkey AS paper, p_brand AS method FROM
 
 def fine(t: Tables):
     part = t("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("method"), F.concat_ws(" ", "p_name", F.col("p_size").cast("string")).alias("concept"))
-    rows = t("lineitem").select(F.col("l_orderkey").alias("paper"), "l_partkey").join(part, "l_partkey")
+    rows = t("lineitem").select(F.col("l_orderkey").alias("paper"), "l_partkey").join(part, "l_partkey").repartition("paper")
     return rows.select("paper", "method").distinct(), rows.select("paper", "concept").distinct()
 
 
@@ -64,10 +64,7 @@ def _(t: Tables):
 SELECT x.method, c1, c2 FROM mc x JOIN r ON x.concept = c1 WHERE x.n >= 2 AND NOT EXISTS (SELECT 1 FROM mc y WHERE y.method = x.method AND y.concept = c2)""")
 def _(t: Tables):
     u, m = fine(t)
-    mc = G.combinations(u, m, "paper", "method", "concept")
-    r = G.both_ways(G.co_occurrence(m, "paper", "concept", 2)).select(F.col("src").alias("concept"), F.col("dst").alias("c2"))
-    j = mc.filter("n >= 2").join(r, "concept").select("method", F.col("concept").alias("c1"), "c2")
-    return j.join(mc.select("method", F.col("concept").alias("c2")), ["method", "c2"], "left_anti").select("method", "c1", "c2")
+    return G.analogies(u, m, "paper", "method", "concept", 2)
 
 
 @query("gr_07_bridge_papers", _REL + " SELECT paper, count(DISTINCT method) AS methods, count(DISTINCT concept) AS concepts FROM uses JOIN mentions USING (paper) GROUP BY paper HAVING count(DISTINCT method) >= 3 AND count(DISTINCT concept) >= 3")

@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -84,3 +87,22 @@ def test_pairs_of_a_hot_group_are_dealt_into_blocks(spark):
         assert got == dict(want)
     assert graph.co_occurrence(d.limit(0), "g", "i").count() == 0
 
+
+
+def test_analogies_by_gaps(spark):
+    """Analogies equal those of all pairs, also in dealt groups; a value that all others are combined with makes no pairs."""
+    r = random.Random(4)
+    uses = [(p, f"m{r.randrange(4)}") for p in range(60) for _ in range(2)] + [(None, "m0"), (3, None)]
+    mentions = [(p, f"c{min(r.randrange(12), r.randrange(12))}") for p in range(60) for _ in range(4)] + [(4, None), (60, "c77"), (61, "c77"), (60, "c0"), (61, "c0")]
+    for known in (uses[:-1], uses):
+        u, m = {x for x in known if x[0] is not None}, {x for x in mentions if x[1] is not None}
+        both = Counter((method, c) for p, method in u for q, c in m if p == q)
+        pairs = Counter((c, d) for p, c in m for q, d in m if p == q and c != d)
+        want = {(method, c, d) for (method, c), n in both.items() if n >= 2 for (x, d), k in pairs.items() if x == c and k >= 2 and (method is None or (method, d) not in both)}
+        got = graph.analogies(spark.createDataFrame(known, "paper int, method string"), spark.createDataFrame(mentions, "paper int, concept string"), "paper", "method", "concept")
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and want
+    pairs = spark.createDataFrame([(p, i) for p in range(3) for i in range(9) if (p + i) % 4], "g int, i int")
+    but = spark.createDataFrame([(i,) for i in range(6)], "i int")
+    want = sorted(tuple(x) for x in graph.co_occurrence(pairs, "g", "i", 1).filter("a > 5 OR b > 5").collect())
+    for block in (1024, 2):
+        assert sorted(tuple(x) for x in graph.co_occurrence(pairs, "g", "i", 1, block, but).collect()) == want and want
