@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.graph import betweenness, co_occurrence
+from lodestone.operators.scratch import materialise
+
+#: Fields whose pairs are kept as bits: 2,016 pairs in 32 numbers.
+BIT_FIELDS = 64
 
 
 def confident(concepts: DataFrame, version: str | None, least: float = 0.7) -> DataFrame:
@@ -71,15 +75,38 @@ def bridge_concepts(graph: DataFrame, pivots: int = 500, least_degree: int = 2)
 def rare_pairs(concepts: DataFrame, least: int = 3, least_field_pairs: int = 2) -> DataFrame:
     """Pairs of concepts that few passages, but several pairs of fields, have: score is mean confidence times
     ln(1 + field pairs) / (1 + ln count). Only passages of two fields and two concepts count."""
-    one = concepts.groupBy("passage_id", "concept").agg(F.max("confidence").alias("confidence"))
-    g = one.groupBy("passage_id").agg(F.array_sort(F.collect_list(F.struct("concept", "confidence"))).alias("x"))
-    f = concepts.groupBy("passage_id").agg(F.array_sort(F.collect_set("field")).alias("fields"))
-    s = g.join(f, "passage_id").filter("size(x) > 1 AND size(fields) > 1")
-    each = s.select("fields", F.posexplode("x").alias("at", "p"), "x").select("fields", "p", F.explode(F.slice("x", F.col("at") + 2, F.size("x"))).alias("q"))
-    pairs = each.select(F.col("p.concept").alias("concept_a"), F.col("q.concept").alias("concept_b"), ((F.col("p.confidence") + F.col("q.confidence")) / 2).alias("c"), "fields")
-    counts = pairs.groupBy("concept_a", "concept_b").agg(F.count("*").alias("count"), F.avg("c").alias("avg_confidence")).filter(F.col("count") >= least)
-    fp = pairs.select("concept_a", "concept_b", F.posexplode("fields").alias("at", "fa"), "fields").select("concept_a", "concept_b", "fa", F.explode(F.slice("fields", F.col("at") + 2, F.size("fields"))).alias("fb")).distinct().groupBy("concept_a", "concept_b").agg(F.count("*").alias("n_field_pairs")).filter(F.col("n_field_pairs") >= least_field_pairs)
-    j = counts.join(fp, ["concept_a", "concept_b"])
+    known = materialise(concepts.select("concept", "field").distinct())
+    # numbers in the order of names, so pairs and counts need no strings
+    numbers = lambda c: materialise(known.select(c).filter(F.col(c).isNotNull()).distinct().orderBy(c).select(c, F.monotonically_increasing_id().alias("i")))
+    names, at_hand = numbers("concept"), concepts.repartition("passage_id")
+    one = at_hand.select("passage_id", "concept", "confidence").join(names, "concept").groupBy("passage_id", "i").agg(F.max("confidence").alias("confidence"))
+    g = one.groupBy("passage_id").agg(F.array_sort(F.collect_list(F.struct("i", "confidence"))).alias("x")).filter("size(x) > 1")
+    fields = [r["field"] for r in known.select("field").filter("field IS NOT NULL").distinct().orderBy("field").limit(BIT_FIELDS + 1).collect()]
+    few = len(fields) <= BIT_FIELDS
+    by_field = known.sparkSession.createDataFrame(list(zip(fields, range(len(fields)))), "field string, i bigint") if few else numbers("field")
+    f = at_hand.select("passage_id", "field").join(by_field, "field", "left").groupBy("passage_id")
+    f = f.agg(F.array_sort(F.collect_set("i")).alias("fields"), F.max(F.col("i").isNull().cast("int")).alias("unnamed")).filter("size(fields) + unnamed > 1")
+    if few:  # pairs of fields are bits of a few numbers, so a pair of concepts is one row of a passage
+        f = f.withColumn("met", F.expr("flatten(transform(fields, (y, at) -> transform(slice(fields, 1, at), x -> cast(y * (y - 1) / 2 + x AS int))))"))
+        bits = [f"w{k}" for k in range(-(-len(fields) * (len(fields) - 1) // 2 // 63))]
+        carried = [F.expr(f"aggregate(filter(met, c -> c div 63 = {k}), 0L, (w, c) -> w | shiftleft(1L, c % 63))").alias(w) for k, w in enumerate(bits)]
+    else:
+        met = F.flatten(F.transform("fields", lambda fa, at: F.transform(F.slice("fields", at + 2, F.size("fields")), lambda fb: F.struct(fa.alias("fa"), fb.alias("fb")))))
+        itself = F.array(F.struct(F.lit(None).cast("bigint").alias("fa"), F.lit(None).cast("bigint").alias("fb")))  # counts the passage
+        bits, carried = ["met"], [F.concat(itself, met).alias("met")]
+    s = g.join(f, "passage_id").select("x", *carried)
+    each = s.select(*bits, F.posexplode("x").alias("at", "p"), "x").select(*bits, "p", F.explode(F.slice("x", F.col("at") + 2, F.size("x"))).alias("q"))
+    pairs = each.select(F.col("p.i").alias("a"), F.col("q.i").alias("b"), ((F.col("p.confidence") + F.col("q.confidence")) / 2).alias("c"), *bits)
+    if few:
+        j = pairs.groupBy("a", "b").agg(F.count("*").alias("count"), F.avg("c").alias("avg_confidence"), *(F.bit_or(w).alias(w) for w in bits))
+        j = j.withColumn("n_field_pairs", sum((F.bit_count(w).cast("bigint") for w in bits), F.lit(0).cast("bigint")))
+    else:
+        t = pairs.select("a", "b", "c", F.explode("met").alias("m")).groupBy("a", "b", F.col("m.fa").alias("fa"), F.col("m.fb").alias("fb")).agg(F.count("*").alias("n"), F.avg("c").alias("c"))
+        own = lambda c: F.max(F.when(F.col("fa").isNull(), F.col(c)))
+        j = t.groupBy("a", "b").agg(own("n").alias("count"), own("c").alias("avg_confidence"), F.count("fa").alias("n_field_pairs"))
+    j = j.filter((F.col("count") >= least) & (F.col("n_field_pairs") >= least_field_pairs))
+    j = j.join(names.select(F.col("concept").alias("concept_a"), F.col("i").alias("a")), "a").join(names.select(F.col("concept").alias("concept_b"), F.col("i").alias("b")), "b")
+    j = j.select("concept_a", "concept_b", "count", "avg_confidence", "n_field_pairs")
     return j.withColumn("score", F.col("avg_confidence") * F.log1p("n_field_pairs") / (1 + F.log(F.col("count"))))
 
 

@@ -106,3 +106,25 @@ def test_analogies_by_gaps(spark):
     want = sorted(tuple(x) for x in graph.co_occurrence(pairs, "g", "i", 1).filter("a > 5 OR b > 5").collect())
     for block in (1024, 2):
         assert sorted(tuple(x) for x in graph.co_occurrence(pairs, "g", "i", 1, block, but).collect()) == want and want
+
+
+def test_rare_pairs_by_bits_and_by_rows(spark, monkeypatch):
+    """Both ways equal plain counting; a missing field counts as one of a passage's fields, a missing concept is in no pair."""
+    r = random.Random(6)
+    rows = [(p, r.choice(["é", "b", "c", "d", None]), r.choice([*(f"f{k}" for k in range(14)), None]), r.choice([0.25, 0.5, 0.75])) for p in range(40) for _ in range(4)]
+    rows += [(90 + k, c, f, 0.5) for k in range(3) for c, f in (("y", "f0"), ("z", None))] + [(93, "y", "f1", 0.5), (93, "z", "f2", 0.5), (94, "y", "f1", 0.5), (94, "z", "f3", 0.5)]
+    seen, met = {}, {}
+    for p in {x[0] for x in rows}:
+        own, sure = {x[2] for x in rows if x[0] == p}, {}
+        for _, c, _, v in (x for x in rows if x[0] == p and x[1] is not None):
+            sure[c] = max(v, sure.get(c, 0))
+        if len(own) > 1:
+            for a, b in ((a, b) for a in sure for b in sure if a.encode() < b.encode()):
+                seen.setdefault((a, b), []).append((sure[a] + sure[b]) / 2)
+                met.setdefault((a, b), set()).update((x, y) for x in own - {None} for y in own - {None} if x < y)
+    want = sorted((a, b, len(v), sum(v) / len(v), len(met[a, b])) for (a, b), v in seen.items() if len(v) >= 3 and len(met[a, b]) >= 2)
+    df = spark.createDataFrame(rows, "passage_id int, concept string, field string, confidence double")
+    for most in (64, 13):
+        monkeypatch.setattr(atlas, "BIT_FIELDS", most)
+        got = sorted(tuple(x)[:5] for x in atlas.rare_pairs(df).collect())
+        assert got == want and any(x[:3] == ("y", "z", 5) for x in want)
