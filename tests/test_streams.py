@@ -102,3 +102,42 @@ def test_a_partition_reads_some_pages(tmp_path):
     for n in (0, 1, 63, 64, 65, 10_000):
         parts = reader.partitions({"page": 5}, {"page": 5 + n})
         assert len(parts) <= paged.PARTITIONS and [x for p in parts for x in p.numbers] == list(range(5, 5 + n))
+
+
+def test_status_machine_asks_little_of_its_state():
+    """An item's batch reads the state once and writes it once if it changed; its one timer follows its ticket."""
+    calls, timers = [], set()
+
+    class State:
+        value = None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return State()
+
+        def registerTimer(self, at):
+            calls.append("register")
+            timers.add(at)
+
+        def deleteTimer(self, at):
+            calls.append("delete")
+            timers.remove(at)
+
+    m = status.StatusMachine(status.TRANSITIONS, "needs_user", 50, "failed")
+    m.init(Handle())
+    run = lambda *rows: [x["verdict"] for x in m.handleInputRows((7,), iter([{"event_id": i, "ms": ms, "action": a} for i, ms, a in rows]), None)]
+    assert run((1, 10, "discover"), (2, 20, "failed"), (3, 30, "paywalled"), (4, 40, "resolved"), (5, 50, "resolved")) == ["applied"] * 4 + ["illegal"]
+    assert calls == ["get", "update"] and not timers
+    assert run((5, 50, "resolved"), (2, 20, "failed")) == ["late", "repeated"] and calls[2:] == ["get"]
+    m.state.value = None
+    assert run((1, 10, "discover"), (2, 20, "paywalled")) == ["applied", "applied"] and timers == {70}
+    assert run((3, 80, "paywalled")) == ["expired", "applied"] and timers == {130}
+    assert run((4, 90, "dismissed")) == ["applied"] and not timers
